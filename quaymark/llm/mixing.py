@@ -118,7 +118,7 @@ def mix(
     return out, slots
 
 
-def _schedule(spark, table: list[tuple], total: float, block: int, chunk: int = 65536) -> DataFrame:
+def _schedule(spark, table: list[tuple], total: float, block: int, chunk: int = 4096) -> DataFrame:
     """(slot, k, rank): the low-discrepancy schedule, as a table of its own."""
     n = sum(row[6] for row in table)
     bounds = [row[5] for row in table if row[6]]

@@ -10,6 +10,11 @@ from .mixing import mix_documents
 from .quality import quality_verdicts
 from .simhash import simhash_groups
 from .storage import table
+from .toxicity import toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,5 +37,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_line_dedup, op5_exact_dedup, op7_quality_rules, op8_simhash, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op4_line_dedup, op5_exact_dedup, op7_quality_rules, op8_simhash, op9_mixing)}
 ORACLES = {"op5_exact_dedup": EXACT_SQL}
