@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact import EXACT_SQL, exact_dedup
 from .lines import dedup_lines
 from .mixing import mix_documents
+from .pieces import round_trip
 from .quality import quality_verdicts
 from .simhash import simhash_groups
 from .storage import table
@@ -37,5 +39,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_line_dedup, op5_exact_dedup, op7_quality_rules, op8_simhash, op9_mixing)}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str | None = None) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), model_file or public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op4_line_dedup, op5_exact_dedup, op7_quality_rules, op8_simhash, op9_mixing, op10_sentencepiece)}
 ORACLES = {"op5_exact_dedup": EXACT_SQL}
