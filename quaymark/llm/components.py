@@ -7,6 +7,15 @@ from pyspark.sql import DataFrame, functions as F
 from .storage import shared_dir, written
 
 
+#: Edges a task holds in the iteration: small graphs need few tasks, whatever the session's shuffle partitions.
+EDGES_PER_TASK = 100_000
+
+
+def _settled(edges: DataFrame, rows: int) -> DataFrame:
+    """Cut lineage, in as many partitions as `rows`, an upper bound, asks for."""
+    return edges.coalesce(max(1, rows // EDGES_PER_TASK)).checkpoint()
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(
         edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -26,11 +35,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     now = (
         edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
         .where("a <> b and a is not null and b is not null")
-        .distinct()
-        .checkpoint()
+        .distinct().checkpoint()
     )
     state = _state(now)
-    if not state[0]:
+    if state[0]:
+        now = _settled(now, state[0])
+    else:
         return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -40,10 +50,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         )
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
-        now = (
+        now = _settled(
             small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(low.select("a", F.col("m").alias("b")))
-            .where("a <> b").distinct().checkpoint()
+            .where("a <> b").distinct(), state[0],
         )
         last, state = state, _state(now)
         if state == last:
@@ -54,7 +64,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
-def bucket_links(members: DataFrame, keys: list[str], verify, rounds: int = 2) -> DataFrame | None:
+def bucket_links(members: DataFrame, keys: list[str], verify, rounds: int = 1) -> DataFrame | None:
     """(id, component) of the links that `verify` confirms among members(keys..., id) of one bucket; ids without a link are absent.
 
     verify takes distinct pairs (a, b) and returns those that are links. All pairs of a bucket are never emitted:
@@ -63,7 +73,7 @@ def bucket_links(members: DataFrame, keys: list[str], verify, rounds: int = 2) -
     members outside the largest component meet all members of other components. A pair within a component would add
     nothing to it, so no link between components is lost, and a big bucket of near copies costs one star.
     """
-    edges = labels = None
+    labels = None
     for step in range(rounds + 1):
         if labels is None:
             now = members.withColumn("c", F.col("id"))
@@ -83,7 +93,8 @@ def bucket_links(members: DataFrame, keys: list[str], verify, rounds: int = 2) -
             right = live.select(*keys, F.col("id").alias("b"), F.col("c").alias("cb"), "mc")
             pairs = left.join(right, keys).where("ca <> cb and (cb = mc or a < b)")
         found = written(verify(pairs.select("a", "b").distinct()))
-        edges = found if edges is None else edges.unionByName(found)
+        # Components so far are stars, so only what is new has to be worked in.
+        edges = found if labels is None else found.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
         if labels is None or not found.isEmpty():
             labels = components(edges)
     return labels

@@ -53,15 +53,15 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"))
-    words = F.filter(F.split("t", f"[{SPACE}]+"), lambda w: w != "")
+    words = F.array_remove(F.split("t", f"[{SPACE}]+"), "")
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
-    gone = lambda chars: F.length("t") - F.length(F.translate("t", chars, ""))
+    solid = F.col("t")
+    for blank in " \t\n\x0b\x0c\r":
+        solid = F.replace(solid, F.lit(blank), F.lit(""))
+    found = lambda chars: F.regexp_count("t", F.lit(chars))
     one = base.select(
-        "doc_id", words.alias("w"), lines.alias("l"),
-        F.length(F.translate("t", " \t\n\x0b\x0c\r", "")).alias("word_chars"),
-        gone("#*$%&|<>").alias("n_symbols"),
-        gone("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
-        gone("!?|{}[]=_~^\\").alias("n_marks"),
+        "doc_id", words.alias("w"), lines.alias("l"), F.length(solid).alias("word_chars"), found("[#*$%&|<>]").alias("n_symbols"),
+        found("[A-Z]").alias("n_upper"), found(r"[!?{}\[\]=_~^\\]").alias("n_marks"),
     )
     two = one.select(
         "doc_id", F.size("w").cast("long").alias("n_words"), F.col("word_chars").cast("long"), F.col("n_symbols").cast("long"),
@@ -69,30 +69,23 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.col("n_upper").cast("long"), F.col("n_marks").cast("long"),
         F.when(F.size("w") >= 5, _windows("w")).otherwise(F.array().cast("array<bigint>")).alias("g"),
     )
-    repeated = F.when(F.size("g") > F.size(F.array_distinct("g")), _covered("g")).otherwise(0)
-    return two.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated.cast("long").alias("n_repeat_words"), "n_lines", "n_upper", "n_marks")
+    counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_upper", "n_marks"]
+    # Each step is a column of its own, so that none is evaluated again where the next one names it twice.
+    pair, none = "array<struct<h:bigint,i:int>>", F.array(F.lit(None).cast("struct<h:bigint,i:int>"))
+    order = F.sort_array(F.transform("g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    three = two.select(*counts, F.when(F.size("g") > F.size(F.array_distinct("g")), order).otherwise(F.array().cast(pair)).alias("k"))
+    # Neighbours in the sorted order are compared by zipping the array with itself moved by one either way.
+    behind = F.zip_with("k", F.slice(F.concat(none, "k"), 1, F.size("k")), lambda x, p: F.struct(x["h"].alias("h"), x["i"].alias("i"), p["h"].alias("p")))
+    marked = F.zip_with(behind, F.slice(F.concat("k", none), 2, F.size("k")), lambda x, q: F.when((x["h"] == x["p"]) | (x["h"] == q["h"]), x["i"]))
+    four = three.select(*counts, F.when(F.size("k") > 0, F.array_sort(F.filter(marked, lambda i: i.isNotNull()))).otherwise(F.array().cast("array<int>")).alias("places"))
+    steps = F.zip_with(F.slice("places", 1, F.size("places") - 1), F.slice("places", 2, F.size("places") - 1), lambda x, y: F.least(y - x, F.lit(5)))
+    repeated = F.when(F.size("places") > 0, 5 + F.aggregate(steps, F.lit(0), lambda total, x: total + x)).otherwise(0)
+    return four.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated.cast("long").alias("n_repeat_words"), "n_lines", "n_upper", "n_marks")
 
 
 def _windows(w: str) -> Column:
     """Hashes of the five-word windows of an array of words, in order."""
-    pair = lambda a, n: F.zip_with(F.slice(a, 1, n), F.slice(a, 2, n), lambda x, y: F.xxhash64(x, y))
-    two = pair(w, F.size(w) - 1)
-    # Window i is words i..i+4: pairs i and i+2 and word i+4.
-    n = F.size(w) - 4
-    four = F.zip_with(F.slice(two, 1, n), F.slice(two, 3, n), lambda x, y: F.xxhash64(x, y))
-    return F.zip_with(four, F.slice(w, 5, n), lambda x, y: F.xxhash64(x, y))
-
-
-def _covered(g: str) -> Column:
-    """Number of words in windows whose hash occurs twice or more."""
-    nothing = F.array(F.lit(None).cast("struct<h:bigint,i:int>"))
-    kept = F.sort_array(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    # Neighbours in the sorted order are compared by zipping the array with itself moved by one either way.
-    behind = F.zip_with(kept, F.slice(F.concat(nothing, kept), 1, F.size(g)), lambda x, p: F.struct(x["h"].alias("h"), x["i"].alias("i"), p["h"].alias("ph")))
-    marked = F.zip_with(behind, F.slice(F.concat(kept, nothing), 2, F.size(g)), lambda x, q: F.when((x["h"] == x["ph"]) | (x["h"] == q["h"]), x["i"]))
-    places = F.array_sort(F.filter(marked, lambda i: i.isNotNull()))
-    steps = F.zip_with(F.slice(places, 1, F.greatest(F.size(places) - 1, F.lit(0))), F.slice(places, 2, F.greatest(F.size(places) - 1, F.lit(0))), lambda a, b: F.least(b - a, F.lit(5)))
-    return F.lit(5) + F.aggregate(steps, F.lit(0), lambda s, x: s + x)
+    return F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(-1, 4)]))
 
 
 def label_model(patterns: list[tuple[tuple[int, ...], int]], prior: float = 0.9, rounds: int = 200) -> tuple[float, list[dict[int, tuple[float, float]]]]:
