@@ -26,5 +26,5 @@ def written(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it again: lineage ends here and the files outlive executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quaymark-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
