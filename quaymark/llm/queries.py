@@ -10,6 +10,7 @@ from .licenses import license_scan
 from .lines import dedup_lines
 from .mixing import mix_documents
 from .pieces import round_trip
+from .pii import private_data
 from .quality import quality_verdicts
 from .simhash import simhash_groups
 from .storage import table
@@ -20,6 +21,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data(table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -48,5 +53,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str | None
     return round_trip(table(spark, sf_dir, "documents"), model_file or public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_license_scan, op4_line_dedup, op5_exact_dedup, op7_quality_rules, op8_simhash, op9_mixing, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_personal_data, op3_license_scan, op4_line_dedup, op5_exact_dedup, op7_quality_rules, op8_simhash, op9_mixing, op10_sentencepiece)}
 ORACLES = {"op5_exact_dedup": EXACT_SQL}
