@@ -9,6 +9,7 @@ from .exact import EXACT_SQL, exact_dedup
 from .licenses import license_scan
 from .lines import dedup_lines
 from .mixing import mix_documents
+from .pages import main_text
 from .pieces import round_trip
 from .pii import private_data
 from .quality import quality_verdicts
@@ -37,6 +38,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
@@ -53,5 +58,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str | None
     return round_trip(table(spark, sf_dir, "documents"), model_file or public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_personal_data, op3_license_scan, op4_line_dedup, op5_exact_dedup, op7_quality_rules, op8_simhash, op9_mixing, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_personal_data, op3_license_scan, op4_line_dedup, op5_exact_dedup, op6_main_text, op7_quality_rules, op8_simhash, op9_mixing, op10_sentencepiece)}
 ORACLES = {"op5_exact_dedup": EXACT_SQL}

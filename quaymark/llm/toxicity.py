@@ -9,12 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .storage import BROADCAST_ROWS
+
 LENGTHS = (3, 4, 5, 6)
 BITS = 18
 #: Characters hashed at a time, so that a text of any length needs bounded memory.
 PIECE = 1 << 19
-#: Rows of labels that are sent to every executor at most; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 
 
 def pieces(text: str | None) -> Iterator[np.ndarray]:
@@ -142,6 +142,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
+def below(docs: DataFrame, model: Model, threshold: float, columns: list[str], text_col: str = "text") -> DataFrame:
+    """The named columns of the rows whose score is under `threshold`, in one pass over them."""
+    rows = docs.select(*columns)
+    at = columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(t.as_py()) < threshold for t in batch.column(at)], pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
