@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .storage import shared_dir, written
 
@@ -64,34 +66,37 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
-def bucket_links(members: DataFrame, keys: list[str], verify, rounds: int = 1) -> DataFrame | None:
+def bucket_links(members: DataFrame, keys: list[str], verify, rounds: int = 2, reps: int = 4) -> DataFrame | None:
     """(id, component) of the links that `verify` confirms among members(keys..., id) of one bucket; ids without a link are absent.
 
     verify takes distinct pairs (a, b) and returns those that are links. All pairs of a bucket are never emitted:
-    in each round a bucket's members meet one member of its largest component, chosen by a hash, and only members of other
-    components take part; a bucket that is one component is done. What is left after the rounds is finished exactly:
+    first a bucket's members meet `reps` of them, chosen by hashes; in each further round, `reps` members of its largest
+    component, and only members of other components take part; a bucket that is one component is done. What is left after the rounds is finished exactly:
     members outside the largest component meet all members of other components. A pair within a component would add
-    nothing to it, so no link between components is lost, and a big bucket of near copies costs one star.
+    nothing to it, so no link between components is lost, and a big bucket of near copies costs a few stars.
     """
     labels = None
     for step in range(rounds + 1):
         if labels is None:
-            now = members.withColumn("c", F.col("id"))
+            now = members.withColumn("c", F.lit(0).cast("long"))
         else:
             now = members.join(labels, "id", "left").select(*keys, "id", F.coalesce("component", "id").alias("c"))
-        sizes = now.groupBy(*keys, "c").agg(F.count("*").alias("n"), F.max(F.xxhash64("id", F.lit(step))).alias("top"))
+        hashes = [F.xxhash64("id", F.lit(step * reps + r)) for r in range(reps)]
+        sizes = now.groupBy(*keys, "c").agg(F.count("*").alias("n"), *[F.max(h).alias(f"top{r}") for r, h in enumerate(hashes)])
         main = (
-            sizes.groupBy(*keys).agg(F.count("*").alias("parts"), F.max(F.struct("n", "c", "top")).alias("m"))
-            .where("parts > 1").select(*keys, F.col("m.c").alias("mc"), F.col("m.top").alias("top"))
+            sizes.groupBy(*keys).agg(F.count("*").alias("parts"), F.max(F.struct("n", "c", *[f"top{r}" for r in range(reps)])).alias("m"))
+            .where(F.lit(labels is None) | (F.col("parts") > 1)).select(*keys, F.col("m.c").alias("mc"), *[F.col(f"m.top{r}") for r in range(reps)])
         )
         live = now.join(main, keys)
         if step < rounds:
-            reps = live.where((F.col("c") == F.col("mc")) & (F.xxhash64("id", F.lit(step)) == F.col("top"))).select(*keys, F.col("id").alias("b")).distinct()
-            pairs = live.where("c <> mc").select(*keys, F.col("id").alias("a")).join(reps, keys)
+            chosen = reduce(Column.__or__, [h == F.col(f"top{r}") for r, h in enumerate(hashes)])
+            stars = live.where((F.col("c") == F.col("mc")) & chosen).select(*keys, F.col("id").alias("b"))
+            others = live if labels is None else live.where("c <> mc")
+            pairs = others.select(*keys, F.col("id").alias("a")).join(stars, keys).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         else:
             left = live.where("c <> mc").select(*keys, F.col("id").alias("a"), F.col("c").alias("ca"))
             right = live.select(*keys, F.col("id").alias("b"), F.col("c").alias("cb"), "mc")
-            pairs = left.join(right, keys).where("ca <> cb and (cb = mc or a < b)")
+            pairs = left.join(right, keys).where("ca <> cb and (cb = mc or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         found = written(verify(pairs.select("a", "b").distinct()))
         # Components so far are stars, so only what is new has to be worked in.
         edges = found if labels is None else found.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
