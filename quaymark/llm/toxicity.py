@@ -68,7 +68,7 @@ def _counts(rows: DataFrame) -> DataFrame:
 
 
 def _presence(rows: DataFrame, chosen: np.ndarray) -> DataFrame:
-    """(label, has): which of the chosen buckets each text of rows(text, label) has, as places in `chosen`."""
+    """(label, has): which of the chosen buckets each text of rows(text, label) has, as 16-bit places in `chosen`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.full(1 << BITS, -1, np.int32)
@@ -78,13 +78,13 @@ def _presence(rows: DataFrame, chosen: np.ndarray) -> DataFrame:
             for text in batch.column(0):
                 found = [np.unique(place[at]) for p in pieces(text.as_py()) for at in buckets(p)]
                 found = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)
-                has.append(found[found >= 0])
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(has, pa.list_(pa.int32()))], ["label", "has"])
+                has.append(found[found >= 0].astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(has, pa.binary())], ["label", "has"])
 
-    return rows.mapInArrow(run, "label int, has array<int>")
+    return rows.mapInArrow(run, "label int, has binary")
 
 
-def fit(docs: DataFrame, labels: DataFrame, features: int = 4096, sample: int = 5000, penalty: float = 1.0, rounds: int = 400) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, features: int = 2048, sample: int = 3000, penalty: float = 1.0, rounds: int = 300) -> Model:
     """Train on the rows of docs(doc_id, text) that labels(doc_id, label) marks 0 or 1.
 
     Counts for the log-count ratios and the class balance cover all labelled rows, in Spark. The `features` buckets that
@@ -113,8 +113,8 @@ def fit(docs: DataFrame, labels: DataFrame, features: int = 4096, sample: int =
     picked = known.where("label = 1").orderBy(order, "doc_id").limit(sample).unionByName(known.where("label = 0").orderBy(order, "doc_id").limit(sample))
     got = _presence(docs.where("text is not null").join(F.broadcast(picked), "doc_id").select("text", "label"), chosen).collect()
     y = np.array([g["label"] for g in got], float)
-    row = np.repeat(np.arange(len(got)), [len(g["has"]) for g in got])
-    col = np.fromiter((x for g in got for x in g["has"]), np.int64, len(row))
+    row = np.repeat(np.arange(len(got)), [len(g["has"]) // 2 for g in got])
+    col = np.frombuffer(b"".join(bytes(g["has"]) for g in got), "<u2").astype(np.int32)
     weigh = np.where(y == 1, pos / max(1, y.sum()), neg / max(1, (1 - y).sum()))
     weigh /= weigh.sum()
     w, b = np.zeros(len(chosen)), float(np.log(pos / neg))
