@@ -97,7 +97,7 @@ def bucket_links(members: DataFrame, keys: list[str], verify, rounds: int = 2, r
             left = live.where("c <> mc").select(*keys, F.col("id").alias("a"), F.col("c").alias("ca"))
             right = live.select(*keys, F.col("id").alias("b"), F.col("c").alias("cb"), "mc")
             pairs = left.join(right, keys).where("ca <> cb and (cb = mc or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = written(verify(pairs.select("a", "b").distinct()))
+        found = written(verify(pairs.select("a", "b").distinct()), few=True)
         # Components so far are stars, so only what is new has to be worked in.
         edges = found if labels is None else found.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
         if labels is None or not found.isEmpty():

@@ -25,8 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared folder and read it again: lineage ends here and the files outlive executors."""
+def written(df: DataFrame, few: bool = False) -> DataFrame:
+    """Write a frame to the shared folder and read it again: lineage ends here and the files outlive executors.
+
+    `few` is for what remains of much larger data: it is dealt anew so that files have the session's advisory size.
+    """
+    df = df.hint("rebalance") if few else df
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quaymark-{uuid.uuid4().hex}"
     df.write.parquet(path)
