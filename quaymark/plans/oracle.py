@@ -213,4 +213,7 @@ def with_models(sql: str, extra: dict[str, str] | None = None) -> str:
     """A whole query: the expressions that `sql` needs, then `sql`."""
     ctes = CTES | (extra or {})
     names = needed(sql, ctes)
-    return ("with " + ",\n".join(f"{n} as ({ctes[n]})" for n in names) + "\n" if names else "") + sql
+    sql, sep = sql.strip(), "\n"
+    if sql.startswith("with "):
+        sql, sep = sql[len("with "):], ",\n" if names else "with "
+    return ("with " + ",\n".join(f"{n} as ({ctes[n]})" for n in names) if names else "") + sep + sql

@@ -24,6 +24,11 @@ class Warehouse:
     def __init__(self, raw, cfg: EngineConfig = EngineConfig()):
         self.raw, self.cfg = raw, cfg
 
+    def persist(self, *models: str) -> None:
+        """Keep models that several consumers of this warehouse read; a lost part is computed again."""
+        for name in models:
+            self.__dict__[name] = getattr(self, name).persist()
+
     # -- staging: what each source says, as far as it was available
 
     @cached_property
