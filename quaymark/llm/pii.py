@@ -161,6 +161,12 @@ PLACE = {name: n for n, name in enumerate(NAMES)}
 LABELS = ("other", *KINDS)
 
 
+def possible(on: list[int]) -> list[bool]:
+    """Labels that a span with these features may have: an address needs its sign, the others hold no letters."""
+    bare = PLACE["no letters"] in on
+    return [True, PLACE["at"] in on or PLACE["spelled"] in on, bare, bare, bare]
+
+
 @dataclass(frozen=True)
 class Field:
     """Weights of span features by label, and of one label after another."""
@@ -174,7 +180,8 @@ class Field:
         out = np.full((n + 1, LONGEST, len(LABELS)), -np.inf)
         for i in range(n):
             for j in range(i + 1, min(n, i + LONGEST) + 1):
-                s = self.weights[:, features(w.text, w.tokens, i, j, w.before)].sum(axis=1)
+                on = features(w.text, w.tokens, i, j, w.before)
+                s = np.where(possible(on), self.weights[:, on].sum(axis=1), -np.inf)
                 out[j, j - i - 1, 1:] = s[1:]
                 if j == i + 1:
                     out[j, 0, 0] = s[0]
@@ -255,7 +262,7 @@ def train(samples: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = 1
                 gold, at = [], 0
                 for kind, a, b in sorted(marks, key=lambda m: m[1]):
                     inside = [n for n, (x, y) in enumerate(w.tokens) if x < b and y > a]
-                    if inside and inside[0] >= at and len(inside) <= LONGEST:
+                    if inside and inside[0] >= at and len(inside) <= LONGEST and possible(features(t, w.tokens, inside[0], inside[-1] + 1, w.before))[kind + 1]:
                         gold += [(n, n + 1, 0) for n in range(at, inside[0])] + [(inside[0], inside[-1] + 1, kind + 1)]
                         at = inside[-1] + 1
                 gold += [(n, n + 1, 0) for n in range(at, len(w.tokens))]
@@ -263,14 +270,15 @@ def train(samples: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = 1
     n, k, f = len(cases), len(LABELS), len(NAMES)
     t = max((len(w.tokens) for w, _ in cases), default=1)
     x = np.zeros((n, t + 1, LONGEST, f), np.float32)  # features of the span that ends there with that length
-    real = np.zeros((n, t + 1, LONGEST), bool)
+    real, may = np.zeros((n, t + 1, LONGEST), bool), np.zeros((n, t + 1, LONGEST, k), bool)
     ends = np.array([len(w.tokens) for w, _ in cases], np.int64)
     target, target_follow = np.zeros((k, f)), np.zeros((k, k))
     for c, (w, gold) in enumerate(cases):
         for i in range(len(w.tokens)):
             for j in range(i + 1, min(len(w.tokens), i + LONGEST) + 1):
-                x[c, j, j - i - 1, features(w.text, w.tokens, i, j, w.before)] = 1
-                real[c, j, j - i - 1] = True
+                on = features(w.text, w.tokens, i, j, w.before)
+                x[c, j, j - i - 1, on] = 1
+                real[c, j, j - i - 1], may[c, j, j - i - 1] = True, possible(on)
         last = 0
         for i, j, y in gold:
             target[y] += x[c, j, j - i - 1]
@@ -283,7 +291,7 @@ def train(samples: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = 1
     low = -1e9
     for step in range(1, rounds + 1):
         s = np.einsum("ctlf,kf->ctlk", x, weights, optimize=True)
-        s[~real] = low
+        s[~may] = low
         s[:, :, 1:, 0] = low
         fwd, bwd = np.full((n, t + 1, k), low), np.full((n, t + 1, k), low)
         fwd[:, 0, 0] = 0

@@ -108,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, features: int = 2048, sample: int =
     ratio = F.col("p") - F.col("q")
     worth = F.abs(ratio) * F.sqrt(F.col("pos") + F.col("neg")) * F.when(ratio > 0, F.col("pos") / pos).otherwise(F.col("neg") / neg)
     best = counts.select("bucket", ratio.alias("r"), worth.alias("worth")).orderBy(F.desc("worth"), "bucket").limit(features).collect()
-    chosen, r = np.array([b["bucket"] for b in best]), np.array([b["r"] for b in best])
+    chosen, r = np.array([b["bucket"] for b in best], np.int64), np.array([b["r"] for b in best], float)
     order = F.xxhash64("doc_id")
     picked = known.where("label = 1").orderBy(order, "doc_id").limit(sample).unionByName(known.where("label = 0").orderBy(order, "doc_id").limit(sample))
     got = _presence(docs.where("text is not null").join(F.broadcast(picked), "doc_id").select("text", "label"), chosen).collect()
