@@ -66,7 +66,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
-def bucket_links(members: DataFrame, keys: list[str], verify, rounds: int = 1, reps: int = 6) -> DataFrame | None:
+def bucket_links(members: DataFrame, keys: list[str], verify, rounds: int = 1, reps: int = 6, carry: list[str] = (), maybe=None) -> DataFrame | None:
     """(id, component) of the links that `verify` confirms among members(keys..., id) of one bucket; ids without a link are absent.
 
     verify takes distinct pairs (a, b) and returns those that are links. All pairs of a bucket are never emitted:
@@ -74,13 +74,17 @@ def bucket_links(members: DataFrame, keys: list[str], verify, rounds: int = 1, r
     component, and only members of other components take part; a bucket that is one component is done. What is left after the rounds is finished exactly:
     members outside the largest component meet all members of other components. A pair within a component would add
     nothing to it, so no link between components is lost, and a big bucket of near copies costs a few stars.
+    Members may carry columns; `maybe` makes a condition of their names with _a and _b, one that every link meets, and
+    pairs that fail it are dropped inside the join that makes them.
     """
+    of = lambda x: [F.col(c).alias(f"{c}_{x}") for c in carry]
+    fits = F.lit(True) if maybe is None else maybe
     labels = None
     for step in range(rounds + 1):
         if labels is None:
             now = members.withColumn("c", F.lit(0).cast("long"))
         else:
-            now = members.join(labels, "id", "left").select(*keys, "id", F.coalesce("component", "id").alias("c"))
+            now = members.join(labels, "id", "left").select(*keys, "id", *carry, F.coalesce("component", "id").alias("c"))
         hashes = [F.xxhash64("id", F.lit(step * reps + r)) for r in range(reps)]
         sizes = now.groupBy(*keys, "c").agg(F.count("*").alias("n"), *[F.max(h).alias(f"top{r}") for r, h in enumerate(hashes)])
         main = (
@@ -90,13 +94,13 @@ def bucket_links(members: DataFrame, keys: list[str], verify, rounds: int = 1, r
         live = now.join(main, keys)
         if step < rounds:
             chosen = reduce(Column.__or__, [h == F.col(f"top{r}") for r, h in enumerate(hashes)])
-            stars = live.where((F.col("c") == F.col("mc")) & chosen).select(*keys, F.col("id").alias("b"))
+            stars = live.where((F.col("c") == F.col("mc")) & chosen).select(*keys, F.col("id").alias("b"), *of("b"))
             others = live if labels is None else live.where("c <> mc")
-            pairs = others.select(*keys, F.col("id").alias("a")).join(stars, keys).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            pairs = others.select(*keys, F.col("id").alias("a"), *of("a")).join(stars, keys).where(F.expr("a <> b") & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         else:
-            left = live.where("c <> mc").select(*keys, F.col("id").alias("a"), F.col("c").alias("ca"))
-            right = live.select(*keys, F.col("id").alias("b"), F.col("c").alias("cb"), "mc")
-            pairs = left.join(right, keys).where("ca <> cb and (cb = mc or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            left = live.where("c <> mc").select(*keys, F.col("id").alias("a"), F.col("c").alias("ca"), *of("a"))
+            right = live.select(*keys, F.col("id").alias("b"), F.col("c").alias("cb"), "mc", *of("b"))
+            pairs = left.join(right, keys).where(F.expr("ca <> cb and (cb = mc or a < b)") & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         found = written(verify(pairs.select("a", "b").distinct()), few=True)
         # Components so far are stars, so only what is new has to be worked in.
         edges = found if labels is None else found.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
