@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import ratio
 from ..plans.warehouse import Warehouse
+from ..session import settled
 from .stats import benjamini_hochberg, dow_adjusted, log_shares, mann_kendall, severity_from_z, theil_sen
 
 # What a tier of attribution is worth.
@@ -237,4 +238,4 @@ def adjudicate(signals: DataFrame, alpha: float = 0.10, evidence_days: int = 28)
 def detect(w: Warehouse, t: Thresholds = Thresholds(), only: list[str] | None = None) -> DataFrame:
     w.persist("mart_daily_trading", "mart_product_daily", "mart_data_quality", "mart_cohort_retention", "mart_ltv", "mart_email_flow_weekly", "last_day")
     parts = [f(w, t) for name, f in DETECTORS.items() if only is None or name in only]
-    return adjudicate(reduce(DataFrame.unionByName, parts).persist(), w.cfg.fdr_alpha, t.evidence_days)
+    return adjudicate(settled(reduce(DataFrame.unionByName, parts)), w.cfg.fdr_alpha, t.evidence_days)

@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..config import EngineConfig
+from ..session import settled
 from ..functions.columns import channel, decimal, funnel_stage, iso_dow, month_start, months_apart, planned_share, ratio, visible, week_start
 
 
@@ -25,9 +26,9 @@ class Warehouse:
         self.raw, self.cfg = raw, cfg
 
     def persist(self, *models: str) -> None:
-        """Keep models that several consumers of this warehouse read; a lost part is computed again."""
+        """Compute models that several consumers of this warehouse read once, in files that outlive executors."""
         for name in models:
-            self.__dict__[name] = getattr(self, name).persist()
+            self.__dict__[name] = settled(getattr(self, name))
 
     # -- staging: what each source says, as far as it was available
 
