@@ -312,3 +312,66 @@ def check_censoring_guards(spark, sf_dir):
     c = F.col
     pairs = (("has_full_90d_exposure", "repeat_rate_90d", ""), ("has_full_exposure", "retention_rate", "_retention"))
     return warehouse(spark, sf_dir).mart_cohort_retention.agg(*[f for flag, v, tail in pairs for f in (F.count_if(c(flag) & c(v).isNull()).alias("missing" + tail), F.count_if(~c(flag) & c(v).isNotNull()).alias("leaked" + tail))])
+
+
+REPLAY = {"replayed": "select unnest(generate_series(date '2001-07-03', date '2001-08-02', interval 1 day))::date as cursor"}
+REPLAY["windows"] = "select cursor, channel, net_revenue::double as y, row_number() over (partition by cursor, channel order by date_day) as i from mart_daily_trading join replayed on date_day < cursor and date_day >= cursor - 28"
+
+
+@query(f"""
+    with s as (select a.cursor, a.channel, median((b.y - a.y) / (b.i - a.i)) as slope, sum(sign(b.y - a.y)) as s from windows a join windows b on a.cursor = b.cursor and a.channel = b.channel and a.i < b.i group by 1, 2),
+    t as (select cursor, channel, sum(c) as n, sum(c * (c - 1) * (2 * c + 5)) as tied from (select cursor, channel, y, count(*) as c from windows group by 1, 2, 3) group by 1, 2),
+    z as (select *, case when s = 0 then 0 else (s - sign(s)) / sqrt((n * (n - 1) * (2 * n + 5) - tied) / 18.0) end as z from s join t using (cursor, channel))
+    select cursor, channel, n::bigint as n, {_r('slope', 4)} as slope, {_r('z')} as z from z""", REPLAY)
+def j19_replay_trend(spark, sf_dir):
+    from .operators.backtest import replay_trend
+
+    t = replay_trend(warehouse(spark, sf_dir).mart_daily_trading, pit.cursors_between(spark, "2001-07-03", "2001-08-02"), ["channel"], "date_day", "net_revenue")
+    return t.select("cursor", "channel", F.col("n").cast("long").alias("n"), fixed("slope", 4).alias("slope"), fixed("z").alias("z"))
+
+
+@query()
+def k07_recommendations(spark, sf_dir):
+    from .operators.recommend import dedupe, recommend
+
+    return dedupe(recommend(S.detect(warehouse(spark, sf_dir)))).select("as_of_date", "action_type", "entity_id", "detector", "confidence", "is_reversible", "notes")
+
+
+@query("""
+    with p as (select b.*, r.difference, r.recon_status from mart_marketing_budget_vs_actual b join mart_marketing_invoice_recon r using (month_start, channel))
+    select month_start, approved_budget::double as approved_budget, delivered_spend::double as delivered_spend, media_invoiced::double as media_invoiced, fee_invoiced::double as fee_invoiced, budget_variance::double as budget_variance,
+           round(budget_variance::double / nullif(known::double, 0) * 1000000, 0) / 1000000 as variance_pct
+    from (select month_start, sum(approved_budget) as approved_budget, sum(delivered_spend) as delivered_spend, sum(media_invoiced) as media_invoiced, sum(fee_invoiced) as fee_invoiced, sum(budget_variance) as budget_variance,
+                 sum(approved_budget) filter (budget_variance is not null) as known from p group by 1)""")
+def m08_month_totals(spark, sf_dir):
+    from .operators import reports
+
+    t = reports.totals(reports.pack(warehouse(spark, sf_dir)))
+    return t.select("month_start", *[F.col(c).cast("double").alias(c) for c in ("approved_budget", "delivered_spend", "media_invoiced", "fee_invoiced", "budget_variance")], fixed("variance_pct").alias("variance_pct"))
+
+
+@query("""
+    with i as (select b.*, r.difference, r.recon_status from mart_marketing_budget_vs_actual b join mart_marketing_invoice_recon r using (month_start, channel)),
+    m as (select *, case when is_media_final then media_invoiced when delivered_spend is null then case when media_invoiced > 0 then media_invoiced end else greatest(delivered_spend, media_invoiced) end as x from i),
+    t as (select unnest([
+        {'tie': 'estimated_unbilled_accrual', 'ok': (case when delivered_spend is not null then case when is_media_final then 0 else greatest(delivered_spend - media_invoiced, 0) end end) is not distinct from estimated_unbilled_accrual},
+        {'tie': 'recognised_media_expense', 'ok': x is not distinct from recognised_media_expense},
+        {'tie': 'recognised_expense', 'ok': coalesce(x + fee_invoiced, case when media_invoiced + fee_invoiced > 0 then media_invoiced + fee_invoiced end) is not distinct from recognised_expense},
+        {'tie': 'budget_variance', 'ok': (x - approved_budget) is not distinct from budget_variance},
+        {'tie': 'difference', 'ok': (case when media_invoiced <> 0 then media_invoiced - delivered_spend end) is not distinct from difference},
+        {'tie': 'recon_status', 'ok': (case when channel = 'unallocated' then 'unallocated_cost' when delivered_spend is null then 'no_cost_source' when media_invoiced = 0 then 'unbilled'
+            when abs((media_invoiced - delivered_spend)::double) <= abs(delivered_spend::double) * 2.0 / 100.0 then 'within_tolerance' else 'exception' end) = recon_status}]) as t from m)
+    select t.tie as tie, count(*) as rows, count(*) filter (t.ok) as holding from t group by 1""")
+def m12_pack_ties(spark, sf_dir):
+    """How often the pack's own derivation agrees with the marts. Its status calls a month without any visible spend one without
+    a cost source, which the marts tell apart, so that tie doesn't hold on such months."""
+    from .operators import reports
+
+    return reports.ties(reports.pack(warehouse(spark, sf_dir))).groupBy("tie").agg(F.count("*").alias("rows"), F.count_if("holds").alias("holding"))
+
+
+@query()
+def m13_commentary(spark, sf_dir):
+    from .operators import reports
+
+    return reports.commentary(reports.pack(warehouse(spark, sf_dir)))
