@@ -375,3 +375,71 @@ def m13_commentary(spark, sf_dir):
     from .operators import reports
 
     return reports.commentary(reports.pack(warehouse(spark, sf_dir)))
+
+
+@query("select invoice_line_id, channel, cast(allocation_pct as double) as allocation_pct from shares")
+def h09_stg_invoice_line_allocations(spark, sf_dir):
+    return warehouse(spark, sf_dir).raw.allocations().select("invoice_line_id", "channel", F.col("allocation_pct").cast("double").alias("allocation_pct"))
+
+
+@query("select invoice_line_id, cast(amount as double) as amount from stg_vendor_invoice_lines l where not exists (select 1 from shares s where s.invoice_line_id = l.invoice_line_id)")
+def c10_unallocated_anti(spark, sf_dir):
+    w = warehouse(spark, sf_dir)
+    return w.stg_vendor_invoice_lines.join(w.raw.allocations(), "invoice_line_id", "left_anti").select("invoice_line_id", F.col("amount").cast("double").alias("amount"))
+
+
+@query("select a.invoice_line_id, a.channel as larger, b.channel as smaller, cast(a.allocation_pct + b.allocation_pct as double) as both from shares a join shares b using (invoice_line_id) where a.allocation_pct > b.allocation_pct")
+def c13_self_join(spark, sf_dir):
+    s = warehouse(spark, sf_dir).raw.allocations()
+    a, b = s.alias("a"), s.alias("b")
+    met = a.join(b, (F.col("a.invoice_line_id") == F.col("b.invoice_line_id")) & (F.col("a.allocation_pct") > F.col("b.allocation_pct")))
+    return met.select("a.invoice_line_id", F.col("a.channel").alias("larger"), F.col("b.channel").alias("smaller"), (F.col("a.allocation_pct") + F.col("b.allocation_pct")).cast("double").alias("both"))
+
+
+@query("select month_start, channel, cast(approved_budget as double) as approved_budget, budget_version_used, pacing_profile from budget")
+def c17_latest_version(spark, sf_dir):
+    return warehouse(spark, sf_dir)._budget.select("month_start", "channel", F.col("approved_budget").cast("double").alias("approved_budget"), "budget_version_used", "pacing_profile")
+
+
+@query("select channel, count(distinct customer_id) as customers, count(distinct case when is_first_order then customer_id end) as new_customers, count(distinct order_date) as days from fct_order where not is_cancelled group by 1")
+def d07_multi_distinct(spark, sf_dir):
+    o = warehouse(spark, sf_dir).fct_order.where("not is_cancelled")
+    return o.groupBy("channel").agg(F.count_distinct("customer_id").alias("customers"), F.count_distinct(F.when(F.col("is_first_order"), F.col("customer_id"))).alias("new_customers"), F.count_distinct("order_date").alias("days"))
+
+
+@query("select platform, c as mode from (select platform, c, row_number() over (partition by platform order by count(*) desc, c desc) as k from (select platform, ad_date, count(*) as c from fct_ad_spend_daily group by 1, 2) group by 1, 2) where k = 1")
+def d14_mode(spark, sf_dir):
+    days = warehouse(spark, sf_dir).fct_ad_spend_daily.groupBy("platform", "ad_date").agg(F.count("*").alias("c"))
+    return days.groupBy("platform", "c").agg(F.count("*").alias("n")).groupBy("platform").agg(F.max_by("c", F.struct("n", "c")).alias("mode"))
+
+
+@query("select channel, date_day, cast(net_revenue as double) as net_revenue from mart_daily_trading qualify row_number() over (partition by channel order by net_revenue desc, date_day) <= 5")
+def f04_top_days(spark, sf_dir):
+    at = F.row_number().over(W.partitionBy("channel").orderBy(F.desc("net_revenue"), "date_day"))
+    return warehouse(spark, sf_dir).mart_daily_trading.withColumn("at", at).where("at <= 5").select("channel", "date_day", F.col("net_revenue").cast("double").alias("net_revenue"))
+
+
+@query(f"""
+    select cohort_month, {', '.join(f"{_r(f'max(case when months_since = {k} then retention_rate end)')} as m{k}" for k in range(1, 7))} from mart_cohort_retention group by 1""")
+def l18_retention_pivot(spark, sf_dir):
+    p = M.retention_pivot(warehouse(spark, sf_dir).mart_cohort_retention, list(range(1, 7)))
+    return p.select("cohort_month", *[fixed(F.col(f"`{k}`")).alias(f"m{k}") for k in range(1, 7)])
+
+
+@query(f"""
+    with m as (select cast(date_trunc('month', date_day) as date) as month_start, sum(returning_customers)::double / nullif(sum(orders), 0) as blended from mart_daily_trading group by 1),
+    c as (select cohort_month as month_start, max(repeat_rate_90d) as cohort from mart_cohort_retention group by 1)
+    select month_start, {_r('blended')} as repeat_share, {_r('cohort')} as cohort_rate from m full join c using (month_start)""")
+def m03_repeat_share_against_cohorts(spark, sf_dir):
+    w = warehouse(spark, sf_dir)
+    blended = M.measured(w.mart_daily_trading.withColumn("month_start", F.trunc("date_day", "MM")), M.trading(), "month_start", only=["repeat_order_share"])
+    cohort = w.mart_cohort_retention.groupBy(F.col("cohort_month").alias("month_start")).agg(F.max("repeat_rate_90d").alias("cohort"))
+    return blended.join(cohort, "month_start", "full").select("month_start", fixed("repeat_order_share").alias("repeat_share"), fixed("cohort").alias("cohort_rate"))
+
+
+@query(f"""
+    select date_day, {_r('sum(ad_spend)::double / nullif(sum(new_customers), 0)')} as naive_cac, max(blended_cac)::double as published_cac, bool_and(ad_spend_is_complete) as complete
+    from mart_daily_trading where date_day >= date '2001-07-09' group by 1""")
+def m01_naive_and_published_cac(spark, sf_dir):
+    d = warehouse(spark, sf_dir).mart_daily_trading.where("date_day >= date '2001-07-09'")
+    return d.groupBy("date_day").agg(fixed(ratio(F.sum("ad_spend"), F.sum("new_customers"))).alias("naive_cac"), F.max("blended_cac").cast("double").alias("published_cac"), F.bool_and("ad_spend_is_complete").alias("complete"))
