@@ -66,7 +66,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
-def bucket_links(members: DataFrame, keys: list[str], verify, rounds: int = 1, reps: int = 6, carry: list[str] = (), maybe=None) -> DataFrame | None:
+def bucket_links(members: DataFrame, keys: list[str], verify, rounds: int = 1, reps: int = 3, carry: list[str] = (), maybe=None) -> DataFrame | None:
     """(id, component) of the links that `verify` confirms among members(keys..., id) of one bucket; ids without a link are absent.
 
     verify takes distinct pairs (a, b) and returns those that are links. All pairs of a bucket are never emitted:
