@@ -33,12 +33,12 @@ class Rule:
 
 
 RULES = (
-    Rule("length", "n_words", 50, 20, low=True),
+    Rule("length", "n_words", 30, 9, low=True),
     Rule("word_length_short", "word_chars / n_words", 3.0, 2.5, low=True),
     Rule("word_length_long", "word_chars / n_words", 9.0, 12.0),
     Rule("symbols", "n_symbols / n_words", 0.05, 0.3),
-    Rule("dup_lines", "n_dup_lines / greatest(n_lines, 1)", 0.1, 0.3),
-    Rule("repeats", "n_repeat_words / n_words", 0.1, 0.2),
+    Rule("dup_lines", "n_dup_lines / greatest(n_lines, 1)", 0.1, 0.5),
+    Rule("repeats", "n_repeat_words / n_words", 0.2, 0.3),
     Rule("capitals", "n_upper / greatest(word_chars, 1)", 0.15, 0.5),
     Rule("marks", "n_marks / n_words", 0.4, 0.8),
 )
@@ -88,48 +88,59 @@ def _windows(w: str) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(-1, 4)]))
 
 
-def label_model(patterns: list[tuple[tuple[int, ...], int]], prior: float = 0.9, rounds: int = 200) -> tuple[float, list[dict[int, tuple[float, float]]]]:
-    """Class balance and, for each rule, P(vote | keep) and P(vote | drop), by expectation-maximisation over vote patterns.
+@dataclass(frozen=True)
+class LabelModel:
+    """Shares of the classes, good texts first, then one way of being bad for each rule; rates[class][rule][vote] among
+    the votes that aren't abstentions, which say nothing."""
+
+    shares: list[float]
+    rates: list[list[dict[int, float]]]
+
+    def logs(self, votes: tuple[int, ...]) -> list[float]:
+        return [math.log(p) + sum(math.log(r[v]) for r, v in zip(rates, votes) if v) for p, rates in zip(self.shares, self.rates)]
+
+    def posterior(self, votes: tuple[int, ...]) -> list[float]:
+        logs = self.logs(votes)
+        parts = [math.exp(x - max(logs)) for x in logs]
+        return [x / sum(parts) for x in parts]
 
-    patterns: (votes, number of documents). The rules vote independently given the class; counts are smoothed by one.
-    Starting rates say that a rule is right nine times in ten when it votes, which names the classes.
+
+def label_model(patterns: list[tuple[tuple[int, ...], int]], prior: float = 0.9, rounds: int = 500) -> LabelModel:
+    """Shares and vote rates by expectation-maximisation over vote patterns: (votes, number of documents).
+
+    Bad texts seldom fail every rule: most are bad in one way. So besides the good ones there is a class for each rule's kind
+    of badness, which other rules may notice too; rules vote independently given the class. To begin with, a class's own
+    rule votes to drop, and all others vote as on good texts, which get few votes to drop. Counts are smoothed by one
+    document shared out like those first rates. What rules say of good and bad texts, and how much of each there is, comes from the data.
     """
     n_rules = len(patterns[0][0]) if patterns else 0
     total = sum(n for _, n in patterns)
-    abstain = [sum(n for v, n in patterns if v[k] == 0) / max(total, 1) for k in range(n_rules)]
-    rates = [{0: (a, a), 1: (0.9 * (1 - a) + 1e-9, 0.1 * (1 - a) + 1e-9), -1: (0.1 * (1 - a) + 1e-9, 0.9 * (1 - a) + 1e-9)} for a in abstain]
+    fair, own = {-1: 0.02, 1: 0.98}, {-1: 0.95, 1: 0.05}
+    first = [[fair] * n_rules] + [[own if k == c else fair for k in range(n_rules)] for c in range(n_rules)]
+    model = LabelModel([prior] + [(1 - prior) / max(n_rules, 1)] * n_rules, first)
     for _ in range(rounds if total else 0):
-        sums = [{v: [0.0, 0.0] for v in (-1, 0, 1)} for _ in range(n_rules)]
-        keep = 0.0
+        sums = [[dict(r) for r in rates] for rates in first]
+        mass = [1.0] * (n_rules + 1)
         for votes, n in patterns:
-            p = posterior(prior, rates, votes)
-            keep += n * p
-            for k, v in enumerate(votes):
-                sums[k][v][0] += n * p
-                sums[k][v][1] += n * (1 - p)
-        new = (keep + 1) / (total + 2)
-        rates = [{v: ((s[v][0] + 1) / (keep + 3), (s[v][1] + 1) / (total - keep + 3)) for v in s} for s in sums]
-        if abs(new - prior) < 1e-10:
+            for c, p in enumerate(model.posterior(votes)):
+                mass[c] += n * p
+                for k, v in enumerate(votes):
+                    if v:
+                        sums[c][k][v] += n * p
+        new = LabelModel([m / sum(mass) for m in mass], [[{v: x / sum(r.values()) for v, x in r.items()} for r in rates] for rates in sums])
+        still = max(abs(x - y) for x, y in zip(new.shares, model.shares)) < 1e-9
+        model = new
+        if still:
             break
-        prior = new
-    return prior, rates
-
-
-def posterior(prior: float, rates: list[dict[int, tuple[float, float]]], votes: tuple[int, ...]) -> float:
-    x = math.log(prior) - math.log1p(-prior)
-    for k, v in enumerate(votes):
-        a, b = rates[k][v]
-        if a > 0 and b > 0:
-            x += math.log(a) - math.log(b)
-    return 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
+    return model
 
 
 def quality_verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: its counts, base_failed, kept and the posterior `quality`.
 
     Rules vote keep, drop or abstain; the table of vote patterns, at most 3^rules rows whatever the corpus, is counted
-    over all documents and gives rule accuracies and class balance by expectation-maximisation; the posterior
-    probability of `keep` decides. base_failed (fewer than 10 words, or over a fifth of the words in repeated windows)
+    over all documents and gives the rules' accuracies and the shares of good and bad texts by expectation-maximisation; the
+    posterior probability of a good text decides. base_failed (fewer than 10 words, or over a fifth of the words in repeated windows)
     is final. A text without words has base_failed. Null ids and repeated rows are rows like others; no rows, no result.
     """
     m = written(measures(docs, id_col, text_col))
@@ -137,13 +148,17 @@ def quality_verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold
     names = [f"v{k}" for k in range(len(rules))]
     m = m.select("*", *votes)
     patterns = [(tuple(r[k] for k in names), r["count"]) for r in m.groupBy(*names).count().collect()]
-    prior, rates = label_model(sorted(patterns))
-    odds = F.lit(math.log(prior) - math.log1p(-prior))
-    for k, name in enumerate(names):
-        gain = {v: math.log(a) - math.log(b) for v, (a, b) in rates[k].items()} if rates else {}
-        odds = odds + F.when(F.col(name) == 1, gain.get(1, 0.0)).when(F.col(name) == -1, gain.get(-1, 0.0)).otherwise(gain.get(0, 0.0))
+    model = label_model(sorted(patterns))
+    logs = []
+    for share, rates in zip(model.shares, model.rates):
+        log = F.lit(math.log(share))
+        for name, rate in zip(names, rates):
+            log = log + F.when(F.col(name) == 1, math.log(rate[1])).when(F.col(name) == -1, math.log(rate[-1])).otherwise(0.0)
+        logs.append(log)
+    m = m.withColumns({f"log{c}": log for c, log in enumerate(logs)})
+    bad = sum((F.exp(F.least(F.col(f"log{c}") - F.col("log0"), F.lit(500.0))) for c in range(1, len(logs))), F.lit(0.0))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    quality = 1 / (1 + F.exp(-odds))
+    quality = 1 / (1 + bad)
     return m.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         (~failed & (quality >= threshold)).alias("kept"), quality.alias("quality"),

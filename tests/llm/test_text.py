@@ -138,16 +138,24 @@ def test_quality_counts(spark):
     assert quality.quality_verdicts(docs(spark, [])).count() == 0
 
 
-def test_label_model_finds_planted_accuracies():
+def test_label_model_finds_planted_rates():
+    """80 % good texts with few votes to drop, and three ways of being bad: one seen by one rule, one by another, one by two."""
     rng, votes = random.Random(8), Counter()
-    right = [0.95, 0.8, 0.7, 0.9]
-    for _ in range(20000):
-        y = 1 if rng.random() < 0.7 else -1
-        votes[tuple(0 if rng.random() < 0.3 else y if rng.random() < a else -y for a in right)] += 1
-    prior, rates = quality.label_model(sorted(votes.items()))
-    assert abs(prior - 0.7) < 0.03
-    for a, r in zip(right, rates):
-        assert abs(r[1][0] / (r[1][0] + r[-1][0]) - a) < 0.04
+    seen = {0: (0.01, 0.03, 0.02, 0.02), 1: (0.9, 0.03, 0.02, 0.02), 2: (0.01, 0.8, 0.02, 0.02), 3: (0.01, 0.03, 0.9, 0.85)}
+    for _ in range(30000):
+        c = rng.choices([0, 1, 2, 3], [0.8, 0.08, 0.07, 0.05])[0]
+        votes[tuple(0 if rng.random() < 0.1 else -1 if rng.random() < p else 1 for p in seen[c])] += 1
+    model = quality.label_model(sorted(votes.items()))
+    assert abs(model.shares[0] - 0.8) < 0.06
+    for k, p in enumerate(seen[0]):
+        r = model.rates[0][k]
+        assert abs(r[-1] / (r[-1] + r[1]) - p) < 0.03
+    good = lambda *v: model.posterior(v)[0]
+    assert good(1, 1, 1, 1) > 0.95 and good(-1, 1, 1, 1) < 0.5 and good(1, 1, -1, -1) < 0.05
+
+
+def test_label_model_without_documents():
+    assert quality.label_model([]).shares == [0.9]
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p><article>no";</script></head><body><header class=top>Site</header><nav><a href=/>Home</a></nav>
