@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .storage import written
+
 # Kinds in their order, and the patterns whose matches always stand. Quantifiers are possessive where what
 # follows can't match what they took, so that long runs cost no more than their length.
 KINDS = ("email", "ip", "card", "phone")
@@ -351,7 +353,7 @@ def training_texts(docs: DataFrame, sample: int = 200) -> list[tuple[str, list[t
                         rows.append((near, kind, a - lo - cut, b - lo - cut))
             yield pa.RecordBatch.from_pylist([dict(zip(("text", "kind", "a", "b"), r)) for r in rows], schema=pa.schema([("text", pa.string()), ("kind", pa.int32()), ("a", pa.int32()), ("b", pa.int32())]))
 
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "text string, kind int, a int, b int")
+    found = written(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "text string, kind int, a int, b int"))
     kept = [found.where(F.col("kind") == k).orderBy(F.xxhash64("text"), "text").limit(sample // len(KINDS)) for k in range(len(KINDS))]
     rows = kept[0].unionByName(kept[1]).unionByName(kept[2]).unionByName(kept[3]).collect()
     return [(r["text"], [(r["kind"], r["a"], r["b"])]) for r in rows]
