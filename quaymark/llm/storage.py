@@ -28,10 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, few: bool = False) -> DataFrame:
     """Write a frame to the shared folder and read it again: lineage ends here and the files outlive executors.
 
-    `few` is for what remains of much larger data: it is dealt anew so that files have the session's advisory size.
+    `few` is for what remains of much larger data: it is dealt anew, one file for each core of the cluster.
     """
-    df = df.hint("rebalance") if few else df
     spark = df.sparkSession
+    df = df.repartition(spark.sparkContext.defaultParallelism) if few else df
     path = f"{shared_dir(spark)}/quaymark-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
