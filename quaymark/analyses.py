@@ -443,3 +443,25 @@ def m03_repeat_share_against_cohorts(spark, sf_dir):
 def m01_naive_and_published_cac(spark, sf_dir):
     d = warehouse(spark, sf_dir).mart_daily_trading.where("date_day >= date '2001-07-09'")
     return d.groupBy("date_day").agg(fixed(ratio(F.sum("ad_spend"), F.sum("new_customers"))).alias("naive_cac"), F.max("blended_cac").cast("double").alias("published_cac"), F.bool_and("ad_spend_is_complete").alias("complete"))
+
+
+@query(_signal_sql("cpc_decomposition", "channel", "channel", LAST, "least(abs(change) / 100, 1)", "case when change > 0 then 'degrading' else 'improving' end", "COMMERCIAL", "B", f"""(
+    with s as (select channel, sum(ad_spend) filter (date_day > {LAST} - 28)::double as a, sum(ad_spend) filter (date_day <= {LAST} - 28)::double as b, sum(clicks) filter (date_day > {LAST} - 28)::double as c,
+                      sum(clicks) filter (date_day <= {LAST} - 28)::double as d from mart_daily_trading where ad_spend is not null and date_day > {LAST} - 56 group by 1)
+    select channel, 100 * ((a / nullif(c, 0)) / nullif(b / nullif(d, 0), 0) - 1) as change from s) where abs(change) >= 0.01"""))
+def j07_cpc_decomposition(spark, sf_dir):
+    return _signals(S.cpc_decomposition(warehouse(spark, sf_dir), S.Thresholds(cpc_pct=0.01)))
+
+
+@query("""
+    with v as (select arg_max(v, cohort_month) as ltv from (select cohort_month, sum(ltv_margin * cohort_size) / sum(cohort_size) as v from mart_ltv where horizon_days = 60 and has_full_exposure group by 1)),
+    e as (select 'blended' as entity, date_day, sum(ad_spend) as s, sum(new_customers) as n from mart_daily_trading group by date_day having bool_or(ad_spend_is_complete)
+          union all select channel, date_day, ad_spend, new_customers from mart_daily_trading where channel in ('google', 'meta')),
+    r as (select *, row_number() over (partition by entity order by date_day desc) as k from e where s is not null and n > 0),
+    g as (select entity, count(*) as days, max(date_day) - min(date_day) as span, sum(s)::double / sum(n) as cac, min(s::double / n) as low from r where k <= 2 group by 1)
+    select entity as entity_id, case when entity = 'blended' then 'account' else 'channel' end as entity_type, case when entity = 'blended' then 'B' else 'C' end as attribution_tier,
+           round(least(0.5 + ((cac / ltv) / 0.00001 - 1) / 2, 1) * 1000000, 0) / 1000000 as severity
+    from g, v where days = 2 and span = 1 and ltv > 0 and low / ltv > 0.00001""")
+def j05_cac_ltv_breach(spark, sf_dir):
+    s = S.cac_ltv_breach(warehouse(spark, sf_dir), S.Thresholds(breach_days=2, breach_customers=1, breach_ratio=0.00001))
+    return s.select("entity_id", "entity_type", "attribution_tier", fixed("severity").alias("severity"))
