@@ -31,7 +31,6 @@ CUES = {
     "email": {"email", "e-mail", "mail", "contact", "write"}, "ip": {"ip", "host", "server", "address", "from"},
     "card": {"card", "visa", "mastercard", "credit", "account"}, "phone": {"tel", "phone", "call", "mobile", "fax", "cell"},
 }
-SMALL = str.maketrans("", "", "0123456789")
 
 
 def luhn(digits: str) -> bool:
