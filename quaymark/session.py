@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 def settled(df: DataFrame) -> DataFrame:
     """df computed once and kept in the folder that the cluster names in spark.checkpoint.dir (a temporary one if unset)."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="quaymark-"))
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quaymark-"))
     return df.checkpoint()
