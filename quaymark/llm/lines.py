@@ -7,10 +7,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .components import bucket_links
 from .storage import spread_join, written
 
-#: Starts of shingles: the first character of each word, and in lines with a stretch of over 24 characters without a space
-#: every character that follows 24 such ones too.
-AT_WORDS = r"(?s)(?<!\S)(?=(\S.{0,11}))"
-AT_ALL = r"(?s)(?:(?<!\S)|(?<=\S{24}))(?=(\S.{0,11}))"
+#: Shingles: the 12 characters from every place where so many follow; a shorter line is its own only one.
+AT_ALL = r"(?s)(?=(.{12}|\A.{1,11}(?!.)))."
+#: Stretches of 27 characters, 16 apart, that together hold every shingle once: a shingle is cut from a stretch, not from the line,
+#: so that long lines cost no more a character than short ones.
+STRETCHES = r"(?s)(?=(.{12,27}|\A.{1,11}(?!.))).{1,16}"
 MINIMA = 16
 #: The permutations of a hash are its exclusive ors with multiples of this 64-bit mixing constant.
 MIX = 0x9E3779B97F4A7C15
@@ -23,9 +24,15 @@ def _long(x: int) -> int:
 
 
 def shingles(line: str) -> Column:
-    """12-character shingles of a line, shorter at its end."""
-    found = [F.regexp_extract_all(F.col(line), F.lit(p), F.lit(1)) for p in (AT_ALL, AT_WORDS)]
-    return F.when(F.col(line).rlike(r"\S{25}"), found[0]).otherwise(found[1])
+    """All 12-character shingles of a line, or the line if it is shorter."""
+    return F.regexp_extract_all(F.col(line), F.lit(AT_ALL), F.lit(1))
+
+
+def shingle_hashes(lines: DataFrame, own: list[str]) -> DataFrame:
+    """(own columns, h): a row with the hash of each shingle of lines(own columns, line)."""
+    cut = lines.select(*own, F.explode(F.regexp_extract_all(F.col("line"), F.lit(STRETCHES), F.lit(1))).alias("part"))
+    placed = cut.select(*own, "part", F.explode(F.sequence(F.lit(1), F.greatest(F.length("part") - 11, F.lit(1)))).alias("i"))
+    return placed.select(*own, F.xxhash64(F.substring("part", F.col("i"), F.lit(12))).alias("h"))
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
@@ -48,7 +55,7 @@ def line_groups(docs: DataFrame, threshold: float, bands: int, rows: int, rounds
     """
     first = split_lines(docs).groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("at"), F.count("*").alias("n"), F.first("line").alias("line"))
     own = ["h1", "h2", "doc", "pos", "n"]
-    hashed = first.select("h1", "h2", F.col("at.doc").alias("doc"), F.col("at.pos").alias("pos"), "n", F.explode(shingles("line")).alias("s")).select(*own, F.xxhash64("s").alias("h"))
+    hashed = shingle_hashes(first.select("h1", "h2", F.col("at.doc").alias("doc"), F.col("at.pos").alias("pos"), "n", "line"), own)
     minima = [F.min(F.col("h").bitwiseXOR(F.lit(_long(MIX * (2 * i + 1))))).alias(f"m{i}") for i in range(MINIMA)]
     signed = hashed.groupBy(*own).agg(*minima)
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{(b * 7 + r * 6) % MINIMA}") for r in range(rows)]) for b in range(bands)])
@@ -56,14 +63,15 @@ def line_groups(docs: DataFrame, threshold: float, bands: int, rows: int, rounds
     bands_of = lines.select("id", F.explode("keys").alias("key"))
     busy = bands_of.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     found = written(bands_of.join(busy, "key"), few=True)
-    # The texts of candidates are read again at their first place, and their shingle sets kept as 64-bit hashes.
+    # The texts of candidates are read again at their first place, with the sizes of their shingle sets; the sets themselves
+    # take eight times the room and are made again where two lines meet.
     wanted = written(found.select("id").distinct().join(lines.select("id", "doc", "pos", "h1", "h2"), "id"), few=True)
     texts = spread_join(split_lines(docs).select("doc", "pos", "h1", "h2", "line"), wanted, ["doc", "pos", "h1", "h2"]).groupBy("id").agg(F.first("line").alias("line"))
-    sets = written(texts.select("id", F.array_distinct(F.transform(shingles("line"), lambda s: F.xxhash64(s))).alias("s")), few=True)
+    texts = written(texts.select("id", "line", F.size(F.array_distinct(shingles("line"))).alias("n")), few=True)
 
     # A bitmap of each set, one bit a shingle: bits that only one line has are shingles that only it has, so they bound what
     # two lines can have in common, and pairs beyond the bound are never made.
-    bit = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("h"))
+    bit = shingle_hashes(texts, ["id", "n"])
     word = F.expr("cast(shiftrightunsigned(h, 6) & 15 as int)")
     maps = bit.groupBy("id", "n").agg(*[F.coalesce(F.bit_or(F.when(word == k, F.expr("shiftleft(1L, cast(h & 63 as int))"))), F.lit(0).cast("long")).alias(f"w{k}") for k in range(16)])
     carry = ["n", *[f"w{k}" for k in range(16)]]
@@ -73,10 +81,11 @@ def line_groups(docs: DataFrame, threshold: float, bands: int, rows: int, rounds
     maybe = shared >= threshold * (F.col("n_a") + F.col("n_b") - shared)
 
     def similar(pairs: DataFrame) -> DataFrame:
-        a, b = (sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
-        both = F.size(F.array_intersect("sa", "sb"))
-        met = pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
-        return met.where(F.col("both") >= threshold * (F.col("sum") - F.col("both"))).select("a", "b")
+        a, b = (texts.select(F.col("id").alias(x), F.col("line").alias(f"l{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+        both = F.size(F.array_intersect(shingles("la"), shingles("lb")))
+        # As an array of one, so that a pair's sets are made once for both sides of the comparison.
+        near = F.exists(F.array(both), lambda x: x >= threshold * (F.col("na") + F.col("nb") - x))
+        return pairs.join(a, "a").join(b, "b").where(near).select("a", "b")
 
     return lines, bucket_links(members, ["key"], similar, rounds, carry=carry, maybe=maybe)
 
@@ -86,8 +95,8 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, bands: int = 8, rows: i
 
     Lines of similarity `threshold` or more (exact Jaccard of their shingle sets) are linked; of every connected group of
     equal or linked lines, over the whole corpus, only the first stays: smallest document id, then smallest line
-    number. Lines of white space separate others and stay. Shingles of 12 characters start at words (and everywhere in
-    stretches without spaces), so that a line of a few words is near another only if it has nearly the same ones.
+    number. Lines of white space separate others and stay. Shingles of 12 characters start at every character, so that
+    each character of a line counts, in URLs, paths and texts without spaces too.
 
     A null text stays null and has no lines. Documents with a null id pass through untouched and take no part. Rows that
     repeat an id and text both keep what the first may keep; with other texts they are told apart by the lines' hashes.

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from conftest import SMALL
 from quaymark.llm.components import components
 from quaymark.llm.exact import exact_dedup
-from quaymark.llm.lines import AT_ALL, BLANK, dedup_lines
+from quaymark.llm.lines import AT_ALL, BLANK, dedup_lines, shingle_hashes
 from quaymark.llm.mixing import mix, mix_documents, water_fill
 from quaymark.llm.simhash import covering_masks, fingerprint, simhash_groups
 from quaymark.llm.storage import table
@@ -136,6 +136,32 @@ def test_line_dedup_against_all_pairs(spark):
     assert dedup_lines(docs(spark, [])).count() == 0
 
 
+def windows(line):
+    return {line[i:i + 12] for i in range(max(1, len(line) - 11))}
+
+
+def test_every_character_of_a_line_counts(spark):
+    """Against all pairs of whole sets: lines alike at the starts of words only stay, those nearly the same throughout go."""
+    lines = ["/usr/local/bin/python", "/usr/local/bin/perl", "2024-01-02T10:00:00Z", "2024-01-02T19:30:41Z", "これは長い日本語の文で終わりは違う", "これは長い日本語の文で終りが別です"]
+    lines += ["internationalisation characteristically", "internationalizers characteristics", "short", "short!", "x" * 30 + "🤗" * 20, "x" * 30 + "🤗" * 12 + "y" * 8]
+    lines += [f"https://example.com/archive/{n}/index" for n in (1234567, 7654321)] + ["ab" * 5000 + "c", "ab" * 5000 + "d" * 40]
+    base = " ".join(f"word{i}" for i in range(40))
+    lines += [base, base[:-1] + "!", "https://example.com/" + "a" * 12 + "".join(map(str, range(80))), "https://example.com/" + "a" * 12 + "".join(map(str, range(79))) + "7x"]
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(docs(spark, [(i, x, "s") for i, x in enumerate(lines)])).collect()}
+    like = lambda a, b: len(windows(a) & windows(b)) >= 0.8 * len(windows(a) | windows(b))
+    root = roots(range(len(lines)), [(i, j) for i, j in itertools.combinations(range(len(lines)), 2) if like(lines[i], lines[j])])
+    assert got == {i: x if root[i] == i else "" for i, x in enumerate(lines)}
+    assert got[1] and got[3] and got[5] and got[7] and "" in got.values()
+
+
+def test_shingle_hashes_are_those_of_all_windows(spark):
+    lines = ["a", "é" * 11, "é" * 12, "🤗b" * 6, "🤗" * 13] + ["".join(chr(97 + i % 23) for i in range(n)) for n in (26, 27, 28, 29, 43, 44, 200)]
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    got = {r["id"]: sorted(r["h"]) for r in shingle_hashes(df, ["id"]).groupBy("id").agg(F.collect_list("h").alias("h")).collect()}
+    want = spark.createDataFrame([(i, x[k:k + 12]) for i, x in enumerate(lines) for k in range(max(1, len(x) - 11))], "id long, s string")
+    assert got == {r["id"]: sorted(r["h"]) for r in want.groupBy("id").agg(F.collect_list(F.xxhash64("s")).alias("h")).collect()}
+
+
 def test_a_null_id_passes_the_line_dedup(spark):
     out = dedup_lines(docs(spark, [(None, "same line here\nsame line here", "s"), (1, "same line here", "s")])).collect()
     assert sorted(r["text"] for r in out) == ["same line here", "same line here\nsame line here"]
