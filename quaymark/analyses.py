@@ -110,6 +110,14 @@ def i08_elasticity(spark, sf_dir):
     return I.elasticity(warehouse(spark, sf_dir).mart_product_daily, ["sku"], "units", "net_revenue").select("sku", "n", fixed("beta").alias("beta"), fixed("se").alias("se"))
 
 
+@query(f"""
+    with l as (select variant_id, ln(units) as lx, ln(cast(net_revenue as double)) as ly from mart_variant_daily where units > 0 and net_revenue > 0),
+    g as (select variant_id, count(*) as n, regr_slope(ly, lx) as b, regr_sxx(ly, lx) as sxx, regr_syy(ly, lx) as syy, regr_sxy(ly, lx) as sxy from l group by 1)
+    select variant_id, n, {_r('case when n >= 20 and sxx > 0 and b > 0 then b else 0.35::double end')} as beta, {_r('case when n >= 20 and sxx > 0 then greatest(sqrt(greatest(syy - b * sxy, 0) / (n - 2) / sxx), 0.05::double) else 0.2::double end')} as se from g""")
+def i08_variant_elasticity(spark, sf_dir):
+    return I.elasticity(warehouse(spark, sf_dir).mart_variant_daily, ["variant_id"], "units", "net_revenue").select("variant_id", "n", fixed("beta").alias("beta"), fixed("se").alias("se"))
+
+
 @query(f"""
     select cast(date_trunc('month', date_day) as date) as month_start, cast(sum(net_revenue) as double) as net_revenue, cast(sum(contribution_margin) as double) as contribution_margin,
            {_r('sum(contribution_margin)::double / nullif(sum(net_revenue)::double, 0)')} as margin_pct, sum(orders)::bigint as orders, {_r('sum(net_revenue)::double / nullif(sum(orders), 0)', 4)} as aov,
@@ -220,6 +228,11 @@ def j14_data_completeness(spark, sf_dir):
 
 @query(_signal_sql("inventory_cover", "variant", "sku", LAST, "case when days_of_cover < 14 then 1 else 0.55::double end", "'degrading'", "COMMERCIAL", "A", f"mart_product_daily where date_day = {LAST} and days_of_cover < 400"))
 def j10_inventory_cover(spark, sf_dir):
+    return _signals(S.inventory_cover(warehouse(spark, sf_dir), S.Thresholds(cover_warning=400.0), key="sku"))
+
+
+@query(_signal_sql("inventory_cover", "variant", "cast(variant_id as varchar)", LAST, "case when days_of_cover < 14 then 1 else 0.55::double end", "'degrading'", "COMMERCIAL", "A", f"mart_variant_daily where date_day = {LAST} and days_of_cover < 400"))
+def j10_variant_cover(spark, sf_dir):
     return _signals(S.inventory_cover(warehouse(spark, sf_dir), S.Thresholds(cover_warning=400.0)))
 
 
@@ -229,6 +242,15 @@ def j10_inventory_cover(spark, sf_dir):
     c as (select sku, max(share) filter (date_day = z) as point, sum(units) filter (date_day > z - 28) as u from s group by 1)
     select sku, case when mad > 0 then 0.6745::double * (point - med) / mad when sd > 0 then (point - med) / sd else 0 end as z from h join m using (sku) join c using (sku) where n >= 14 and u >= 20) where abs(z) >= 1"""))
 def j09_product_velocity(spark, sf_dir):
+    return _signals(S.product_velocity(warehouse(spark, sf_dir), S.Thresholds(velocity_z=1.0), key="sku"))
+
+
+@query(_signal_sql("product_velocity", "variant", "cast(variant_id as varchar)", LAST, "least(abs(z), 6) / 6", "case when z > 0 then 'improving' else 'degrading' end", "COMMERCIAL", "A", f"""(
+    with s as (select variant_id, date_day, units, velocity_7d / nullif(sum(velocity_7d) over (partition by date_day), 0) as share, {LAST} as z from mart_variant_daily where date_day >= (select min(date_day) from dim_date) + 28),
+    h as (select variant_id, median(share) as med, stddev_pop(share) as sd, count(share) as n from s where date_day < z group by 1), m as (select variant_id, median(abs(share - med)) as mad from s join h using (variant_id) where date_day < z group by 1),
+    c as (select variant_id, max(share) filter (date_day = z) as point, sum(units) filter (date_day > z - 28) as u from s group by 1)
+    select variant_id, case when mad > 0 then 0.6745::double * (point - med) / mad when sd > 0 then (point - med) / sd else 0 end as z from h join m using (variant_id) join c using (variant_id) where n >= 14 and u >= 20) where abs(z) >= 1"""))
+def j09_variant_velocity(spark, sf_dir):
     return _signals(S.product_velocity(warehouse(spark, sf_dir), S.Thresholds(velocity_z=1.0)))
 
 

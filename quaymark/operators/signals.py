@@ -88,25 +88,29 @@ def data_completeness(w: Warehouse, t: Thresholds = Thresholds()) -> DataFrame:
     return signal(runs, w, "data_completeness", "source", F.col("source_name"), F.least(F.col("consecutive_days") / 3.0, F.lit(1.0)), "degrading", "A", ["first", "last", "consecutive_days"], fired=F.col("last"), classification="DATA_QUALITY", window=window)
 
 
-def product_velocity(w: Warehouse, t: Thresholds = Thresholds()) -> DataFrame:
-    """Products whose share of the catalogue's velocity leaves its own history by a robust z-score."""
-    days = w.mart_product_daily.crossJoin(F.broadcast(w.dim_date.agg(F.min("date_day").alias("first_day"), F.max("date_day").alias("last_day"))))
+def _product_mart(w: Warehouse, key: str) -> DataFrame:
+    return w.mart_variant_daily if key == "variant_id" else w.mart_product_daily
+
+
+def product_velocity(w: Warehouse, t: Thresholds = Thresholds(), key: str = "variant_id") -> DataFrame:
+    """Variants (or brands, with key "sku") whose share of the catalogue's velocity leaves its own history by a robust z-score."""
+    days = _product_mart(w, key).crossJoin(F.broadcast(w.dim_date.agg(F.min("date_day").alias("first_day"), F.max("date_day").alias("last_day"))))
     days = days.where(F.col("date_day") >= F.date_add("first_day", t.warmup_days)).withColumn("share", ratio("velocity_7d", F.sum("velocity_7d").over(W.partitionBy("date_day"))))
     now, past = F.col("date_day") == F.col("last_day"), F.col("date_day") < F.col("last_day")
-    g = days.groupBy("sku").agg(
+    g = days.groupBy(key).agg(
         F.max(F.when(now, F.col("share"))).alias("catalogue_share"), F.percentile(F.when(past, F.col("share")), 0.5).alias("median_share"), F.count(F.when(past, F.col("share"))).alias("history"),
         F.stddev_pop(F.when(past, F.col("share"))).alias("sd"), F.sum(F.when(F.col("date_day") > F.date_sub("last_day", 28), F.col("units"))).alias("units_28d"))
-    mad = days.where(past).join(g.select("sku", "median_share"), "sku").groupBy("sku").agg(F.percentile(F.abs(F.col("share") - F.col("median_share")), 0.5).alias("mad"))
+    mad = days.where(past).join(g.select(key, "median_share"), key).groupBy(key).agg(F.percentile(F.abs(F.col("share") - F.col("median_share")), 0.5).alias("mad"))
     off = F.col("catalogue_share") - F.col("median_share")
     z = F.when(F.col("mad") > 0, 0.6745 * off / F.col("mad")).when(F.col("sd") > 0, off / F.col("sd")).otherwise(0.0)
-    hits = g.join(mad, "sku").where((F.col("history") >= t.history) & (F.col("units_28d") >= t.velocity_units)).withColumn("mad_z", z).where(F.abs("mad_z") >= t.velocity_z)
-    return signal(hits, w, "product_velocity", "variant", F.col("sku"), severity_from_z(F.col("mad_z")), F.when(F.col("mad_z") > 0, "improving").otherwise("degrading"), "A", ["catalogue_share", "median_share", "mad_z", "units_28d"])
+    hits = g.join(mad, key).where((F.col("history") >= t.history) & (F.col("units_28d") >= t.velocity_units)).withColumn("mad_z", z).where(F.abs("mad_z") >= t.velocity_z)
+    return signal(hits, w, "product_velocity", "variant", F.col(key).cast("string"), severity_from_z(F.col("mad_z")), F.when(F.col("mad_z") > 0, "improving").otherwise("degrading"), "A", ["catalogue_share", "median_share", "mad_z", "units_28d"])
 
 
-def inventory_cover(w: Warehouse, t: Thresholds = Thresholds(), latest: bool = True) -> DataFrame:
-    """Products about to sell out, on the last day only: stock has no history, so earlier cursors get no rows."""
-    now = w.mart_product_daily.join(F.broadcast(w.last_day), F.col("date_day") == F.col("last_day")).drop("last_day").where((F.col("days_of_cover") < t.cover_warning) & F.lit(latest))
-    return signal(now, w, "inventory_cover", "variant", F.col("sku"), F.when(F.col("days_of_cover") < t.cover_critical, 1.0).otherwise(0.55), "degrading", "A", ["days_of_cover", "inventory_quantity", "velocity_28d"])
+def inventory_cover(w: Warehouse, t: Thresholds = Thresholds(), latest: bool = True, key: str = "variant_id") -> DataFrame:
+    """Variants (or brands, with key "sku") about to sell out, on the last day only: stock has no history, so earlier cursors get no rows."""
+    now = _product_mart(w, key).join(F.broadcast(w.last_day), F.col("date_day") == F.col("last_day")).drop("last_day").where((F.col("days_of_cover") < t.cover_warning) & F.lit(latest))
+    return signal(now, w, "inventory_cover", "variant", F.col(key).cast("string"), F.when(F.col("days_of_cover") < t.cover_critical, 1.0).otherwise(0.55), "degrading", "A", ["days_of_cover", "inventory_quantity", "velocity_28d"])
 
 
 def cohort_retention_shift(w: Warehouse, t: Thresholds = Thresholds()) -> DataFrame:
@@ -236,6 +240,6 @@ def adjudicate(signals: DataFrame, alpha: float = 0.10, evidence_days: int = 28)
 
 
 def detect(w: Warehouse, t: Thresholds = Thresholds(), only: list[str] | None = None) -> DataFrame:
-    w.persist("mart_daily_trading", "mart_product_daily", "mart_data_quality", "mart_cohort_retention", "mart_ltv", "mart_email_flow_weekly", "last_day")
+    w.persist("mart_daily_trading", "mart_variant_daily", "mart_data_quality", "mart_cohort_retention", "mart_ltv", "mart_email_flow_weekly", "last_day")
     parts = [f(w, t) for name, f in DETECTORS.items() if only is None or name in only]
     return adjudicate(settled(reduce(DataFrame.unionByName, parts)), w.cfg.fdr_alpha, t.evidence_days)

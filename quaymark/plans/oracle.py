@@ -147,6 +147,13 @@ CTES: dict[str, str] = {
         v as (select *, cast(sum(units) over (partition by sku order by date_day rows 6 preceding) as double) / count(*) over (partition by sku order by date_day rows 6 preceding) as velocity_7d,
                      cast(sum(units) over (partition by sku order by date_day rows 27 preceding) as double) / count(*) over (partition by sku order by date_day rows 27 preceding) as velocity_28d from g)
         select *, velocity_7d / nullif(velocity_28d, 0) as velocity_ratio, inventory_quantity / nullif(velocity_28d, 0) as days_of_cover from v""",
+    "mart_variant_daily": """
+        with s as (select order_date as date_day, variant_id, sum(quantity) as units, sum(net_revenue) as net_revenue, sum(contribution_margin) as contribution_margin from fct_order_line where not is_cancelled group by 1, 2),
+        g as (select d.date_day, p.variant_id, p.product_title, p.sku, p.product_type, p.inventory_quantity, coalesce(s.units, 0) as units, coalesce(s.net_revenue, 0) as net_revenue, coalesce(s.contribution_margin, 0) as contribution_margin
+              from dim_date d cross join stg_products p left join s on s.date_day = d.date_day and s.variant_id = p.variant_id),
+        v as (select *, avg(cast(units as double)) over (partition by variant_id order by date_day rows between 6 preceding and current row) as velocity_7d,
+                     avg(cast(units as double)) over (partition by variant_id order by date_day rows between 27 preceding and current row) as velocity_28d from g)
+        select *, velocity_7d / nullif(velocity_28d, 0) as velocity_ratio, inventory_quantity / nullif(velocity_28d, 0) as days_of_cover from v""",
     "mart_cohort_retention": f"""
         with c as (select customer_id, first_order_date as f, first_order_month as m from dim_customer where first_order_date is not null), z as (select max(date_day) as z from dim_date),
         o as (select c.*, order_date as d from c join fct_order using (customer_id) where not is_cancelled),

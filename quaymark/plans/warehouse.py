@@ -238,14 +238,14 @@ class Warehouse:
             F.when(F.col("ad_spend_is_complete"), decimal(ratio("day_spend", "day_new"))).alias("blended_cac"), "is_peak_season", "iso_dow", "week_start",
         )
 
-    def _product_days(self, key: str) -> DataFrame:
+    def _product_days(self, key: str, *carried: str) -> DataFrame:
         """Days x products (or another product attribute), dense, with trailing means over 7 and 28 days."""
         sold = self.fct_order_line.where("not is_cancelled")
-        stock = self.dim_product.groupBy(key).agg(F.sum("inventory_quantity").alias("inventory_quantity"))
+        stock = self.dim_product.groupBy(key).agg(F.sum("inventory_quantity").alias("inventory_quantity"), *[F.first(c).alias(c) for c in carried])
         if key != "variant_id":
             sold = sold.join(self.dim_product.select("variant_id", key), "variant_id")
         sold = sold.groupBy(F.col("order_date").alias("date_day"), key).agg(F.sum("quantity").alias("units"), F.sum("net_revenue").alias("net_revenue"), F.sum("contribution_margin").alias("contribution_margin"))
-        dense = self.dim_date.select("date_day").crossJoin(stock).join(sold, ["date_day", key], "left").select("date_day", key, "inventory_quantity", *map(_zero, ("units", "net_revenue", "contribution_margin")))
+        dense = self.dim_date.select("date_day").crossJoin(stock).join(sold, ["date_day", key], "left").select("date_day", key, *carried, "inventory_quantity", *map(_zero, ("units", "net_revenue", "contribution_margin")))
         over = lambda days: W.partitionBy(key).orderBy("date_day").rowsBetween(1 - days, 0)
         mean = lambda days: F.sum("units").over(over(days)).cast("double") / F.count("*").over(over(days))
         d = dense.withColumns({"velocity_7d": mean(7), "velocity_28d": mean(28)})
@@ -253,9 +253,14 @@ class Warehouse:
 
     @cached_property
     def mart_product_daily(self) -> DataFrame:
-        """Per brand, which is the level of a product line here; `_product_days("variant_id")` is the same per variant."""
+        """The roll-up per brand, which stands in for a stock keeping unit here."""
         return self._product_days("sku")
 
+    @cached_property
+    def mart_variant_daily(self) -> DataFrame:
+        """Per variant, the reference's grain."""
+        return self._product_days("variant_id", "product_title", "sku", "product_type")
+
     @cached_property
     def _cohorts(self) -> DataFrame:
         return self.dim_customer.where("first_order_date is not null").select("customer_id", "first_order_date", F.col("first_order_month").alias("cohort_month"), "acquisition_channel")

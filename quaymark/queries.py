@@ -53,6 +53,7 @@ MODELS = {
     "h20_mart_data_quality": ("mart_data_quality", "source_name, date_day, observed, is_gap, row_count:l, expected_count:l, issue_type"),
     "h21_mart_daily_trading": ("mart_daily_trading", "date_day, channel, orders:l, new_customers:l, returning_customers:l, net_revenue:d, contribution_margin:d, aov:d, units:l, discounts:d, units_per_order:d, revenue_per_unit:d, discount_rate:d, ad_spend:d, clicks:l, impressions:l, spend_available_on, channel_cac:d, channel_roas:d, channel_margin_roas:d, ad_spend_is_complete, blended_cac:d, is_peak_season, iso_dow:l, week_start"),
     "h22_mart_product_daily": ("mart_product_daily", "date_day, sku, inventory_quantity:l, units:l, net_revenue:d, contribution_margin:d, velocity_7d:d, velocity_28d:d, velocity_ratio:d, days_of_cover:d"),
+    "h22_mart_variant_daily": ("mart_variant_daily", "date_day, variant_id, product_title, sku, product_type, inventory_quantity:l, units:l, net_revenue:d, contribution_margin:d, velocity_7d:d, velocity_28d:d, velocity_ratio:d, days_of_cover:d"),
     "h23_mart_cohort_retention": ("mart_cohort_retention", "cohort_month, months_since:l, cohort_size:l, repeat_customers:l, window_end, has_full_exposure, retention_rate:d, raw_retention_rate:d, repeat_within_90d:l, exposure_90d_end, has_full_90d_exposure, repeat_rate_90d:d"),
     "h24_mart_ltv": ("mart_ltv", "cohort_month, acquisition_channel, horizon_days:l, cohort_size:l, exposure_end, has_full_exposure, cum_net_revenue:d, cum_contribution_margin:d, ltv_revenue:d, ltv_margin:d"),
     "h25_mart_email_flow_weekly": ("mart_email_flow_weekly", "flow_name, week_start, recipients:l, unique_opens:l, unique_clicks:l, unique_unsubscribes:l, unique_orders:l, order_value:d, open_rate:d, click_rate:d, conversion_rate:d, unsubscribe_rate:d, revenue_per_recipient:d, open_rate_8w:d, click_rate_8w:d, conversion_rate_8w:d"),

@@ -3,8 +3,10 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from quaymark.operators import simulate as K, stats as I
+from conftest import SMALL
+from quaymark.operators import signals as S, simulate as K, stats as I
 from quaymark.operators.signals import adjudicate
+from quaymark.queries import warehouse
 
 
 def frame(spark, values, key="a"):
@@ -94,3 +96,11 @@ def test_an_outage_turns_overlapping_signals_into_data_quality(spark):
     got = {r["signal_id"]: r for r in adjudicate(spark.createDataFrame(rows, schema)).collect()}
     assert got["2"]["classification"] == "DATA_QUALITY" and got["2"]["confidence"] == 0.27 and not got["2"]["is_actionable"]
     assert got["3"]["classification"] == "COMMERCIAL" and not got["3"]["passed_fdr"] and got["1"]["passed_fdr"]
+
+
+def test_product_detectors_look_at_variants(spark):
+    """Every variant under the warning has its signal, also where its brand as a whole has stock."""
+    w, t = warehouse(spark, SMALL), S.Thresholds(cover_warning=400.0)
+    low = {str(r["variant_id"]) for r in w.mart_variant_daily.join(w.last_day, F.col("date_day") == F.col("last_day")).where("days_of_cover < 400").collect()}
+    assert low and {r["entity_id"] for r in S.inventory_cover(w, t).collect()} == low
+    assert w.mart_variant_daily.count() == w.dim_date.count() * w.dim_product.count()
