@@ -91,6 +91,17 @@ class Scanner:
             out.append((word, label))
         return out
 
+    def places(self, n: int, text: str, lo: int, hi: int) -> Iterator[regex.Match]:
+        """Disjoint matches of a notice in a stretch: the best one, then those left and right of it, and so on."""
+        notice, k, _ = self.notices[n]
+        todo = [(lo, hi)]
+        while todo:
+            lo, hi = todo.pop()
+            m = self.patterns[n].search(text, lo, hi) if hi - lo >= len(notice) - k else None
+            if m:
+                yield m
+                todo += [(lo, m.start()), (m.end(), hi)]
+
     def fuzzy(self, text: str) -> list[Find]:
         """The notices in a normalised text; of those that overlap, the one with the smallest share of errors."""
         windows: dict[int, list[list[int]]] = {}
@@ -108,7 +119,7 @@ class Scanner:
         for n, spans in windows.items():
             notice, _, label = self.notices[n]
             for lo, hi in spans:
-                for m in self.patterns[n].finditer(text, lo, hi):
+                for m in self.places(n, text, lo, hi):
                     start = m.start() + (m[0][:1] == " ")
                     out.append(Find(label, text.count(" ", 0, start), start, m.end(), sum(m.fuzzy_counts), len(notice)))
         best: list[Find] = []

@@ -120,6 +120,37 @@ def test_license_seeds_find_every_match_within_the_errors():
             assert any(f.length for f in found) and (s.patterns[n].search("".join(t)) is not None)
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_license_notices_side_by_side_are_all_found():
+    """Each of two edited copies, whichever is the better one, has a find with no more errors than a full comparison counts."""
+    rng, s = random.Random(9), licenses.Scanner()
+    for n, (notice, k, _) in enumerate(licenses.NOTICES):
+        for _ in range(12):
+            copies = []
+            for _ in range(2):
+                t = list(notice)
+                for at in rng.sample(range(2, len(t) - 2), rng.randrange(k + 1)):
+                    t[at] = rng.choice(["", "q", t[at] + "z"])
+                copies.append("".join(t))
+            text = "so " + " or ".join(copies) + " it is"
+            got, start = list(s.places(n, text, 0, len(text))), 3
+            assert len(got) == 2
+            for copy in copies:
+                assert any(m.start() < start + len(copy) and start < m.end() and sum(m.fuzzy_counts) <= distance(copy, notice) for m in got), text
+                assert any(f.start < start + len(copy) and start < f.end for f in s.fuzzy(text)), text
+                start += len(copy) + 4
+    two = s.fuzzy("licensd undr the gnu general public licence version 2 or licensed under the gnu general public license version 3")
+    assert [(f.label, f.errors) for f in two] == [("gpl-2.0", 3), ("gpl-3.0", 0)]
+
+
 def test_quality_counts(spark):
     d = table(spark, SMALL, "documents").select("doc_id", "text").unionByName(docs(spark, TEXTS).select("doc_id", "text"))
     word = re.compile(r"[^\x20\x09-\x0D]+")
