@@ -25,8 +25,17 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 TOKEN = re.compile(r"\S+")
 ANCHOR = re.compile(r"[0-9@]")
-#: Tokens an entity may have, and tokens of context on either side of one with a digit or an at sign.
-LONGEST, CONTEXT = 5, 2
+#: Addresses with their signs written out, in brackets or between spaces.
+_AT, _DOT = (rf"(?:\s*[\[({{<]\s*{w}\s*[\])}}>]\s*|\s+{w}\s+)" for w in ("at", "dot"))
+_HOST = r"[\w-]++(?:\.[\w-]++)*+"
+SPELLED = re.compile(rf"(?i)(?<![\w.+%-])[\w.+%-]++(?:{_DOT}[\w.+%-]++)*{_AT}{_HOST}(?:{_DOT}{_HOST})+")
+DOT = re.compile(rf"(?i){_DOT}")
+BRACKETED = re.compile(r"(?i)[\[({<]\s*(?:at|dot)\s*[\])}>]")
+#: Ends that tell an address from a phrase with the same words.
+TOPS = {"com", "org", "net", "edu", "gov", "mil", "info", "biz", "io", "dev", "app", "eu", "uk", "de", "fr", "it", "es", "nl", "se", "no", "ch", "at", "be", "pl", "ru", "in", "jp", "cn", "br", "au", "ca", "us", "nz", "ie", "test", "example"}
+#: Tokens an entity may have (two names, a host of four parts and five signs; or the groups of a number), and tokens of context on
+#: either side of an anchor: a token with a digit or an at sign, or one of a spelled address.
+LONGEST, CONTEXT = 11, 2
 CUES = {
     "email": {"email", "e-mail", "mail", "contact", "write"}, "ip": {"ip", "host", "server", "address", "from"},
     "card": {"card", "visa", "mastercard", "credit", "account"}, "phone": {"tel", "phone", "call", "mobile", "fax", "cell"},
@@ -86,14 +95,18 @@ class Window:
 
 
 def windows(text: str) -> Iterator[Window]:
-    """Stretches with every token that has a digit or an at sign, and CONTEXT tokens on either side."""
-    if not ANCHOR.search(text):
+    """Stretches with every token that has a digit or an at sign or is part of a spelled address, and CONTEXT tokens on either side."""
+    spelled = [m.span() for m in SPELLED.finditer(text)] if DOT.search(text) else []
+    if not spelled and not ANCHOR.search(text):
         return
+    at = 0
     run: list[tuple[int, int]] = []
     recent: list[tuple[int, int]] = []
     since, before = CONTEXT + 1, ""
     for m in TOKEN.finditer(text):
-        if ANCHOR.search(text, *m.span()):
+        while at < len(spelled) and spelled[at][1] <= m.start():
+            at += 1
+        if ANCHOR.search(text, *m.span()) or (at < len(spelled) and spelled[at][0] < m.end()):
             if since > CONTEXT:
                 before = text[slice(*recent[0])] if len(recent) > CONTEXT else ""
                 run = list(recent[-CONTEXT:])
@@ -124,7 +137,7 @@ def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
 
 DIGIT_STEPS = (0, 3, 6, 8, 12, 15, 16, 19)
 NAMES = (
-    "bias", "one", "two", "three", "many", *[f"digits<={n}" for n in DIGIT_STEPS], "digits>", "at", "address", "spelled", "plus",
+    "bias", "one", "two", "three", "many", *[f"digits<={n}" for n in DIGIT_STEPS], "digits>", "at", "address", "spelled", "bracketed", "top level", "plus",
     "brackets", "hyphens", "quad", "dotted", "luhn", "no letters", "letters", "phone signs", "card signs", "fours", "first bare",
     "last bare", "inner stop", "grouped", *[f"cue {k}" for k in KINDS],
 )
@@ -139,11 +152,12 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int, before: s
     parts = s.split(".")
     on = ["bias", ("one", "two", "three", "many")[min(j - i, 4) - 1]]
     on.append(next((f"digits<={n}" for n in DIGIT_STEPS if len(digits) <= n), "digits>"))
+    spelled = bool(SPELLED.fullmatch(s))
     bare = [not ANCHOR.search(text, *t) for t in (tokens[i], tokens[j - 1])]
     checks = {
         "at": "@" in s,
         "address": s.count("@") == 1 and bool(re.fullmatch(r"\S+@[\w-]+(\.[\w-]+)+", s)),
-        "spelled": bool(re.fullmatch(r"(?i)\S+\s*[\[(]?\s*at\s*[\])]?\s*\S+\s*[\[(]?\s*dot\s*[\])]?\s*\S+", s)) and j - i >= 3,
+        "spelled": spelled, "bracketed": spelled and bool(BRACKETED.search(s)), "top level": spelled and re.split(r"\W+", s)[-1].lower() in TOPS,
         "plus": s.startswith("+"), "brackets": "(" in s and ")" in s, "hyphens": bool(re.search(r"[0-9]-[0-9]", s)),
         "quad": len(parts) == 4 and all(p.isascii() and p.isdigit() and _octet(p) for p in parts),
         "dotted": 1 < len(parts) != 4 and all(p.isascii() and p.isdigit() for p in parts),
@@ -228,7 +242,15 @@ def _variants(text: str, spans: list[tuple[int, int, int]], rng: random.Random)
         elif kind == 0:
             user, _, host = s.partition("@")
             name, _, top = host.rpartition(".")
+            plain = re.sub(r"[0-9]+", "", user).strip("._%+-") or "someone"
+            apart, far = plain.replace(".", " dot "), name.replace(".", " dot ")
             forms = [f"{user} [at] {name} [dot] {top}", f"{user} at {name} dot {top}"]
+            # Every form without digits as well, and phrases with the same words that are none.
+            for g in (f"{plain} [at] {name} [dot] {top}", f"{plain}(at){name}(dot){top}", f"{plain} at {name} dot {top}", f"{apart} at {far} dot {top}", f"{apart} at mail dot {far} dot {top}"):
+                g = re.sub(r"[0-9]+", "", g)
+                out.append((text[:a] + g + text[b:], [(kind, a, a + len(g))]))
+            for g in ("looked at the dot on", "right at each dot above", "sits at a dot matrix"):
+                out.append((text[:a] + g + text[b:], []))
         else:
             forms = [s]
         f = rng.choice(forms)

@@ -77,6 +77,19 @@ def test_the_field_adds_spans_and_keeps_base_ones(spark):
     assert all(r["base_sha256"] == hashlib.sha256(b"").hexdigest() and r["spans"] == "" for r in got if r["doc_id"] != 9)
 
 
+def test_spelled_addresses_are_found_without_a_digit_near(spark):
+    field = pii.train(pii.training_texts(table(spark, SMALL, "documents")))
+    for said in ("john at example dot com", "john [at] example [dot] com", "john(at)example(dot)com", "anna dot smith at example dot com", "anna dot smith at mail dot example dot co dot uk"):
+        for text in (f"please write to {said} for a copy of it", f"room 12 on floor 3, or {said} by friday", said):
+            found = [(pii.KINDS[k], text[a:b]) for k, a, b in pii.find_spans(text, field)[1]]
+            assert ("email", said) in found, (text, found)
+    for text in ("they stared at the dot on the wall", "nobody at home, dot your letters", "print at a dot matrix speed"):
+        assert pii.find_spans(text, field) == ([], []), text
+    groups = "12 34 56 78 90 12 34"
+    w = next(pii.windows(f"so {groups} it is"))
+    assert any(w.text[w.tokens[j - size][0]:w.tokens[j - 1][1]] == groups for j in range(1, len(w.tokens) + 1) for size in range(1, min(j, pii.LONGEST) + 1))
+
+
 def test_segmentation_is_the_best_one(spark):
     """The dynamic programme agrees with trying every segmentation of a short window."""
     rng = np.random.default_rng(3)
