@@ -1,7 +1,8 @@
-"""Distributed union-find over an edge list."""
+"""Distributed union-find over an edge list, and links within buckets."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -11,6 +12,8 @@ from .storage import shared_dir, written
 
 #: Edges a task holds in the iteration: small graphs need few tasks, whatever the session's shuffle partitions.
 EDGES_PER_TASK = 100_000
+#: Members of a bucket that one task compares with the bucket's other side; larger buckets are dealt over several.
+SIDE = 512
 
 
 def _settled(edges: DataFrame, rows: int) -> DataFrame:
@@ -66,42 +69,57 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
-def bucket_links(members: DataFrame, keys: list[str], verify, rounds: int = 1, reps: int = 3, carry: list[str] = (), maybe=None) -> DataFrame | None:
+def bucket_links(
+    members: DataFrame, keys: list[str], verify: Callable[[DataFrame], DataFrame], rounds: int = 1, reps: int = 3, also: DataFrame | None = None,
+    sketch: Callable[[DataFrame], DataFrame] | None = None, carry: tuple[str, ...] = (), within: Column | None = None,
+) -> DataFrame:
     """(id, component) of the links that `verify` confirms among members(keys..., id) of one bucket; ids without a link are absent.
 
-    verify takes distinct pairs (a, b) and returns those that are links. All pairs of a bucket are never emitted:
-    first a bucket's members meet `reps` of them, chosen by hashes; in each further round, `reps` members of its largest
-    component, and only members of other components take part; a bucket that is one component is done. What is left after the rounds is finished exactly:
-    members outside the largest component meet all members of other components. A pair within a component would add
-    nothing to it, so no link between components is lost, and a big bucket of near copies costs a few stars.
-    Members may carry columns; `maybe` makes a condition of their names with _a and _b, one that every link meets, and
-    pairs that fail it are dropped inside the join that makes them.
+    verify takes distinct pairs (a, b) and returns those that are links. `also` are further pairs (a, b) to verify. All
+    pairs of a bucket are never emitted: first a bucket's members meet `reps` of them, chosen by hashes; in each further round,
+    `reps` members of its largest component, and only members of other components take part; a bucket that is one component, or
+    so small that all have met, is done. What is left after the rounds is finished exactly: members outside the largest component
+    meet all members of other components. A pair within a component would add nothing to it, so no link between
+    components is lost, and a big bucket of near copies costs a few stars. In this last step a bucket is dealt over as many
+    tasks as its size asks for: one side is spread over salts, the other sent to all of them.
+    `sketch` gives (id, carry...) for the ids(id) that are left then, and `within` tells a link by these names with _a and _b, or by
+    a and b, inside the join that makes the pairs, so that only links leave it.
     """
     of = lambda x: [F.col(c).alias(f"{c}_{x}") for c in carry]
-    fits = F.lit(True) if maybe is None else maybe
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     labels = None
     for step in range(rounds + 1):
         if labels is None:
             now = members.withColumn("c", F.lit(0).cast("long"))
         else:
-            now = members.join(labels, "id", "left").select(*keys, "id", *carry, F.coalesce("component", "id").alias("c"))
+            now = members.join(labels, "id", "left").select(*keys, "id", F.coalesce("component", "id").alias("c"))
         hashes = [F.xxhash64("id", F.lit(step * reps + r)) for r in range(reps)]
         sizes = now.groupBy(*keys, "c").agg(F.count("*").alias("n"), *[F.max(h).alias(f"top{r}") for r, h in enumerate(hashes)])
         main = (
-            sizes.groupBy(*keys).agg(F.count("*").alias("parts"), F.max(F.struct("n", "c", *[f"top{r}" for r in range(reps)])).alias("m"))
-            .where(F.lit(labels is None) | (F.col("parts") > 1)).select(*keys, F.col("m.c").alias("mc"), *[F.col(f"m.top{r}") for r in range(reps)])
+            sizes.groupBy(*keys).agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "c", *[f"top{r}" for r in range(reps)])).alias("m"))
+            .where(F.lit(labels is None) | ((F.col("parts") > 1) & (F.col("all") > reps + 1)))
+            .select(*keys, "all", F.col("m.c").alias("mc"), *[F.col(f"m.top{r}") for r in range(reps)])
         )
         live = now.join(main, keys)
         if step < rounds:
             chosen = reduce(Column.__or__, [h == F.col(f"top{r}") for r, h in enumerate(hashes)])
-            stars = live.where((F.col("c") == F.col("mc")) & chosen).select(*keys, F.col("id").alias("b"), *of("b"))
+            stars = live.where((F.col("c") == F.col("mc")) & chosen).select(*keys, F.col("id").alias("b"))
             others = live if labels is None else live.where("c <> mc")
-            pairs = others.select(*keys, F.col("id").alias("a"), *of("a")).join(stars, keys).where(F.expr("a <> b") & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            pairs = others.select(*keys, F.col("id").alias("a")).join(stars, keys).where("a <> b").select(*pair)
+            if labels is None and also is not None:
+                pairs = pairs.unionByName(also.select(*pair))
         else:
-            left = live.where("c <> mc").select(*keys, F.col("id").alias("a"), F.col("c").alias("ca"), *of("a"))
-            right = live.select(*keys, F.col("id").alias("b"), F.col("c").alias("cb"), "mc", *of("b"))
-            pairs = left.join(right, keys).where(F.expr("ca <> cb and (cb = mc or a < b)") & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = written(verify(pairs.select("a", "b").distinct()), few=True)
+            live = written(live.select(*keys, "id", "c", "mc", "all"))
+            if live.isEmpty():
+                break
+            if sketch is not None:
+                live = live.join(written(sketch(live.select("id").distinct())), "id")
+            salts = F.floor(F.col("all") / SIDE).cast("int") + 1
+            left = live.where("c <> mc").select(*keys, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("id").alias("a"), F.col("c").alias("ca"), *of("a"))
+            right = live.select(*keys, F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), F.col("id").alias("b"), F.col("c").alias("cb"), "mc", *of("b"))
+            pairs = left.join(right, [*keys, "salt"]).where(F.when(F.expr("ca <> cb and (cb = mc or a < b)"), F.lit(True) if within is None else within).otherwise(False)).select(*pair)
+        last = step == rounds and within is not None
+        found = written(pairs.distinct() if last else verify(pairs.distinct()))
         # Components so far are stars, so only what is new has to be worked in.
         edges = found if labels is None else found.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
         if labels is None or not found.isEmpty():

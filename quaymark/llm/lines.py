@@ -2,92 +2,112 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import bucket_links
-from .storage import spread_join, written
-
-#: Shingles: the 12 characters from every place where so many follow; a shorter line is its own only one.
-AT_ALL = r"(?s)(?=(.{12}|\A.{1,11}(?!.)))."
-#: Stretches of 27 characters, 16 apart, that together hold every shingle once: a shingle is cut from a stretch, not from the line,
-#: so that long lines cost no more a character than short ones.
-STRETCHES = r"(?s)(?=(.{12,27}|\A.{1,11}(?!.))).{1,16}"
-MINIMA = 16
-#: The permutations of a hash are its exclusive ors with multiples of this 64-bit mixing constant.
+from .storage import written
+
+#: Characters of a shingle; a shorter line is its own only one.
+WIDTH = 12
+#: Minima of a signature, and shingles whose hashes are made in one row.
+MINIMA, BLOCK = 8, 16
+#: The permutations of a 32-bit hash are its exclusive ors with multiples of this mixing constant.
 MIX = 0x9E3779B97F4A7C15
 BLANK = " \t\x0b\x0c\r"
 
 
-def _long(x: int) -> int:
-    x &= (1 << 64) - 1
-    return x - (1 << 64) if x >> 63 else x
-
+def _int(x: int) -> Column:
+    x = (x >> 24) & 0xFFFFFFFF
+    return F.lit(x - (1 << 32) if x >> 31 else x).cast("int")
 
-def shingles(line: str) -> Column:
-    """All 12-character shingles of a line, or the line if it is shorter."""
-    return F.regexp_extract_all(F.col(line), F.lit(AT_ALL), F.lit(1))
 
-
-def shingle_hashes(lines: DataFrame, own: list[str]) -> DataFrame:
-    """(own columns, h): a row with the hash of each shingle of lines(own columns, line)."""
-    cut = lines.select(*own, F.explode(F.regexp_extract_all(F.col("line"), F.lit(STRETCHES), F.lit(1))).alias("part"))
-    placed = cut.select(*own, "part", F.explode(F.sequence(F.lit(1), F.greatest(F.length("part") - 11, F.lit(1)))).alias("i"))
-    return placed.select(*own, F.xxhash64(F.substring("part", F.col("i"), F.lit(12))).alias("h"))
+def trimmed(line: Column) -> Column:
+    """A line without white space around it; only lines that have some are searched for its end."""
+    return F.when(reduce(Column.__or__, [f(line, F.lit(c)) for c in BLANK for f in (F.startswith, F.endswith)]), F.btrim(line, F.lit(BLANK))).otherwise(line)
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
     """(doc, pos, line, h1, h2) of the lines of docs(doc, text) with more than white space, trimmed; h1 and h2 are hashes."""
     return (
         docs.select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-        .select("doc", "pos", F.btrim("raw", F.lit(BLANK)).alias("line")).where("line <> ''")
-        .select("doc", "pos", "line", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
+        .select("doc", "pos", trimmed(F.col("raw")).alias("line")).where("line <> ''")
+        .select("doc", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(MINIMA), "line").alias("h2"))
     )
 
 
-def line_groups(docs: DataFrame, threshold: float, bands: int, rows: int, rounds: int) -> tuple[DataFrame, DataFrame | None]:
-    """(distinct lines: id, doc, pos, n, h1, h2; groups: id, component) of docs(doc, text).
+def signatures(lines: DataFrame) -> DataFrame:
+    """(h1, h2, n, m0...): for each distinct line how often it stands, and the minima of its shingles' permuted hashes.
 
-    Equal lines are combined first, with partial aggregation by a 96-bit hash, keeping the first place (smallest document,
-    then line): a line held by a third of all rows moves as one row per map task. The stage that has a distinct line
-    also takes MINIMA minima of its shingles' permuted hashes and keeps one key per band; texts move once.
-    Lines that share a band key are candidates. Bands share minima: 8 bands of 3 out of 16 find a pair of similarity 0.8 with
-    probability 0.988, one of 0.85 with 0.997, and one of 0.36 with 0.29.
+    A line is spread over rows of BLOCK places each; the hashes of the shingles at these places (characters as 16-bit units, so
+    that a place is found without counting) and their minima are made in that row. Minima are then combined in the
+    map task, so neither texts nor shingles are shuffled: of a line held by a third of all rows each task sends one row.
     """
-    first = split_lines(docs).groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("at"), F.count("*").alias("n"), F.first("line").alias("line"))
-    own = ["h1", "h2", "doc", "pos", "n"]
-    hashed = shingle_hashes(first.select("h1", "h2", F.col("at.doc").alias("doc"), F.col("at.pos").alias("pos"), "n", "line"), own)
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(_long(MIX * (2 * i + 1))))).alias(f"m{i}") for i in range(MINIMA)]
-    signed = hashed.groupBy(*own).agg(*minima)
-    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{(b * 7 + r * 6) % MINIMA}") for r in range(rows)]) for b in range(bands)])
-    lines = written(signed.select(F.monotonically_increasing_id().alias("id"), *own, keys.alias("keys")))
-    bands_of = lines.select("id", F.explode("keys").alias("key"))
-    busy = bands_of.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    found = written(bands_of.join(busy, "key"), few=True)
-    # The texts of candidates are read again at their first place, with the sizes of their shingle sets; the sets themselves
-    # take eight times the room and are made again where two lines meet.
-    wanted = written(found.select("id").distinct().join(lines.select("id", "doc", "pos", "h1", "h2"), "id"), few=True)
-    texts = spread_join(split_lines(docs).select("doc", "pos", "h1", "h2", "line"), wanted, ["doc", "pos", "h1", "h2"]).groupBy("id").agg(F.first("line").alias("line"))
-    texts = written(texts.select("id", "line", F.size(F.array_distinct(shingles("line"))).alias("n")), few=True)
-
-    # A bitmap of each set, one bit a shingle: bits that only one line has are shingles that only it has, so they bound what
-    # two lines can have in common, and pairs beyond the bound are never made.
-    bit = shingle_hashes(texts, ["id", "n"])
+    points = lines.select("h1", "h2", F.encode("line", "UTF-16BE").alias("u"))
+    placed = points.select("h1", "h2", "u", F.greatest(F.expr(f"length(u) div 2 - {WIDTH}"), F.lit(0)).cast("int").alias("last"))
+    blocks = placed.select("h1", "h2", "u", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(BLOCK))).alias("i"))
+    at = lambda j: F.substring("u", F.least(F.col("i") + j, F.col("last")) * 2 + 1, F.lit(2 * WIDTH))
+    hashed = blocks.select("h1", "h2", (F.col("i") == 0).cast("int").alias("one"), *[F.hash(at(j)).alias(f"s{j}") for j in range(BLOCK)])
+    low = lambda k: F.min(F.least(*[F.col(f"s{j}").bitwiseXOR(_int(MIX * (2 * k + 1))) for j in range(BLOCK)]))
+    return hashed.groupBy("h1", "h2").agg(F.sum("one").alias("n"), *[low(k).alias(f"m{k}") for k in range(MINIMA)])
+
+
+def band_keys(rows: int, bands: int) -> Column:
+    """Keys of the bands: band b takes the minima b, b + 1, b + 3, b + 6 ... (cyclic), so that two bands share few."""
+    steps = [k * (k + 1) // 2 for k in range(rows)]
+    return F.array(*[F.xxhash64(F.lit(b), *[f"m{(b + s) % MINIMA}" for s in steps]) for b in range(bands)])
+
+
+def windows(line: Column) -> Column:
+    """A 64-bit hash of every shingle of a line, by code points."""
+    size = 4 * WIDTH
+    cut = lambda u: F.transform(F.sequence(F.lit(1), F.greatest(F.length(u) - size, F.lit(0)) + 1, F.lit(4)), lambda i: F.xxhash64(F.substring(u, i, F.lit(size))))
+    return F.transform(F.array(F.encode(line, "UTF-32")), cut)[0]  # as an array of one, so that the line is encoded once
+
+
+def alike(threshold: float, a: str, b: str) -> Column:
+    """Whether two lines, l<a> and l<b>, with n<a> and n<b> different shingles, have the exact Jaccard similarity."""
+    both = F.size(F.array_intersect(windows(F.col(f"l{a}")), windows(F.col(f"l{b}"))))
+    exact = F.exists(F.array(both), lambda x: x >= threshold * (F.col(f"n{a}") + F.col(f"n{b}") - x))
+    return F.when(F.least(f"n{a}", f"n{b}") >= threshold * F.greatest(f"n{a}", f"n{b}"), exact).otherwise(False)
+
+
+def bitmap(texts: DataFrame) -> DataFrame:
+    """(id, l, n, w0..w15): with each line a map of its shingle set in 1,024 bits, one bit a shingle."""
+    bit = texts.select("id", "line", "n", F.explode(windows(F.col("line"))).alias("h"))
     word = F.expr("cast(shiftrightunsigned(h, 6) & 15 as int)")
-    maps = bit.groupBy("id", "n").agg(*[F.coalesce(F.bit_or(F.when(word == k, F.expr("shiftleft(1L, cast(h & 63 as int))"))), F.lit(0).cast("long")).alias(f"w{k}") for k in range(16)])
-    carry = ["n", *[f"w{k}" for k in range(16)]]
-    members = written(found.join(maps, "id"), few=True)
-    alone = lambda x, y: sum((F.bit_count(F.expr(f"w{k}_{x} & ~w{k}_{y}")) for k in range(1, 16)), F.bit_count(F.expr(f"w0_{x} & ~w0_{y}")))
-    shared = F.least(F.col("n_a") - alone("a", "b"), F.col("n_b") - alone("b", "a"))
-    maybe = shared >= threshold * (F.col("n_a") + F.col("n_b") - shared)
+    return bit.groupBy("id", F.col("line").alias("l"), "n").agg(*[F.coalesce(F.bit_or(F.when(word == k, F.expr("shiftleft(1L, cast(h & 63 as int))"))), F.lit(0).cast("long")).alias(f"w{k}") for k in range(16)])
+
+
+def line_groups(docs: DataFrame, threshold: float, bands: int, rows: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(places: id, doc, pos, h1 of the lines that may be dropped or make others drop; groups: id, component) of docs(doc, text).
+
+    Lines that share a band key are candidates. Bands share minima: 8 bands of 3 out of 8 minima find a pair of similarity 0.8 with
+    probability 0.97, one of 0.85 with 0.99, one of 0.9 with 0.998, and one of 0.36 with less than 0.3. A key of two lines is one pair; keys of more go
+    through stars. Only lines that stand more than once or are candidates are read again, with their texts where needed.
+    """
+    lines = written(signatures(split_lines(docs)).select(F.monotonically_increasing_id().alias("id"), "*"))
+    keyed = lines.select("id", F.explode(band_keys(rows, bands)).alias("key"))
+    meets = written(keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("a"), F.max("id").alias("b")).where("c > 1"))
+    two, crowds = meets.where("c = 2").select("a", "b"), meets.where("c > 2").select("key")
+    members = written(keyed.join(crowds, "key"))
+    near = two.select(F.explode(F.array("a", "b")).alias("id")).unionByName(members.select("id")).distinct().withColumn("near", F.lit(True))
+    wanted = written(lines.select("id", "h1", "h2", "n").join(near, "id", "left").where("n > 1 or near").select("id", "h1", "h2", F.coalesce("near", F.lit(False)).alias("near")))
+    places = written(split_lines(docs).join(wanted, ["h1", "h2"]).select("id", "doc", "pos", "h1", F.when(F.col("near"), F.col("line")).alias("line")))
+    texts = places.where("line is not null").groupBy("id").agg(F.first("line").alias("line"))
+    texts = written(texts.select("id", "line", F.size(F.array_distinct(windows(F.col("line")))).alias("n")))
 
     def similar(pairs: DataFrame) -> DataFrame:
         a, b = (texts.select(F.col("id").alias(x), F.col("line").alias(f"l{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-        both = F.size(F.array_intersect(shingles("la"), shingles("lb")))
-        # As an array of one, so that a pair's sets are made once for both sides of the comparison.
-        near = F.exists(F.array(both), lambda x: x >= threshold * (F.col("na") + F.col("nb") - x))
-        return pairs.join(a, "a").join(b, "b").where(near).select("a", "b")
+        return pairs.join(a, "a").join(b, "b").where(alike(threshold, "a", "b")).select("a", "b")
 
-    return lines, bucket_links(members, ["key"], similar, rounds, carry=carry, maybe=maybe)
+    # Bits of the map that only one line has are shingles that only it has, so they bound what two lines can have in common.
+    alone = lambda x, y: sum((F.bit_count(F.expr(f"w{k}_{x} & ~w{k}_{y}")) for k in range(1, 16)), F.bit_count(F.expr(f"w0_{x} & ~w0_{y}")))
+    shared = F.least(F.col("n_a") - alone("a", "b"), F.col("n_b") - alone("b", "a"))
+    within = F.when(shared >= threshold * (F.col("n_a") + F.col("n_b") - shared), alike(threshold, "_a", "_b")).otherwise(False)
+    sketch = lambda ids: bitmap(texts.join(ids, "id"))
+    return places, bucket_links(members, ["key"], similar, rounds, 2, two.distinct(), sketch, ("l", "n", *[f"w{k}" for k in range(16)]), within)
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8, bands: int = 8, rows: int = 3, rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,8 +115,8 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, bands: int = 8, rows: i
 
     Lines of similarity `threshold` or more (exact Jaccard of their shingle sets) are linked; of every connected group of
     equal or linked lines, over the whole corpus, only the first stays: smallest document id, then smallest line
-    number. Lines of white space separate others and stay. Shingles of 12 characters start at every character, so that
-    each character of a line counts, in URLs, paths and texts without spaces too.
+    number. Equal lines are told by 128 bits of hashes. Lines of white space separate others and stay. Shingles of 12
+    characters start at every character, so that each character of a line counts, in URLs, paths and texts without spaces too.
 
     A null text stays null and has no lines. Documents with a null id pass through untouched and take no part. Rows that
     repeat an id and text both keep what the first may keep; with other texts they are told apart by the lines' hashes.
@@ -105,20 +125,18 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, bands: int = 8, rows: i
     """
     text = F.col(text_col)
     own = docs.where(F.col(id_col).isNotNull() & text.isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text.cast("string").alias("text"))
-    lines, groups = line_groups(own, threshold, bands, rows, rounds)
+    places, groups = line_groups(own, threshold, bands, rows, rounds)
     at = F.struct("doc", "pos")
-    grouped = groups.join(lines, "id").select("component", "id", at.alias("at"))
-    best = grouped.groupBy("component").agg(F.min("at").alias("best"))
-    moved = grouped.join(best, "component").where("at <> best").select("id", "best")
-    # Of lines that occur once and lead their group nothing is dropped; the others' hashes say which place stays.
-    rules = lines.join(moved, "id", "left").where("n > 1 or best is not null").select("h1", "h2", F.coalesce("best", at).alias("best"))
-    rules = written(rules.select("h1", "h2", F.col("best.doc").alias("to_doc"), F.col("best.pos").alias("to_pos")), few=True)
-    dropped = spread_join(split_lines(own).select("doc", "pos", "h1", "h2"), rules, ["h1", "h2"]).where("doc <> to_doc or pos <> to_pos")
-    dropped = written(dropped.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("pos", "h1"))).alias("__gone")), few=True)
-    marked = spread_join(docs.withColumn("__doc", F.col(id_col).cast("long")), dropped.withColumnRenamed("doc", "__doc"), ["__doc"], "left").drop("__doc")
+    first = places.groupBy("id").agg(F.min(at).alias("at")).join(groups, "id", "left")
+    first = written(first)
+    best = written(first.where("component is not null").groupBy("component").agg(F.min("at").alias("best")))
+    rules = first.join(best, "component", "left").select("id", F.coalesce("best", "at").alias("stays"))
+    gone = places.join(rules, "id").where(at != F.col("stays"))
+    gone = written(gone.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("pos", "h1"))).alias("__gone")))
+    marked = docs.withColumn("__doc", F.col(id_col).cast("long")).join(gone.withColumnRenamed("doc", "__doc"), "__doc", "left").drop("__doc")
     all_lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    stays = lambda x, i: ~F.array_contains("__gone", F.struct(i.alias("pos"), F.xxhash64(F.btrim(x, F.lit(BLANK))).alias("h1")))
+    stays = lambda x, i: ~F.array_contains("__gone", F.struct(i.alias("pos"), F.xxhash64(trimmed(x)).alias("h1")))
     kept = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(F.filter(all_lines, stays), "\n"))
-    n_lines = F.when(text.isNull(), 0).otherwise(F.size(F.filter(all_lines, lambda x: F.btrim(x, F.lit(BLANK)) != "")))
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(F.filter(all_lines, lambda x: trimmed(x) != "")))
     out = marked.withColumn("n_lines", n_lines.cast("long")).withColumn("n_kept", (F.col("n_lines") - F.coalesce(F.size("__gone"), F.lit(0))).cast("long"))
     return out.withColumn(text_col, kept).drop("__gone")

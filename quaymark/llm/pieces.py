@@ -5,7 +5,9 @@ from __future__ import annotations
 import codecs
 import hashlib
 import re
+import sys
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +16,14 @@ from pyspark.sql import DataFrame, functions as F
 #: The model's sign for a space.
 SPACE = "▁"
 NONE = 32767  # a symbol that is no piece
-NEVER = np.int64(1) << 40
+NEVER = np.int32(1 << 30)
 FEW = SPACE * 33
 #: A word begins at a space that follows something else; no piece holds a space behind another character.
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-#: Characters of text whose words are merged together, and words remembered, by a worker.
-GATHER, REMEMBER = 1 << 21, 250_000
+#: Characters of text whose words are merged together, and bytes of words remembered, by a worker.
+GATHER, REMEMBER = 1 << 18, 24 << 20
+#: Bytes that a remembered word takes besides its characters and ids.
+ENTRY = 220
 
 
 def _each_byte(e: UnicodeError) -> tuple[str, int]:
@@ -39,16 +43,16 @@ class Codec:
         names = [model.id_to_piece(i) for i in range(n)]
         byte = [i for i in range(n) if model.is_byte(i)]
         plain = {names[i]: i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))}
-        self.byte_id = np.array(byte, np.int64)  # in the order of the bytes
-        self.char_id = np.full(0x110000, NONE, np.int64)
+        self.byte_id = np.array(byte, np.int32)  # in the order of the bytes
+        self.char_id = np.full(0x110000, NONE, np.int32)
         for p, i in plain.items():
             if len(p) == 1:
                 self.char_id[ord(p)] = i
         self.rank = np.full(NONE + 1, NEVER)
         self.rank[list(plain.values())] = [-int(model.get_score(i)) for i in plain.values()]
         pairs = {(plain[p[:k]] << 15) | plain[p[k:]]: i for p, i in plain.items() for k in range(1, len(p)) if p[:k] in plain and p[k:] in plain}
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.made = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        self.keys = np.array(sorted(pairs), np.int32)
+        self.made = np.array([pairs[k] for k in self.keys.tolist()], np.int32)
         self.bytes_of = [p.encode() for p in names]
         for i in range(n):
             if model.is_control(i):
@@ -58,6 +62,7 @@ class Codec:
         for b, i in enumerate(byte):
             self.bytes_of[i] = bytes([b])
         self.known: dict[str, bytes] = {}
+        self.room = REMEMBER
         # Words are cut and runs of spaces merged apart on the strength of these two properties.
         runs = {len(p): i for p, i in plain.items() if len(p) > 1 and not p.strip(SPACE)}
         assert all(SPACE not in p[1:] or len(p) in runs for p in plain)
@@ -80,12 +85,12 @@ class Codec:
         merges only its leftmost pair in this round: the order of merges is that of the one-at-a-time algorithm.
         """
         lengths = np.array([len(w) for w in words], np.int64)
-        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        sym, word, origin = self.char_id[points], np.repeat(np.arange(len(words)), lengths), np.arange(len(points))
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+        sym, word, origin = self.char_id[points], np.repeat(np.arange(len(words), dtype=np.int32), lengths), np.arange(len(points), dtype=np.int32)
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def paired(sym, word):
-            made = np.full(len(sym), NONE, np.int64)
+            made = np.full(len(sym), NONE, np.int32)
             if len(sym) > 1:
                 same = np.flatnonzero(word[:-1] == word[1:])
                 made[same] = self._join(sym[same], sym[same + 1])
@@ -119,7 +124,9 @@ class Codec:
                 s, w = new[keep], word[keep]
                 at = (np.cumsum(keep) - 1)[take]
                 m = made[keep]
-                touched = np.unique(np.r_[at, at[at > 0] - 1])
+                touch = np.zeros(len(s) + 1, bool)
+                touch[at] = touch[at - 1] = True  # the place before the first is the spare one at the end
+                touched = np.flatnonzero(touch[:-1])
                 last = np.r_[w[1:] != w[:-1], True][touched]
                 nxt = np.minimum(touched + 1, len(s) - 1)
                 m[touched] = np.where(last, NONE, self._join(s[touched], s[nxt]))
@@ -176,13 +183,16 @@ class Codec:
                 group.append(WORD.findall(SPACE + text) if text else [])
                 chars += len(text)
                 at += 1
-            if len(self.known) > REMEMBER:
+            if self.room < 0:
                 self.known.clear()
+                self.room = REMEMBER
             fresh = list({w for words in group for w in words if w not in self.known})
             spaced = [w for w in fresh if w.startswith(FEW) and 1 in self.runs]
             fresh = [w for w in fresh if not (w.startswith(FEW) and 1 in self.runs)]
-            self.known.update(zip(fresh, self.merge(fresh)))
-            self.known.update((w, self._after_run(w)) for w in spaced)
+            new = dict(zip(fresh, self.merge(fresh)))
+            new.update((w, self._after_run(w)) for w in spaced)
+            self.room -= sum(ENTRY + 4 * len(w) + len(ids) for w, ids in new.items())
+            self.known.update(new)
             for words in group:
                 ids = np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
                 yield np.r_[np.uint32(self.bos), ids, np.uint32(self.eos)].astype("<u4")
@@ -194,13 +204,13 @@ class Codec:
         return text[1:] if parts and parts[0].startswith(SPACE.encode()) else text
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def _codec(model_file: str) -> Codec:
-    if model_file not in _codecs:
-        _codecs[model_file] = Codec(model_file)
-    return _codecs[model_file]
+    """One codec a worker process. Functions travel by value, so the globals of this module are new in each task: what is to
+    outlive a task hangs on a module of the process itself."""
+    held = sys.modules.setdefault("_quaymark_codecs", ModuleType("_quaymark_codecs")).__dict__
+    if model_file not in held:
+        held[model_file] = Codec(model_file)
+    return held[model_file]
 
 
 def encode_table(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of a few integers or short strings that are sent to every executor at most; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Paths written since each open `scratch` began.
+_open: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,28 +17,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the cluster names in spark.checkpoint.dir, or the context's own checkpoint folder where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        context = spark.sparkContext
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="quaymark-"))
-        named = context.getCheckpointDir()
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(named)
     return named
 
 
-def written(df: DataFrame, few: bool = False) -> DataFrame:
-    """Write a frame to the shared folder and read it again: lineage ends here and the files outlive executors.
-
-    `few` is for what remains of much larger data: it is dealt anew, one file for each core of the cluster.
-    """
+def written(df: DataFrame) -> DataFrame:
+    """Write a frame to the shared folder and read it again: lineage ends here, the files outlive executors, and the planner knows
+    their size, by which it sends a side of a join whole or not."""
     spark = df.sparkSession
-    df = df.repartition(spark.sparkContext.defaultParallelism) if few else df
     path = f"{shared_dir(spark)}/quaymark-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join with a written right side, which is sent whole only when it has been counted and is small."""
-    return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediates written inside are deleted at the end; nothing lazy that reads them may be used after it."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

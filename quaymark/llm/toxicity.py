@@ -9,7 +9,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .storage import BROADCAST_ROWS
 
 LENGTHS = (3, 4, 5, 6)
 BITS = 18
@@ -99,8 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, features: int = 2048, sample: int =
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:
         return Model(np.zeros(1 << BITS), float(np.log((pos + 0.5) / (neg + 0.5))))
-    small = pos + neg <= BROADCAST_ROWS
-    rows = docs.where("text is not null").join(F.broadcast(known) if small else known, "doc_id").select("text", "label")
+    rows = docs.where("text is not null").join(known, "doc_id").select("text", "label")
     counts = _counts(rows).select(
         "bucket", "pos", "neg",
         F.log((F.col("pos") + 1) / (pos + 2)).alias("p"), F.log((F.col("neg") + 1) / (neg + 2)).alias("q"),

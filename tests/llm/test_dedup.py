@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from conftest import SMALL
 from quaymark.llm.components import components
 from quaymark.llm.exact import exact_dedup
-from quaymark.llm.lines import AT_ALL, BLANK, dedup_lines, shingle_hashes
+from quaymark.llm.lines import BLANK, MINIMA, MIX, _int, band_keys, dedup_lines, signatures
 from quaymark.llm.mixing import mix, mix_documents, water_fill
 from quaymark.llm.simhash import covering_masks, fingerprint, simhash_groups
 from quaymark.llm.storage import table
@@ -102,8 +102,8 @@ def test_simhash_groups(spark):
     assert simhash_groups(docs(spark, [])).count() == 0
 
 
-def shingle_set(line):
-    return set(re.findall(AT_ALL, line))
+def windows(line):
+    return {line[i:i + 12] for i in range(max(1, len(line) - 11))}
 
 
 def test_line_dedup_against_all_pairs(spark):
@@ -120,7 +120,7 @@ def test_line_dedup_against_all_pairs(spark):
         for pos, line in enumerate(t.split("\n")):
             if line.strip(strip):
                 first.setdefault(line.strip(strip), (i, pos))
-    sets = {x: shingle_set(x) for x in first}
+    sets = {x: windows(x) for x in first}
     near = [(first[a], first[b]) for a, b in itertools.combinations(first, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     root = roots(set(first.values()), near)
     lost = 0
@@ -136,10 +136,6 @@ def test_line_dedup_against_all_pairs(spark):
     assert dedup_lines(docs(spark, [])).count() == 0
 
 
-def windows(line):
-    return {line[i:i + 12] for i in range(max(1, len(line) - 11))}
-
-
 def test_every_character_of_a_line_counts(spark):
     """Against all pairs of whole sets: lines alike at the starts of words only stay, those nearly the same throughout go."""
     lines = ["/usr/local/bin/python", "/usr/local/bin/perl", "2024-01-02T10:00:00Z", "2024-01-02T19:30:41Z", "これは長い日本語の文で終わりは違う", "これは長い日本語の文で終りが別です"]
@@ -154,12 +150,24 @@ def test_every_character_of_a_line_counts(spark):
     assert got[1] and got[3] and got[5] and got[7] and "" in got.values()
 
 
-def test_shingle_hashes_are_those_of_all_windows(spark):
-    lines = ["a", "é" * 11, "é" * 12, "🤗b" * 6, "🤗" * 13] + ["".join(chr(97 + i % 23) for i in range(n)) for n in (26, 27, 28, 29, 43, 44, 200)]
-    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
-    got = {r["id"]: sorted(r["h"]) for r in shingle_hashes(df, ["id"]).groupBy("id").agg(F.collect_list("h").alias("h")).collect()}
-    want = spark.createDataFrame([(i, x[k:k + 12]) for i, x in enumerate(lines) for k in range(max(1, len(x) - 11))], "id long, s string")
-    assert got == {r["id"]: sorted(r["h"]) for r in want.groupBy("id").agg(F.collect_list(F.xxhash64("s")).alias("h")).collect()}
+def test_signatures_are_minima_over_all_windows(spark):
+    lines = ["a", "é" * 11, "é" * 12, "日本" * 9, "ab cd" * 40] + ["".join(chr(97 + i % 23) for i in range(n)) for n in (12, 13, 26, 27, 28, 29, 43, 44, 200)]
+    df = spark.createDataFrame([(i, i, x) for i, x in enumerate([*lines, *lines[:3]])], "h1 long, h2 long, line string").select(F.col("h1") % len(lines), "*")
+    df = df.select(df[0].alias("h1"), "h2", "line").withColumn("h2", F.lit(0).cast("long"))
+    got = {r["h1"]: tuple(r[f"m{k}"] for k in range(MINIMA)) + (r["n"],) for r in signatures(df).collect()}
+    all_ = spark.createDataFrame([(i, w) for i, x in enumerate(lines) for w in windows(x)], "i long, w string").select("i", F.hash(F.encode("w", "UTF-16BE")).alias("h"))
+    want = all_.groupBy("i").agg(*[F.min(F.col("h").bitwiseXOR(_int(MIX * (2 * k + 1)))).alias(f"m{k}") for k in range(MINIMA)]).collect()
+    assert got == {r["i"]: tuple(r[1:]) + (2 if r["i"] < 3 else 1,) for r in want}
+
+
+def test_bands_find_four_fifths_of_like_lines():
+    """Chance that a pair whose minima agree with probability s shares a band, over all patterns of agreement."""
+    lines = [{(b + k) % MINIMA for k in (0, 1, 3)} for b in range(8)]
+
+    def chance(s):
+        return sum(s ** len(on) * (1 - s) ** (MINIMA - len(on)) for k in range(MINIMA + 1) for on in map(set, itertools.combinations(range(MINIMA), k)) if any(x <= on for x in lines))
+
+    assert chance(0.8) > 0.97 and chance(0.85) > 0.985 and chance(0.36) < 0.3
 
 
 def test_a_null_id_passes_the_line_dedup(spark):
