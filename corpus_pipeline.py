@@ -9,7 +9,7 @@ from quaymark.llm.lines import dedup_lines
 from quaymark.llm.mixing import mix, words_of
 from quaymark.llm.pieces import round_trip
 from quaymark.llm.simhash import simhash_groups
-from quaymark.llm.storage import shared_dir, spread_join, table, written
+from quaymark.llm.storage import scratch, shared_dir, table, written
 from quaymark.llm.toxicity import below, fit_from_labels
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -36,7 +36,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near copies; rows with a null id stay."""
     copies = written(simhash_groups(docs).where("doc_id <> component_id").select("doc_id").distinct())
-    return spread_join(docs, copies, ["doc_id"], "left_anti").select(COLUMNS)
+    return docs.join(copies, "doc_id", "left_anti").select(COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
