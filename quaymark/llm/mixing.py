@@ -2,151 +2,172 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .storage import written
 
-#: Fractional part of the golden ratio, exact to the decimals used, so that multiples of it are exact too.
-GOLDEN = Decimal("0.618033988749894848")
-
-
-def water_fill(sizes: list[int], weights: list[float], budget: float, cap: float) -> list[float]:
-    """Shares of `budget` by weight, none above cap * size; what a full source can't take is shared anew by weight."""
-    out, free, left = [0.0] * len(sizes), set(range(len(sizes))), budget
-    while free:
-        total = sum(weights[i] for i in free)
-        full = {i for i in free if left * weights[i] >= cap * sizes[i] * total}
-        if not full:
-            for i in free:
-                out[i] = left * weights[i] / total
-            break
-        for i in full:
-            out[i] = cap * float(sizes[i])
-            left -= out[i]
-        free -= full
-    return out
+#: Fractional part of the golden ratio in units of 1 / UNIT: points are whole numbers, so that they are exact everywhere.
+GOLDEN, UNIT = 618033988749894848, 10**18
+#: Neighbouring places of a running sum that one task adds up, and cells that sources' stretches are looked up by.
+SPAN, CELLS = 4096, 4096
 
 
-def plan_targets(sources: DataFrame, weights: list[int], share: float, cap: float) -> list[dict]:
-    """Sources by code point (null last) with size, target and the place of their stretch of [0, 1).
+def plan_targets(totals: DataFrame, weights: list[int], share: float, cap: float) -> DataFrame:
+    """(k, source, source_size, target) of totals(source, source_size): water filling in one ordered pass over the sources.
 
-    A source is a handful of bytes; their number is that of collections being mixed, not of documents.
+    Sources by code point, null last, get the weights in turn. All share `share` of all sizes by weight, none above cap times
+    its size; what a full source can't take is shared anew. Ordered by the level at which they are full, sources fill one
+    after the other, so the level of the first that stays below its cap is that of all after it.
+    The pass reads one row a source, whatever the number of documents.
     """
-    found = sorted(sources.collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
-    sizes = [r["source_size"] or 0 for r in found]
-    targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(found))], share * sum(sizes), cap)
-    return [{"source": r["source"], "source_size": s, "target": t} for r, s, t in zip(found, sizes, targets)]
+    named = totals.withColumn("k", F.row_number().over(W.orderBy(F.col("source").isNull(), "source")) - 1)
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("k") % len(weights) + 1)
+    full = named.withColumn("w", weight).withColumn("most", F.lit(float(cap)) * F.col("source_size")).withColumn("full_at", F.col("most") / F.col("w"))
+    everything, before = W.partitionBy(), W.orderBy("full_at", "k").rowsBetween(W.unboundedPreceding, -1)
+    left = share * F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(before), F.lit(0.0))
+    level = left / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
+    levels = full.withColumn("level", level).withColumn("level", F.min(F.when(F.col("level") < F.col("full_at"), F.struct("full_at", "k", "level"))).over(everything)["level"])
+    return levels.select("k", "source", "source_size", F.least("most", F.coalesce(F.col("level") * F.col("w"), "most")).alias("target"))
+
+
+def running(counts: DataFrame, by: list[str], place: str, n: str) -> DataFrame:
+    """counts with `base`, the sum of n over smaller places alike in `by`, in two levels: spans of places, then places within one."""
+    spanned = counts.withColumn("__span", F.floor(F.col(place) / SPAN))
+    before = lambda keys, order: W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    spans = spanned.groupBy(*by, "__span").agg(F.sum(n).alias("__n")).select(*by, "__span", F.coalesce(F.sum("__n").over(before(by, "__span")), F.lit(0)).alias("__base"))
+    within = spanned.withColumn("__in", F.coalesce(F.sum(n).over(before([*by, "__span"], place)), F.lit(0)))
+    return within.join(spans, [*by, "__span"]).select(*counts.columns, (F.col("__base") + F.col("__in")).alias("base"))
+
+
+def schedule(sources: DataFrame, block: int, step: int = GOLDEN) -> DataFrame:
+    """(slot, k, rank): slot j belongs to the source whose stretch of cumulative target weights holds frac(j * golden ratio).
+
+    There are as many slots as blocks in the targets. Owners are looked up by the cell of [0, 1) that a point lies in; ranks within
+    a source come from counts of chunks of slots, so no source's slots are gathered in one task.
+    """
+    spark = sources.sparkSession
+    words = F.floor("target").cast("decimal(38,0)")
+    total, n = sources.agg(F.sum(words), F.floor((F.coalesce(F.sum(words), F.lit(0)) + block - 1) / block).cast("long")).first()
+    if not total:
+        return spark.createDataFrame([], "slot long, k int, rank long")
+    bound = lambda x: F.floor(x * F.lit(UNIT).cast("decimal(19,0)") / F.lit(int(total)).cast("decimal(20,0)")).cast("long")
+    ends = sources.withColumn("end", F.sum(words).over(W.orderBy("k"))).select("k", bound(F.col("end") - words).alias("lo"), bound(F.col("end")).alias("hi")).where("lo < hi")
+    width = UNIT // CELLS + 1
+    cells = written(ends.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width)))))
+    point = F.expr(f"cast((cast(id as decimal(19,0)) * {step}BD) % {UNIT}BD as bigint)")
+    points = spark.range(n).select(F.col("id").alias("slot"), point.alias("p")).withColumn("cell", F.floor(F.col("p") / width))
+    owned = points.join(cells, "cell").where("p >= lo and p < hi").select("slot", "k", F.floor(F.col("slot") / SPAN).alias("chunk"))
+    base = running(owned.groupBy("k", "chunk").agg(F.count("*").alias("n")), ["k"], "chunk", "n").select("k", "chunk", "base")
+    place = F.row_number().over(W.partitionBy("k", "chunk").orderBy("slot")) - 1
+    return owned.withColumn("i", place).join(base, ["k", "chunk"]).select("slot", "k", (F.col("base") + F.col("i")).alias("rank"))
 
 
 def mix(
     docs: DataFrame, size_col: str = "size", id_col: str = "doc_id", source_col: str = "source",
-    weights: list[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 2048, least_slots: int = 65536, seed: int = 20,
+    weights: list[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 32, seed: int = 20, step: int = GOLDEN,
 ) -> tuple[DataFrame, DataFrame]:
-    """(documents with what the mix takes of them, schedule of slots).
+    """(documents with what the mix takes of them, the mix: slot, source, doc_id, size, round, words).
 
     1. Targets by water filling over source totals.
-    2. Slot j of the schedule takes point frac(j * golden ratio); the source whose stretch of cumulative target weights
-       holds the point owns the slot. Ranks of slots within a source come from counts of chunks of slots and a running
-       sum of those, so no source's slots are gathered in one task. A source's first ceil(target / block) slots count;
-       should the points leave it short of some, they follow at the end of the schedule.
-    3. Each source's documents, shuffled by a seeded hash, form a stream read round and round and cut into equal blocks
-       of tokens; block k of a source goes to its slot of rank k. Places in the stream come from bucket totals and a
-       running sum within small hash buckets. The last slot takes the rest of the target.
-    A document's `taken` sums its parts of the blocks that have a slot. It never exceeds `cap` times its size.
-
-    Null text or size counts 0 and takes 0; the null source comes last; sources without words get target 0. Repeated
-    rows and ids are separate rows. Ties of the hash are put in order by id and size; rows alike in both are the same.
-    An empty table gives no rows. Reruns give the same rows: nothing depends on partitions.
+    2. A schedule of slots, dealt to the sources by low-discrepancy points and ranked within each.
+    3. Each source's documents, shuffled by a seeded hash, form a stream read round and round up to `cap` times the source, cut
+       into blocks of `block` words; block r of a source is joined to its slot of rank r, and the mix is the blocks that
+       have one. Places in the stream come from bucket totals and running sums within small hash buckets.
+    A document's `taken` sums its parts of those blocks, and never exceeds `cap` times its size; first_slot and n_slots say where in
+    the mix it begins and how many slots it has part in. A source gets as many blocks as points fall to it, which differs from
+    its share by a few: its taken words are within about ten blocks of its target.
+
+    Null text or size counts 0 and takes 0, with null first_slot; the null source comes last; sources without words get target 0.
+    Rows alike in id, source and size (repeated rows, null ids) stand together in the stream, and what the mix takes of them is shared
+    out evenly. An empty table gives no rows. Reruns give the same rows: nothing depends on partitions or on the number of rows.
     """
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("size"),
     )
-    rows = written(rows.withColumn("place", F.xxhash64(F.lit(seed), "doc_id", "size")))
-    spark = rows.sparkSession
-    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    plan = plan_targets(totals, list(weights), share, cap)
-    total = sum(p["target"] for p in plan)
-    block = int(max(1, min(block, total // least_slots)))
-    start = 0.0
-    table = []
-    for k, p in enumerate(plan):
-        table.append((k, p["source"], p["source_size"], p["target"], start / max(total, 1.0), (start + p["target"]) / max(total, 1.0), -(-int(p["target"]) // block)))
-        start += p["target"]
-    sources = spark.createDataFrame(table, "k int, source string, source_size long, target double, lo double, hi double, quota long").coalesce(1)
-    # As many small hash buckets as the number of rows asks for: each holds a few thousand rows of one source.
-    n_rows = rows.count()
-    bits = max(0, (n_rows // 4096).bit_length())
-    rows = rows.join(F.broadcast(sources), rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    rows = rows.withColumn("bucket", F.shiftrightunsigned(F.col("place").bitwiseXOR(F.lit(-(2**63))), 64 - bits) if bits else F.lit(0).cast("long"))
-    before = W.partitionBy("k").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    buckets = rows.groupBy("k", "bucket").agg(F.sum("size").alias("words")).withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0))).select("k", "bucket", "base")
+    alike = written(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies")))
+    totals = alike.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.count("*").alias("n"))
+    sizes = written(totals)
+    sources = written(plan_targets(sizes.drop("n"), list(weights), share, cap))
+    slots = written(schedule(sources, block, step))
+    got = slots.groupBy("k").agg(F.count("*").alias("blocks"))
+    # The mix ends where the blocks do, or where the cap does.
+    limit = F.least(F.coalesce("blocks", F.lit(0)) * block, F.floor(F.lit(float(cap)) * F.col("source_size")))
+    sources = written(sources.join(got, "k", "left").withColumn("limit", limit).drop("blocks"))
+    # As many small hash buckets as the rows of the largest source ask for: each holds a few thousand rows of one source.
+    bits = max(0, ((sizes.agg(F.max("n")).first()[0] or 0) // SPAN).bit_length())
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")))
+    place = F.conv(F.substring(key, 1, 15), 16, 10).cast("long")
+    placed = alike.where("size > 0").join(sources.withColumnRenamed("source", "__of"), F.col("source").eqNullSafe(F.col("__of"))).drop("__of")
+    placed = placed.withColumn("place", place).withColumn("bucket", F.shiftright("place", 60 - bits)).withColumn("words", F.col("size") * F.col("copies"))
+    buckets = running(placed.groupBy("k", "bucket").agg(F.sum("words").alias("n")), ["k"], "bucket", "n").select("k", "bucket", "base")
     within = W.partitionBy("k", "bucket").orderBy("place", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = rows.join(buckets, ["k", "bucket"]).withColumn("at", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-
-    slots = _schedule(spark, table, total, block)
-    # The stream is read up to the target, in ceil(target / size) rounds; round r holds the document at r * source_size + at.
-    rounds = F.when(F.col("source_size") > 0, F.ceil(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    streams = placed.withColumn("in", F.coalesce(F.sum("words").over(within), F.lit(0))).join(buckets, ["k", "bucket"]).withColumn("at", F.col("base") + F.col("in"))
+    # Round r holds the document at r * source_size + at.
     parts = (
-        placed.where("size > 0")
-        .withColumn("round", F.explode(F.when(rounds > 0, F.sequence(F.lit(0).cast("long"), rounds - 1)).otherwise(F.array().cast("array<long>"))))
-        .withColumn("from", F.col("round") * F.col("source_size") + F.col("at"))
-        .withColumn("to", F.least(F.col("from") + F.col("size"), F.floor("target")))
-        .where("`from` < `to`")
-        .withColumn("first", F.floor(F.col("from") / block)).withColumn("last", F.floor((F.col("to") - 1) / block))
+        streams.where("limit > 0").withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(limit - 1) div source_size"))))
+        .withColumn("from", F.col("round") * F.col("source_size") + F.col("at")).withColumn("to", F.least(F.col("from") + F.col("words"), F.col("limit"))).where("`from` < `to`")
+        .withColumn("rank", F.explode(F.sequence(F.expr(f"`from` div {block}"), F.expr(f"(`to` - 1) div {block}"))))
+        .select("k", "rank", "source", "doc_id", "size", "round", (F.least("to", (F.col("rank") + 1) * block) - F.greatest("from", F.col("rank") * block)).alias("words"))
     )
-    # Only a part's first and last block are shared with other documents; those in between are its own, and counted by rank.
-    cut = parts.select("doc_id", "k", "place", "size", F.explode(F.sequence("first", "last")).alias("rank"), "from", "to").select(
-        "doc_id", "k", "place", "size", "rank",
-        (F.least("to", (F.col("rank") + 1) * block) - F.greatest("from", F.col("rank") * block)).alias("words"),
-    )
-    taken = cut.join(slots.select("k", "rank"), ["k", "rank"]).groupBy("k", "place", "doc_id", "size").agg(F.sum("words").alias("taken"), F.count("*").alias("blocks"))
-    # Rows alike in id and size have one place; what the mix takes is shared out evenly among them.
-    alike = placed.groupBy("k", "place", "doc_id", "size").agg(F.count("*").alias("copies"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
-    a, t = alike.alias("a"), taken.alias("t")
-    same = (F.col("a.k") == F.col("t.k")) & (F.col("a.place") == F.col("t.place")) & F.col("a.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("a.size") == F.col("t.size"))
+    mixed = written(parts.join(slots, ["k", "rank"]).select("slot", "k", "source", "doc_id", "size", "round", "words"))
+    taken = mixed.groupBy("k", "doc_id", "size").agg(F.sum("words").alias("all"), F.min("slot").alias("first_slot"), F.count_distinct("slot").alias("n_slots"))
+    a, t, s = alike.alias("a"), taken.alias("t"), sources.alias("s")
     out = (
-        a.join(t, same, "left")
-        .select("a.*", F.coalesce("t.taken", F.lit(0)).cast("long").alias("all"))
+        a.join(s, F.col("a.source").eqNullSafe(F.col("s.source")))
+        .join(t, (F.col("s.k") == F.col("t.k")) & F.col("a.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("a.size") == F.col("t.size")), "left")
+        .select("a.doc_id", "a.source", "a.size", "a.copies", "s.source_size", "s.target", F.coalesce("t.all", F.lit(0)).alias("all"), "t.first_slot", F.coalesce("t.n_slots", F.lit(0)).alias("n_slots"))
         .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-        .withColumn("taken", F.floor(F.col("all") / F.col("copies")) + F.when(F.col("copy") < F.col("all") % F.col("copies"), 1).otherwise(0))
-        .join(F.broadcast(sources.select("k", "source")), "k")
-        .select("doc_id", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
-    )
-    return out, slots
-
-
-def _schedule(spark, table: list[tuple], total: float, block: int, chunk: int = 4096) -> DataFrame:
-    """(slot, k, rank): the low-discrepancy schedule, as a table of its own."""
-    n = sum(row[6] for row in table)
-    bounds = [row[5] for row in table if row[6]]
-    owners = [row[0] for row in table if row[6]]
-    if not owners:
-        return spark.createDataFrame([], "slot long, k int, rank long")
-    point = F.expr(f"cast((id * {GOLDEN}BD) % 1BD as double)")
-    owner = F.lit(owners[-1])
-    for k, hi in reversed(list(zip(owners, bounds))[:-1]):
-        owner = F.when(F.col("u") < hi, F.lit(k)).otherwise(owner)
-    points = spark.range(n).select(F.col("id").alias("slot"), point.alias("u"), F.floor(F.col("id") / chunk).alias("chunk")).select("slot", "chunk", owner.alias("k"))
-    sums = points.groupBy("k", "chunk").agg(F.count("*").alias("n"))
-    base = sums.select("k", "chunk", (F.sum("n").over(W.partitionBy("k").orderBy("chunk")) - F.col("n")).alias("base"))
-    ranked = points.withColumn("i", F.row_number().over(W.partitionBy("k", "chunk").orderBy("slot")) - 1).join(base, ["k", "chunk"]).select("slot", "k", (F.col("base") + F.col("i")).alias("rank"))
-    quota = spark.createDataFrame([(row[0], row[6]) for row in table], "k int, quota long").coalesce(1)
-    had = sums.groupBy("k").agg(F.sum("n").alias("had"))
-    short = (
-        quota.join(had, "k", "left").select("k", "quota", F.coalesce("had", F.lit(0)).alias("had")).where("had < quota")
-        .select((F.lit(n) + F.col("k")).alias("slot"), "k", F.explode(F.sequence("had", F.col("quota") - 1)).alias("rank"))
+        .withColumn("taken", (F.floor(F.col("all") / F.col("copies")) + F.when(F.col("copy") < F.col("all") % F.col("copies"), 1).otherwise(0)).cast("long"))
+        .select("doc_id", "source", "size", "source_size", "target", "taken", "first_slot", "n_slots")
     )
-    return ranked.join(F.broadcast(quota), "k").where("rank < quota").select("slot", "k", "rank").unionByName(short)
+    return out, mixed.drop("k")
 
 
-def words_of(text) -> object:
+def words_of(text: Column) -> Column:
     """Number of words `[^\\x20\\x09-\\x0D]+` of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def mix_documents(docs: DataFrame, **params) -> DataFrame:
-    out, _ = mix(docs.select("doc_id", "source", words_of(F.col("text")).alias("size")), **params)
-    return out.select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mix(docs.select("doc_id", "source", words_of(F.col("text")).alias("size")), **params)[0]
+
+
+MIX_SQL = r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
+alike as (select doc_id, source, size, count(*) as copies from d group by all),
+t as (
+  select *, row_number() over (order by source is null, encode(source)) - 1 as k from (select source, sum(size * copies)::bigint as source_size from alike group by source)
+),
+f as (select *, 2.0::double * source_size as most, case k % 3 when 0 then 3.0::double when 1 then 1 else 2 end as w from t),
+l as (
+  select *, most / w as full_at,
+    (1.5::double * sum(source_size) over () - coalesce(sum(most) over b, 0)) / (sum(w) over () - coalesce(sum(w) over b, 0)) as level
+  from f window b as (order by most / w, k rows between unbounded preceding and 1 preceding)
+),
+g as (select k, source, source_size, least(most, coalesce((select level from l where level < full_at order by full_at, k limit 1) * w, most)) as target from l),
+total as (select sum(floor(target)::hugeint) as words from g),
+e as (select k, sum(floor(target)::hugeint) over (order by k) as hi, floor(target)::hugeint as own from g),
+slots as (
+  select slot, k, row_number() over (partition by k order by slot) - 1 as rank
+  from (select range as slot, (range::hugeint * 618033988749894848) % 1000000000000000000 as p from range(0, (select ((words + 31) // 32)::bigint from total)))
+  join e on p >= (hi - own) * 1000000000000000000 // (select words from total) and p < hi * 1000000000000000000 // (select words from total)
+),
+s as (select g.*, least(32 * coalesce(n, 0), floor(2.0::double * source_size))::bigint as lim from g left join (select k, count(*) as n from slots group by k) using (k)),
+p as (
+  select s.k, s.source, s.source_size, lim, doc_id, size, size * copies as words,
+    coalesce(sum(size * copies) over (
+      partition by s.k order by ('0x' || substr(md5('20:' || coalesce(doc_id::varchar, '') || ':' || size::varchar), 1, 15))::bigint, doc_id nulls first, size
+      rows between unbounded preceding and 1 preceding
+    ), 0) as begins
+  from alike join s on alike.source is not distinct from s.source where size > 0
+),
+r as (select *, r * source_size + begins as lo, least(r * source_size + begins + words, lim) as hi from p, range(0, 2) x(r)),
+b as (select k, doc_id, size, lo, hi, unnest(range((lo // 32)::bigint, ((hi - 1) // 32 + 1)::bigint)) as rank from r where lo < hi),
+m as (select b.*, slot, least(hi, (b.rank + 1) * 32) - greatest(lo, b.rank * 32) as words from b join slots using (k, rank)),
+took as (select k, doc_id, size, sum(words) as words, min(slot) as first_slot, count(distinct slot) as n_slots from m group by all)
+select a.doc_id, a.source, a.size, s.source_size, s.target,
+  (coalesce(words, 0) // copies + case when copy < coalesce(words, 0) % copies then 1 else 0 end)::bigint as taken, first_slot, coalesce(n_slots, 0) as n_slots
+from (select *, unnest(range(copies)) as copy from alike) a join s on a.source is not distinct from s.source
+left join took on took.k = s.k and took.doc_id is not distinct from a.doc_id and took.size = a.size
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact import EXACT_SQL, exact_dedup
 from .licenses import license_scan
 from .lines import dedup_lines
-from .mixing import mix_documents
+from .mixing import MIX_SQL, mix_documents
 from .pages import main_text
 from .pieces import round_trip
 from .pii import private_data
@@ -59,4 +59,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str | None
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_personal_data, op3_license_scan, op4_line_dedup, op5_exact_dedup, op6_main_text, op7_quality_rules, op8_simhash, op9_mixing, op10_sentencepiece)}
-ORACLES = {"op5_exact_dedup": EXACT_SQL}
+ORACLES = {"op5_exact_dedup": EXACT_SQL, "op9_mixing": MIX_SQL}
