@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -102,8 +103,24 @@ class Scanner:
                 yield m
                 todo += [(lo, m.start()), (m.end(), hi)]
 
+    def stretches(self, n: int, text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
+        """A window without the places where the notice stands unchanged, which nothing beats, in pieces of a few lengths of the
+        notice that overlap by the longest match: every other place lies whole in one of them."""
+        notice, k, _ = self.notices[n]
+        size = len(notice) + k
+        while lo < hi:
+            at = text.find(notice, lo, hi)
+            end = at if at >= 0 else hi
+            for a in range(lo, max(lo + 1, end - size), 3 * size):
+                yield a, min(end, a + 4 * size)
+            if at < 0:
+                break
+            yield at, at + len(notice)
+            lo = at + len(notice)
+
     def fuzzy(self, text: str) -> list[Find]:
         """The notices in a normalised text; of those that overlap, the one with the smallest share of errors."""
+        spaces = [m.start() for m in regex.finditer(" ", text)]
         windows: dict[int, list[list[int]]] = {}
         for end, (size, where) in self.seeds.iter(text):
             for n, offset in where:
@@ -119,14 +136,21 @@ class Scanner:
         for n, spans in windows.items():
             notice, _, label = self.notices[n]
             for lo, hi in spans:
-                for m in self.places(n, text, lo, hi):
-                    start = m.start() + (m[0][:1] == " ")
-                    out.append(Find(label, text.count(" ", 0, start), start, m.end(), sum(m.fuzzy_counts), len(notice)))
+                for a, b in self.stretches(n, text, lo, hi):
+                    if text.startswith(notice, a) and b - a == len(notice):
+                        out.append(Find(label, bisect_left(spaces, a), a, b, 0, len(notice)))
+                        continue
+                    for m in self.places(n, text, a, b):
+                        start = m.start() + (m[0][:1] == " ")
+                        out.append(Find(label, bisect_left(spaces, start), start, m.end(), sum(m.fuzzy_counts), len(notice)))
         best: list[Find] = []
+        starts: list[int] = []  # of the finds kept, which don't overlap
         for f in sorted(out, key=lambda f: (f.errors / f.length, -f.length, f.start, f.label)):
-            if all(f.end <= g.start or g.end <= f.start for g in best):
-                best.append(f)
-        return sorted(best, key=lambda f: f.start)
+            at = bisect_left(starts, f.start)
+            if (not at or best[at - 1].end <= f.start) and (at == len(best) or f.end <= starts[at]):
+                best.insert(at, f)
+                starts.insert(at, f.start)
+        return best
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, str]], list[Find]]:
         words = normalised(text)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,7 +34,9 @@ JUNK = {
 GOOD = {"article", "body", "content", "entry", "main", "page", "post", "story", "text"}
 #: Elements whose start ends an open one of the named kinds.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-#: Levels of a path that count, from the innermost.
+#: What may stand in a head; any other element ends one whose end tag is left out.
+IN_HEAD = {"title", "meta", "link", "script", "style", "base", "noscript", "template"}
+#: Levels of a path that are spelled out, from the innermost; those around them are one checksum.
 LEVELS = 12
 
 
@@ -59,11 +63,16 @@ def _words(names: str) -> set[str]:
     return set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()))
 
 
+def _deeper(around: tuple[str, ...], step: str) -> tuple[str, ...]:
+    path = (*around, step)
+    return path if len(path) <= LEVELS else (f"~{zlib.crc32('>'.join(path[:2]).encode('utf-8', 'surrogatepass')):08x}", *path[2:])
+
+
 def parse(source: str | None) -> Page:
     """Blocks and texts of a page in order. Tags need not match; what is left open ends with the page."""
     source = source or ""
     page = Page([Node("", -1, (), set(), False, 0)])
-    stack, at, linked = [0], 0, False
+    stack, at, linked, open_tags = [0], 0, False, Counter()
 
     def text(piece: str) -> None:
         if piece:
@@ -83,7 +92,9 @@ def parse(source: str | None) -> Page:
 
     def pop(depth: int) -> None:
         while len(stack) > depth:
-            page.nodes[stack.pop()].last = len(page.events)
+            n = stack.pop()
+            page.nodes[n].last = len(page.events)
+            open_tags[page.nodes[n].tag] -= 1
             page.events.append((stack[-1] if stack else 0, None))
 
     while True:
@@ -95,6 +106,8 @@ def parse(source: str | None) -> Page:
         if not m[2]:
             continue
         closing, tag = bool(m[1]), m[2].lower()
+        if open_tags["head"] and not closing and tag not in IN_HEAD:
+            pop(next(k for k, n in enumerate(stack) if page.nodes[n].tag == "head"))
         if tag == "br" or tag == "hr":
             page.events.append((stack[-1], None))
         elif tag == "a":
@@ -107,21 +120,24 @@ def parse(source: str | None) -> Page:
                 at = end.end() if end else len(source)
             page.events.append((stack[-1], None))
         elif closing:
-            for depth in range(len(stack) - 1, 0, -1):
+            linked = False  # a link left open ends with its block
+            for depth in range(len(stack) - 1, 0, -1) if open_tags[tag] > 0 else ():
                 if page.nodes[stack[depth]].tag == tag:
                     pop(depth)
                     break
         else:
             while len(stack) > 1 and (open_ := page.nodes[stack[-1]].tag) and (open_ == "p" or open_ in CLOSES.get(tag, ())):
                 pop(len(stack) - 1)
+            linked = False
             named = {a.lower(): b or c or d for a, b, c, d in ATTRIBUTES.findall(m[3])}
             names = _words(" ".join(named.values()))
             around = page.nodes[stack[-1]]
             step = ".".join([tag, *sorted(re.sub(r"\d+", "N", named.get("class", "")).split())])
             junk = around.junk or tag in NO_CONTENT or (tag == "header" and not any(n.startswith(("article", "main")) for n in around.path)) or (tag not in ("html", "body", "article", "main") and bool(names & JUNK))
             page.events.append((stack[-1], None))
-            page.nodes.append(Node(tag, stack[-1], (*around.path, step)[-LEVELS:], names, junk, len(page.events)))
+            page.nodes.append(Node(tag, stack[-1], _deeper(around.path, step), names, junk, len(page.events)))
             stack.append(len(page.nodes) - 1)
+            open_tags[tag] += 1
     pop(0)
     return page
 
@@ -154,8 +170,11 @@ def extract(source: str | None, paths: list[str]) -> tuple[str, str]:
     """(text, path): of the first of the host's paths that this page has with text, all containers there; else its own best."""
     page = parse(source)
     for path in paths:
-        same = [n for n, node in enumerate(page.nodes) if not node.junk and ">".join(node.path) == path]
-        outer = [n for n in same if not any(m < n and page.nodes[m].last >= page.nodes[n].last for m in same)]
+        outer, end = [], -1
+        for n, node in enumerate(page.nodes):
+            if not node.junk and node.last > end and ">".join(node.path) == path:
+                outer.append(n)
+                end = node.last
         if text := " ".join(filter(None, (content(page, n) for n in outer))):
             return text, path
     best = ranked(page, 1)

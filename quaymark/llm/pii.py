@@ -5,8 +5,11 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +22,7 @@ from .storage import written
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
-IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # within a run of digits no place matches where its first doesn't
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -152,7 +155,7 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int, before: s
     parts = s.split(".")
     on = ["bias", ("one", "two", "three", "many")[min(j - i, 4) - 1]]
     on.append(next((f"digits<={n}" for n in DIGIT_STEPS if len(digits) <= n), "digits>"))
-    spelled = bool(SPELLED.fullmatch(s))
+    spelled = "dot" in s.lower() and bool(SPELLED.fullmatch(s))
     bare = [not ANCHOR.search(text, *t) for t in (tokens[i], tokens[j - 1])]
     checks = {
         "at": "@" in s,
@@ -274,14 +277,18 @@ def _card(rng: random.Random) -> str:
     return next(d + c for c in "0123456789" if luhn(d + c))
 
 
-def train(samples: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = 150, penalty: float = 0.01, seed: int = 7, longest: int = 14) -> Field:
-    """Maximum conditional likelihood over windows of marked texts and their variants, all windows side by side in numpy."""
+def train(samples: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = 150, penalty: float = 0.01, seed: int = 7, longest: int = 20) -> Field:
+    """Maximum conditional likelihood over windows of marked texts and their variants, all windows side by side in numpy.
+
+    Windows of more than `longest` tokens are left out of the training, so that the arrays have a bound.
+    """
     rng = random.Random(seed)
     cases: list[tuple[Window, list[tuple[int, int, int]]]] = []
     for text, spans in samples:
         for t, marks in _variants(text, spans, rng):
             for w in windows(t):
-                w.tokens = w.tokens[:longest]
+                if len(w.tokens) > longest:
+                    continue
                 gold, at = [], 0
                 for kind, a, b in sorted(marks, key=lambda m: m[1]):
                     inside = [n for n, (x, y) in enumerate(w.tokens) if x < b and y > a]
@@ -349,33 +356,40 @@ def find_spans(text: str, field: Field) -> tuple[list[tuple[int, int, int]], lis
     """(base spans, all spans), by kind and start: the field adds spans that touch none of the base ones."""
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
+    starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     more = []
     for w in windows(text):
         for kind, a, b in field.spans(w):
-            if all(b <= x or y <= a for x, y in taken):
+            before = bisect_left(starts, b)  # base spans that begin before this one ends; does any of them end after its start?
+            if not before or ends[before - 1] <= a:
                 more.append((kind, a, b))
     return base, sorted({*base, *more})
 
 
 def training_texts(docs: DataFrame, sample: int = 200) -> list[tuple[str, list[tuple[int, int, int]]]]:
-    """Surroundings of at most `sample` spans of the fixed patterns, by a hash of place and text; the bound is on rows."""
+    """Surroundings of at most `sample` spans of the fixed patterns, those of smallest hashes; each task hands on no more than that."""
+
+    each = sample // len(KINDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: list[list[tuple]] = [[] for _ in KINDS]  # the rows of each kind with the smallest hashes that this task has seen
         for batch in batches:
-            rows = []
             for text in batch.column(0):
                 text = text.as_py() or ""
                 for kind, a, b in base_spans(text) if ANCHOR.search(text) else ():
                     lo, hi = max(0, a - 40), b + 40
                     near = text[lo:hi]
                     near, cut = (near[near.find(" ") + 1:], near.find(" ") + 1) if lo and " " in near[: a - lo] else (near, 0)
-                    s = base_spans(near)
-                    if s == [(kind, a - lo - cut, b - lo - cut)]:
-                        rows.append((near, kind, a - lo - cut, b - lo - cut))
-            yield pa.RecordBatch.from_pylist([dict(zip(("text", "kind", "a", "b"), r)) for r in rows], schema=pa.schema([("text", pa.string()), ("kind", pa.int32()), ("a", pa.int32()), ("b", pa.int32())]))
-
-    found = written(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "text string, kind int, a int, b int"))
-    kept = [found.where(F.col("kind") == k).orderBy(F.xxhash64("text"), "text").limit(sample // len(KINDS)) for k in range(len(KINDS))]
+                    row = (zlib.crc32(near.encode("utf-8", "surrogatepass")), near, kind, a - lo - cut, b - lo - cut)
+                    mine = least[kind]
+                    if (len(mine) < each or row < mine[-1]) and base_spans(near) == [row[2:]]:
+                        mine.insert(bisect_left(mine, row), row)
+                        del mine[each:]
+        rows = [row for mine in least for row in mine]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()))], ["hash", "text", "kind", "a", "b"])
+
+    found = written(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "hash long, text string, kind int, a int, b int"))
+    kept = [found.where(F.col("kind") == k).orderBy("hash", "text", "a").limit(each) for k in range(len(KINDS))]
     rows = kept[0].unionByName(kept[1]).unionByName(kept[2]).unionByName(kept[3]).collect()
     return [(r["text"], [(r["kind"], r["a"], r["b"])]) for r in rows]
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -245,3 +246,46 @@ def test_round_trip(spark):
 def test_queries_cover_their_tables(spark, name):
     t = "pages" if name.startswith("op6") else "documents"
     assert QUERIES[name](spark, SMALL).count() == table(spark, SMALL, t).count()
+
+
+def quick(seconds, f, *args):
+    began = time.perf_counter()
+    out = f(*args)
+    assert time.perf_counter() - began < seconds
+    return out
+
+
+def test_long_runs_take_time_in_proportion():
+    field = pii.Field(np.zeros((5, len(pii.NAMES))), np.zeros((5, 5)))
+    assert quick(10, pii.base_spans, "7" * 1_000_000) == []
+    assert len(quick(20, pii.base_spans, "10.1.2.3 " * 50_000)) == 50_000
+    assert len(quick(60, pii.find_spans, "a@b.cd and then some " * 3_000, field)[0]) == 3_000
+    s = licenses.Scanner()
+    assert len(quick(60, s.fuzzy, "licensed under the mit license and then some other words " * 1_000)) == 1_000
+    cells = "<table>" + "<tr><td class=c>some words in a cell" * 20_000
+    assert quick(60, pages.extract, cells, ["table>tr>td.c"])[0].count("cell") == 20_000
+    assert quick(60, pages.extract, "<div>" * 3_000 + "words" + "</p>" * 50_000, [])[0] == "words"
+
+
+def test_pages_with_tags_left_out():
+    for page in ("<html><head><title>t</title><body><article><p>the words of a page", "<html><head><meta charset=x><p>the words of a page", "<div><p><a href=x>link<p>the words of a page</div>"):
+        text, _ = pages.extract(page, [])
+        assert text.endswith("the words of a page")
+    deep = lambda outer: pages.parse(f"<{outer}>" + "<div>" * 14 + "x")
+    assert deep("main").nodes[-1].path != deep("section").nodes[-1].path and len(deep("main").nodes[-1].path) == pages.LEVELS
+
+
+def test_license_search_is_that_of_all_windows():
+    """Every stretch of a text that a full comparison finds within the errors of a notice meets a find, without seeds."""
+    rng, s = random.Random(12), licenses.Scanner()
+    for n, (notice, k, _) in enumerate(licenses.NOTICES[:8]):
+        for _ in range(4):
+            t = list(notice)
+            for at in rng.sample(range(len(t)), k):
+                t[at] = rng.choice(["", "q", t[at] + "z"])
+            text = " ".join(["words before it", "".join(t), notice, "and between", "".join(t)[::-1], "end"])
+            finds = s.fuzzy(text)
+            for size in (len(notice), len(notice) - k):
+                for at in range(0, len(text) - size, 3):
+                    if distance(text[at:at + size], notice) <= k - 2:
+                        assert any(f.start < at + size and at < f.end for f in finds), (text, at)
