@@ -9,9 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .storage import written
 
 LENGTHS = (3, 4, 5, 6)
-BITS = 18
+#: Buckets that n-grams are hashed to, as a power of two; labelled rows that one task counts.
+BITS, ROWS_PER_TASK = 22, 8192
+#: Step of the gradient descent.
+RATE = 0.005
 #: Characters hashed at a time, so that a text of any length needs bounded memory.
 PIECE = 1 << 19
 
@@ -35,6 +39,12 @@ def buckets(points: np.ndarray) -> Iterator[np.ndarray]:
             yield ((h ^ (h >> np.uint32(15))) * np.uint32(0x9E3779B1) + np.uint32(0x85EBCA6B * length & 0xFFFFFFFF)) >> np.uint32(32 - BITS)
 
 
+def presence(text: str | None) -> np.ndarray:
+    """The different buckets of a text's n-grams, in order."""
+    found = [np.unique(np.concatenate(list(buckets(p)) or [np.zeros(0, np.uint32)])) for p in pieces(text)]
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+
+
 @dataclass(frozen=True)
 class Model:
     """Weights by bucket (zero where the n-gram says nothing) and the intercept."""
@@ -43,76 +53,68 @@ class Model:
     intercept: float
 
     def score(self, text: str | None) -> float:
-        hits = [at[hit] for p in pieces(text) for at in buckets(p) if (hit := self.weights[at] != 0).any()]
-        x = self.intercept + (float(self.weights[np.unique(np.concatenate(hits))].sum()) if hits else 0.0)
+        x = self.intercept + float(self.weights[presence(text)].sum(dtype=np.float64))
         return float(1 / (1 + np.exp(-np.clip(x, -60, 60))))
 
 
-def _counts(rows: DataFrame) -> DataFrame:
-    """(bucket, pos, neg): texts of rows(text, label) that have an n-gram of the bucket; tasks add up their own rows first."""
+def _counts(rows: DataFrame, n: int) -> DataFrame:
+    """(bucket, pos, neg): texts of rows(text, label), n in all, that have an n-gram of the bucket; tasks add up their own rows first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 << BITS), np.int64)
+        total = np.zeros((2, 1 << BITS), np.int32)
         for batch in batches:
             for text, label in zip(batch.column(0), batch.column(1)):
-                seen = np.zeros(1 << BITS, bool)
-                for p in pieces(text.as_py()):
-                    for at in buckets(p):
-                        seen[at] = True
-                total[label.as_py()] += seen
-        at = np.flatnonzero(total.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[1][at]), pa.array(total[0][at])], ["bucket", "pos", "neg"])
+                total[label.as_py(), presence(text.as_py())] += 1
+        at = np.flatnonzero(total.any(axis=0)).astype(np.int32)
+        for part in np.array_split(at, len(at) // 65536 + 1):
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[1][part]), pa.array(total[0][part])], ["bucket", "pos", "neg"])
 
-    return rows.mapInArrow(run, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    dealt = rows.repartition(n // ROWS_PER_TASK + 1)  # few tasks, so that what is shuffled grows with the rows and not with their files
+    return dealt.mapInArrow(run, "bucket int, pos int, neg int").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def _presence(rows: DataFrame, chosen: np.ndarray) -> DataFrame:
-    """(label, has): which of the chosen buckets each text of rows(text, label) has, as 16-bit places in `chosen`."""
+def _presence(rows: DataFrame, ratios) -> DataFrame:
+    """(label, has): which buckets with a ratio each text of rows(text, label) has, as 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = np.full(1 << BITS, -1, np.int32)
-        place[chosen] = np.arange(len(chosen))
+        says = np.frombuffer(ratios.value, np.float32) != 0
         for batch in batches:
-            has = []
-            for text in batch.column(0):
-                found = [np.unique(place[at]) for p in pieces(text.as_py()) for at in buckets(p)]
-                found = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)
-                has.append(found[found >= 0].astype("<u2").tobytes())
+            has = [(at := presence(t.as_py()))[says[at]].astype("<u4").tobytes() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(has, pa.binary())], ["label", "has"])
 
     return rows.mapInArrow(run, "label int, has binary")
 
 
-def fit(docs: DataFrame, labels: DataFrame, features: int = 2048, sample: int = 3000, penalty: float = 1.0, rounds: int = 300) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, sure: float = 3.0, penalty: float = 1.0, rounds: int = 200) -> Model:
     """Train on the rows of docs(doc_id, text) that labels(doc_id, label) marks 0 or 1.
 
-    Counts for the log-count ratios and the class balance cover all labelled rows, in Spark. The `features` buckets that
-    tell the classes apart best (signed root of the likelihood ratio) are kept. The linear weights over ratio-scaled
-    presence are fitted by gradient steps on at most `sample` labelled rows of each class, picked by a hash of the id
-    and weighted back to the classes' sizes; only their kept features reach the driver, at most features * sample integers a class.
+    Counts for the log-count ratios and the class balance cover all labelled rows, in Spark. A ratio is drawn towards zero by
+    `sure` of its standard errors, so that what a few texts happen to have says nothing; every bucket with a ratio left takes
+    part, however many there are. The linear weights over ratio-scaled presence are fitted by gradient steps on at most `sample`
+    labelled rows of each class, picked by a hash of the id and weighted back to the classes' sizes. The driver holds one
+    number for each of the 2^BITS buckets, and of the sampled rows the buckets that have a ratio.
 
     Rows without text, with a null label or another label are left out. With a class missing, every score is its share.
     """
-    known = labels.where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
-    totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    known = written(labels.where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label")))
+    rows = written(docs.where("text is not null").join(known, "doc_id").select("doc_id", "text", "label"))
+    totals = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:
-        return Model(np.zeros(1 << BITS), float(np.log((pos + 0.5) / (neg + 0.5))))
-    rows = docs.where("text is not null").join(known, "doc_id").select("text", "label")
-    counts = _counts(rows).select(
-        "bucket", "pos", "neg",
-        F.log((F.col("pos") + 1) / (pos + 2)).alias("p"), F.log((F.col("neg") + 1) / (neg + 2)).alias("q"),
-    )
-    ratio = F.col("p") - F.col("q")
-    worth = F.abs(ratio) * F.sqrt(F.col("pos") + F.col("neg")) * F.when(ratio > 0, F.col("pos") / pos).otherwise(F.col("neg") / neg)
-    best = counts.select("bucket", ratio.alias("r"), worth.alias("worth")).orderBy(F.desc("worth"), "bucket").limit(features).collect()
-    chosen, r = np.array([b["bucket"] for b in best], np.int64), np.array([b["r"] for b in best], float)
-    order = F.xxhash64("doc_id")
-    picked = known.where("label = 1").orderBy(order, "doc_id").limit(sample).unionByName(known.where("label = 0").orderBy(order, "doc_id").limit(sample))
-    got = _presence(docs.where("text is not null").join(F.broadcast(picked), "doc_id").select("text", "label"), chosen).collect()
+        return Model(np.zeros(1 << BITS, np.float32), float(np.log((pos + 0.5) / (neg + 0.5))))
+    raw = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
+    error = F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
+    counts = _counts(rows.select("text", "label"), pos + neg).select("bucket", raw.alias("raw"), error.alias("error"))
+    found = counts.where(F.abs("raw") > sure * F.col("error")).select("bucket", (F.col("raw") - F.signum("raw") * sure * F.col("error")).cast("float").alias("r")).toArrow()
+    ratios = np.zeros(1 << BITS, np.float32)
+    ratios[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(ratios.tobytes())
+    picked = [rows.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample).select("text", "label") for k in (0, 1)]
+    got = _presence(picked[0].unionByName(picked[1]), sent).collect()
     y = np.array([g["label"] for g in got], float)
-    row = np.repeat(np.arange(len(got)), [len(g["has"]) // 2 for g in got])
-    col = np.frombuffer(b"".join(bytes(g["has"]) for g in got), "<u2").astype(np.int32)
+    row = np.repeat(np.arange(len(got), dtype=np.int32), [len(g["has"]) // 4 for g in got])
+    chosen, col = np.unique(np.frombuffer(b"".join(bytes(g["has"]) for g in got), "<u4"), return_inverse=True)
+    col, r = col.astype(np.int32), ratios[chosen].astype(float)
     weigh = np.where(y == 1, pos / max(1, y.sum()), neg / max(1, (1 - y).sum()))
     weigh /= weigh.sum()
     w, b = np.zeros(len(chosen)), float(np.log(pos / neg))
@@ -123,17 +125,25 @@ def fit(docs: DataFrame, labels: DataFrame, features: int = 2048, sample: int =
         gw, gb = np.bincount(col, g[row], len(w)) * r + penalty * w / len(y) / 100, g.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         k, n = 1 - 0.9**t, 1 - 0.99**t
-        w -= 0.02 * (m / k) / (np.sqrt(v / n) + 1e-8)
-        b -= 0.02 * (mb / k) / (np.sqrt(vb / n) + 1e-8)
-    weights = np.zeros(1 << BITS)
+        w -= RATE * (m / k) / (np.sqrt(v / n) + 1e-8)
+        b -= RATE * (mb / k) / (np.sqrt(vb / n) + 1e-8)
+    # A bucket that no sampled text has keeps what the ratios of the others are worth on the whole.
+    weights = ratios * np.float32(max(0.0, np.average(w, weights=np.abs(r))) if len(w) else 0.0)
     weights[chosen] = w * r
-    return Model(weights, b)
+    return Model(weights.astype(np.float32), b)
+
+
+def _received(sent) -> Model:
+    weights, intercept = sent.value
+    return Model(np.frombuffer(weights, np.float32), intercept)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) for every row; null and empty texts get the score of a text without n-grams of weight."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.weights.tobytes(), model.intercept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _received(sent)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(t.as_py()) for t in batch.column(1)], pa.float64())], ["doc_id", "score"])
 
@@ -144,8 +154,10 @@ def below(docs: DataFrame, model: Model, threshold: float, columns: list[str], t
     """The named columns of the rows whose score is under `threshold`, in one pass over them."""
     rows = docs.select(*columns)
     at = columns.index(text_col)
+    sent = docs.sparkSession.sparkContext.broadcast((model.weights.tobytes(), model.intercept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _received(sent)
         for batch in batches:
             yield batch.filter(pa.array([model.score(t.as_py()) < threshold for t in batch.column(at)], pa.bool_()))
 

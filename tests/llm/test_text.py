@@ -289,3 +289,32 @@ def test_license_search_is_that_of_all_windows():
                 for at in range(0, len(text) - size, 3):
                     if distance(text[at:at + size], notice) <= k - 2:
                         assert any(f.start < at + size and at < f.end for f in finds), (text, at)
+
+
+def test_scores_are_those_of_a_plain_scorer(spark):
+    """Weights looked up n-gram by n-gram give the same score, in texts shorter and longer than a piece."""
+    rng = np.random.default_rng(2)
+    model = toxicity.Model(np.where(rng.random(1 << toxicity.BITS) < 0.3, rng.normal(size=1 << toxicity.BITS) / 100, 0).astype(np.float32), -1.0)
+
+    def bucket(gram):
+        h = ord(gram[0])
+        for c in gram[1:]:
+            h = (h * 0x01000193 + ord(c)) % 2**32
+        h = ((h ^ (h >> 15)) * 0x9E3779B1 + 0x85EBCA6B * len(gram)) % 2**32
+        return h >> (32 - toxicity.BITS)
+
+    texts = [None, "", "a", "Some WORDS é 🤗 and more", "ab " * 300, "x1 " * 200_000]
+    for text in texts:
+        t = f" {(text or '').lower()} "
+        seen = {bucket(t[i:i + n]) for n in toxicity.LENGTHS for i in range(len(t) - n + 1)}
+        x = -1.0 + sum(float(model.weights[b]) for b in seen)
+        assert model.score(text) == pytest.approx(1 / (1 + np.exp(-x)), abs=1e-4)
+    got = toxicity.score(docs(spark, list(enumerate(texts))), model).collect()
+    assert [r["score"] for r in sorted(got, key=lambda r: r["doc_id"])] == pytest.approx([model.score(t) for t in texts])
+
+
+def test_an_id_with_two_labels_counts_as_toxic(spark):
+    rows = [(i, "you idiot clown" if i % 2 else "kind words only") for i in range(20, 60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20, 60)] + [(i, 0) for i in range(21, 60, 2)] + [(20, None), (None, 1), (22, 7)], "doc_id long, label int")
+    model = toxicity.fit(docs(spark, rows).select("doc_id", "text"), labels)
+    assert model.score("you idiot") > 0.5 > model.score("kind words")
