@@ -89,8 +89,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, sure: float = 3.
     """Train on the rows of docs(doc_id, text) that labels(doc_id, label) marks 0 or 1.
 
     Counts for the log-count ratios and the class balance cover all labelled rows, in Spark. A ratio is drawn towards zero by
-    `sure` of its standard errors, so that what a few texts happen to have says nothing; every bucket with a ratio left takes
-    part, however many there are. The linear weights over ratio-scaled presence are fitted by gradient steps on at most `sample`
+    the share that `sure` has in the signed root of its likelihood ratio, which is standard normal for a bucket that says nothing;
+    every bucket with a ratio left takes part, however many there are. The linear weights over ratio-scaled presence are fitted by gradient steps on at most `sample`
     labelled rows of each class, picked by a hash of the id and weighted back to the classes' sizes. The driver holds one
     number for each of the 2^BITS buckets, and of the sampled rows the buckets that have a ratio.
 
@@ -102,10 +102,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, sure: float = 3.
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:
         return Model(np.zeros(1 << BITS, np.float32), float(np.log((pos + 0.5) / (neg + 0.5))))
-    raw = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
-    error = F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    counts = _counts(rows.select("text", "label"), pos + neg).select("bucket", raw.alias("raw"), error.alias("error"))
-    found = counts.where(F.abs("raw") > sure * F.col("error")).select("bucket", (F.col("raw") - F.signum("raw") * sure * F.col("error")).cast("float").alias("r")).toArrow()
+    a, b = F.col("pos").cast("double"), F.col("neg").cast("double")
+    ratio = F.log((a + 0.5) / (pos + 1)) - F.log((b + 0.5) / (neg + 1))
+    part = lambda x: F.when(x > 0, x * F.log(x)).otherwise(0.0)
+    fixed = (pos + neg) * np.log(pos + neg) - pos * np.log(pos) - neg * np.log(neg)
+    evidence = F.sqrt(2 * F.greatest(part(a) + part(b) + part(pos - a) + part(neg - b) - part(a + b) - part(pos + neg - a - b) + F.lit(float(fixed)), F.lit(1e-9)))
+    counts = _counts(rows.select("text", "label"), pos + neg).select("bucket", ratio.alias("r"), evidence.alias("sd"))
+    found = counts.where(F.col("sd") > sure).select("bucket", (F.col("r") * (1 - sure / F.col("sd"))).cast("float").alias("r")).toArrow()
     ratios = np.zeros(1 << BITS, np.float32)
     ratios[found.column(0).to_numpy()] = found.column(1).to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast(ratios.tobytes())
