@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import bucket_links
-from .storage import written
+from .storage import whole_if_small, written
 
 #: Characters of a shingle; a shorter line is its own only one.
 WIDTH = 12
@@ -94,7 +94,7 @@ def line_groups(docs: DataFrame, threshold: float, bands: int, rows: int, rounds
     members = written(keyed.join(crowds, "key"))
     near = two.select(F.explode(F.array("a", "b")).alias("id")).unionByName(members.select("id")).distinct().withColumn("near", F.lit(True))
     wanted = written(lines.select("id", "h1", "h2", "n").join(near, "id", "left").where("n > 1 or near").select("id", "h1", "h2", F.coalesce("near", F.lit(False)).alias("near")))
-    places = written(split_lines(docs).join(wanted, ["h1", "h2"]).select("id", "doc", "pos", "h1", F.when(F.col("near"), F.col("line")).alias("line")))
+    places = written(split_lines(docs).join(whole_if_small(wanted), ["h1", "h2"]).select("id", "doc", "pos", "h1", F.when(F.col("near"), F.col("line")).alias("line")))
     texts = places.where("line is not null").groupBy("id").agg(F.first("line").alias("line"))
     texts = written(texts.select("id", "line", F.size(F.array_distinct(windows(F.col("line")))).alias("n")))
 
@@ -133,7 +133,7 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, bands: int = 8, rows: i
     rules = first.join(best, "component", "left").select("id", F.coalesce("best", "at").alias("stays"))
     gone = places.join(rules, "id").where(at != F.col("stays"))
     gone = written(gone.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("pos", "h1"))).alias("__gone")))
-    marked = docs.withColumn("__doc", F.col(id_col).cast("long")).join(gone.withColumnRenamed("doc", "__doc"), "__doc", "left").drop("__doc")
+    marked = docs.withColumn("__doc", F.col(id_col).cast("long")).join(whole_if_small(gone.withColumnRenamed("doc", "__doc")), "__doc", "left").drop("__doc")
     all_lines = F.split(F.coalesce(text, F.lit("")), "\n")
     stays = lambda x, i: ~F.array_contains("__gone", F.struct(i.alias("pos"), F.xxhash64(trimmed(x)).alias("h1")))
     kept = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(F.filter(all_lines, stays), "\n"))

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .storage import written
+from .storage import whole_if_small, written
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:[!?])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 ATTRIBUTES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -221,8 +221,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     rows = rows.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)))
     winners = written(host_paths(rows))
-    # The planner sends the hosts' paths whole only if their file is small; a hot host's partition is split by the adaptive join.
-    joined = rows.join(winners, "host", "left").select("page_id", "url", "html", "paths")
+    # The hosts' paths are sent whole only if their files are small; else a hot host's partition is split by the adaptive join.
+    joined = rows.join(whole_if_small(winners), "host", "left").select("page_id", "url", "html", "paths")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,8 +6,10 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Bytes of Parquet that are sent whole at most. Hashes and ids, which is what is sent, take hardly more room in memory.
+SENT = 12 << 20
 #: Paths written since each open `scratch` began.
 _open: list[list[str]] = []
 
@@ -37,6 +39,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_if_small(df: DataFrame) -> DataFrame:
+    """A written frame, marked to be sent whole to every executor if its files hold at most SENT bytes; else the join shuffles."""
+    files = df.inputFiles()
+    if not files:
+        return df
+    context = df.sparkSession.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+    size = at.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return F.broadcast(df) if size <= SENT else df
+
+
 def remove(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .storage import written
+from .storage import whole_if_small, written
 
 LENGTHS = (3, 4, 5, 6)
 #: Buckets that n-grams are hashed to, as a power of two; labelled rows that one task counts.
@@ -47,14 +47,26 @@ def presence(text: str | None) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Weights by bucket (zero where the n-gram says nothing) and the intercept."""
+    """Weights of the buckets `at`, all others being zero, and the intercept."""
 
+    at: np.ndarray
     weights: np.ndarray
     intercept: float
 
+    def scorer(self) -> Callable[[str | None], float]:
+        """Score of a text; the weights are laid out over all buckets once."""
+        every = np.zeros(1 << BITS, np.float32)
+        every[self.at] = self.weights
+
+        def score(text: str | None) -> float:
+            hits = [at[hit] for p in pieces(text) for at in buckets(p) if (hit := every[at] != 0).any()]
+            x = self.intercept + (float(every[np.unique(np.concatenate(hits))].sum(dtype=np.float64)) if hits else 0.0)
+            return float(1 / (1 + np.exp(-np.clip(x, -60, 60))))
+
+        return score
+
     def score(self, text: str | None) -> float:
-        x = self.intercept + float(self.weights[presence(text)].sum(dtype=np.float64))
-        return float(1 / (1 + np.exp(-np.clip(x, -60, 60))))
+        return self.scorer()(text)
 
 
 def _counts(rows: DataFrame, n: int) -> DataFrame:
@@ -73,35 +85,36 @@ def _counts(rows: DataFrame, n: int) -> DataFrame:
     return dealt.mapInArrow(run, "bucket int, pos int, neg int").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def _presence(rows: DataFrame, ratios) -> DataFrame:
-    """(label, has): which buckets with a ratio each text of rows(text, label) has, as 32-bit integers."""
+def _presence(rows: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """(label, has): which of the chosen buckets each text of rows(text, label) has, as 32-bit places in `chosen`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        says = np.frombuffer(ratios.value, np.float32) != 0
+        place = np.full(1 << BITS, -1, np.int32)
+        place[chosen] = np.arange(len(chosen), dtype=np.int32)
         for batch in batches:
-            has = [(at := presence(t.as_py()))[says[at]].astype("<u4").tobytes() for t in batch.column(0)]
+            has = [(p := place[presence(t.as_py())])[p >= 0].astype("<u4").tobytes() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(has, pa.binary())], ["label", "has"])
 
     return rows.mapInArrow(run, "label int, has binary")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, sure: float = 3.0, penalty: float = 1.0, rounds: int = 200) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 1000, sure: float = 3.0, penalty: float = 1.0, rounds: int = 200) -> Model:
     """Train on the rows of docs(doc_id, text) that labels(doc_id, label) marks 0 or 1.
 
     Counts for the log-count ratios and the class balance cover all labelled rows, in Spark. A ratio is drawn towards zero by
     the share that `sure` has in the signed root of its likelihood ratio, which is standard normal for a bucket that says nothing;
     every bucket with a ratio left takes part, however many there are. The linear weights over ratio-scaled presence are fitted by gradient steps on at most `sample`
-    labelled rows of each class, picked by a hash of the id and weighted back to the classes' sizes. The driver holds one
-    number for each of the 2^BITS buckets, and of the sampled rows the buckets that have a ratio.
+    labelled rows of each class, picked by a hash of the id and weighted back to the classes' sizes. The driver holds the
+    buckets with a ratio, at most 2^BITS, and which of them each sampled row has.
 
     Rows without text, with a null label or another label are left out. With a class missing, every score is its share.
     """
     known = written(labels.where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label")))
-    rows = written(docs.where("text is not null").join(known, "doc_id").select("doc_id", "text", "label"))
+    rows = written(docs.where("text is not null").join(whole_if_small(known), "doc_id").select("doc_id", "text", "label"))
     totals = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:
-        return Model(np.zeros(1 << BITS, np.float32), float(np.log((pos + 0.5) / (neg + 0.5))))
+        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), float(np.log((pos + 0.5) / (neg + 0.5))))
     a, b = F.col("pos").cast("double"), F.col("neg").cast("double")
     ratio = F.log((a + 0.5) / (pos + 1)) - F.log((b + 0.5) / (neg + 1))
     part = lambda x: F.when(x > 0, x * F.log(x)).otherwise(0.0)
@@ -109,15 +122,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, sure: float = 3.
     evidence = F.sqrt(2 * F.greatest(part(a) + part(b) + part(pos - a) + part(neg - b) - part(a + b) - part(pos + neg - a - b) + F.lit(float(fixed)), F.lit(1e-9)))
     counts = _counts(rows.select("text", "label"), pos + neg).select("bucket", ratio.alias("r"), evidence.alias("sd"))
     found = counts.where(F.col("sd") > sure).select("bucket", (F.col("r") * (1 - sure / F.col("sd"))).cast("float").alias("r")).toArrow()
-    ratios = np.zeros(1 << BITS, np.float32)
-    ratios[found.column(0).to_numpy()] = found.column(1).to_numpy()
-    sent = docs.sparkSession.sparkContext.broadcast(ratios.tobytes())
+    order = np.argsort(found.column(0).to_numpy())
+    chosen, r = found.column(0).to_numpy()[order], found.column(1).to_numpy()[order].astype(float)
     picked = [rows.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample).select("text", "label") for k in (0, 1)]
-    got = _presence(picked[0].unionByName(picked[1]), sent).collect()
+    got = _presence(picked[0].unionByName(picked[1]), chosen).collect()
     y = np.array([g["label"] for g in got], float)
     row = np.repeat(np.arange(len(got), dtype=np.int32), [len(g["has"]) // 4 for g in got])
-    chosen, col = np.unique(np.frombuffer(b"".join(bytes(g["has"]) for g in got), "<u4"), return_inverse=True)
-    col, r = col.astype(np.int32), ratios[chosen].astype(float)
+    col = np.frombuffer(b"".join(bytes(g["has"]) for g in got), "<u4").astype(np.int32)
     weigh = np.where(y == 1, pos / max(1, y.sum()), neg / max(1, (1 - y).sum()))
     weigh /= weigh.sum()
     w, b = np.zeros(len(chosen)), float(np.log(pos / neg))
@@ -131,24 +142,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, sure: float = 3.
         w -= RATE * (m / k) / (np.sqrt(v / n) + 1e-8)
         b -= RATE * (mb / k) / (np.sqrt(vb / n) + 1e-8)
     # A bucket that no sampled text has keeps what the ratios of the others are worth on the whole.
-    weights = ratios * np.float32(max(0.0, np.average(w, weights=np.abs(r))) if len(w) else 0.0)
-    weights[chosen] = w * r
-    return Model(weights.astype(np.float32), b)
-
-
-def _received(sent) -> Model:
-    weights, intercept = sent.value
-    return Model(np.frombuffer(weights, np.float32), intercept)
+    seen = np.bincount(col, minlength=len(w)) > 0
+    w[~seen] = max(0.0, np.average(w[seen], weights=np.abs(r[seen]))) if seen.any() else 0.0
+    return Model(chosen, (w * r).astype(np.float32), b)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) for every row; null and empty texts get the score of a text without n-grams of weight."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.weights.tobytes(), model.intercept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _received(sent)
+        scorer = model.scorer()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(t.as_py()) for t in batch.column(1)], pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([scorer(t.as_py()) for t in batch.column(1)], pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
@@ -157,12 +162,11 @@ def below(docs: DataFrame, model: Model, threshold: float, columns: list[str], t
     """The named columns of the rows whose score is under `threshold`, in one pass over them."""
     rows = docs.select(*columns)
     at = columns.index(text_col)
-    sent = docs.sparkSession.sparkContext.broadcast((model.weights.tobytes(), model.intercept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _received(sent)
+        scorer = model.scorer()
         for batch in batches:
-            yield batch.filter(pa.array([model.score(t.as_py()) < threshold for t in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([scorer(t.as_py()) < threshold for t in batch.column(at)], pa.bool_()))
 
     return rows.mapInArrow(run, rows.schema)
 
