@@ -11,7 +11,7 @@ from quaymark.llm.lines import dedup_lines
 from quaymark.llm.mixing import mix, words_of
 from quaymark.llm.pieces import round_trip
 from quaymark.llm.simhash import simhash_groups
-from quaymark.llm.storage import remove, scratch, shared_dir, table, written
+from quaymark.llm.storage import remove, scratch, shared_dir, table, whole_if_small, written
 from quaymark.llm.toxicity import below, fit_from_labels
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -46,7 +46,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts are one group. Rows that repeat the smallest id all stay, as nothing tells which is first.
     """
     copies = written(simhash_groups(docs).where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(copies, "doc_id", "left_anti").select(COLUMNS)
+    return docs.join(whole_if_small(copies), "doc_id", "left_anti").select(COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
