@@ -254,7 +254,7 @@ def j09_variant_velocity(spark, sf_dir):
     return _signals(S.product_velocity(warehouse(spark, sf_dir), S.Thresholds(velocity_z=1.0)))
 
 
-@query(_signal_sql("cohort_retention_shift", "cohort", "'repeat_rate_90d'", LAST, "least(fall / 100, 1)", "'degrading'", "COMMERCIAL", "A", """(
+@query(_signal_sql("cohort_retention_shift", "cohort", "'all'", LAST, "least(fall / 100, 1)", "'degrading'", "COMMERCIAL", "B", """(
     select count(*) as n, 100 * (1 - arg_max(repeat_rate_90d, cohort_month) / nullif(arg_min(repeat_rate_90d, cohort_month), 0)) as fall from mart_cohort_retention where has_full_90d_exposure and cohort_size >= 5 and months_since = 1) where n >= 4 and fall >= 1"""))
 def j13_cohort_retention_shift(spark, sf_dir):
     return _signals(S.cohort_retention_shift(warehouse(spark, sf_dir), S.Thresholds(cohort_size=5, cohort_decline_pct=1.0)))
@@ -467,7 +467,7 @@ def m01_naive_and_published_cac(spark, sf_dir):
     return d.groupBy("date_day").agg(fixed(ratio(F.sum("ad_spend"), F.sum("new_customers"))).alias("naive_cac"), F.max("blended_cac").cast("double").alias("published_cac"), F.bool_and("ad_spend_is_complete").alias("complete"))
 
 
-@query(_signal_sql("cpc_decomposition", "channel", "channel", LAST, "least(abs(change) / 100, 1)", "case when change > 0 then 'degrading' else 'improving' end", "COMMERCIAL", "B", f"""(
+@query(_signal_sql("cpc_decomposition", "channel", "channel", LAST, "least(abs(change) / 50, 1)", "case when change > 0 then 'degrading' else 'improving' end", "COMMERCIAL", "A", f"""(
     with s as (select channel, sum(ad_spend) filter (date_day > {LAST} - 28)::double as a, sum(ad_spend) filter (date_day <= {LAST} - 28)::double as b, sum(clicks) filter (date_day > {LAST} - 28)::double as c,
                       sum(clicks) filter (date_day <= {LAST} - 28)::double as d from mart_daily_trading where ad_spend is not null and date_day > {LAST} - 56 group by 1)
     select channel, 100 * ((a / nullif(c, 0)) / nullif(b / nullif(d, 0), 0) - 1) as change from s) where abs(change) >= 0.01"""))

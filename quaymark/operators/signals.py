@@ -116,9 +116,12 @@ def inventory_cover(w: Warehouse, t: Thresholds = Thresholds(), latest: bool = T
 def cohort_retention_shift(w: Warehouse, t: Thresholds = Thresholds()) -> DataFrame:
     """Decline of the 90-day repeat rate from the first to the last cohort, of those large and fully seen."""
     seen = w.mart_cohort_retention.where(F.col("has_full_90d_exposure") & (F.col("cohort_size") >= t.cohort_size) & (F.col("months_since") == 1))
+    rates = seen.select(F.lit("all").alias("all"), "cohort_month", "repeat_rate_90d")
+    trend = mann_kendall(rates, ["all"], "cohort_month", "repeat_rate_90d").select("p")
     ends = seen.agg(F.count("*").alias("n"), F.min_by("repeat_rate_90d", "cohort_month").alias("rate_then"), F.max_by("repeat_rate_90d", "cohort_month").alias("rate_now"))
     fall = ends.withColumn("decline_pct", 100 * (1 - ratio("rate_now", "rate_then"))).where((F.col("n") >= t.cohorts) & (F.col("decline_pct") >= t.cohort_decline_pct))
-    return signal(fall, w, "cohort_retention_shift", "cohort", F.lit("repeat_rate_90d"), F.least(F.col("decline_pct") / 100, F.lit(1.0)), "degrading", "A", ["rate_then", "rate_now", "decline_pct", "n"])
+    fall = fall.join(trend, F.lit(True), "left")  # a row each
+    return signal(fall, w, "cohort_retention_shift", "cohort", F.lit("all"), F.least(F.col("decline_pct") / 100, F.lit(1.0)), "degrading", "B", ["rate_then", "rate_now", "decline_pct", "n"], p=F.col("p"))
 
 
 def _last_days(df: DataFrame, keys: list[str], n: int) -> DataFrame:
@@ -144,11 +147,11 @@ def cac_ltv_breach(w: Warehouse, t: Thresholds = Thresholds()) -> DataFrame:
 
 
 def _trend(df: DataFrame, value: str) -> DataFrame:
-    """entity, n, slope, p, med of a weekday-adjusted daily series by entity."""
+    """entity, n, slope, z, p, med of a weekday-adjusted daily series by entity."""
     adjusted = dow_adjusted(df.where(F.col(value).isNotNull()).select("entity", "date_day", "iso_dow", F.col(value).cast("double").alias("v")), ["entity"], "iso_dow", "v")
     keys = (["entity"], "date_day", "adjusted")
     med = adjusted.groupBy("entity").agg(F.percentile("adjusted", 0.5).alias("med"))
-    return theil_sen(adjusted, *keys).join(mann_kendall(adjusted, *keys).select("entity", "p"), "entity").join(med, "entity")
+    return theil_sen(adjusted, *keys).join(mann_kendall(adjusted, *keys).select("entity", "z", "p"), "entity").join(med, "entity")
 
 
 def cac_trend(w: Warehouse, t: Thresholds = Thresholds()) -> DataFrame:
@@ -156,7 +159,12 @@ def cac_trend(w: Warehouse, t: Thresholds = Thresholds()) -> DataFrame:
     d = _trailing(w.mart_daily_trading, w.last_day, t.trend_days)
     series = d.where("channel = 'meta'").select(F.lit("blended").alias("entity"), "date_day", "iso_dow", F.col("blended_cac").alias("v")).unionByName(d.where(F.col("channel").isin("google", "meta")).select(F.col("channel").alias("entity"), "date_day", "iso_dow", F.col("channel_cac").alias("v")))
     hits = _trend(series, "v").withColumn("pct_per_day", 100 * F.col("slope") / F.col("med")).where((F.abs("pct_per_day") >= t.cac_pct_per_day) & (F.col("p") <= t.max_p))
-    return signal(hits, w, "cac_trend", "channel", F.col("entity"), F.least(F.abs("pct_per_day"), F.lit(1.0)), F.when(F.col("slope") > 0, "degrading").otherwise("improving"), F.when(F.col("entity") == "blended", "B").otherwise("C"), ["pct_per_day", "p", "n"], p=F.col("p"))
+    blended = F.col("entity") == "blended"
+    out = [
+        signal(hits.where(c), w, "cac_trend", kind, F.col("entity"), severity_from_z(F.col("z")), F.when(F.col("slope") > 0, "degrading").otherwise("improving"), tier, ["pct_per_day", "z", "p", "n"], p=F.col("p"))
+        for c, kind, tier in ((blended, "account", "B"), (~blended, "channel", "C"))
+    ]
+    return out[0].unionByName(out[1])
 
 
 def channel_cvr_shift(w: Warehouse, t: Thresholds = Thresholds()) -> DataFrame:
@@ -164,7 +172,7 @@ def channel_cvr_shift(w: Warehouse, t: Thresholds = Thresholds()) -> DataFrame:
     d = _trailing(w.mart_daily_trading, w.last_day, t.trend_days).where(F.col("channel").isin("google", "meta")).withColumnRenamed("channel", "entity")
     busy = d.groupBy("entity").agg(F.sum("clicks").alias("clicks")).where(F.col("clicks") >= t.cvr_clicks)
     hits = _trend(d.withColumn("v", ratio("orders", "clicks")), "v").join(busy, "entity").withColumn("change_pct", 100 * F.col("slope") * (F.col("n") - 1) / F.col("med")).where((F.abs("change_pct") >= t.cvr_pct) & (F.col("p") <= t.max_p))
-    return signal(hits, w, "channel_cvr_shift", "channel", F.col("entity"), F.least(F.abs("change_pct") / 100, F.lit(1.0)), F.when(F.col("slope") > 0, "improving").otherwise("degrading"), "C", ["change_pct", "p", "clicks"], p=F.col("p"))
+    return signal(hits, w, "channel_cvr_shift", "channel", F.col("entity"), severity_from_z(F.col("z")), F.when(F.col("slope") > 0, "improving").otherwise("degrading"), "C", ["change_pct", "p", "clicks"], p=F.col("p"))
 
 
 def _two_windows(d: DataFrame, last: DataFrame, days: int, keys: list[str], sums: list[str]) -> DataFrame:
@@ -183,7 +191,7 @@ def cpc_decomposition(w: Warehouse, t: Thresholds = Thresholds()) -> DataFrame:
     a, b = log_shares(cpm, ctr)
     g = g.withColumns({"change_pct": 100 * (cpc - 1), "auction_share": a, "creative_share": b}).where(F.abs("change_pct") >= t.cpc_pct)
     driver = F.when(F.col("auction_share") >= t.dominance * F.col("creative_share"), "auction").when(F.col("creative_share") >= t.dominance * F.col("auction_share"), "creative").otherwise("mixed")
-    return signal(g.withColumn("driver", driver), w, "cpc_decomposition", "channel", F.col("channel"), F.least(F.abs("change_pct") / 100, F.lit(1.0)), F.when(F.col("change_pct") > 0, "degrading").otherwise("improving"), "B", ["change_pct", "auction_share", "creative_share", "driver"])
+    return signal(g.withColumn("driver", driver), w, "cpc_decomposition", "channel", F.col("channel"), F.least(F.abs("change_pct") / 50, F.lit(1.0)), F.when(F.col("change_pct") > 0, "degrading").otherwise("improving"), "A", ["change_pct", "auction_share", "creative_share", "driver"])
 
 
 def aov_decomposition(w: Warehouse, t: Thresholds = Thresholds()) -> DataFrame:
@@ -194,9 +202,9 @@ def aov_decomposition(w: Warehouse, t: Thresholds = Thresholds()) -> DataFrame:
     basket = ratio(ratio("units_now", "orders_now"), ratio("units_then", "orders_then"))
     price = ratio(ratio("net_revenue_now", "units_now"), ratio("net_revenue_then", "units_then"))
     a, b = log_shares(basket, price)
-    trend = mann_kendall(_trailing(whole, w.last_day, 2 * t.evidence_days).withColumn("aov", ratio("net_revenue", "orders")), ["all"], "date_day", "aov").select("all", "p")
+    trend = mann_kendall(_trailing(whole, w.last_day, t.evidence_days).withColumn("aov", ratio("net_revenue", "orders")), ["all"], "date_day", "aov").select("all", "p")
     g = g.withColumns({"change_pct": 100 * (aov - 1), "basket_share": a, "price_share": b}).join(trend, "all", "left").where((F.abs("change_pct") >= t.aov_pct) & (F.col("p").isNull() | (F.col("p") <= t.max_p)))
-    return signal(g, w, "aov_decomposition", "account", F.lit("aov"), F.least(F.abs("change_pct") / 100, F.lit(1.0)), F.when(F.col("change_pct") > 0, "improving").otherwise("degrading"), "A", ["change_pct", "basket_share", "price_share", "p"], p=F.col("p"))
+    return signal(g, w, "aov_decomposition", "account", F.lit("blended"), F.least(F.abs("change_pct") / 25, F.lit(1.0)), F.when(F.col("change_pct") > 0, "improving").otherwise("degrading"), "B", ["change_pct", "basket_share", "price_share", "p"], p=F.col("p"))
 
 
 def email_engagement_decay(w: Warehouse, t: Thresholds = Thresholds()) -> DataFrame:
@@ -207,10 +215,11 @@ def email_engagement_decay(w: Warehouse, t: Thresholds = Thresholds()) -> DataFr
         mid = weeks.groupBy("flow_name").agg(F.percentile(c, 0.5).alias("med"))
         return theil_sen(weeks, ["flow_name"], "week_start", c).join(mid, "flow_name").select("flow_name", "n", F.when((F.col("n") >= 3) & (F.col("med") > 0), 100 * F.col("slope") * (F.col("n") - 1) / F.col("med")).alias(f"{c}_pct"))
 
-    p = mann_kendall(weeks, ["flow_name"], "week_start", "conversion_rate_8w").select("flow_name", "p")
-    g = moved("open_rate_8w").join(moved("conversion_rate_8w").drop("n"), "flow_name").join(p, "flow_name").where((F.col("n") >= t.email_weeks) & (F.col("open_rate_8w_pct") <= -t.open_decline_pct))
-    with_it = (F.col("conversion_rate_8w_pct") < 0) & (F.col("conversion_rate_8w_pct") / F.col("open_rate_8w_pct") >= t.comovement) & (F.col("p") <= t.max_p)
-    return signal(g, w, "email_engagement_decay", "flow", F.col("flow_name"), F.least(-F.col("open_rate_8w_pct") / 100, F.lit(1.0)), "degrading", "A", ["open_rate_8w_pct", "conversion_rate_8w_pct"], p=F.col("p"), classification=F.when(F.coalesce(with_it, F.lit(False)), "COMMERCIAL").otherwise("ARTIFACT"))
+    tested = lambda c, name: mann_kendall(weeks, ["flow_name"], "week_start", c).select("flow_name", F.col("p").alias(name))
+    g = moved("open_rate").join(moved("conversion_rate").withColumnRenamed("n", "n_conversion"), "flow_name").join(tested("open_rate", "p"), "flow_name").join(tested("conversion_rate", "conversion_p"), "flow_name")
+    g = g.where((F.col("n") >= t.email_weeks) & (F.col("n_conversion") >= t.email_weeks) & F.col("conversion_rate_pct").isNotNull() & (F.col("open_rate_pct") <= -t.open_decline_pct))
+    with_it = (F.col("conversion_rate_pct") < 0) & (F.col("conversion_rate_pct") / F.col("open_rate_pct") >= t.comovement) & (F.col("conversion_p") <= t.max_p)
+    return signal(g, w, "email_engagement_decay", "flow", F.col("flow_name"), F.least(-F.col("open_rate_pct") / 40, F.lit(1.0)), "degrading", "B", ["open_rate_pct", "conversion_rate_pct", "conversion_p"], p=F.col("p"), classification=F.when(F.coalesce(with_it, F.lit(False)), "COMMERCIAL").otherwise("ARTIFACT"))
 
 
 DETECTORS = {f.__name__: f for f in (

@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the folder that the cluster names in spark.checkpoint.dir (a temporary one if unset)."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quaymark-"))
+    """df computed once and kept in the folder that the cluster names in spark.checkpoint.dir, or in the context's own.
+
+    Where neither is set, a session in one process (tests) gets a temporary folder; on a cluster that would be a path
+    executors can't read, so it is an error.
+    """
+    context, named = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not context.getCheckpointDir():
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quaymark-"))
     return df.checkpoint()
