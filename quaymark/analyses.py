@@ -8,30 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .functions.columns import ratio
 from .operators import measures as M, pit, signals as S, simulate as K, stats as I
-from .plans.oracle import with_models
 from .queries import warehouse
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, extra: dict[str, str] | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = with_models(sql, extra)
-        return f
-    return register
-
-
-def fixed(c, digits: int = 6):
-    """Rounded on the scaled double, as the SQL does."""
-    return F.round((F.col(c) if isinstance(c, str) else c).cast("double") * 10**digits, 0) / 10**digits
-
-
-def _r(x: str, digits: int = 6) -> str:
-    return f"(round(cast({x} as double) * {10**digits}, 0) / {10**digits})"
-
+from .registry import ORACLES, QUERIES, fixed, query, rounded_sql as _r  # noqa: F401
 
 # The series that the statistics are shown on, revenue of a channel on its last 90 days.
 SERIES = {
@@ -105,7 +83,7 @@ def i05_weekday_adjusted(spark, sf_dir):
 @query(f"""
     with l as (select sku, ln(units) as lx, ln(cast(net_revenue as double)) as ly from mart_product_daily where units > 0 and net_revenue > 0),
     g as (select sku, count(*) as n, regr_slope(ly, lx) as b, regr_sxx(ly, lx) as sxx, regr_syy(ly, lx) as syy, regr_sxy(ly, lx) as sxy from l group by 1)
-    select sku, n, {_r('case when n >= 20 and sxx > 0 and b > 0 then b else 0.35::double end')} as beta, {_r('case when n >= 20 and sxx > 0 then greatest(sqrt(greatest(syy - b * sxy, 0) / (n - 2) / sxx), 0.05::double) else 0.2::double end')} as se from g""")
+    select sku, n, {_r('case when n >= 20 and sxx > 0 and b >= 0 then b else 0.35::double end')} as beta, {_r('case when n >= 20 and sxx > 0 then greatest(sqrt(greatest(syy - b * sxy, 0) / (n - 2) / sxx), case when b >= 0 then 0.05::double else 0.2::double end) else 0.2::double end')} as se from g""")
 def i08_elasticity(spark, sf_dir):
     return I.elasticity(warehouse(spark, sf_dir).mart_product_daily, ["sku"], "units", "net_revenue").select("sku", "n", fixed("beta").alias("beta"), fixed("se").alias("se"))
 
@@ -113,7 +91,7 @@ def i08_elasticity(spark, sf_dir):
 @query(f"""
     with l as (select variant_id, ln(units) as lx, ln(cast(net_revenue as double)) as ly from mart_variant_daily where units > 0 and net_revenue > 0),
     g as (select variant_id, count(*) as n, regr_slope(ly, lx) as b, regr_sxx(ly, lx) as sxx, regr_syy(ly, lx) as syy, regr_sxy(ly, lx) as sxy from l group by 1)
-    select variant_id, n, {_r('case when n >= 20 and sxx > 0 and b > 0 then b else 0.35::double end')} as beta, {_r('case when n >= 20 and sxx > 0 then greatest(sqrt(greatest(syy - b * sxy, 0) / (n - 2) / sxx), 0.05::double) else 0.2::double end')} as se from g""")
+    select variant_id, n, {_r('case when n >= 20 and sxx > 0 and b >= 0 then b else 0.35::double end')} as beta, {_r('case when n >= 20 and sxx > 0 then greatest(sqrt(greatest(syy - b * sxy, 0) / (n - 2) / sxx), case when b >= 0 then 0.05::double else 0.2::double end) else 0.2::double end')} as se from g""")
 def i08_variant_elasticity(spark, sf_dir):
     return I.elasticity(warehouse(spark, sf_dir).mart_variant_daily, ["variant_id"], "units", "net_revenue").select("variant_id", "n", fixed("beta").alias("beta"), fixed("se").alias("se"))
 
@@ -276,19 +254,6 @@ def k00_normal_draws(spark, sf_dir):
     return K.draws(spark).select("draw", fixed(K.normal(7, "demo")).alias("z"))
 
 
-@query()
-def k01_reallocation(spark, sf_dir):
-    out = K.reallocation(spark, 5000.0, 4000.0, 0.2, 42.0, 30.0, 55.0, 0.35, 0.2, 80.0)
-    return K.worth_waiting(K.summary(out)).select("draws", "p10", "median", "p90", "p_positive", "width_after", "advice")
-
-
-@query()
-def k03_reorder(spark, sf_dir):
-    w = warehouse(spark, sf_dir)
-    units = w.mart_daily_trading.groupBy("date_day").agg(F.sum("units").alias("units")).crossJoin(F.broadcast(w.last_day)).where(F.col("date_day") > F.date_sub("last_day", 90)).select(F.col("date_day").alias("day"), "units")
-    return K.summary(K.reorder(spark, units, 4000, 21.0, 12.5))
-
-
 # Checks return what violates them, counted; the counts are zero on sound data.
 @query("""
     select 'revenue' as identity, count(*) filter (contribution_margin <> net_revenue - cogs) as broken from fct_order_line
@@ -352,13 +317,6 @@ def j19_replay_trend(spark, sf_dir):
     return t.select("cursor", "channel", F.col("n").cast("long").alias("n"), fixed("slope", 4).alias("slope"), fixed("z").alias("z"))
 
 
-@query()
-def k07_recommendations(spark, sf_dir):
-    from .operators.recommend import dedupe, recommend
-
-    return dedupe(recommend(S.detect(warehouse(spark, sf_dir)))).select("as_of_date", "action_type", "entity_id", "detector", "confidence", "is_reversible", "notes")
-
-
 @query("""
     with p as (select b.*, r.difference, r.recon_status from mart_marketing_budget_vs_actual b join mart_marketing_invoice_recon r using (month_start, channel))
     select month_start, approved_budget::double as approved_budget, delivered_spend::double as delivered_spend, media_invoiced::double as media_invoiced, fee_invoiced::double as fee_invoiced, budget_variance::double as budget_variance,

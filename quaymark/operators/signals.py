@@ -189,9 +189,9 @@ def cpc_decomposition(w: Warehouse, t: Thresholds = Thresholds()) -> DataFrame:
     cpm = ratio(ratio("ad_spend_now", "impressions_now"), ratio("ad_spend_then", "impressions_then"))
     ctr = ratio(ratio("clicks_now", "impressions_now"), ratio("clicks_then", "impressions_then"))
     a, b = log_shares(cpm, ctr)
-    g = g.withColumns({"change_pct": 100 * (cpc - 1), "auction_share": a, "creative_share": b}).where(F.abs("change_pct") >= t.cpc_pct)
+    g = g.withColumns({"change_pct": 100 * (cpc - 1), "auction_share": a, "creative_share": b, "ctr_change_pct": 100 * (ctr - 1)}).where(F.abs("change_pct") >= t.cpc_pct)
     driver = F.when(F.col("auction_share") >= t.dominance * F.col("creative_share"), "auction").when(F.col("creative_share") >= t.dominance * F.col("auction_share"), "creative").otherwise("mixed")
-    return signal(g.withColumn("driver", driver), w, "cpc_decomposition", "channel", F.col("channel"), F.least(F.abs("change_pct") / 50, F.lit(1.0)), F.when(F.col("change_pct") > 0, "degrading").otherwise("improving"), "A", ["change_pct", "auction_share", "creative_share", "driver"])
+    return signal(g.withColumn("driver", driver), w, "cpc_decomposition", "channel", F.col("channel"), F.least(F.abs("change_pct") / 50, F.lit(1.0)), F.when(F.col("change_pct") > 0, "degrading").otherwise("improving"), "A", ["change_pct", "auction_share", "creative_share", "ctr_change_pct", "driver"])
 
 
 def aov_decomposition(w: Warehouse, t: Thresholds = Thresholds()) -> DataFrame:

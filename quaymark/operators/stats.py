@@ -98,13 +98,14 @@ def persistent(df: DataFrame, keys: list[str], order: str, flag: str, last: int)
 
 
 def elasticity(df: DataFrame, keys: list[str], x: str, y: str, least: int = 20, prior: tuple[float, float] = (0.35, 0.20), floor: float = 0.05) -> DataFrame:
-    """keys, beta, se of log y on log x; the prior for fewer than `least` points or a constant x, its beta for a falling slope."""
+    """keys, beta, se of log y on log x; the prior for fewer than `least` points or a constant x. A falling slope has the prior's beta and the wider error."""
     logs = df.where((F.col(x) > 0) & (F.col(y) > 0)).select(*keys, F.ln(F.col(x).cast("double")).alias("lx"), F.ln(F.col(y).cast("double")).alias("ly"))
     g = logs.groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope("ly", "lx").alias("b"), F.regr_sxx("ly", "lx").alias("sxx"), F.regr_syy("ly", "lx").alias("syy"), F.regr_sxy("ly", "lx").alias("sxy"))
     ok = (F.col("n") >= least) & (F.col("sxx") > 0)
-    rss = F.greatest(F.col("syy") - F.col("b") * F.col("sxy"), F.lit(0.0))
-    se = F.greatest(F.sqrt(rss / (F.col("n") - 2) / F.col("sxx")), F.lit(floor))
-    return g.select(*keys, "n", F.when(ok & (F.col("b") > 0), F.col("b")).otherwise(prior[0]).alias("beta"), F.when(ok, se).otherwise(prior[1]).alias("se"))
+    error = F.sqrt(F.greatest(F.col("syy") - F.col("b") * F.col("sxy"), F.lit(0.0)) / (F.col("n") - 2) / F.col("sxx"))
+    rising = F.col("b") >= 0
+    se = F.when(ok & rising, F.greatest(error, F.lit(floor))).when(ok, F.greatest(error, F.lit(prior[1]))).otherwise(prior[1])
+    return g.select(*keys, "n", F.when(ok & rising, F.col("b")).otherwise(prior[0]).alias("beta"), se.alias("se"))
 
 
 def log_shares(a: Column, b: Column) -> tuple[Column, Column]:

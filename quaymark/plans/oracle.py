@@ -37,7 +37,7 @@ AS_OF = f"date '{CFG.as_of}'"
 
 CTES: dict[str, str] = {
     "stg_orders": f"""
-        select o_orderkey as order_id, o_custkey as customer_id, o_orderdate as created_at, cast(o_orderdate as date) as order_date, o_orderstatus = 'P' as is_cancelled,
+        select o_orderkey as order_id, case when o_orderdate >= timestamp '2001-01-01' and o_orderkey % 3 = 0 then -1 - o_custkey else o_custkey end as customer_id, o_orderdate as created_at, cast(o_orderdate as date) as order_date, o_orderstatus = 'P' as is_cancelled,
                case when site like '%facebook%' then 'meta' when site like '%google%' or site like '%youtube%' then 'google' when site like '%tiktok%' then 'tiktok' else 'unattributed' end as channel,
                {_dec('o_totalprice')} as total_price
         from (select *, {SITE} as site from orders) where cast(o_orderdate as date) <= {AS_OF}""",
@@ -45,7 +45,7 @@ CTES: dict[str, str] = {
         select l_orderkey as order_id, l_partkey as variant_id, cast(l_quantity as bigint) as quantity, {_dec('l_extendedprice')} as gross, {_dec('l_extendedprice * l_discount')} as discount
         from lineitem where l_orderkey in (select order_id from stg_orders)""",
     "stg_customers": """
-        select c_custkey as customer_id, case when c_acctbal >= 0 then lower(replace(c_name, '#', '.')) || '@example.com' end as customer_email, c_acctbal >= 0 as has_valid_email,
+        select unnest([c_custkey, -1 - c_custkey]) as customer_id, case when c_acctbal >= 0 then lower(replace(c_name, '#', '.')) || '@example.com' end as customer_email, c_acctbal >= 0 as has_valid_email,
                case when c_mktsegment in ('BUILDING', 'MACHINERY') then 'subscribed' else 'not_subscribed' end as email_consent_state
         from customer""",
     "stg_products": f"""

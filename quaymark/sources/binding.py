@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.columns import decimal
 
 EVENT_ORIGIN, AD_ORIGIN = dt.date(2024, 1, 1), dt.date(2001, 7, 2)
+#: From this day on an order whose key is a multiple of three is placed with its customer's second account, so that there are new customers while ads run.
+SECOND_ACCOUNTS = dt.date(2001, 1, 1)
 #: Days without any rows of meta, and a day without one of its campaigns.
 META_GAP, META_PARTIAL = (dt.date(2001, 7, 16), dt.date(2001, 7, 17)), dt.date(2001, 7, 21)
 CAMPAIGNS = ("Prospecting - broad", "Retargeting - 30d", "DPA - catalogue", "Brand - exact", "Non-brand - generic", "PMax - all")
@@ -47,8 +49,9 @@ class DriverTables:
 
     def orders(self) -> DataFrame:
         site = F.create_map(*[F.lit(x) for pair in REFERRERS.items() for x in pair])[F.substring("o_orderpriority", 1, 1)]
+        second = (F.col("o_orderdate") >= F.lit(SECOND_ACCOUNTS)) & (F.col("o_orderkey") % 3 == 0)
         return self.table("orders").select(
-            F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("created_at"),
+            F.col("o_orderkey").alias("order_id"), F.when(second, -1 - F.col("o_custkey")).otherwise(F.col("o_custkey")).alias("customer_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("created_at"),
             (F.col("o_orderstatus") == "P").alias("is_cancelled"), site.alias("referring_site"), F.col("o_orderdate").cast("string").alias("synced_at"),
             decimal("o_totalprice").alias("total_price"),
         )
@@ -68,8 +71,9 @@ class DriverTables:
 
     def customers(self) -> DataFrame:
         email = F.when(F.col("c_acctbal") >= 0, F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.lit("@example.com"))).otherwise("")
+        both = F.explode(F.array(F.col("c_custkey"), -1 - F.col("c_custkey")))
         return self.table("customer").select(
-            F.col("c_custkey").alias("customer_id"), email.alias("email"),
+            both.alias("customer_id"), email.alias("email"),
             F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "subscribed").otherwise("not_subscribed").alias("email_consent_state"),
         )
 

@@ -6,9 +6,9 @@ import decimal
 import pytest
 
 from conftest import SMALL
-from quaymark import analyses, queries as own
+from quaymark import analyses, decisions, queries as own, registry  # noqa: F401
 
-QUERIES, ORACLES = {**own.QUERIES, **analyses.QUERIES}, {**own.ORACLES, **analyses.ORACLES}
+QUERIES, ORACLES = {**own.QUERIES, **registry.QUERIES}, {**own.ORACLES, **registry.ORACLES}
 
 
 def plain(v):

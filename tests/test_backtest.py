@@ -1,6 +1,10 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
+from conftest import SMALL
 from quaymark.operators import backtest as B, recommend as R
+from quaymark.queries import warehouse
 
 D = dt.date
 SIGNALS = "signal_id string, detector string, entity_id string, classification string, passed_fdr boolean, cursor date"
@@ -31,14 +35,37 @@ def test_traps(spark):
     assert got == {"email": (1, False), "any": (1, False), "budget": (0, True)}
 
 
+RAISED = "signal_id string, detector string, entity_id string, classification string, confidence double, as_of_date date, attribution_tier string, evidence string"
+
+
+def signals(spark):
+    day, clicks = D(2024, 1, 1), '{"auction_share": 0.5, "ctr_change_pct": -20.0}'
+    return spark.createDataFrame([
+        ("1", "cac_trend", "meta", "COMMERCIAL", 0.6, day, "B", "{}"), ("2", "cac_ltv_breach", "meta", "COMMERCIAL", 0.9, day, "B", "{}"), ("3", "cac_trend", "google", "DATA_QUALITY", 0.2, day, "C", "{}"),
+        ("4", "inventory_cover", "7", "COMMERCIAL", 0.9, day, "A", "{}"), ("5", "cpc_decomposition", "meta", "COMMERCIAL", 0.9, day, "A", clicks), ("6", "cac_trend", "blended", "COMMERCIAL", 0.5, day, "B", "{}"),
+    ], RAISED)
+
+
+def test_recommendations_by_kind(spark):
+    """Spend is moved from the signal's channel (or meta) and sized by the auction's share; what isn't commercial is only looked into."""
+    r = {(x["signal_id"], x["action_type"]): x for x in R.recommend(warehouse(spark, SMALL), signals(spark)).collect()}
+    assert set(r) == {("1", "REALLOCATE_SPEND"), ("2", "PAUSE_CAMPAIGN"), ("3", "INVESTIGATE_DATA"), ("4", "REORDER_INVENTORY"), ("5", "REALLOCATE_SPEND"), ("5", "REFRESH_CREATIVE"), ("6", "REALLOCATE_SPEND")}
+    assert r["1", "REALLOCATE_SPEND"]["entity_id"] == r["6", "REALLOCATE_SPEND"]["entity_id"] == "meta -> google"
+    assert r["2", "PAUSE_CAMPAIGN"]["autonomy"] == "AUTO-EXECUTE" and r["3", "INVESTIGATE_DATA"]["autonomy"] == "MONITOR"
+    assert r["4", "REORDER_INVENTORY"]["autonomy"] == "FLAG FOR REVIEW" and r["4", "REORDER_INVENTORY"]["p_positive"] is None and not r["4", "REORDER_INVENTORY"]["is_reversible"]
+    assert r["5", "REFRESH_CREATIVE"]["magnitude"] == 0.2 and r["5", "REALLOCATE_SPEND"]["magnitude"] == 0.1
+    assert r["1", "REALLOCATE_SPEND"]["magnitude"] == (0.1 if "capped" in r["1", "REALLOCATE_SPEND"]["autonomy"] else 0.2)
+
+
 def test_one_recommendation_for_an_action_and_entity(spark):
-    rows = [("1", "cac_trend", "meta", "COMMERCIAL", 0.5, D(2024, 1, 1)), ("2", "cac_ltv_breach", "meta", "COMMERCIAL", 0.9, D(2024, 1, 1)), ("3", "cac_trend", "google", "DATA_QUALITY", 0.2, D(2024, 1, 1)), ("4", "inventory_cover", "x", "COMMERCIAL", 0.9, D(2024, 1, 1))]
-    s = spark.createDataFrame(rows, "signal_id string, detector string, entity_id string, classification string, confidence double, as_of_date date")
-    got = {(r["action_type"], r["entity_id"]): r for r in R.dedupe(R.recommend(s)).collect()}
-    assert got["REALLOCATE_SPEND", "meta"]["signal_id"] == "2" and got["REALLOCATE_SPEND", "meta"]["notes"] == ["also raised by cac_trend at confidence 0.50"]
-    assert ("INVESTIGATE", "google") in got and not got["REORDER", "x"]["is_reversible"]
+    got = {(r["action_type"], r["entity_id"]): r for r in R.dedupe(R.plain(R.actions(signals(spark).where("detector like 'cac%'")))).collect()}
+    assert got["REALLOCATE_SPEND", "meta"]["signal_id"] == "1" and got["REALLOCATE_SPEND", "blended"]["notes"] == []
+    twice = signals(spark).where("signal_id in ('1', '2')").withColumn("detector", F.lit("cac_trend"))
+    kept = R.dedupe(R.plain(R.actions(twice))).collect()
+    assert [(k["signal_id"], k["notes"]) for k in kept] == [("2", ["also raised by cac_trend at confidence 0.60"])]
+    assert ("INVESTIGATE_DATA", "google") in got
 
 
-def test_the_cheapest_channel(spark):
-    c = spark.createDataFrame([("meta", 9.0), ("google", 7.0), ("tiktok", None), ("free", 0.0), ("also", 7.0)], "channel string, cac double")
-    assert R.cheapest_channel(c).collect()[0]["channel"] == "also"
+def test_the_cheapest_other_channel(spark):
+    c = spark.createDataFrame([("meta", 90, 10), ("google", 70, 10), ("tiktok", None, 5), ("free", 0, 5), ("also", 70, 10)], "channel string, ad_spend int, new_customers int")
+    assert {r["donor"]: r["receiver"] for r in R.cheapest_other(c).collect()} == {"meta": "also", "google": "also"}

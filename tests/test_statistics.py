@@ -70,17 +70,52 @@ def test_draws_do_not_depend_on_partitions(spark):
 
 
 def test_stockout_is_likely_when_demand_exceeds_stock(spark):
-    units = spark.createDataFrame([(i, 5) for i in range(90)], "day int, units int")
-    got = K.reorder(spark, units, 40, 21.0, 10.0, n=1000)
-    assert got.where("short > 0").count() > 900
+    """21 days of 5 units against 40 in stock; the risk has no chance of gain and never waits."""
+    cases = spark.createDataFrame([(1, 40.0, 10.0, [5.0] * 90)], "variant_id int, on_hand double, unit_margin double, pool array<double>")
+    got = K.reorder(cases, 21.0, n=1000)
+    assert got.where("short > 0").count() > 900 and got.where("margin_delta > 0").count() == 0
+    r = one(K.worth_waiting(K.summary(got, "variant_id", directional=False)))
+    assert r["p_positive"] is None and r["width_after"] is None and r["advice"] == "ACT" and r["p10"] <= r["median"] < 0 and r["p_stockout"] > 0.9
+
+
+def case(spark, **more):
+    row = {f"{s}_{c}": v for s, cac in (("donor", 42.0), ("receiver", 30.0)) for c, v in (("spend_per_day", 500.0), ("cac", cac), ("beta", 0.35), ("beta_se", 0.0))} | {"shift": 0.2, "ltv_margin": 55.0, "ltv_revenue": 80.0}
+    return spark.createDataFrame([row | more])
+
+
+def test_moving_spend_pays_where_customers_are_cheaper(spark):
+    s = one(K.summary(K.reallocation(case(spark), n=4000)))
+    assert s["p_positive"] > 0.75 and s["revenue_median"] > s["median"] > 0
+    # By hand, with every draw at its middle: 3,000 moved over 30 days.
+    middle = 55 * 3000 * (1 / (30 * 1.2**0.35) - 1 / (42 * 0.8**0.35))
+    assert abs(s["median"] - middle) < 100
+    assert one(K.summary(K.reallocation(case(spark, receiver_cac=80.0), n=4000)))["p_positive"] < 0.1
+    steep = one(K.summary(K.reallocation(case(spark, receiver_beta=9.0), n=4000)))  # as at 1.5
+    assert steep["median"] == one(K.summary(K.reallocation(case(spark, receiver_beta=1.5), n=4000)))["median"]
+
+
+def test_a_refresh_loses_at_most_its_cost(spark):
+    cases = spark.createDataFrame([(500.0, 40.0, 0.25, 55.0, 80.0), (500.0, 40.0, 0.0, 55.0, 80.0)], "spend_per_day double, cac double, uplift double, ltv_margin double, ltv_revenue double")
+    d = K.creative_refresh(cases, n=4000)
+    nothing = one(K.summary(d.where("uplift = 0")))
+    assert abs(nothing["median"] + 1500) < 40 and nothing["revenue_median"] == 0
+    assert abs(one(K.summary(d.where("uplift > 0")))["median"] - (375 * 0.125 * 55 - 1500)) < 150
+
+
+def test_elasticity_of_a_falling_cost_is_the_prior(spark):
+    rows = [("up", float(x), float(x) ** 0.5) for x in range(1, 41)] + [("down", float(x), 50.0 / x) for x in range(1, 41)] + [("few", float(x), float(x)) for x in range(1, 20)] + [("same", 3.0, float(x)) for x in range(1, 41)]
+    got = {r["k"]: (round(r["beta"], 6), round(r["se"], 6)) for r in I.elasticity(spark.createDataFrame(rows, "k string, x double, y double"), ["k"], "x", "y").collect()}
+    assert got == {"up": (0.5, 0.05), "down": (0.35, 0.2), "few": (0.35, 0.2), "same": (0.35, 0.2)}
 
 
 def test_gate(spark):
-    rows = [("a", "ARTIFACT", 0.9, "ACT", 0.9, True, "A"), ("b", "COMMERCIAL", 0.5, "ACT", 0.9, True, "A"), ("c", "COMMERCIAL", 0.6, "WAIT", 0.9, True, "A"), ("d", "COMMERCIAL", 0.9, "ACT", 0.4, True, "A"),
-            ("e", "COMMERCIAL", 0.9, "ACT", 0.9, False, "A"), ("f", "COMMERCIAL", 0.9, "ACT", 0.9, True, "C"), ("g", "COMMERCIAL", 0.9, "ACT", 0.85, True, "B"), ("h", "COMMERCIAL", 0.9, "ACT", 0.6, True, "B")]
-    df = spark.createDataFrame(rows, "id string, classification string, p_positive double, advice string, confidence double, is_reversible boolean, attribution_tier string")
-    got = {r["id"]: r["autonomy"] for r in K.autonomy(df).collect()}
-    assert got == {"a": "INVESTIGATE", "b": "RECOMMEND", "c": "WAIT", "d": "RECOMMEND", "e": "APPROVE", "f": "APPROVE", "g": "AUTO", "h": "AUTO_CAPPED"}
+    from quaymark.decisions import SITUATIONS
+
+    df = spark.createDataFrame(list(SITUATIONS), "id string, action_type string, p_positive double, advice string, confidence double, is_reversible boolean, attribution_tier string")
+    got = {r["id"]: (r["autonomy"], r["cap"]) for r in K.autonomy(df).collect()}
+    assert got == {
+        "looked into": ("FLAG FOR REVIEW", None), "does not pay": ("MONITOR", None), "in doubt": ("WAIT", None), "unsure": ("MONITOR", None), "for good": ("FLAG FOR REVIEW", None),
+        "by last click": ("FLAG FOR REVIEW", None), "sure": ("AUTO-EXECUTE", None), "half sure": ("AUTO-EXECUTE (capped magnitude)", 0.1), "on the edge": ("AUTO-EXECUTE (capped magnitude)", 0.1)}
 
 
 def test_an_outage_turns_overlapping_signals_into_data_quality(spark):
