@@ -301,7 +301,8 @@ def check_censoring_guards(spark, sf_dir):
     return warehouse(spark, sf_dir).mart_cohort_retention.agg(*[f for flag, v, tail in pairs for f in (F.count_if(c(flag) & c(v).isNull()).alias("missing" + tail), F.count_if(~c(flag) & c(v).isNotNull()).alias("leaked" + tail))])
 
 
-REPLAY = {"replayed": "select unnest(generate_series(date '2001-07-03', date '2001-08-02', interval 1 day))::date as cursor"}
+#: Every cursor from the 120th day after the first.
+REPLAY = {"replayed": "select date_day as cursor from dim_date where date_day >= (select min(date_day) from dim_date) + 120"}
 REPLAY["windows"] = "select cursor, channel, net_revenue::double as y, row_number() over (partition by cursor, channel order by date_day) as i from mart_daily_trading join replayed on date_day < cursor and date_day >= cursor - 28"
 
 
@@ -313,7 +314,10 @@ REPLAY["windows"] = "select cursor, channel, net_revenue::double as y, row_numbe
 def j19_replay_trend(spark, sf_dir):
     from .operators.backtest import replay_trend
 
-    t = replay_trend(warehouse(spark, sf_dir).mart_daily_trading, pit.cursors_between(spark, "2001-07-03", "2001-08-02"), ["channel"], "date_day", "net_revenue")
+    w = warehouse(spark, sf_dir)
+    first = w.dim_date.agg(F.min("date_day").alias("first"))
+    cursors = w.dim_date.crossJoin(F.broadcast(first)).where(F.col("date_day") >= F.date_add("first", 120)).select(F.col("date_day").alias("cursor"))
+    t = replay_trend(w.mart_daily_trading, cursors, ["channel"], "date_day", "net_revenue")
     return t.select("cursor", "channel", F.col("n").cast("long").alias("n"), fixed("slope", 4).alias("slope"), fixed("z").alias("z"))
 
 
