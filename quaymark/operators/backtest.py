@@ -10,11 +10,11 @@ from .stats import mann_kendall, theil_sen
 def replay_trend(daily: DataFrame, cursors: DataFrame, keys: list[str], day: str, value: str, days: int = 28) -> DataFrame:
     """cursor, keys, n, slope, z, p of a series' last `days` days before each cursor.
 
-    Cursors meet only the days of their own window, so a replay costs cursors x window, whatever the history; all
+    A day is dealt to the cursors that see it and met by equality, so a replay costs cursors x window, whatever the history; all
     statistics are grouped by cursor as one more key.
     """
-    seen = F.col(day) >= F.date_sub("cursor", days)
-    rows = daily.select(*keys, day, value).join(F.broadcast(cursors), (F.col(day) < F.col("cursor")) & seen)
+    seen_by = F.explode(F.sequence(F.date_add(day, 1), F.date_add(day, days)))
+    rows = daily.select(*keys, day, value, seen_by.alias("cursor")).join(F.broadcast(cursors), "cursor")
     at = ["cursor", *keys]
     return theil_sen(rows, at, day, value).join(mann_kendall(rows, at, day, value).drop("n"), at)
 
