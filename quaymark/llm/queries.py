@@ -5,6 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import align_tokenizers
+from .chat import chat_digests
 from .exact import EXACT_SQL, exact_dedup
 from .licenses import license_scan
 from .lines import dedup_lines
@@ -13,6 +15,7 @@ from .pages import main_text
 from .pieces import round_trip
 from .pii import private_data
 from .quality import quality_verdicts
+from .search import SEARCH_SQL, search
 from .simhash import simhash_groups
 from .storage import table
 from .toxicity import toxicity
@@ -58,5 +61,20 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str | None
     return round_trip(table(spark, sf_dir, "documents"), model_file or public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_personal_data, op3_license_scan, op4_line_dedup, op5_exact_dedup, op6_main_text, op7_quality_rules, op8_simhash, op9_mixing, op10_sentencepiece)}
-ORACLES = {"op5_exact_dedup": EXACT_SQL, "op9_mixing": MIX_SQL}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str, model_file: str | None = None) -> DataFrame:
+    return chat_digests(table(spark, sf_dir, "conversations"), model_file or public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str, a_file: str | None = None, b_file: str | None = None) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), a_file or public_tokenizers.path("byte_bpe_50k.json"), b_file or public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_toxicity, op2_personal_data, op3_license_scan, op4_line_dedup, op5_exact_dedup, op6_main_text, op7_quality_rules, op8_simhash, op9_mixing, op10_sentencepiece,
+    op11_lexical_search, op12_chat_format, op13_alignment,
+)}
+ORACLES = {"op5_exact_dedup": EXACT_SQL, "op9_mixing": MIX_SQL, "op11_lexical_search": SEARCH_SQL}
