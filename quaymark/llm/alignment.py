@@ -7,6 +7,8 @@ import json
 import os
 import re
 import sys
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from types import ModuleType
 
@@ -16,12 +18,15 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .storage import whole_if_small, written
 
-#: Both tokenizers begin anew before a single space between a visible character and a letter of ASCII: long texts are encoded in
-#: stretches of about CUT characters that end there.
+#: Both tokenizers begin anew before a single space between a visible character and a letter of ASCII, where no side is ahead: texts
+#: are cut into words there, and what a word does from the empty residual is remembered like any other transition.
 SAFE = re.compile(r"(?<=[!-~])(?= [A-Za-z])")
-CUT = 1 << 16
-#: Transitions remembered by a worker before it begins anew.
-REMEMBER = 1 << 20
+#: Transitions, and bytes of words, remembered by a worker before it begins anew; what a word takes besides its characters and pairs.
+REMEMBER, WORDS, ENTRY = 1 << 20, 192 << 20, 450
+#: Pairs of a group's tokens from which on its ids are counted before they are paired.
+LARGE = 4096
+#: Characters of texts whose new words are encoded together.
+GATHER = 1 << 18
 PAIRS = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<{kind}>, times array<int>"
 
 
@@ -129,60 +134,77 @@ class Aligner:
         self.transducer = Transducer(self.a_bytes, self.b_bytes)
         self.width = max(self.b.vocab_size(), 1)
         self.top = (max(self.a_bytes) + 1) * self.width
-
-    def stretches(self, text: str) -> Iterator[str]:
-        """Stretches of space+text that are encoded apart."""
-        full, at = " " + text, 0
-        while at < len(full):
-            cut = SAFE.search(full, at + CUT)
-            end = cut.start() if cut else len(full)
-            yield full[at:end]
-            at = end
-
-    def align(self, text: str | None) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
-        """n_a, n_b, n_groups, n_links, digest of the groups, distinct id pairs that are linked, and how many links each has."""
-        none = (0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
-        if not text:
-            return none
-        digest, n_a, n_b, n_groups, n_links, found = hashlib.sha256(), 0, 0, 0, 0, []
-        for part in self.stretches(text):
-            a = self.a.encode(part, add_special_tokens=False).ids
-            b = self.b.encode(part[1:])
-            if b"".join(map(self.a_bytes.__getitem__, a)) != part.encode():
-                return none
-            ends = self.transducer.groups(a, b)
+        self.known: dict[str, tuple | None] = {}
+        self.room = WORDS
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words (a space or a text's first characters, to the next safe place) and run the transducer over each."""
+        for word, a, b in zip(words, self.a.encode_batch(words, add_special_tokens=False), self.b.encode([w[1:] for w in words], num_threads=1)):
+            a = a.ids
+            ends = self.transducer.groups(a, b) if b"".join(map(self.a_bytes.__getitem__, a)) == word.encode() else None
             if ends is None:
-                return none
-            said = []
+                self.known[word] = None
+                self.room -= ENTRY + len(word)
+                continue
+            said, links, large = [], {}, False
             i = j = 0
             for x, y in zip(*ends):
-                said.append(f"{a[i]}|{b[j]}" if x - i == 1 == y - j else ",".join(map(str, a[i:x])) + "|" + ",".join(map(str, b[j:y])))
+                if x - i == 1 == y - j:
+                    said.append(f"{a[i]}|{b[j]}")
+                    key = a[i] * self.width + b[j]
+                    links[key] = links.get(key, 0) + 1
+                else:
+                    said.append(",".join(map(str, a[i:x])) + "|" + ",".join(map(str, b[j:y])))
+                    large = large or (x - i) * (y - j) > LARGE
+                    for m in () if large else a[i:x]:
+                        for n in b[j:y]:
+                            links[m * self.width + n] = links.get(m * self.width + n, 0) + 1
                 i, j = x, y
-            digest.update(((";" if n_groups else "") + ";".join(said)).encode())
-            n_a, n_b, n_groups = n_a + len(a), n_b + len(b), n_groups + len(said)
-            keys, times = self._links(np.array(a, np.int64), np.array(b, np.int64), *(np.array(e, np.int64) for e in ends))
-            n_links += int(times.sum())
-            found.append((keys, times))
-        keys, times = _summed(*map(np.concatenate, zip(*found)))
-        return n_a, n_b, n_groups, n_links, digest.hexdigest(), keys, times
-
-    def _links(self, a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(a * width + b, times) of all pairs within groups. Small groups are laid out pair by pair, at once; in a large one the ids are
-        counted first, so it costs its distinct pairs and not its length squared."""
-        size_a, size_b = np.diff(a_ends, prepend=0), np.diff(b_ends, prepend=0)
-        large = size_a * size_b > 4096
-        out = []
-        for g in np.flatnonzero(large).tolist():
-            ua, ca = np.unique(a[a_ends[g] - size_a[g] : a_ends[g]], return_counts=True)
-            ub, cb = np.unique(b[b_ends[g] - size_b[g] : b_ends[g]], return_counts=True)
-            out.append(((ua[:, None] * self.width + ub).ravel(), (ca[:, None] * cb).ravel()))
-        # Each A token of a small group meets the group's B tokens, which stand together.
-        each = np.repeat(np.where(large, 0, size_b), size_a)
-        first = np.repeat(b_ends - size_b, size_a)
-        place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-        keys = np.repeat(a * self.width, each) + b[np.repeat(first, each) + place]
-        out.append((keys, np.ones(len(keys), np.int64)))
-        return _summed(*map(np.concatenate, zip(*out)))
+            links = self._links(a, b, *ends) if large else links
+            entry = (";".join(said), len(a), len(b), len(said), sum(links.values()), len(links), array("q", links).tobytes(), array("q", links.values()).tobytes())
+            self.known[word] = entry
+            self.room -= ENTRY + len(word) + len(entry[0]) + 16 * len(links)
+
+    def align_all(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
+        """Of each text n_a, n_b, n_groups, n_links, digest of the groups, distinct id pairs that are linked, and how many links each has."""
+        at = 0
+        while at < len(texts):
+            if self.room < 0:
+                self.known.clear()
+                self.room = WORDS
+            cut, chars = [], 0
+            while at < len(texts) and (not cut or chars < GATHER):
+                cut.append(SAFE.split(" " + texts[at]) if texts[at] else [])
+                chars += len(texts[at] or "")
+                at += 1
+            self._learn(list({w for words in cut for w in words if w not in self.known}))
+            for words in cut:
+                yield self._told(words)
+
+    def _told(self, words: list[str]) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
+        counts = Counter(words)
+        entries = list(map(self.known.__getitem__, counts))
+        if not entries or None in entries:
+            return 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
+        often = np.fromiter(counts.values(), np.int64, len(counts))
+        said, *numbers, sizes, keys, times = zip(*entries)
+        sums = [int(np.dot(often, n)) for n in numbers]
+        of = dict(zip(counts, said))
+        digest = hashlib.sha256(";".join(map(of.__getitem__, words)).encode()).hexdigest()
+        each = np.frombuffer(b"".join(times), np.int64) * np.repeat(often, sizes)
+        return *sums, digest, *_summed(np.frombuffer(b"".join(keys), np.int64), each)
+
+    def _links(self, a: list[int], b: list[int], a_ends: list[int], b_ends: list[int]) -> dict[int, int]:
+        """Links by pair where a group is large: each group's ids are counted first, so it costs its distinct pairs and not its length squared."""
+        links: dict[int, int] = {}
+        i = j = 0
+        for x, y in zip(a_ends, b_ends):
+            of_b = Counter(b[j:y])
+            for m, times in Counter(a[i:x]).items():
+                for n, more in of_b.items():
+                    links[m * self.width + n] = links.get(m * self.width + n, 0) + times * more
+            i, j = x, y
+        return links
 
 
 def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +239,7 @@ def aligned(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", t
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
-                cols = list(zip(*(aligner.align(t) for t in batch.column(1).to_pylist())))
+                cols = list(zip(*aligner.align_all(batch.column(1).to_pylist())))
                 lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in c])], pa.int32()), pa.array(np.concatenate(c), k)) for c, k in ((cols[5], dtype), (cols[6], pa.int32()))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(range(row, row + batch.num_rows), pa.int64()), batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string()), *lists],

@@ -7,7 +7,6 @@ import random
 import re
 from collections import Counter, defaultdict
 
-import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -242,16 +241,21 @@ def test_alignment_of_the_table(spark):
     assert got == Counter((i, *x) for (i, _), x in zip(rows, aligned_by_hand([t for _, t in rows])))
 
 
-def test_stretches_change_nothing(monkeypatch):
+def test_words_change_nothing(monkeypatch):
+    """Groups of a text cut into words are those of the text encoded whole, however little is remembered."""
     from quaymark.llm import alignment
 
-    a = Aligner(A_FILE, B_FILE)
-    text = "Some words, and more of them: naïve 北京 don't  stop. " * 40
-    whole = a.align(text)
-    monkeypatch.setattr(alignment, "CUT", 50)
-    assert len(list(a.stretches(text))) > 20
-    cut = a.align(text)
-    assert whole[:5] == cut[:5] and (whole[5] == cut[5]).all() and (whole[6] == cut[6]).all()
+    texts = ["Some words, and more of them: naïve 北京 don't  stop. " * 40, "a b", None, "", "x▁y", "same words, and more of them: stop. z"]
+    monkeypatch.setattr(alignment, "SAFE", re.compile(r"(?!)"))
+    whole = list(Aligner(A_FILE, B_FILE).align_all(texts))
+    monkeypatch.undo()
+    monkeypatch.setattr(alignment, "WORDS", 500)
+    monkeypatch.setattr(alignment, "GATHER", 10)
+    aligner = Aligner(A_FILE, B_FILE)
+    aligner.transducer.room = 3
+    for x, y in zip(whole, aligner.align_all(texts), strict=True):
+        assert x[:5] == y[:5] and (x[5] == y[5]).all() and (x[6] == y[6]).all()
+    assert whole[0][0] > 400 and [x[4] for x in whole[2:5]] == ["", "", ""]
 
 
 def test_the_transducer_alone():
@@ -261,5 +265,4 @@ def test_the_transducer_alone():
     assert t.groups([0, 1], [0, 3]) is None and t.groups([0], [0, 1]) is None and t.groups([0, 1], [0]) is None and t.groups([], []) == ([], []) and t.groups([], [0]) is None
     large = Aligner.__new__(Aligner)
     large.width = 10
-    keys, times = large._links(np.array([1, 2] * 50), np.array([3] * 100), np.array([100]), np.array([100]))
-    assert keys.tolist() == [13, 23] and times.tolist() == [5000, 5000]
+    assert large._links([1, 2] * 50, [3] * 100, [100], [100]) == {13: 5000, 23: 5000}
