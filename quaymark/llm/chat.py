@@ -65,27 +65,23 @@ def _ordered(convs: DataFrame, model_file: str) -> DataFrame:
     conversation; the stretches' totals, one row for each conversation and task that it touches, are summed on top.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(model_file)
-        for batch in batches:
-            pieces = [render(r, t)[0] for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist())]
-            n = [len(x) for start in range(0, len(pieces), 256) for x in model.encode(pieces[start : start + 256], num_threads=1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], [*batch.schema.names, "tokens"])
-
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, of, place, before = TaskContext.get().partitionId(), (), 0, 0
+        model, task, of, place, before = _model(model_file), TaskContext.get().partitionId(), (), 0, 0
         for batch in batches:
+            conv, role, text = (batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))
+            pieces = [render(r, t)[0] for r, t in zip(role, text)]
+            tokens = [len(x) for start in range(0, len(pieces), 256) for x in model.encode(pieces[start : start + 256], num_threads=1)]
             places, sums = [], []
-            for conv, n in zip(batch.column("conv_id").to_pylist(), batch.column("tokens").to_pylist()):
-                if of != (conv,):
-                    of, place, before = (conv,), 0, 0
+            for c, n in zip(conv, tokens):
+                if of != (c,):
+                    of, place, before = (c,), 0, 0
                 places.append(place)
                 sums.append(before)
                 place, before = place + 1, before + n
-            more = [pa.array([task] * len(places), pa.int32()), pa.array(places, pa.int64()), pa.array(sums, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "task", "place", "before"])
+            more = [pa.array(tokens, pa.int64()), pa.array([task] * len(places), pa.int32()), pa.array(places, pa.int64()), pa.array(sums, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "tokens", "task", "place", "before"])
 
     rows = convs.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
@@ -94,9 +90,8 @@ def _ordered(convs: DataFrame, model_file: str) -> DataFrame:
     # The digest orders what ties; the row's own number only tells equal rows apart, so that many of them don't go to one task.
     keyed = rows.withColumns({"digest": F.md5("text"), "same": F.monotonically_increasing_id()})
     order = ["conv_id", "turn", "role", "digest", "same"]
-    schema = "conv_id long, turn long, role string, text string, digest string, same long, tokens long"
-    counted = keyed.mapInArrow(count, schema)
-    summed = written(counted.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(add, schema + ", task int, place long, before long").drop("digest", "same"))
+    schema = "conv_id long, turn long, role string, text string, digest string, same long, tokens long, task int, place long, before long"
+    summed = written(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(add, schema).drop("digest", "same"))
     earlier = W.partitionBy("conv_id").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
     totals = summed.groupBy("conv_id", "task").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"))
     base = totals.select(F.col("conv_id").alias("c"), F.col("task").alias("k"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("p"), F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("b"))
