@@ -429,10 +429,11 @@ def m01_naive_and_published_cac(spark, sf_dir):
     return d.groupBy("date_day").agg(fixed(ratio(F.sum("ad_spend"), F.sum("new_customers"))).alias("naive_cac"), F.max("blended_cac").cast("double").alias("published_cac"), F.bool_and("ad_spend_is_complete").alias("complete"))
 
 
-@query(_signal_sql("cpc_decomposition", "channel", "channel", LAST, "least(abs(change) / 50, 1)", "case when change > 0 then 'degrading' else 'improving' end", "COMMERCIAL", "A", f"""(
-    with s as (select channel, sum(ad_spend) filter (date_day > {LAST} - 28)::double as a, sum(ad_spend) filter (date_day <= {LAST} - 28)::double as b, sum(clicks) filter (date_day > {LAST} - 28)::double as c,
-                      sum(clicks) filter (date_day <= {LAST} - 28)::double as d from mart_daily_trading where ad_spend is not null and date_day > {LAST} - 56 group by 1)
-    select channel, 100 * ((a / nullif(c, 0)) / nullif(b / nullif(d, 0), 0) - 1) as change from s) where abs(change) >= 0.01"""))
+@query(_signal_sql("cpc_decomposition", "channel", "platform", LAST, "least(abs(change) / 50, 1)", "case when change > 0 then 'degrading' else 'improving' end", "COMMERCIAL", "A", """(
+    with l as (select max(ad_date) as z from fct_ad_spend_daily),
+    s as (select platform, sum(spend) filter (ad_date > z - 28)::double as a, sum(spend) filter (ad_date <= z - 28)::double as b, sum(clicks) filter (ad_date > z - 28)::double as c, sum(clicks) filter (ad_date <= z - 28)::double as d,
+                 sum(impressions) filter (ad_date > z - 28) as e, sum(impressions) filter (ad_date <= z - 28) as f from fct_ad_spend_daily, l where ad_date > z - 56 group by 1)
+    select platform, 100 * ((a / c) / (b / d) - 1) as change from s where least(a, b, c, d, e, f) > 0 and a is not null and b is not null) where abs(change) >= 0.01"""))
 def j07_cpc_decomposition(spark, sf_dir):
     return _signals(S.cpc_decomposition(warehouse(spark, sf_dir), S.Thresholds(cpc_pct=0.01)))
 

@@ -27,6 +27,11 @@ def ratio(a: Column | str, b: Column | str) -> Column:
     return col(a).cast("double") / F.nullif(col(b).cast("double"), F.lit(0.0))
 
 
+def micros_to_money(c: Column | str) -> Column:
+    """Millionths of a unit as money: whole cents, half away from zero."""
+    return (col(c) / 1000000.0).cast("decimal(12,2)")
+
+
 def visible(available: Column | str, event: Column | str, as_of) -> Column:
     """Availability filter: the sync day, or the event day where there is none, is not after the cursor."""
     return F.coalesce(col(available).try_cast("timestamp_ntz"), col(event).cast("timestamp_ntz")).cast("date") <= F.lit(as_of)

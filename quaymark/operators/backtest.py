@@ -1,9 +1,11 @@
-"""Replay of detectors over many cursors as one job, and scoring against labelled events."""
+"""Scores of a replay (operators.replay) against events and traps, and the replay of a trend statistic alone."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.columns import month_start, ratio
+from ..plans.warehouse import Warehouse
 from .stats import mann_kendall, theil_sen
 
 
@@ -14,7 +16,7 @@ def replay_trend(daily: DataFrame, cursors: DataFrame, keys: list[str], day: str
     statistics are grouped by cursor as one more key.
     """
     seen_by = F.explode(F.sequence(F.date_add(day, 1), F.date_add(day, days)))
-    rows = daily.select(*keys, day, value, seen_by.alias("cursor")).join(F.broadcast(cursors), "cursor")
+    rows = daily.select(*keys, day, value, seen_by.alias("cursor")).join(cursors, "cursor")
     at = ["cursor", *keys]
     return theil_sen(rows, at, day, value).join(mann_kendall(rows, at, day, value).drop("n"), at)
 
@@ -29,7 +31,53 @@ def matches(signals: DataFrame, events: DataFrame, grace_days: int = 14) -> Data
         & (F.col("e.entity_contains").isNull() | F.lower("s.entity_id").contains(F.lower("e.entity_contains")))
         & (F.col("s.cursor") >= F.date_sub("e.onset", grace_days))
     )
-    return s.join(F.broadcast(e), same).select("e.event_id", "s.signal_id", "s.cursor")
+    if "until" in events.columns:
+        same = same & (F.col("e.until").isNull() | (F.col("s.cursor") <= F.col("e.until")))
+    return s.join(e, same).select("e.event_id", "s.signal_id", "s.cursor")
+
+
+EVENT = ("event_id", "detector", "entity_id", "entity_contains", "onset", "until", "must_classify")
+TRAP = ("trap_id", "detector", "must_not_classify", "from_day", "to_day", "exclude_labelled", "per_cursor")
+
+
+def _outages(w: Warehouse) -> DataFrame:
+    bad = w.mart_data_quality.where("issue_type <> 'ok'")
+    run = F.date_sub("date_day", F.row_number().over(W.partitionBy("source_name").orderBy("date_day")))
+    return bad.withColumn("run", run).groupBy("source_name", "run").agg(F.min("date_day").alias("first"), F.max("date_day").alias("last"))
+
+
+def derived_events(w: Warehouse, times: DataFrame, pct: float = 10.0, evidence_days: int = 28) -> DataFrame:
+    """What the tables themselves say a replay should find, as EVENT rows: runs of missing or partial days of a source, months in which
+    a click's price or the average order moved by `pct` per cent or more against the month before.
+
+    A break may be answered until the window that first holds the whole month has passed. Events from before the replay are left out.
+    """
+    none = F.lit(None).cast("string")
+    outages = _outages(w).select(F.concat_ws(":", F.lit("outage"), "source_name", F.col("first").cast("string")), F.lit("data_completeness"), "source_name", none, "first", F.lit(None).cast("date"), F.lit("DATA_QUALITY"))
+
+    def breaks(daily: DataFrame, kind: str, detector: str, top: str, bottom: str) -> DataFrame:
+        """daily(entity, day, top, bottom)"""
+        m = daily.groupBy("entity", month_start("day").alias("month")).agg(F.sum(top).alias("a"), F.sum(bottom).alias("b")).withColumn("x", ratio("a", "b"))
+        m = m.withColumn("before", F.lag("x").over(W.partitionBy("entity").orderBy("month"))).where(F.abs(100 * (F.col("x") / F.col("before") - 1)) >= pct)
+        until = F.date_add(F.last_day("month"), evidence_days)
+        return m.select(F.concat_ws(":", F.lit(kind), "entity", F.col("month").cast("string")), F.lit(detector), "entity", none, "month", until, F.lit("COMMERCIAL"))
+
+    ads = w.fct_ad_spend_daily.select(F.col("platform").alias("entity"), F.col("ad_date").alias("day"), "spend", "clicks")
+    orders = w.mart_daily_trading.select(F.lit("blended").alias("entity"), F.col("date_day").alias("day"), "net_revenue", "orders")
+    found = outages.union(breaks(ads, "price", "cpc_decomposition", "spend", "clicks")).union(breaks(orders, "basket", "aov_decomposition", "net_revenue", "orders"))
+    since = times.agg(F.min("cursor").alias("_since"))
+    return found.toDF(*EVENT).crossJoin(since).where(F.col("onset") >= F.col("_since")).drop("_since")
+
+
+def derived_traps(w: Warehouse, times: DataFrame, budget: int = 4) -> DataFrame:
+    """What a replay must not say, as TRAP rows: a commercial fall of opens, a commercial trend of cost while a source of ads is out, and
+    more than `budget` commercial signals a cursor that answer no event in a January."""
+    commercial, none = F.lit("COMMERCIAL"), F.lit(None).cast("date")
+    opens = w.last_day.select(F.lit("opens"), F.lit("email_engagement_decay"), commercial, none, none, F.lit(False), F.lit(None).cast("int"))
+    gaps = _outages(w).where("source_name <> 'orders'").select(F.concat_ws(":", F.lit("gap"), "source_name", F.col("first").cast("string")), F.lit("cac_trend"), commercial, "first", F.date_add("last", 15), F.lit(False), F.lit(None).cast("int"))
+    years = times.where(F.month("cursor") == 1).select(F.trunc("cursor", "YEAR").alias("from")).distinct()
+    january = years.select(F.concat_ws(":", F.lit("january"), F.year("from").cast("string")), F.lit(None).cast("string"), commercial, "from", F.last_day("from"), F.lit(True), F.lit(budget))
+    return opens.union(gaps).union(january).toDF(*TRAP)
 
 
 def score_events(signals: DataFrame, events: DataFrame, grace_days: int = 14) -> DataFrame:
@@ -48,7 +96,7 @@ def score_traps(signals: DataFrame, events: DataFrame, traps: DataFrame, grace_d
         & (F.col("t.from_day").isNull() | (F.col("s.cursor") >= F.col("t.from_day"))) & (F.col("t.to_day").isNull() | (F.col("s.cursor") <= F.col("t.to_day")))
     )
     labelled = matches(signals, events, grace_days).select("signal_id").distinct().withColumn("labelled", F.lit(True))
-    hit = s.join(F.broadcast(t), bad).select("t.trap_id", "t.exclude_labelled", "t.per_cursor", "s.signal_id", "s.cursor").join(labelled, "signal_id", "left")
+    hit = s.join(t, bad).select("t.trap_id", "t.exclude_labelled", "t.per_cursor", "s.signal_id", "s.cursor").join(labelled, "signal_id", "left")
     hit = hit.where(~(F.col("exclude_labelled") & F.coalesce("labelled", F.lit(False)))).withColumn("here", F.count("*").over(W.partitionBy("trap_id", "cursor")))
     hit = hit.where(F.col("per_cursor").isNull() | (F.col("here") > F.col("per_cursor")))
     g = hit.groupBy("trap_id").agg(F.count("*").alias("violations"), F.count_distinct("cursor").alias("cursors_violated"))

@@ -3,6 +3,9 @@ missing denominator gives null."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import ratio
@@ -80,6 +83,64 @@ def to_date(mart: DataFrame, numerator: str, denominator: str, day: str = "date_
     return daily.select(day, *[c.alias(n) for n, c in out.items()])
 
 
+@dataclass(frozen=True)
+class State:
+    """A measure as what can be added up over days: the sum of `top`, over that of `bottom` if there is one, times `scale`; or the number of
+    distinct values of `key`, each on the first day of the period on which it stands."""
+
+    top: Column | None = None
+    bottom: Column | None = None
+    scale: float = 1.0
+    key: Column | None = None
+
+
+def trading_states() -> dict[str, State]:
+    """The measures of `trading` as states."""
+    c, whole = F.col, F.col("ad_spend_is_complete")
+    kept = lambda name: F.when(whole, c(name))
+    return {
+        **{n: State(c(n)) for n in ("net_revenue", "contribution_margin", "orders", "new_customers", "ad_spend")}, "units_sold": State(c("units")),
+        "margin_pct": State(c("contribution_margin"), c("net_revenue")), "aov": State(c("net_revenue"), c("orders")), "blended_cac": State(kept("ad_spend"), kept("new_customers")),
+        "cpc": State(c("ad_spend"), c("clicks")), "cpm": State(c("ad_spend"), c("impressions"), 1000.0), "ctr": State(c("clicks"), c("impressions")),
+        "complete_spend_days": State(key=F.when(whole, c("date_day"))), "repeat_order_share": State(c("returning_customers"), c("orders")),
+    }
+
+
+#: Views of a day: itself, and all days of its month, quarter or year up to it.
+VIEWS = {"current": "DD", "mtd": "MM", "qtd": "quarter", "ytd": "year"}
+
+
+def to_date_views(mart: DataFrame, states: dict[str, State], *by: str, day: str = "date_day") -> DataFrame:
+    """day, by, view and a column for each measure: any measures as they stand on each day in each of VIEWS.
+
+    A mart is summed to days once; the views run over those states in their period, of at most 366 rows a key, and divide last.
+    Distinct values are counted on their first day in the period, so their number runs like any sum.
+    """
+    sums = {n: s for n, s in states.items() if s.key is None}
+    aggregates = [F.sum(x).alias(f"{n}__{i}") for n, s in sums.items() for i, x in enumerate((s.top, s.bottom)) if x is not None]
+    keys = [*by, day]
+    daily = mart.groupBy(*keys).agg(*aggregates, F.count("*").alias("__rows"))
+    out = []
+    for view, unit in VIEWS.items():
+        period = F.col(day) if view == "current" else F.trunc(day, unit)
+        w = W.partitionBy(*by, period).orderBy(day).rowsBetween(W.unboundedPreceding, 0)
+        d = daily
+        for n, s in states.items():
+            if s.key is not None:
+                first = mart.select(*keys, s.key.alias("__key")).where("__key is not null").groupBy(*by, period.alias("__period"), "__key").agg(F.min(day).alias(day))
+                d = d.join(first.groupBy(*keys).agg(F.count("*").alias(f"{n}__0")), keys, "left")
+        columns = []
+        for n, s in states.items():
+            top = F.sum(f"{n}__0").over(w)
+            if s.key is not None:
+                top = F.coalesce(top, F.lit(0))
+            elif s.bottom is not None:
+                top = ratio(top.cast("double") * s.scale if s.scale != 1.0 else top, F.sum(f"{n}__1").over(w))
+            columns.append(top.alias(n))
+        out.append(d.select(*keys, F.lit(view).alias("view"), *columns))
+    return reduce(DataFrame.unionByName, out)
+
+
 def retention_pivot(retention: DataFrame, ages: list[int]) -> DataFrame:
     """Cohort months down, months since across; null where the window hasn't passed."""
     return retention.groupBy("cohort_month").pivot("months_since", ages).agg(F.max("retention_rate"))

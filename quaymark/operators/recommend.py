@@ -21,9 +21,9 @@ KEYS = ("as_of_date", "signal_id", "detector", "action_type", "entity_id", "magn
 RESULTS = {"p_positive": "double", "advice": "string", "median": "double", "p10": "double", "p90": "double", "revenue_median": "double"}
 
 
-def actions(signals: DataFrame) -> DataFrame:
-    """Signals with the action of their detector, whether it can be undone and whether they are commercial."""
-    table = signals.sparkSession.createDataFrame(list(ACTIONS), "detector string, action_type string, is_reversible boolean").coalesce(1)
+def actions(signals: DataFrame, known: tuple[tuple[str, str, bool], ...] = ACTIONS) -> DataFrame:
+    """Signals with the action of their detector (ten rows), whether it can be undone and whether they are commercial."""
+    table = signals.sparkSession.createDataFrame(list(known), "detector string, action_type string, is_reversible boolean").coalesce(1)
     return signals.join(F.broadcast(table), "detector").withColumn("commercial", F.col("classification") == "COMMERCIAL")
 
 
@@ -77,7 +77,7 @@ def spend(w: Warehouse, acted: DataFrame) -> DataFrame:
 
 def stock(w: Warehouse, acted: DataFrame) -> DataFrame:
     """Reorders of variants: units that nine draws of ten fall short by at most."""
-    variants = w.mart_variant_daily.withColumn("entity_id", F.col("variant_id").cast("string")).join(F.broadcast(acted.select("entity_id").distinct()), "entity_id", "left_semi")
+    variants = w.mart_variant_daily.withColumn("entity_id", F.col("variant_id").cast("string")).join(acted.select("entity_id").distinct(), "entity_id", "left_semi")
     cases = acted.withColumns({"magnitude": F.lit(0.0), "magnitude_unit": F.lit("units short at P90")}).join(K.stock_cases(variants, w.last_day).withColumn("entity_id", F.col("variant_id").cast("string")), "entity_id")
     return _settle(K.reorder(cases, LEAD_DAYS), directional=False).withColumn("magnitude", F.round("short_p90", 1)).select(*KEYS, "commercial", *RESULTS)
 

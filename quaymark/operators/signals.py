@@ -55,6 +55,17 @@ class Thresholds:
     cvr_clicks: int = 5000
     cvr_pct: float = 15.0
     suppression_days: int = 7
+    min_points: int = 8
+    email_warmup: int = 7
+    disabled: tuple[str, ...] = ()
+
+
+#: Decimals of a weekday-adjusted value: what is left of one value in two weekdays' terms ties, where division leaves noise.
+NOISE = 9
+
+
+def enabled(detector: str, t: Thresholds) -> bool:
+    return detector not in t.disabled
 
 
 def signal(
@@ -109,7 +120,7 @@ def product_velocity(w: Warehouse, t: Thresholds = Thresholds(), key: str = "var
 
 def inventory_cover(w: Warehouse, t: Thresholds = Thresholds(), latest: bool = True, key: str = "variant_id") -> DataFrame:
     """Variants (or brands, with key "sku") about to sell out, on the last day only: stock has no history, so earlier cursors get no rows."""
-    now = _product_mart(w, key).join(F.broadcast(w.last_day), F.col("date_day") == F.col("last_day")).drop("last_day").where((F.col("days_of_cover") < t.cover_warning) & F.lit(latest))
+    now = _product_mart(w, key).join(F.broadcast(w.last_day), F.col("date_day") == F.col("last_day")).drop("last_day").where((F.col("days_of_cover") < t.cover_warning) & F.lit(latest and w.is_latest))
     return signal(now, w, "inventory_cover", "variant", F.col(key).cast("string"), F.when(F.col("days_of_cover") < t.cover_critical, 1.0).otherwise(0.55), "degrading", "A", ["days_of_cover", "inventory_quantity", "velocity_28d"])
 
 
@@ -149,9 +160,10 @@ def cac_ltv_breach(w: Warehouse, t: Thresholds = Thresholds()) -> DataFrame:
 def _trend(df: DataFrame, value: str) -> DataFrame:
     """entity, n, slope, z, p, med of a weekday-adjusted daily series by entity."""
     adjusted = dow_adjusted(df.where(F.col(value).isNotNull()).select("entity", "date_day", "iso_dow", F.col(value).cast("double").alias("v")), ["entity"], "iso_dow", "v")
+    adjusted = adjusted.withColumn("adjusted", F.round("adjusted", NOISE))
     keys = (["entity"], "date_day", "adjusted")
     med = adjusted.groupBy("entity").agg(F.percentile("adjusted", 0.5).alias("med"))
-    return theil_sen(adjusted, *keys).join(mann_kendall(adjusted, *keys).select("entity", "z", "p"), "entity").join(med, "entity")
+    return theil_sen(adjusted, *keys).join(mann_kendall(adjusted, *keys).select("entity", "z", "p"), "entity").join(med, "entity").where("med > 0")
 
 
 def cac_trend(w: Warehouse, t: Thresholds = Thresholds()) -> DataFrame:
@@ -183,8 +195,11 @@ def _two_windows(d: DataFrame, last: DataFrame, days: int, keys: list[str], sums
 
 
 def cpc_decomposition(w: Warehouse, t: Thresholds = Thresholds()) -> DataFrame:
-    """Which of auction price and click rate moved the cost of a click, 28 days against the 28 before."""
-    g = _two_windows(w.mart_daily_trading.where("ad_spend is not null"), w.last_day, t.evidence_days, ["channel"], ["ad_spend", "clicks", "impressions"])
+    """Which of auction price and click rate moved the cost of a click, 28 days up to the last with ads against the 28 before."""
+    ads = w.fct_ad_spend_daily.select(F.col("platform").alias("channel"), F.col("ad_date").alias("date_day"), F.col("spend").alias("ad_spend"), "clicks", "impressions")
+    sums = ("ad_spend", "clicks", "impressions")
+    g = _two_windows(ads, ads.agg(F.max("date_day").alias("last_day")), t.evidence_days, ["channel"], list(sums))
+    g = g.where(" and ".join(f"{c}_{x} > 0" for c in sums for x in ("now", "then")))
     cpc = ratio(ratio("ad_spend_now", "clicks_now"), ratio("ad_spend_then", "clicks_then"))
     cpm = ratio(ratio("ad_spend_now", "impressions_now"), ratio("ad_spend_then", "impressions_then"))
     ctr = ratio(ratio("clicks_now", "impressions_now"), ratio("clicks_then", "impressions_then"))
@@ -196,20 +211,22 @@ def cpc_decomposition(w: Warehouse, t: Thresholds = Thresholds()) -> DataFrame:
 
 def aov_decomposition(w: Warehouse, t: Thresholds = Thresholds()) -> DataFrame:
     """Which of basket size and price moved the average order, with a trend test on the daily figure."""
-    whole = w.mart_daily_trading.groupBy("date_day").agg(*[F.sum(c).alias(c) for c in ("net_revenue", "orders", "units")]).withColumn("all", F.lit("all"))
-    g = _two_windows(whole, w.last_day, t.evidence_days, ["all"], ["net_revenue", "orders", "units"])
+    whole = w.mart_daily_trading.groupBy("date_day").agg(*[F.sum(c).alias(c) for c in ("net_revenue", "orders", "units")]).where("orders > 0").withColumn("all", F.lit("all"))
+    last = whole.agg(F.max("date_day").alias("last_day"), F.count("*").alias("_n")).where(F.col("_n") >= 2 * t.min_points).select("last_day")
+    sums = ("net_revenue", "orders", "units")
+    g = _two_windows(whole, last, t.evidence_days, ["all"], list(sums)).where(" and ".join(f"{c}_{x} > 0" for c in sums for x in ("now", "then")))
     aov = ratio(ratio("net_revenue_now", "orders_now"), ratio("net_revenue_then", "orders_then"))
     basket = ratio(ratio("units_now", "orders_now"), ratio("units_then", "orders_then"))
     price = ratio(ratio("net_revenue_now", "units_now"), ratio("net_revenue_then", "units_then"))
     a, b = log_shares(basket, price)
-    trend = mann_kendall(_trailing(whole, w.last_day, t.evidence_days).withColumn("aov", ratio("net_revenue", "orders")), ["all"], "date_day", "aov").select("all", "p")
+    trend = mann_kendall(_trailing(whole, last, t.evidence_days).withColumn("aov", ratio("net_revenue", "orders")), ["all"], "date_day", "aov").select("all", "p")
     g = g.withColumns({"change_pct": 100 * (aov - 1), "basket_share": a, "price_share": b}).join(trend, "all", "left").where((F.abs("change_pct") >= t.aov_pct) & (F.col("p").isNull() | (F.col("p") <= t.max_p)))
     return signal(g, w, "aov_decomposition", "account", F.lit("blended"), F.least(F.abs("change_pct") / 25, F.lit(1.0)), F.when(F.col("change_pct") > 0, "improving").otherwise("degrading"), "B", ["change_pct", "basket_share", "price_share", "p"], p=F.col("p"))
 
 
 def email_engagement_decay(w: Warehouse, t: Thresholds = Thresholds()) -> DataFrame:
     """Falling opens; commercial only where conversion falls with them."""
-    weeks = w.mart_email_flow_weekly.withColumn("_r", F.row_number().over(W.partitionBy("flow_name").orderBy("week_start"))).where(F.col("_r") > 7)
+    weeks = w.mart_email_flow_weekly.withColumn("_r", F.row_number().over(W.partitionBy("flow_name").orderBy("week_start"))).where(F.col("_r") > t.email_warmup)
 
     def moved(c: str) -> DataFrame:
         mid = weeks.groupBy("flow_name").agg(F.percentile(c, 0.5).alias("med"))
@@ -227,14 +244,29 @@ DETECTORS = {f.__name__: f for f in (
 )}
 
 
+#: Days of a bucket that intervals are dealt to, so that they meet by equality before their ends are compared.
+BUCKET = 32
+
+
+def _buckets(first: Column, last: Column) -> Column:
+    at = lambda d: F.floor(F.unix_date(d) / BUCKET)
+    return F.explode(F.sequence(at(first), at(last)))
+
+
 def suppress_over_outages(signals: DataFrame, evidence_days: int = 28) -> DataFrame:
-    """Signals whose evidence window meets an outage of the same cursor become data-quality ones, with a score of 0.3."""
-    outages = signals.where("detector = 'data_completeness'").select(F.col("as_of_date").alias("_d"), F.col("window_from").alias("_a"), F.col("window_to").alias("_b"), F.col("entity_id").alias("_s"))
+    """Signals whose evidence window meets an outage of the same cursor become data-quality ones, with a score of 0.3.
+
+    Windows and outages are dealt to buckets of days and meet within a cursor and bucket; of signals with one cursor and day, which
+    share a window, one row takes part.
+    """
+    outages = signals.where("detector = 'data_completeness'").select("as_of_date", "window_from", "window_to", F.col("entity_id").alias("_s"))
+    outages = outages.select("*", _buckets(F.col("window_from"), F.col("window_to")).alias("_k"))
     other = signals.where("detector <> 'data_completeness'")
-    meet = (F.col("as_of_date") == F.col("_d")) & (F.date_sub("fired_date", evidence_days) <= F.col("_b")) & (F.col("fired_date") >= F.col("_a"))
-    by = other.select("as_of_date", "signal_id", "fired_date").distinct().join(outages, meet).groupBy("as_of_date", "signal_id").agg(F.array_sort(F.collect_set("_s")).alias("suppressed_by"))
+    days = other.select("as_of_date", "fired_date").distinct().select("*", _buckets(F.date_sub("fired_date", evidence_days), F.col("fired_date")).alias("_k"))
+    meet = (F.date_sub("fired_date", evidence_days) <= F.col("window_to")) & (F.col("fired_date") >= F.col("window_from"))
+    by = days.join(outages, ["as_of_date", "_k"]).where(meet).groupBy("as_of_date", "fired_date").agg(F.array_sort(F.collect_set("_s")).alias("suppressed_by"))
     hit = F.col("suppressed_by").isNotNull()
-    out = other.join(by, ["as_of_date", "signal_id"], "left").withColumns({
+    out = other.join(by, ["as_of_date", "fired_date"], "left").select(*signals.columns, "suppressed_by").withColumns({
         "classification": F.when(hit, "DATA_QUALITY").otherwise(F.col("classification")), "data_quality_score": F.when(hit, 0.3).otherwise(F.col("data_quality_score"))})
     return out.unionByName(signals.where("detector = 'data_completeness'").withColumn("suppressed_by", F.lit(None).cast("array<string>")))
 
@@ -248,7 +280,12 @@ def adjudicate(signals: DataFrame, alpha: float = 0.10, evidence_days: int = 28)
     return s.withColumn("is_actionable", (F.col("classification") == "COMMERCIAL") & F.col("passed_fdr"))
 
 
+def ordered(signals: DataFrame) -> DataFrame:
+    """Adjudicated signals as they are reported: what can be acted on first, then by confidence; ties by id."""
+    return signals.orderBy(F.desc("is_actionable"), F.desc("confidence"), "as_of_date", "signal_id")
+
+
 def detect(w: Warehouse, t: Thresholds = Thresholds(), only: list[str] | None = None) -> DataFrame:
     w.persist("mart_daily_trading", "mart_variant_daily", "mart_data_quality", "mart_cohort_retention", "mart_ltv", "mart_email_flow_weekly", "last_day")
-    parts = [f(w, t) for name, f in DETECTORS.items() if only is None or name in only]
+    parts = [f(w, t) for name, f in DETECTORS.items() if enabled(name, t) and (only is None or name in only)]
     return adjudicate(settled(reduce(DataFrame.unionByName, parts)), w.cfg.fdr_alpha, t.evidence_days)

@@ -69,14 +69,25 @@ def mad_z(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     return p.where("back = 1").join(mid, keys).join(mad, keys).select(*keys, "n", F.col("y").alias("point"), F.when(F.col("n") >= 3, z).alias("z"))
 
 
+#: Stretches of [0, 1] by the fourth root, in which p-values are ranked apart.
+CHUNKS = 4096
+
+
 def benjamini_hochberg(df: DataFrame, p: str, alpha: float, within: list[str]) -> DataFrame:
-    """df with `kept`: true up to the last rank r of m with p <= alpha r / m. Null and NaN are no tests and never kept."""
-    testable = F.col(p).isNotNull() & ~F.isnan(p)
-    group = W.partitionBy(*within)
-    # Equal p-values share the verdict, so the rank is that of the last of them.
-    r = df.withColumn("_m", F.count(F.when(testable, 1)).over(group)).withColumn("_r", F.sum(F.when(testable, 1).otherwise(0)).over(group.orderBy(F.when(testable, F.col(p)).asc_nulls_last()).rangeBetween(W.unboundedPreceding, 0)))
-    r = r.withColumn("_last", F.max(F.when(testable & (F.col(p) <= F.col("_r") * alpha / F.col("_m")), F.col(p))).over(group))
-    return r.withColumn("kept", F.coalesce(testable & (F.col(p) <= F.col("_last")), F.lit(False))).drop("_m", "_r", "_last")
+    """df with `kept`: true up to the last rank r of m with p <= alpha r / m. Null and NaN are no tests and never kept.
+
+    Only tested rows are ranked, and of equal p-values, which share a verdict, one row with their number. The rank of a value is the
+    number of tests in the chunks before its own and up to it in that one, so no group is a single window; the last value kept
+    is joined back to the rows of the group.
+    """
+    tested = df.where(F.col(p).isNotNull() & ~F.isnan(p)).groupBy(*within, F.col(p).alias("_p")).agg(F.count("*").alias("_c"))
+    tested = tested.withColumn("_k", F.floor(F.sqrt(F.sqrt("_p")) * CHUNKS))
+    upto = lambda keys, order, last: W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, last)
+    chunks = tested.groupBy(*within, "_k").agg(F.sum("_c").alias("_n"))
+    chunks = chunks.select(*within, "_k", F.coalesce(F.sum("_n").over(upto(within, "_k", -1)), F.lit(0)).alias("_before"), F.sum("_n").over(W.partitionBy(*within)).alias("_m"))
+    ranked = tested.withColumn("_in", F.sum("_c").over(upto([*within, "_k"], "_p", 0))).join(chunks, [*within, "_k"])
+    last = ranked.where(F.col("_p") <= (F.col("_before") + F.col("_in")) * alpha / F.col("_m")).groupBy(*within).agg(F.max("_p").alias("_last"))
+    return df.join(last, within, "left").withColumn("kept", F.coalesce((F.col(p) <= F.col("_last")) & ~F.isnan(p), F.lit(False))).select(*df.columns, "kept")
 
 
 def dow_adjusted(df: DataFrame, keys: list[str], dow: str, value: str) -> DataFrame:

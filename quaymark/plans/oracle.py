@@ -200,6 +200,29 @@ CTES: dict[str, str] = {
                when abs(cast(off as double)) <= abs(cast(delivered_spend as double)) * {CFG.recon_tolerance_pct}::double / 100.0::double then 'within_tolerance' else 'exception' end as recon_status, data_status from x""",
 }
 
+_CELLS = ", ".join(f"({i}, '{p}', {c}, {cents}, '{B.CAMPAIGNS[c]}')" for i, (p, c, cents) in enumerate(B.LONG_CELLS))
+_GAPS = " or ".join([*(f"(platform = '{p}' and ad_date = date '{d}')" for p, d in B.LONG_GAPS), "(platform = '{}' and campaign_id = {} and ad_date = date '{}')".format(*B.LONG_PARTIAL)])
+#: Staging of sources.binding.LongTables, in place of the expressions of the same names.
+LONG = {
+    "stg_ads_daily": f"""
+        select platform, campaign_id, ad_date, clicks * 40 * wider // 100 as impressions, clicks, {_dec('cast(clicks * (cents * pct // 100) as double) / 100.0::double')} as spend, case when platform = 'google' then n end as conversions, ad_date + 1 as available_on, campaign_name
+        from (select *, 60 + 25 * n as clicks, case when platform = 'meta' and ad_date >= date '{B.META_STEP[0]}' then {B.META_STEP[1]} when platform = 'google' and ad_date >= date '{B.GOOGLE_STEP[0]}' then {B.GOOGLE_STEP[2]} else 100 end as pct,
+                     case when platform = 'google' and ad_date >= date '{B.GOOGLE_STEP[0]}' then {B.GOOGLE_STEP[1]} else 100 end as wider
+              from (select d.ad_date, c.platform, cast(c.campaign_id as bigint) as campaign_id, c.cents, c.campaign_name, coalesce(o.n, 0) as n
+                    from (select cast(unnest(generate_series(a, b, interval 1 day)) as date) as ad_date from (select min(o_orderdate) as a, max(o_orderdate) as b from orders)) d
+                    cross join (values {_CELLS}) as c(cell, platform, campaign_id, cents, campaign_name)
+                    left join (select cast(o_orderdate as date) as ad_date, o_orderkey % 4 as cell, count(*) as n from orders group by 1, 2) o on o.ad_date = d.ad_date and o.cell = c.cell))
+        where not ({_GAPS}) and ad_date + 1 <= {AS_OF}""",
+    "stg_email_flows": f"""
+        select flow_id, message_id, week_start, recipients, (4 * v + 400) * ({2 * B.LONG_WEEKS} - w) // {2 * B.LONG_WEEKS} as unique_opens, unique_clicks, unique_unsubscribes,
+               case when flow_id >= 3 then (p + 60) * ({2 * B.LONG_WEEKS} - w) // {2 * B.LONG_WEEKS} else p + 60 end as unique_orders, order_value
+        from (select cast(date_trunc('week', (select max(o_orderdate) from orders)) as date) + 7 * (w - {B.LONG_WEEKS}) as week_start, * from (
+            select cast(event_id % {B.LONG_WEEKS} as integer) as w, user_id % 6 as flow_id, user_id % 12 as message_id, (count(*) + 100) * 10 as recipients, count(*) filter (event_type = 'view') as v, count(*) filter (event_type = 'click') + 10 as unique_clicks,
+                   count(*) filter (event_type = 'error') as unique_unsubscribes, count(*) filter (event_type = 'purchase') as p, {_dec("coalesce(sum(value) filter (event_type = 'purchase'), 0)")} as order_value
+            from (select event_id, user_id, event_type, {_dec('value')} as value from events) group by 1, 2, 3))
+        where week_start + 7 <= {AS_OF}""",
+}
+
 
 def needed(sql: str, ctes: dict[str, str] | None = None) -> list[str]:
     """Names of the expressions that a query stands on, in the order in which they are given."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import cached_property
 
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -22,6 +23,9 @@ class Warehouse:
     No model collects rows: bounds of the calendar are a one-row frame.
     """
 
+    #: Whether this build stands at the newest day there is.
+    is_latest = True
+
     def __init__(self, raw, cfg: EngineConfig = EngineConfig()):
         self.raw, self.cfg = raw, cfg
 
@@ -34,7 +38,9 @@ class Warehouse:
 
     @cached_property
     def stg_orders(self) -> DataFrame:
-        o = self.raw.orders().where(visible("synced_at", "created_at", self.cfg.as_of))
+        # No order is synced before it is made: the cursor on the typed event day reaches the scan, the exact filter on the synced text doesn't.
+        made = F.col("created_at") < F.lit(dt.datetime.combine(self.cfg.as_of + dt.timedelta(days=1), dt.time())).cast("timestamp_ntz")
+        o = self.raw.orders().where(made).where(visible("synced_at", "created_at", self.cfg.as_of))
         return o.withColumns({"order_date": F.col("created_at").cast("date"), "channel": channel("referring_site")})
 
     @cached_property
@@ -115,8 +121,8 @@ class Warehouse:
 
     @cached_property
     def fct_order_line(self) -> DataFrame:
-        """Revenue without tax is rounded once, on the line; cost is exact."""
-        lines = self.stg_order_lines.join(self.fct_order.select("order_id", "customer_id", "order_date", "channel", "is_cancelled"), "order_id")
+        """Revenue without tax is rounded once, on the line; cost is exact. Lines meet the visible orders once, in their fact."""
+        lines = self.raw.order_lines().join(self.fct_order.select("order_id", "customer_id", "order_date", "channel", "is_cancelled"), "order_id")
         lines = lines.join(self.dim_product.select("variant_id", "unit_cost"), "variant_id")
         paid = F.col("gross") - F.col("discount")
         out = lines.select(
@@ -329,7 +335,7 @@ class Warehouse:
         days = days.select("month_start", "date_day", F.explode(F.array(*map(F.lit, ("meta", "google", "tiktok")))).alias("channel")).withColumns({
             "has": F.col("channel") != "tiktok", "day_of_month": F.day("date_day").cast("long"), "days_in_month": F.day(F.last_day("month_start")).cast("long")})
         spend = self.fct_ad_spend_daily.groupBy(F.col("ad_date").alias("date_day"), F.col("platform").alias("channel")).agg(F.sum("spend").alias("spend"))
-        b = days.join(F.broadcast(self._budget), ["month_start", "channel"], "left").join(spend, ["date_day", "channel"], "left")
+        b = days.join(self._budget, ["month_start", "channel"], "left").join(spend, ["date_day", "channel"], "left")
         status = F.when(~F.col("has"), "no_cost_source").when(F.col("spend").isNotNull(), "delivered").when(F.date_add("date_day", 1) > F.lit(self.cfg.as_of), "not_yet_visible").otherwise("missing")
         share = planned_share("pacing_profile", "day_of_month", "days_in_month")
         b = b.withColumns({"spend_status": status, "planned_cumulative": decimal(F.col("approved_budget").cast("double") * share)})

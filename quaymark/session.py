@@ -1,21 +1,29 @@
-"""Cutting lineage where several consumers read a costly result."""
+"""Where intermediates go, and cutting lineage where several consumers read a costly result."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the folder that the cluster names in spark.checkpoint.dir, or in the context's own.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir, or the context's own checkpoint folder where that is unset.
 
-    Where neither is set, a session in one process (tests) gets a temporary folder; on a cluster that would be a path
-    executors can't read, so it is an error.
+    With neither, a session in one process (tests) gets a temporary folder; on a cluster executors couldn't read it: an error.
     """
-    context, named = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not context.getCheckpointDir():
-        if not named and not context.master.startswith("local"):
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quaymark-"))
+        named = tempfile.mkdtemp(prefix="quaymark-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    return named
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -37,6 +37,16 @@ INVOICES = (
 )
 ALLOCATIONS = ((1, "meta", 1.0), (2, "google", 1.0), (3, "meta", 0.6), (3, "google", 0.4), (6, "meta", 1.0), (7, "google", 0.3333), (7, "meta", 0.3333), (7, "tiktok", 0.3334))
 
+#: LongTables: platform, campaign, price of a click in cents before its steps, by the cell (order key mod 4) whose orders make its clicks.
+LONG_CELLS = (("meta", 0, 260000), ("google", 3, 220000), ("meta", 1, 260000), ("google", 5, 220000))
+#: Days without any rows of a platform, and (platform, campaign, day) that is missing alone.
+LONG_GAPS = (("google", dt.date(1998, 6, 10)), ("google", dt.date(1998, 6, 11)), ("google", dt.date(1998, 6, 12)), ("meta", dt.date(2001, 3, 15)), ("meta", dt.date(2001, 3, 16)))
+LONG_PARTIAL = ("meta", 1, dt.date(2000, 5, 21))
+#: From these days on meta's clicks cost more (per cent) at the same rate, and google's impressions grow (per cent) with a dearer click.
+META_STEP, GOOGLE_STEP = (dt.date(1999, 4, 1), 140), (dt.date(2000, 10, 1), 150, 130)
+#: Email: weeks before the last one of the orders, over which events are dealt; opens halve over them, and orders do in the flows from 3 on.
+LONG_WEEKS = 60
+
 
 class DriverTables:
     """Raw frames by name, read lazily from `{sf_dir}/{table}.parquet`."""
@@ -119,3 +129,41 @@ class DriverTables:
 
     def allocations(self) -> DataFrame:
         return self._literal(ALLOCATIONS, "invoice_line_id long, channel string, allocation_pct double").select("invoice_line_id", "channel", decimal("allocation_pct", 6, 4).alias("allocation_pct"))
+
+
+class LongTables(DriverTables):
+    """The same orders, lines, products and customers, with advertising on every day of the orders and 60 weeks of email, so that
+    trends, breaks and outages have a history. Clicks follow the day's orders; email events are dealt to weeks by their ids."""
+
+    def ads_daily(self) -> DataFrame:
+        orders = self.table("orders").select(F.col("o_orderdate").cast("date").alias("ad_date"), (F.col("o_orderkey") % 4).cast("int").alias("cell"))
+        bounds = orders.agg(F.min("ad_date").alias("a"), F.max("ad_date").alias("b"))
+        cells = F.array(*[F.struct(F.lit(i).alias("cell"), F.lit(p).alias("platform"), F.lit(c).cast("long").alias("campaign_id"), F.lit(cents).alias("cents"), F.lit(CAMPAIGNS[c]).alias("campaign_name")) for i, (p, c, cents) in enumerate(LONG_CELLS)])
+        grid = bounds.select(F.explode(F.sequence("a", "b")).alias("ad_date")).select("ad_date", F.explode(cells).alias("c")).select("ad_date", "c.*")
+        g = grid.join(orders.groupBy("ad_date", "cell").agg(F.count("*").alias("n")), ["ad_date", "cell"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        gap = [(F.col("platform") == p) & (F.col("ad_date") == F.lit(d)) for p, d in LONG_GAPS]
+        p, c, d = LONG_PARTIAL
+        gap.append((F.col("platform") == p) & (F.col("campaign_id") == c) & (F.col("ad_date") == F.lit(d)))
+        for g_ in gap:
+            g = g.where(~g_)
+        meta, google = (F.col("platform") == "meta") & (F.col("ad_date") >= F.lit(META_STEP[0])), (F.col("platform") == "google") & (F.col("ad_date") >= F.lit(GOOGLE_STEP[0]))
+        clicks = 60 + 25 * F.col("n")
+        cents = F.expr("cents * pct div 100")
+        g = g.withColumns({"clicks": clicks, "pct": F.when(meta, META_STEP[1]).when(google, GOOGLE_STEP[2]).otherwise(100), "wider": F.when(google, GOOGLE_STEP[1]).otherwise(100)}).withColumn("price", cents)
+        return g.select(
+            "platform", "campaign_id", "ad_date", F.expr("clicks * 40 * wider div 100").alias("impressions"), "clicks", (F.col("clicks") * F.col("price") / 100.0).cast("decimal(12,2)").alias("spend"),
+            F.when(F.col("platform") == "google", F.col("n")).alias("conversions"), F.date_add("ad_date", 1).alias("available_on"), "campaign_name",
+        )
+
+    def email_flows(self) -> DataFrame:
+        last = self.table("orders").agg(F.date_trunc("week", F.max("o_orderdate")).cast("date").alias("last"))
+        e = self.table("events").select((F.col("event_id") % LONG_WEEKS).cast("int").alias("w"), (F.col("user_id") % 6).alias("flow_id"), (F.col("user_id") % 12).alias("message_id"), "event_type", decimal("value").alias("value"))
+        kind = lambda name: F.count_if(F.col("event_type") == name)
+        g = e.groupBy("w", "flow_id", "message_id").agg(
+            ((F.count("*") + 100) * 10).alias("recipients"), kind("view").alias("v"), (kind("click") + 10).alias("unique_clicks"), kind("error").alias("unique_unsubscribes"), kind("purchase").alias("p"),
+            F.coalesce(F.sum(F.when(F.col("event_type") == "purchase", F.col("value"))), F.lit(0)).cast("decimal(12,2)").alias("order_value"))
+        falling = lambda c: F.expr(f"({c}) * ({2 * LONG_WEEKS} - w) div {2 * LONG_WEEKS}")
+        return g.crossJoin(F.broadcast(last)).select(  # one row
+            "flow_id", "message_id", F.date_add("last", (F.col("w") - LONG_WEEKS) * 7).alias("week_start"), "recipients", falling("4 * v + 400").alias("unique_opens"), "unique_clicks", "unique_unsubscribes",
+            F.when(F.col("flow_id") >= 3, falling("p + 60")).otherwise(F.col("p") + 60).alias("unique_orders"), "order_value",
+        )
