@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import shared_dir
+
 #: Bytes of Parquet that are sent whole at most. Hashes and ids, which is what is sent, take hardly more room in memory.
 SENT = 12 << 20
 #: Paths written since each open `scratch` began.
@@ -19,22 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir, or the context's own checkpoint folder where that is unset.
-
-    With neither, a session in one process (tests) gets a temporary folder; on a cluster executors couldn't read it: an error.
-    """
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not named:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="quaymark-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(named)
-    return named
-
-
 def written(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it again: lineage ends here, the files outlive executors, and the planner knows
     their size, by which it sends a side of a join whole or not."""
