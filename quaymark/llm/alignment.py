@@ -7,8 +7,6 @@ import json
 import os
 import re
 import sys
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 from types import ModuleType
 
@@ -18,15 +16,16 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .storage import whole_if_small, written
 
-#: Both tokenizers begin anew before a single space between a visible character and a letter of ASCII, where no side is ahead: texts
-#: are cut into words there, and what a word does from the empty residual is remembered like any other transition.
+#: Both tokenizers begin anew before a single space between a visible character and a letter of ASCII: long texts are encoded in
+#: stretches of about CUT characters that end there.
 SAFE = re.compile(r"(?<=[!-~])(?= [A-Za-z])")
-#: Transitions, and bytes of words, remembered by a worker before it begins anew; what a word takes besides its characters and pairs.
-REMEMBER, WORDS, ENTRY = 1 << 20, 192 << 20, 450
-#: Pairs of a group's tokens from which on its ids are counted before they are paired.
-LARGE = 4096
-#: Characters of texts whose new words are encoded together.
-GATHER = 1 << 18
+CUT = 1 << 16
+#: Runs that an encoder by ranks takes quadratic time for; stretches with one are encoded by the tokenizer itself.
+RUN = re.compile(r"\S{1000}|\s{1000}")
+# Fixed value: how a byte-level tokenizer cuts a text before it merges.
+PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Transitions remembered by a worker before it begins anew, and pairs of a group's tokens from which on its ids are counted first.
+REMEMBER, LARGE = 1 << 20, 4096
 PAIRS = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<{kind}>, times array<int>"
 
 
@@ -46,6 +45,7 @@ class Transducer:
         self.ahead: list[bool] = [False]
         self.number = {self.states[0]: 0}
         self.steps: list[dict[int, int]] = [{}]
+        self.both: dict[tuple[int, int], int] = {}  # from the empty residual by a token of either side
         self.room = REMEMBER
 
     def _step(self, state: int, token: int) -> int:
@@ -72,28 +72,34 @@ class Transducer:
         """How many tokens of each side are read at the end of each group; None where the bytes differ or one side is left over."""
         if self.room < 0:
             self.forget()
-        steps, ahead = self.steps, self.ahead
-        state = i = j = 0
+        steps, ahead, both = self.steps, self.ahead, self.both
+        i = j = 0
         a_ends: list[int] = []
         b_ends: list[int] = []
         n = len(a)
         try:
-            while state or i < n:
-                if ahead[state]:
-                    token = b[j]
-                    j += 1
-                else:
-                    token = a[i]
-                    i += 1
-                after = steps[state].get(token)
-                if after is None:
-                    after = self._step(state, token)
-                    if after < 0:
-                        return None
-                state = after
-                if not state:
-                    a_ends.append(i)
-                    b_ends.append(j)
+            while i < n:
+                pair = (a[i], b[j])
+                i += 1
+                j += 1
+                state = both.get(pair)
+                if state is None:
+                    state = self._step(0, pair[0])
+                    state = both[pair] = self._step(state, pair[1]) if state > 0 else -1
+                    self.room -= 1
+                while state > 0:
+                    if ahead[state]:
+                        token = b[j]
+                        j += 1
+                    else:
+                        token = a[i]
+                        i += 1
+                    after = steps[state].get(token)
+                    state = self._step(state, token) if after is None else after
+                if state < 0:
+                    return None
+                a_ends.append(i)
+                b_ends.append(j)
         except IndexError:
             return None
         return (a_ends, b_ends) if j == len(b) else None
@@ -121,6 +127,22 @@ def piece_tokens(model) -> list[bytes]:
     return [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i in range(model.vocab_size()) for p in [model.id_to_piece(i)]]
 
 
+def by_ranks(path: str):
+    """An encoder of a byte-level tokenizer's file that merges by rank, or None where ids don't stand in the order of the merges."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    cut, model = spec["pre_tokenizer"] or {}, spec["model"]
+    made = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not spec["normalizer"] and not model.get("ignore_merges")
+    if not plain or made != sorted(made) or made[:1] != [256] or len(model["vocab"]) != 256 + len(made):
+        return None
+    added = {t["id"] for t in spec["added_tokens"]}
+    ranks = {b: i for i, b in byte_level_tokens(path).items() if i not in added}
+    return tiktoken.Encoding("byte-level", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={})
+
+
 class Aligner:
     def __init__(self, a_file: str, b_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -129,82 +151,74 @@ class Aligner:
 
         self.a = tokenizers.Tokenizer.from_file(a_file)
         self.a.encode_special_tokens = True
+        self.quick = by_ranks(a_file)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
         self.a_bytes, self.b_bytes = byte_level_tokens(a_file), piece_tokens(self.b)
         self.transducer = Transducer(self.a_bytes, self.b_bytes)
         self.width = max(self.b.vocab_size(), 1)
         self.top = (max(self.a_bytes) + 1) * self.width
-        self.known: dict[str, tuple | None] = {}
-        self.room = WORDS
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode words (a space or a text's first characters, to the next safe place) and run the transducer over each."""
-        for word, a, b in zip(words, self.a.encode_batch(words, add_special_tokens=False), self.b.encode([w[1:] for w in words], num_threads=1)):
-            a = a.ids
-            ends = self.transducer.groups(a, b) if b"".join(map(self.a_bytes.__getitem__, a)) == word.encode() else None
+        # Ids as text with what follows: a comma, or the end of the group's side.
+        self.a_text = [np.array([f"{i}{sign}" for i in range(max(self.a_bytes) + 1)], "S") for sign in ",|"]
+        self.b_text = [np.array([f"{i}{sign}" for i in range(self.width)], "S") for sign in ",;"]
+
+    def stretches(self, text: str) -> Iterator[str]:
+        """Stretches of space+text that are encoded apart."""
+        full, at = " " + text, 0
+        while at < len(full):
+            cut = SAFE.search(full, at + CUT)
+            end = cut.start() if cut else len(full)
+            yield full[at:end]
+            at = end
+
+    def ids(self, part: str) -> tuple[list[int], list[int]]:
+        a = self.a.encode(part, add_special_tokens=False).ids if self.quick is None or RUN.search(part) else self.quick.encode_ordinary(part)
+        return a, self.b.encode(part[1:])
+
+    def align(self, text: str | None) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
+        """n_a, n_b, n_groups, n_links, digest of the groups, distinct id pairs that are linked, and how many links each has."""
+        none = (0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if not text:
+            return none
+        digest, n_a, n_b, n_groups, found = hashlib.sha256(), 0, 0, 0, []
+        for part in self.stretches(text):
+            a, b = self.ids(part)
+            ends = self.transducer.groups(a, b) if b"".join(map(self.a_bytes.__getitem__, a)) == part.encode() else None
             if ends is None:
-                self.known[word] = None
-                self.room -= ENTRY + len(word)
-                continue
-            said, links, large = [], {}, False
-            i = j = 0
-            for x, y in zip(*ends):
-                if x - i == 1 == y - j:
-                    said.append(f"{a[i]}|{b[j]}")
-                    key = a[i] * self.width + b[j]
-                    links[key] = links.get(key, 0) + 1
-                else:
-                    said.append(",".join(map(str, a[i:x])) + "|" + ",".join(map(str, b[j:y])))
-                    large = large or (x - i) * (y - j) > LARGE
-                    for m in () if large else a[i:x]:
-                        for n in b[j:y]:
-                            links[m * self.width + n] = links.get(m * self.width + n, 0) + 1
-                i, j = x, y
-            links = self._links(a, b, *ends) if large else links
-            entry = (";".join(said), len(a), len(b), len(said), sum(links.values()), len(links), array("q", links).tobytes(), array("q", links.values()).tobytes())
-            self.known[word] = entry
-            self.room -= ENTRY + len(word) + len(entry[0]) + 16 * len(links)
-
-    def align_all(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
-        """Of each text n_a, n_b, n_groups, n_links, digest of the groups, distinct id pairs that are linked, and how many links each has."""
-        at = 0
-        while at < len(texts):
-            if self.room < 0:
-                self.known.clear()
-                self.room = WORDS
-            cut, chars = [], 0
-            while at < len(texts) and (not cut or chars < GATHER):
-                cut.append(SAFE.split(" " + texts[at]) if texts[at] else [])
-                chars += len(texts[at] or "")
-                at += 1
-            self._learn(list({w for words in cut for w in words if w not in self.known}))
-            for words in cut:
-                yield self._told(words)
-
-    def _told(self, words: list[str]) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
-        counts = Counter(words)
-        entries = list(map(self.known.__getitem__, counts))
-        if not entries or None in entries:
-            return 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-        often = np.fromiter(counts.values(), np.int64, len(counts))
-        said, *numbers, sizes, keys, times = zip(*entries)
-        sums = [int(np.dot(often, n)) for n in numbers]
-        of = dict(zip(counts, said))
-        digest = hashlib.sha256(";".join(map(of.__getitem__, words)).encode()).hexdigest()
-        each = np.frombuffer(b"".join(times), np.int64) * np.repeat(often, sizes)
-        return *sums, digest, *_summed(np.frombuffer(b"".join(keys), np.int64), each)
-
-    def _links(self, a: list[int], b: list[int], a_ends: list[int], b_ends: list[int]) -> dict[int, int]:
-        """Links by pair where a group is large: each group's ids are counted first, so it costs its distinct pairs and not its length squared."""
-        links: dict[int, int] = {}
-        i = j = 0
-        for x, y in zip(a_ends, b_ends):
-            of_b = Counter(b[j:y])
-            for m, times in Counter(a[i:x]).items():
-                for n, more in of_b.items():
-                    links[m * self.width + n] = links.get(m * self.width + n, 0) + times * more
-            i, j = x, y
-        return links
+                return none
+            a, b, a_ends, b_ends = (np.array(x, np.int64) for x in (a, b, *ends))
+            said = self._said(a, b, a_ends, b_ends)
+            digest.update(b";" + said if n_groups else said)
+            n_a, n_b, n_groups = n_a + len(a), n_b + len(b), n_groups + len(a_ends)
+            found.append(self._links(a, b, a_ends, b_ends))
+        keys, times = _summed(*map(np.concatenate, zip(*found))) if len(found) > 1 else found[0]
+        return n_a, n_b, n_groups, int(times.sum()), digest.hexdigest(), keys, times
+
+    def _said(self, a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> bytes:
+        """Groups as `a1,a2|b1;...`: every id's text is put at its place in one array, and what pads them is taken out."""
+        a_last, b_last = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        a_last[a_ends - 1] = b_last[b_ends - 1] = True
+        group_a, group_b = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
+        out = np.empty(len(a) + len(b), f"S{max(self.a_text[0].itemsize, self.b_text[0].itemsize)}")
+        out[np.arange(len(a)) + np.r_[0, b_ends][group_a]] = np.where(a_last, self.a_text[1][a], self.a_text[0][a])
+        out[np.arange(len(b)) + a_ends[group_b]] = np.where(b_last, self.b_text[1][b], self.b_text[0][b])
+        return out.tobytes().translate(None, b"\0")[:-1]
+
+    def _links(self, a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(a * width + b, times) of all pairs within groups. Small groups are laid out pair by pair, at once; in a large one the ids are
+        counted first, so it costs its distinct pairs and not its length squared."""
+        size_a, size_b = np.diff(a_ends, prepend=0), np.diff(b_ends, prepend=0)
+        large = size_a * size_b > LARGE
+        out = []
+        for g in np.flatnonzero(large).tolist():
+            ua, ca = np.unique(a[a_ends[g] - size_a[g] : a_ends[g]], return_counts=True)
+            ub, cb = np.unique(b[b_ends[g] - size_b[g] : b_ends[g]], return_counts=True)
+            out.append(((ua[:, None] * self.width + ub).ravel(), (ca[:, None] * cb).ravel()))
+        # Each A token of a small group meets the group's B tokens, which stand together.
+        each = np.repeat(np.where(large, 0, size_b), size_a)
+        first = np.repeat(b_ends - size_b, size_a)
+        place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        keys, times = np.unique(np.repeat(a * self.width, each) + b[np.repeat(first, each) + place], return_counts=True)
+        return _summed(*map(np.concatenate, zip(*out, (keys, times)))) if out else (keys, times)
 
 
 def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,7 +253,7 @@ def aligned(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", t
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
-                cols = list(zip(*aligner.align_all(batch.column(1).to_pylist())))
+                cols = list(zip(*(aligner.align(t) for t in batch.column(1).to_pylist())))
                 lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in c])], pa.int32()), pa.array(np.concatenate(c), k)) for c, k in ((cols[5], dtype), (cols[6], pa.int32()))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(range(row, row + batch.num_rows), pa.int64()), batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string()), *lists],

@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -241,23 +242,34 @@ def test_alignment_of_the_table(spark):
     assert got == Counter((i, *x) for (i, _), x in zip(rows, aligned_by_hand([t for _, t in rows])))
 
 
-def test_words_change_nothing(monkeypatch):
-    """Groups of a text cut into words are those of the text encoded whole, however little is remembered."""
+def test_stretches_change_nothing(monkeypatch):
+    """Groups of a text cut into stretches are those of the text encoded whole, however little is remembered."""
     from quaymark.llm import alignment
 
     texts = ["Some words, and more of them: naïve 北京 don't  stop. " * 40, "a b", None, "", "x▁y", "same words, and more of them: stop. z"]
-    monkeypatch.setattr(alignment, "SAFE", re.compile(r"(?!)"))
-    whole = list(Aligner(A_FILE, B_FILE).align_all(texts))
-    monkeypatch.undo()
-    monkeypatch.setattr(alignment, "WORDS", 500)
-    monkeypatch.setattr(alignment, "GATHER", 10)
+    whole = list(map(Aligner(A_FILE, B_FILE).align, texts))
+    monkeypatch.setattr(alignment, "CUT", 50)
+    monkeypatch.setattr(alignment, "REMEMBER", 3)
     aligner = Aligner(A_FILE, B_FILE)
-    aligner.transducer.room = 3
-    for x, y in zip(whole, aligner.align_all(texts), strict=True):
+    assert len(list(aligner.stretches(texts[0]))) > 20
+    for x, t in zip(whole, texts):
+        y = aligner.align(t)
         assert x[:5] == y[:5] and (x[5] == y[5]).all() and (x[6] == y[6]).all()
     assert whole[0][0] > 400 and [x[4] for x in whole[2:5]] == ["", "", ""]
 
 
+def test_both_encoders_of_the_first_side_agree():
+    """Merging by rank gives the tokenizer's ids around every kind of character, and long runs go to the tokenizer."""
+    a = Aligner(A_FILE, B_FILE)
+    rng = random.Random(11)
+    points = [*range(0x3100), *rng.sample(range(0x3100, 0xD800), 3000), *rng.sample(range(0xE000, 0x110000), 6000)]
+    texts = [f" a{chr(c)}b {chr(c)}1{chr(c)} {chr(c)}{chr(c)}.{chr(c)}" for c in points] + ["  ".join(rng.choice(["don't", "I'LL", "x'sy", "\n\n", "\u00a0", "12", "é"]) for _ in range(9)) for _ in range(500)]
+    assert a.quick is not None and [e.ids for e in a.a.encode_batch(texts, add_special_tokens=False)] == [a.quick.encode_ordinary(t) for t in texts]
+    for run in ("z" * 300_000, " " * 300_000, "ab" * 1000 + " c"):
+        ids, _ = a.ids(" " + run)
+        assert ids == a.a.encode(" " + run, add_special_tokens=False).ids
+
+
 def test_the_transducer_alone():
     t = Transducer([b"ab", b"c", b"abc", b"d"], [b"a", b"bc", b"abcd", b"x"])
     assert t.groups([0, 1], [0, 1]) == ([2], [2])
@@ -265,4 +277,5 @@ def test_the_transducer_alone():
     assert t.groups([0, 1], [0, 3]) is None and t.groups([0], [0, 1]) is None and t.groups([0, 1], [0]) is None and t.groups([], []) == ([], []) and t.groups([], [0]) is None
     large = Aligner.__new__(Aligner)
     large.width = 10
-    assert large._links([1, 2] * 50, [3] * 100, [100], [100]) == {13: 5000, 23: 5000}
+    keys, times = large._links(np.array([1, 2] * 50 + [4]), np.array([3] * 100 + [5]), np.array([100, 101]), np.array([100, 101]))
+    assert dict(zip(keys.tolist(), times.tolist())) == {13: 5000, 23: 5000, 45: 1}
