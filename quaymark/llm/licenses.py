@@ -30,12 +30,32 @@ NOTICES = (
     ("permission is hereby granted free of charge to any person obtaining a copy", 7, "mit"),
     ("licensed under cc by nc", 2, "cc-by-nc"),
     ("licensed under cc by sa", 2, "cc-by-sa"),
+    ("licensed under cc by nd", 2, "cc-by-nd"),
+    ("licensed under cc by nc sa", 2, "cc-by-nc-sa"),
+    ("licensed under cc by nc nd", 2, "cc-by-nc-nd"),
+    ("dedicated to the public domain under cc0", 4, "cc0"),
     ("licensed under creative commons attribution", 4, "cc-by"),
     ("redistribution and use in source and binary forms with or without modification are permitted", 8, "bsd"),
+    ("licensed under the bsd license", 3, "bsd"),
+    ("released under the bsd license", 3, "bsd"),
+    ("licensed under the isc license", 3, "isc"),
+    ("released under the isc license", 3, "isc"),
+    ("permission to use copy modify and or distribute this software for any purpose", 7, "isc"),
+    ("licensed under the epl license", 3, "epl"),
+    ("licensed under the eclipse public license", 4, "epl"),
     ("subject to the terms of the mozilla public license", 5, "mpl"),
     ("this is free and unencumbered software released into the public domain", 7, "unlicense"),
+    ("spdx license identifier apache 2 0", 3, "apache-2.0"),
+    ("spdx license identifier mit", 3, "mit"),
+    ("spdx license identifier gpl 2 0", 3, "gpl-2.0"),
+    ("spdx license identifier gpl 3 0", 3, "gpl-3.0"),
+    ("spdx license identifier bsd 3 clause", 3, "bsd"),
     ("all rights reserved", 2, "all-rights-reserved"),
 )
+#: Words that tell one notice from another: where a notice has one, it must stand there as a word, without an error.
+TELLING = {
+    "0", "2", "3", "affero", "apache", "attribution", "bsd", "by", "cc", "cc0", "commons", "domain", "eclipse", "epl", "general", "gnu", "gpl", "isc", "lesser", "mit", "mozilla", "nc", "nd", "sa", "spdx", "unencumbered",
+}
 #: Words are digits, letters a to z after lower-casing, and everything beyond ASCII; in UTF-8 that is a set of bytes.
 TABLE = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
@@ -65,7 +85,7 @@ class Scanner:
 
     def __init__(self, notices=NOTICES, phrases=PHRASES):
         self.notices, self.phrases = notices, phrases
-        self.patterns = [regex.compile(f"(?be)(?:{regex.escape(text)}){{e<={k}}}") for text, k, _ in notices]
+        self.patterns = [self.pattern(text, k) for text, k, _ in notices]
         seeds: dict[str, list[tuple[int, int]]] = {}
         for n, (text, k, _) in enumerate(notices):
             cuts = [round(i * len(text) / (k + 1)) for i in range(k + 2)]
@@ -76,6 +96,27 @@ class Scanner:
             self.seeds.add_word(seed, (len(seed), at))
         self.seeds.make_automaton()
 
+    @staticmethod
+    def pattern(notice: str, k: int) -> regex.Pattern:
+        """Telling words as they are; what lies between them with up to k errors. The errors of all parts are counted when it is found."""
+        out, loose = [], ""
+
+        def close() -> None:
+            nonlocal loose
+            if loose:
+                out.append(f"(?:{regex.escape(loose)}){{e<={k}}}" if loose.strip() else " ")
+            loose = ""
+
+        for i, word in enumerate(notice.split(" ")):
+            loose += " " if i else ""
+            if word in TELLING:
+                close()
+                out.append(f"(?<![^ ]){regex.escape(word)}(?![^ ])")
+            else:
+                loose += word
+        close()
+        return regex.compile("(?be)" + "".join(out))
+
     def base(self, text: str) -> list[tuple[int, str]]:
         """(word, label) of every place where a phrase stands in a normalised text."""
         padded, found = f" {text} ", []
@@ -99,7 +140,7 @@ class Scanner:
         while todo:
             lo, hi = todo.pop()
             m = self.patterns[n].search(text, lo, hi) if hi - lo >= len(notice) - k else None
-            if m:
+            if m and sum(m.fuzzy_counts) <= k:  # the best one; where it has too many errors all have
                 yield m
                 todo += [(lo, m.start()), (m.end(), hi)]
 
