@@ -276,6 +276,109 @@ def test_long_runs_take_time_in_proportion():
     assert quick(60, pages.extract, "<div>" * 3_000 + "words" + "</p>" * 50_000, [])[0] == "words"
 
 
+WRAPPERS = ("layout no-sidebar", "content has-sidebar", "post-with-comments", "single header-fixed", "article-page cookie-accepted", "page search-enabled", "row related-off", "nav-open wrapper", "sidebar", "promo")
+
+
+def test_a_wrapper_keeps_its_article():
+    """What a name says of a wrapper doesn't empty the page; what is junk inside still goes."""
+    article = "<p>" + "the words of the article go on. " * 20 + "</p>"
+    for name in WRAPPERS:
+        for attribute in ("class", "id"):
+            page = f"<body><nav><a href=x>Home</a></nav><div {attribute}='{name}'><article>{article}<div class='comment-list'>bad</div><aside>bad</aside><p>end</p></article></div><div class=site-footer>bad</div><div id=cookieBanner>bad</div></body>"
+            text, _ = pages.extract(page, [])
+            assert text.startswith("the words") and text.endswith("on. end") and "bad" not in text and "Home" not in text, name
+    assert [pages.doubtful(n) for n in ("site-footer", "comment-list", "mainNav", "ad", "related-posts widget", "share-buttons")] == [True] * 6
+    assert not any(pages.doubtful(n) for n in ("", "header2column", "download", "story", "advanced", "shared-memory", "is-menu"))
+
+
+def test_a_host_may_keep_its_articles_where_names_say_otherwise(spark):
+    """Votes of a host's pages overrule the word list, also for its page with too little text to do so alone."""
+    long, short = "some words of a long article here " * 12, "a short one"
+    page = lambda text, rest: f"<body><div class=promo><p>{text}</p></div><div class=other><p>{rest}</p></div></body>"
+    rows = [(i, f"http://h.example/{i}", page(long + str(i), "x")) for i in range(6)] + [(9, "http://h.example/9", page(short, "another text, as long as that one"))]
+    got = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[9] == short and got[3] == (long + "3").strip()
+    assert pages.extract(rows[-1][2], [])[0] != short
+
+
+def test_hostile_pages_take_time_in_proportion():
+    for unit in ("<a ", '<a "', "<a '\"", '<div class="x', "<", "<!--", "<a href='x' ", "<script>", "<blockquote>x", "<li>y", "</p>", "<p class='a", '<i ""', "<b a=\"'\""):
+        quick(30, pages.extract, unit * (500_000 // len(unit)), [])
+        quick(30, pages.extract, unit * (500_000 // len(unit)) + '">', ["a>b"])
+
+
+def test_tags_are_those_of_the_pattern():
+    """The scanner finds what one pattern over the whole page finds."""
+    pattern = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:[!?])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>"']*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+    rng = random.Random(5)
+    for _ in range(4000):
+        source = "".join(rng.choice(["<", ">", '"', "'", "a", "/", " ", "!", "--", "=", "<p", "</p", "<!--", "-->", "?"]) for _ in range(rng.randrange(25)))
+        want = [(m.start(), m.end(), m[1] == "/", (m[2] or "").lower(), m[3] or "") for m in pattern.finditer(source)]
+        tags, at, got = pages.Tags(source), 0, []
+        while found := tags.next(at):
+            got.append(found)
+            at = found[1]
+        assert got == want, source
+
+
+def plain_pages(rows):
+    """Scores, votes and texts of a whole table, straight from their definitions."""
+    best, votes = {}, {}
+    for i, url, source in rows:
+        page = pages.parse(source)
+        inside = lambda n, k: k == n or (k > 0 and inside(n, page.nodes[k].parent))
+        texts = [(n, p, k in page.linked) for k, (n, p) in enumerate(page.events) if p is not None and not page.nodes[n].hard]
+        scores = []
+        for n, node in enumerate(page.nodes):
+            if node.hard or node.tag in pages.LEAVES:
+                continue
+            own = 0.0
+            for at, piece, linked in texts:
+                holder = page.nodes[at].holder
+                own += 0 if linked else len(piece.strip()) * ((holder == n) + 0.5 * (holder > 0 and page.nodes[holder].parent == n))
+            weight = 1.5 if node.tag in ("article", "main") else 1.25 if node.names & pages.GOOD else 1.0
+            around, doubt = n, False
+            while around > 0:
+                doubt, around = doubt or page.nodes[around].doubtful, page.nodes[around].parent
+            if own > 0:
+                scores.append((own * weight * (0.1 if doubt else 1.0), -n))
+        best[i] = sorted(scores, reverse=True)[:3]
+        host = re.match(pages.HOST, url or "")
+        of = votes.setdefault(host[1].lower() if host else "", {})
+        for score, n in best[i]:
+            path = ">".join(page.nodes[-n].path)
+            of[path] = of.get(path, 0) + round(1e6 * score / sum(s for s, _ in best[i]))
+    out = {}
+    for i, url, source in rows:
+        page, host = pages.parse(source), re.match(pages.HOST, url or "")
+        of = votes[host[1].lower() if host else ""]
+        led = sorted(of, key=lambda p: (-of[p], p))[:3]
+        led = [p for p in led if of[p] >= 0.2 * of[led[0]]]
+
+        def said(n):
+            def kept(k):
+                return k == n or (not page.nodes[k].hard and not page.nodes[k].doubtful and kept(page.nodes[k].parent))
+
+            return " ".join("".join("\0" if p is None else p for p in [p if p is None or kept(k) else "" for k, p in page.events[page.nodes[n].first:page.nodes[n].last]]).replace("\0", " ").split())
+
+        text = ""
+        for path in led:
+            at = [n for n, node in enumerate(page.nodes) if not node.hard and ">".join(node.path) == path]
+            outer = [n for n in at if not any(m != n and page.nodes[m].first <= page.nodes[n].first and page.nodes[n].last <= page.nodes[m].last and m < n for m in at)]
+            text = " ".join(filter(None, map(said, outer)))
+            if text:
+                break
+        out[i] = text or (said(-best[i][0][1]) if best[i] else "")
+    return out
+
+
+def test_pages_of_the_table_by_plain_votes(spark):
+    rows = [tuple(r) for r in table(spark, SMALL, "pages").select("page_id", "url", "html").collect()]
+    rows += [(1000 + k, f"http://w.example/{k}", f"<body><div class='{name}'><p>{'words here ' * (k + 3)}</p><div class=related>see also {k}</div></div><div class=comments>{'loud ' * 9 * (k % 3)}</div></body>") for k, name in enumerate(WRAPPERS)] + [(2000, None, "<p>alone"), (2001, "x", None)]
+    got = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == plain_pages(rows)
+
+
 def test_pages_with_tags_left_out():
     for page in ("<html><head><title>t</title><body><article><p>the words of a page", "<html><head><meta charset=x><p>the words of a page", "<div><p><a href=x>link<p>the words of a page</div>"):
         text, _ = pages.extract(page, [])
