@@ -32,7 +32,8 @@ ANCHOR = re.compile(r"[0-9@]")
 _AT, _DOT = (rf"(?:\s*[\[({{<]\s*{w}\s*[\])}}>]\s*|\s+{w}\s+)" for w in ("at", "dot"))
 _HOST = r"[\w-]++(?:\.[\w-]++)*+"
 SPELLED = re.compile(rf"(?i)(?<![\w.+%-])[\w.+%-]++(?:{_DOT}[\w.+%-]++)*{_AT}{_HOST}(?:{_DOT}{_HOST})+")
-DOT = re.compile(rf"(?i){_DOT}")
+SIGN = re.compile(r"(?i)(?<=[\s\[({<])(?:at|dot)(?=[\s\])}>])")
+HOST = re.compile(_HOST)
 BRACKETED = re.compile(r"(?i)[\[({<]\s*(?:at|dot)\s*[\])}>]")
 #: Ends that tell an address from a phrase with the same words.
 TOPS = {"com", "org", "net", "edu", "gov", "mil", "info", "biz", "io", "dev", "app", "eu", "uk", "de", "fr", "it", "es", "nl", "se", "no", "ch", "at", "be", "pl", "ru", "in", "jp", "cn", "br", "au", "ca", "us", "nz", "ie", "test", "example"}
@@ -97,9 +98,57 @@ class Window:
     before: str
 
 
+def _sign(text: str, a: int, b: int) -> tuple[int, int] | None:
+    """The written sign whose word is text[a:b], with the brackets or spaces that make it one."""
+    before, after = a, b
+    while before and text[before - 1].isspace():
+        before -= 1
+    while after < len(text) and text[after].isspace():
+        after += 1
+    if before and after < len(text) and text[before - 1] in "[({<" and text[after] in "])}>":
+        before, after = before - 1, after + 1
+        while before and text[before - 1].isspace():
+            before -= 1
+        while after < len(text) and text[after].isspace():
+            after += 1
+        return before, after
+    return (before, after) if before < a and after > b else None
+
+
+def spelled_addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping matches of SPELLED, found from their at signs: names joined by dots are walked to the left, hosts to the
+    right. A walk ends at the next at sign, so all of them together pass a text twice."""
+    ats, starts, ends = [], {}, {}
+    for m in SIGN.finditer(text):
+        if sign := _sign(text, *m.span()):
+            if len(m[0]) == 2:
+                ats.append(sign)
+            else:
+                starts[sign[0]], ends[sign[1]] = sign[1], sign[0]
+
+    def word_before(at: int, floor: int) -> int:
+        while at > floor and (text[at - 1].isalnum() or text[at - 1] in "_.+%-"):
+            at -= 1
+        return at
+
+    floor = 0
+    for a, b in ats if starts else ():
+        first = word_before(a, floor)
+        if first == a:
+            continue
+        while first in ends and ends[first] > floor and (further := word_before(ends[first], floor)) < ends[first]:
+            first = further
+        host, parts = HOST.match(text, b), 0
+        while host and (dot := starts.get(host.end())) and (part := HOST.match(text, dot)):
+            host, parts = part, parts + 1
+        if parts:
+            yield first, host.end()
+            floor = host.end()
+
+
 def windows(text: str) -> Iterator[Window]:
     """Stretches with every token that has a digit or an at sign or is part of a spelled address, and CONTEXT tokens on either side."""
-    spelled = [m.span() for m in SPELLED.finditer(text)] if DOT.search(text) else []
+    spelled = list(spelled_addresses(text)) if "dot" in text.lower() else []
     if not spelled and not ANCHOR.search(text):
         return
     at = 0
@@ -280,7 +329,9 @@ def _card(rng: random.Random) -> str:
 def train(samples: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = 150, penalty: float = 0.01, seed: int = 7, longest: int = 20) -> Field:
     """Maximum conditional likelihood over windows of marked texts and their variants, all windows side by side in numpy.
 
-    Windows of more than `longest` tokens are left out of the training, so that the arrays have a bound.
+    Spans with the same features share a row of the feature matrix, which is thus as large as there are different ones; windows stand
+    from the longest to the shortest, and each place is worked out for those that reach it. Windows of more than `longest` tokens
+    are left out of the training, so that the arrays have a bound.
     """
     rng = random.Random(seed)
     cases: list[tuple[Window, list[tuple[int, int, int]]]] = []
@@ -298,49 +349,60 @@ def train(samples: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = 1
                 gold += [(n, n + 1, 0) for n in range(at, len(w.tokens))]
                 cases.append((w, gold))
     n, k, f = len(cases), len(LABELS), len(NAMES)
-    t = max((len(w.tokens) for w, _ in cases), default=1)
-    x = np.zeros((n, t + 1, LONGEST, f), np.float32)  # features of the span that ends there with that length
-    real, may = np.zeros((n, t + 1, LONGEST), bool), np.zeros((n, t + 1, LONGEST, k), bool)
+    weights, follow = np.zeros((k, f)), np.zeros((k, k))
+    if not n:
+        return Field(weights, follow)
+    cases.sort(key=lambda c: -len(c[0].tokens))
+    t = len(cases[0][0].tokens)
+    kinds: dict[tuple[int, ...], int] = {(): 0}
+    kind = np.zeros((n, t + 1, LONGEST), np.int32)  # of the span that ends there with that length; 0 where there is none
+    may = np.zeros((n, t + 1, LONGEST, k), bool)
     ends = np.array([len(w.tokens) for w, _ in cases], np.int64)
     target, target_follow = np.zeros((k, f)), np.zeros((k, k))
     for c, (w, gold) in enumerate(cases):
         for i in range(len(w.tokens)):
             for j in range(i + 1, min(len(w.tokens), i + LONGEST) + 1):
                 on = features(w.text, w.tokens, i, j, w.before)
-                x[c, j, j - i - 1, on] = 1
-                real[c, j, j - i - 1], may[c, j, j - i - 1] = True, possible(on)
+                kind[c, j, j - i - 1] = kinds.setdefault(tuple(on), len(kinds))
+                may[c, j, j - i - 1] = possible(on)
         last = 0
         for i, j, y in gold:
-            target[y] += x[c, j, j - i - 1]
+            target[y, features(w.text, w.tokens, i, j, w.before)] += 1
             target_follow[last, y] += 1
             last = y
-    weights, follow = np.zeros((k, f)), np.zeros((k, k))
-    if not n:
-        return Field(weights, follow)
+    may[:, :, 1:, 0] = False  # other is one token long
+    x = np.zeros((len(kinds), f))
+    for on, row in kinds.items():
+        x[row, list(on)] = 1
+    reach = [int((ends >= j).sum()) for j in range(t + 2)]  # windows with so many tokens
     m, v = np.zeros(k * (f + k)), np.zeros(k * (f + k))
     low = -1e9
     for step in range(1, rounds + 1):
-        s = np.einsum("ctlf,kf->ctlk", x, weights, optimize=True)
+        s = (x @ weights.T)[kind]
         s[~may] = low
-        s[:, :, 1:, 0] = low
-        fwd, bwd = np.full((n, t + 1, k), low), np.full((n, t + 1, k), low)
+        # fwd and led: all ways up to a place by its label, and by the label after it; bwd and on: from a place by its label, and by the next.
+        fwd, led, bwd, on = (np.full((n, t + 1, k), low) for _ in range(4))
         fwd[:, 0, 0] = 0
+        led[:, 0] = follow[0]
         for j in range(1, t + 1):
-            parts = [_lse(fwd[:, j - z][:, :, None] + follow, 1) + s[:, j, z - 1] for z in range(1, min(LONGEST, j) + 1)]
-            fwd[:, j] = _lse(np.stack(parts), 0)
+            c, size = reach[j], min(LONGEST, j)
+            fwd[:c, j] = _lse(led[:c, j - size : j][:, ::-1] + s[:c, j, :size], 1)
+            led[:c, j] = _lse(fwd[:c, j][:, :, None] + follow, 1)
         bwd[np.arange(n), ends] = 0
         for i in range(t - 1, -1, -1):
-            parts = [_lse(follow + (s[:, i + z, z - 1] + bwd[:, i + z])[:, None, :], 2) for z in range(1, min(LONGEST, t - i) + 1)]
-            bwd[:, i] = np.where((i < ends)[:, None], _lse(np.stack(parts), 0), bwd[:, i])
+            c, size = reach[i + 1], min(LONGEST, t - i)
+            sizes = np.arange(size)
+            on[:c, i] = _lse(s[:c, i + 1 + sizes, sizes] + bwd[:c, i + 1 : i + 1 + size], 1)
+            bwd[:c, i] = _lse(follow + on[:c, i][:, None, :], 2)
         total = _lse(fwd[np.arange(n), ends], 1)
-        grad, grad_follow = -target.copy(), -target_follow.copy()
+        shares = np.zeros((n, t + 1, LONGEST, k))
+        grad_follow = -target_follow.copy()
         for j in range(1, t + 1):
-            for z in range(1, min(LONGEST, j) + 1):
-                p = np.exp(np.clip(fwd[:, j - z][:, :, None] + follow + (s[:, j, z - 1] + bwd[:, j])[:, None, :] - total[:, None, None], -700, 0))
-                p[~real[:, j, z - 1]] = 0
-                grad += p.sum(axis=1).T @ x[:, j, z - 1]
-                grad_follow += p.sum(axis=0)
-        g = np.r_[(grad / n + penalty * weights).ravel(), (grad_follow / n + penalty * follow).ravel()]
+            c, size = reach[j], min(LONGEST, j)
+            shares[:c, j, :size] = np.exp(np.clip(led[:c, j - size : j][:, ::-1] + s[:c, j, :size] + bwd[:c, j][:, None] - total[:c, None, None], -700, 0)) * may[:c, j, :size]
+            grad_follow += np.exp(np.clip(fwd[:c, j - 1][:, :, None] + follow + on[:c, j - 1][:, None, :] - total[:c, None, None], -700, 0)).sum(axis=0)
+        held = np.stack([np.bincount(kind.ravel(), shares[..., y].ravel(), len(kinds)) for y in range(k)])
+        g = np.r_[((held @ x - target) / n + penalty * weights).ravel(), (grad_follow / n + penalty * follow).ravel()]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         d = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         weights, follow = weights - d[: k * f].reshape(k, f), follow - d[k * f:].reshape(k, k)

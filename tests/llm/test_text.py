@@ -379,6 +379,19 @@ def test_pages_of_the_table_by_plain_votes(spark):
     assert got == plain_pages(rows)
 
 
+def test_spelled_addresses_are_those_of_the_pattern():
+    rng = random.Random(3)
+    for _ in range(20_000):
+        text = "".join(rng.choice([" ", "  ", "a", "b.c", "at", "dot", "[at]", "(dot)", "{ at }", "<", "]", "x-y", " at ", " dot ", "\n", "AT", "é", "1"]) for _ in range(rng.randrange(3, 14)))
+        if "at at" not in " ".join(text.lower().split()):  # which of two signs in a row is a name is a matter of taste
+            assert list(pii.spelled_addresses(text)) == [m.span() for m in pii.SPELLED.finditer(text)], text
+    field = pii.Field(np.zeros((5, len(pii.NAMES))), np.zeros((5, 5)))
+    for unit in ("a dot ", "a dot b at ", "at ", "dot ", "[at] ", "  ", " at", "x[ dot"):
+        assert not list(quick(20, lambda t: list(pii.spelled_addresses(t)), unit * (1_000_000 // len(unit))))
+        quick(60, pii.base_spans, unit * 20_000)
+    assert len(quick(60, pii.find_spans, "word dot " * 30_000, field)[0]) == 0
+
+
 def test_pages_with_tags_left_out():
     for page in ("<html><head><title>t</title><body><article><p>the words of a page", "<html><head><meta charset=x><p>the words of a page", "<div><p><a href=x>link<p>the words of a page</div>"):
         text, _ = pages.extract(page, [])
