@@ -387,7 +387,8 @@ def test_spelled_addresses_are_those_of_the_pattern():
             assert list(pii.spelled_addresses(text)) == [m.span() for m in pii.SPELLED.finditer(text)], text
     field = pii.Field(np.zeros((5, len(pii.NAMES))), np.zeros((5, 5)))
     for unit in ("a dot ", "a dot b at ", "at ", "dot ", "[at] ", "  ", " at", "x[ dot"):
-        assert not list(quick(20, lambda t: list(pii.spelled_addresses(t)), unit * (1_000_000 // len(unit))))
+        found = quick(20, lambda t: list(pii.spelled_addresses(t)), unit * (1_000_000 // len(unit)))
+        assert bool(found) == (unit == "a dot b at ")
         quick(60, pii.base_spans, unit * 20_000)
     assert len(quick(60, pii.find_spans, "word dot " * 30_000, field)[0]) == 0
 
