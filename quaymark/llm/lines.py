@@ -135,8 +135,11 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, bands: int = 8, rows: i
     gone = written(gone.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("pos", "h1"))).alias("__gone")))
     marked = docs.withColumn("__doc", F.col(id_col).cast("long")).join(whole_if_small(gone.withColumnRenamed("doc", "__doc")), "__doc", "left").drop("__doc")
     all_lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    stays = lambda x, i: ~F.array_contains("__gone", F.struct(i.alias("pos"), F.xxhash64(trimmed(x)).alias("h1")))
-    kept = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(F.filter(all_lines, stays), "\n"))
+    # Places whose line is the dropped one, taken from all places as a set: in proportion to the lines, however many go.
+    gone_of = lambda lines: F.transform(F.filter("__gone", lambda g: F.xxhash64(trimmed(F.get(lines, g["pos"]))) == g["h1"]), lambda g: g["pos"])
+    left = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone_of(lines))
+    joined = F.transform(F.array(all_lines), lambda lines: F.array_join(F.transform(left(lines), lambda i: F.get(lines, i)), "\n"))[0]  # as an array of one, so that the text is split once
+    kept = F.when(F.col("__gone").isNull(), text).otherwise(joined)
     n_lines = F.when(text.isNull(), 0).otherwise(F.size(F.filter(all_lines, lambda x: trimmed(x) != "")))
     out = marked.withColumn("n_lines", n_lines.cast("long")).withColumn("n_kept", (F.col("n_lines") - F.coalesce(F.size("__gone"), F.lit(0))).cast("long"))
     return out.withColumn(text_col, kept).drop("__gone")
