@@ -171,18 +171,19 @@ def d15_share_of_total(spark, sf_dir):
     return n.crossJoin(F.broadcast(n.agg(F.sum("orders").alias("all")))).select("channel", "orders", fixed(F.col("orders") / F.col("all")).alias("share"))
 
 
-CURSORS = ("2001-07-10", "2001-07-18", "2001-07-31", "2001-08-02")
-AS_OF = {"cursors": "select unnest([" + ", ".join(f"date '{c}'" for c in CURSORS) + "]) as cursor"}
+#: The last thirty days on the calendar, each a cursor.
+AS_OF = {"cursors": "select date_day as cursor from dim_date where date_day > (select max(date_day) from dim_date) - 30"}
 
 
 @query("""
     with r as (select cursor, m.*, coalesce(spend_available_on > cursor, false) as stale, bool_or(coalesce(spend_available_on > cursor, false)) over (partition by cursor, date_day) as pending from mart_daily_trading m join cursors on date_day <= cursor)
     select cursor, date_day, channel, orders::bigint as orders, case when not stale then ad_spend::double end as ad_spend, case when not stale then channel_cac::double end as channel_cac,
            ad_spend_is_complete and not pending as ad_spend_is_complete, case when not pending then blended_cac::double end as blended_cac
-    from r where date_day > cursor - 30""", AS_OF)
+    from r""", AS_OF)
 def j02_daily_trading_as_of(spark, sf_dir):
-    cursors = spark.createDataFrame([(c,) for c in CURSORS], "cursor string").select(F.col("cursor").cast("date")).coalesce(1)
-    d = pit.daily_trading_as_of(warehouse(spark, sf_dir).mart_daily_trading, cursors).where(F.col("date_day") > F.date_sub("cursor", 30))
+    w = warehouse(spark, sf_dir)
+    cursors = w.dim_date.join(w.last_day, F.col("date_day") > F.date_sub("last_day", 30)).select(F.col("date_day").alias("cursor"))
+    d = pit.daily_trading_as_of(w.mart_daily_trading, cursors)
     return d.select("cursor", "date_day", "channel", F.col("orders").cast("long").alias("orders"), F.col("ad_spend").cast("double").alias("ad_spend"), F.col("channel_cac").cast("double").alias("channel_cac"), "ad_spend_is_complete", F.col("blended_cac").cast("double").alias("blended_cac"))
 
 
@@ -423,9 +424,9 @@ def m03_repeat_share_against_cohorts(spark, sf_dir):
 
 @query(f"""
     select date_day, {_r('sum(ad_spend)::double / nullif(sum(new_customers), 0)')} as naive_cac, max(blended_cac)::double as published_cac, bool_and(ad_spend_is_complete) as complete
-    from mart_daily_trading where date_day >= date '2001-07-09' group by 1""")
+    from mart_daily_trading group by 1""")
 def m01_naive_and_published_cac(spark, sf_dir):
-    d = warehouse(spark, sf_dir).mart_daily_trading.where("date_day >= date '2001-07-09'")
+    d = warehouse(spark, sf_dir).mart_daily_trading
     return d.groupBy("date_day").agg(fixed(ratio(F.sum("ad_spend"), F.sum("new_customers"))).alias("naive_cac"), F.max("blended_cac").cast("double").alias("published_cac"), F.bool_and("ad_spend_is_complete").alias("complete"))
 
 

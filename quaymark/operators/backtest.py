@@ -24,16 +24,15 @@ def replay_trend(daily: DataFrame, cursors: DataFrame, keys: list[str], day: str
 def matches(signals: DataFrame, events: DataFrame, grace_days: int = 14) -> DataFrame:
     """(event_id, signal_id, cursor) of signals that answer a labelled event: same detector, entity and class, tested, and
     not before the onset less the grace. Null entities of an event match any; `entity_contains` matches part of a name."""
-    s, e = signals.alias("s"), events.alias("e")
-    same = (
-        (F.col("s.detector") == F.col("e.detector")) & (F.col("s.classification") == F.col("e.must_classify")) & F.col("s.passed_fdr")
-        & (F.col("e.entity_id").isNull() | (F.col("s.entity_id") == F.col("e.entity_id")))
-        & (F.col("e.entity_contains").isNull() | F.lower("s.entity_id").contains(F.lower("e.entity_contains")))
-        & (F.col("s.cursor") >= F.date_sub("e.onset", grace_days))
-    )
-    if "until" in events.columns:
-        same = same & (F.col("e.until").isNull() | (F.col("s.cursor") <= F.col("e.until")))
-    return s.join(e, same).select("e.event_id", "s.signal_id", "s.cursor")
+    ours = signals.where("passed_fdr")
+    end = F.col("e.until") if "until" in events.columns else F.lit(None).cast("date")
+    since = (F.col("s.cursor") >= F.date_sub("e.onset", grace_days)) & (end.isNull() | (F.col("s.cursor") <= end))
+    same = (F.col("s.detector") == F.col("e.detector")) & (F.col("s.classification") == F.col("e.must_classify"))
+    part = F.col("e.entity_contains").isNull() | F.lower("s.entity_id").contains(F.lower("e.entity_contains"))
+    # Events of one entity meet by it, too: what is left over for each event of any entity is its detector's and class's signals.
+    of_one, of_any = events.where("entity_id is not null"), events.where("entity_id is null")
+    met = [ours.alias("s").join(of_one.alias("e"), same & (F.col("s.entity_id") == F.col("e.entity_id")) & part & since), ours.alias("s").join(of_any.alias("e"), same & part & since)]
+    return met[0].select("e.event_id", "s.signal_id", "s.cursor").unionByName(met[1].select("e.event_id", "s.signal_id", "s.cursor"))
 
 
 EVENT = ("event_id", "detector", "entity_id", "entity_contains", "onset", "until", "must_classify")

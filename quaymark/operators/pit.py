@@ -166,6 +166,13 @@ PROVEN = {
 }
 
 
+def order_days(w: Warehouse, back: tuple[int, ...]) -> list[dt.date]:
+    """The last days with orders that are at least so many days before the newest: a rebuild's calendar ends on one, so they make cursors."""
+    days = w.fct_order.select("order_date").distinct().crossJoin(w.last_day)
+    found = days.agg(*[F.max(F.when(F.col("order_date") <= F.date_sub("last_day", n), F.col("order_date"))).alias(str(n)) for n in back]).first()
+    return [found[str(n)] for n in back]
+
+
 def proof(w: Warehouse, cursors: list[dt.date], marts: dict | None = None) -> DataFrame:
     """mart, cursor, column and the counts of `equivalence`: each mart as a cursor sees it against a rebuild at that cursor.
 

@@ -97,12 +97,13 @@ def m06_click_costs_indexed(spark, sf_dir):
 
 @query("""
     with p as (select * from mart_marketing_pacing_daily where approved_budget is not null),
-    v as (select month_start, channel, max(date_day) as seen_to, arg_max(delivered_cumulative, date_day)::double as delivered, arg_max(forecast_month_end, date_day)::double as forecast from p where delivered_cumulative is not null and date_day <= date '2001-07-20' group by 1, 2)
+    v as (select month_start, channel, max(date_day) as seen_to, arg_max(delivered_cumulative, date_day)::double as delivered, arg_max(forecast_month_end, date_day)::double as forecast from p where delivered_cumulative is not null and date_day <= (select max(date_day) from dim_date) - 12 group by 1, 2)
     select month_start, channel, max(date_day) as month_end, max(approved_budget)::double as approved_budget, any_value(seen_to) as seen_to, any_value(delivered) as delivered, any_value(forecast) as forecast from p left join v using (month_start, channel) group by 1, 2""")
-def m09_pacing_from_a_day(spark, sf_dir, day: str = "2001-07-20"):
-    """Each month and channel with a budget as it looked on a day: delivered up to it and the forecast made from it."""
-    p = warehouse(spark, sf_dir).mart_marketing_pacing_daily.where("approved_budget is not null")
-    seen = F.col("delivered_cumulative").isNotNull() & (F.col("date_day") <= F.lit(day).cast("date"))
+def m09_pacing_from_a_day(spark, sf_dir, back: int = 12):
+    """Each month and channel with a budget as it looked so many days before the last: delivered up to then and the forecast made from there."""
+    w = warehouse(spark, sf_dir)
+    p = w.mart_marketing_pacing_daily.where("approved_budget is not null").crossJoin(w.last_day)
+    seen = F.col("delivered_cumulative").isNotNull() & (F.col("date_day") <= F.date_sub("last_day", back))
     at = lambda c: F.max_by(F.when(seen, F.col(c)), F.when(seen, F.col("date_day"))).cast("double")
     return p.groupBy("month_start", "channel").agg(
         F.max("date_day").alias("month_end"), F.max("approved_budget").cast("double").alias("approved_budget"), F.max(F.when(seen, F.col("date_day"))).alias("seen_to"), at("delivered_cumulative").alias("delivered"), at("forecast_month_end").alias("forecast"))
