@@ -158,7 +158,7 @@ def equivalence(left: DataFrame, right: DataFrame, keys: list[str], values: list
 PROVEN = {
     "mart_daily_trading": (["date_day", "channel"], ["orders", "new_customers", "returning_customers", "net_revenue", "contribution_margin", "aov", "units", "discounts", *SPEND, "ad_spend_is_complete", "blended_cac"], None),
     "mart_variant_daily": (["date_day", "variant_id"], ["units", "net_revenue", "contribution_margin", "velocity_7d", "velocity_28d", "velocity_ratio", "days_of_cover"], None),
-    "mart_cohort_retention": (["cohort_month", "months_since"], ["has_full_90d_exposure", "repeat_rate_90d"], "has_full_90d_exposure"),
+    "mart_cohort_retention": (["cohort_month", "months_since"], ["cohort_size", "has_full_90d_exposure", "repeat_within_90d", "repeat_rate_90d"], "has_full_90d_exposure and months_since = 1"),
     "mart_ltv": (["cohort_month", "acquisition_channel", "horizon_days"], ["cohort_size", "has_full_exposure", "cum_net_revenue", "cum_contribution_margin", "ltv_revenue", "ltv_margin"], "has_full_exposure"),
     "mart_data_quality": (["source_name", "date_day"], ["observed", "is_gap", "row_count", "issue_type"], "date_day"),
     "mart_email_flow_weekly": (["flow_name", "week_start"], ["recipients", "unique_opens", "unique_orders", "order_value", "open_rate", "conversion_rate", "open_rate_8w", "conversion_rate_8w"], None),
@@ -176,7 +176,7 @@ def order_days(w: Warehouse, back: tuple[int, ...]) -> list[dt.date]:
 def proof(w: Warehouse, cursors: list[dt.date], marts: dict | None = None) -> DataFrame:
     """mart, cursor, column and the counts of `equivalence`: each mart as a cursor sees it against a rebuild at that cursor.
 
-    Cohort marts are compared where a detector may use them (fully exposed), data quality up to the day before the cursor, as on
+    Cohort marts are compared where a detector may use them (fully exposed; of retention a cohort's one row), data quality up to the day before the cursor, as on
     the day itself a rebuild takes ads that land tomorrow for missing. A rebuild is a build: cursors are a sample.
     """
     found = []

@@ -101,7 +101,7 @@ def _visible_rows(mart: str, where: str) -> str:
 
 
 _PROOF_ROWS = " union all ".join(_visible_rows(m, on) for m, on in (
-    ("mart_daily_trading", "date_day <= cursor"), ("mart_variant_daily", "date_day <= cursor"), ("mart_cohort_retention", "cohort_month <= cursor and exposure_90d_end <= cursor and months_since <= date_diff('month', (select min(cohort_month) from mart_cohort_retention), cursor)"),
+    ("mart_daily_trading", "date_day <= cursor"), ("mart_variant_daily", "date_day <= cursor"), ("mart_cohort_retention", "cohort_month <= cursor and exposure_90d_end <= cursor and months_since = 1"),
     ("mart_ltv", "cohort_month <= cursor and exposure_end <= cursor"), ("mart_data_quality", "date_day < cursor"), ("mart_email_flow_weekly", "week_start <= cursor - 7"), ("fct_ad_spend_daily", "ad_date <= cursor - 1")))
 
 

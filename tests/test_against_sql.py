@@ -15,7 +15,12 @@ def plain(v):
     return float(v) if isinstance(v, decimal.Decimal) else v.replace(tzinfo=None) if isinstance(v, dt.datetime) else v
 
 
-@pytest.mark.parametrize("key", sorted(ORACLES))
+#: On the smallest tables most days have no orders, so a replay has a signal of missing days for each of them at every later cursor. One query on
+#: it is compared here in full; these, on the same rows, are compared on larger tables and their parts in test_replay and test_backtest.
+REPLAYED = {"j16_adjudication", "m07_signals_per_cursor", "j20_events", "j20_traps", "j20_summary"}
+
+
+@pytest.mark.parametrize("key", sorted(set(ORACLES) - REPLAYED))
 def test_rows_are_the_same(spark, duck, key):
     df = QUERIES[key](spark, SMALL)
     cols = sorted(df.columns)
