@@ -82,8 +82,8 @@ def bucket_links(
     meet all members of other components. A pair within a component would add nothing to it, so no link between
     components is lost, and a big bucket of near copies costs a few stars. In this last step a bucket is dealt over as many
     tasks as its size asks for: one side is spread over salts, the other sent to all of them.
-    `sketch` gives (id, carry...) for the ids(id) that are left then, and `within` tells a link by these names with _a and _b, or by
-    a and b, inside the join that makes the pairs, so that only links leave it.
+    `sketch` gives (id, carry...) for the ids(id) that are left then, and `within` tells a link by these names with _a and _b, by
+    a and b and by the keys, inside the join that makes the pairs, so that only links leave it.
     """
     of = lambda x: [F.col(c).alias(f"{c}_{x}") for c in carry]
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]

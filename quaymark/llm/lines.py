@@ -74,10 +74,11 @@ def alike(threshold: float, a: str, b: str) -> Column:
 
 
 def bitmap(texts: DataFrame) -> DataFrame:
-    """(id, l, n, w0..w15): with each line a map of its shingle set in 1,024 bits, one bit a shingle."""
-    bit = texts.select("id", "line", "n", F.explode(windows(F.col("line"))).alias("h"))
-    word = F.expr("cast(shiftrightunsigned(h, 6) & 15 as int)")
-    return bit.groupBy("id", F.col("line").alias("l"), "n").agg(*[F.coalesce(F.bit_or(F.when(word == k, F.expr("shiftleft(1L, cast(h & 63 as int))"))), F.lit(0).cast("long")).alias(f"w{k}") for k in range(16)])
+    """(id, l, n, w0..w15): with each line a map of its shingle set in 1,024 bits, one bit a shingle; words of the map are made first, then put side by side."""
+    bit = texts.select("id", F.explode(windows(F.col("line"))).alias("h"))
+    words = bit.groupBy("id", F.expr("cast(shiftrightunsigned(h, 6) & 15 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
+    maps = words.groupBy("id").agg(*[F.coalesce(F.max(F.when(F.col("word") == k, F.col("bits"))), F.lit(0).cast("long")).alias(f"w{k}") for k in range(16)])
+    return maps.join(texts.select("id", F.col("line").alias("l"), "n"), "id")
 
 
 def line_groups(docs: DataFrame, threshold: float, bands: int, rows: int, rounds: int) -> tuple[DataFrame, DataFrame]:
@@ -88,7 +89,7 @@ def line_groups(docs: DataFrame, threshold: float, bands: int, rows: int, rounds
     through stars. Only lines that stand more than once or are candidates are read again, with their texts where needed.
     """
     lines = written(signatures(split_lines(docs)).select(F.monotonically_increasing_id().alias("id"), "*"))
-    keyed = lines.select("id", F.explode(band_keys(rows, bands)).alias("key"))
+    keyed = lines.select("id", F.posexplode(band_keys(rows, bands)).alias("band", "key"))
     meets = written(keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("a"), F.max("id").alias("b")).where("c > 1"))
     two, crowds = meets.where("c = 2").select("a", "b"), meets.where("c > 2").select("key")
     members = written(keyed.join(crowds, "key"))
@@ -106,8 +107,12 @@ def line_groups(docs: DataFrame, threshold: float, bands: int, rows: int, rounds
     alone = lambda x, y: sum((F.bit_count(F.expr(f"w{k}_{x} & ~w{k}_{y}")) for k in range(1, 16)), F.bit_count(F.expr(f"w0_{x} & ~w0_{y}")))
     shared = F.least(F.col("n_a") - alone("a", "b"), F.col("n_b") - alone("b", "a"))
     within = F.when(shared >= threshold * (F.col("n_a") + F.col("n_b") - shared), alike(threshold, "_a", "_b")).otherwise(False)
-    sketch = lambda ids: bitmap(texts.join(ids, "id"))
-    return places, bucket_links(members, ["key"], similar, rounds, 2, two.distinct(), sketch, ("l", "n", *[f"w{k}" for k in range(16)]), within)
+    # Of the crowded keys that two lines share only the first tells whether they are alike: where its bucket is done, they have met or are of one component.
+    first = F.coalesce(*[F.when(F.col(f"k{b}_a") == F.col(f"k{b}_b"), F.col(f"k{b}_a")) for b in range(bands)])
+    own = lambda ids: members.join(ids, "id").groupBy("id").agg(*[F.max(F.when(F.col("band") == b, F.col("key"))).alias(f"k{b}") for b in range(bands)])
+    sketch = lambda ids: bitmap(texts.join(ids, "id")).join(own(ids), "id")
+    carry = ("l", "n", *[f"w{k}" for k in range(16)], *[f"k{b}" for b in range(bands)])
+    return places, bucket_links(members.select("key", "id"), ["key"], similar, rounds, 2, two.distinct(), sketch, carry, F.when(first == F.col("key"), within).otherwise(False))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8, bands: int = 8, rows: int = 3, rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
