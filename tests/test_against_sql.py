@@ -6,7 +6,7 @@ import decimal
 import pytest
 
 from conftest import SMALL
-from quaymark import analyses, decisions, queries as own, registry, replays, statements, surfaces  # noqa: F401
+from quaymark import analyses, decisions, queries as own, reconciliations, registry, replays, statements, surfaces  # noqa: F401
 
 QUERIES, ORACLES = {**own.QUERIES, **registry.QUERIES}, {**own.ORACLES, **registry.ORACLES}
 
