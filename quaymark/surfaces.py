@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 
 from .config import EngineConfig
-from .operators import measures as M
+from .operators import measures as M, reports
 from .plans.oracle import AS_OF, CAMPAIGN, CTES, DAY
 from .queries import MODELS, fields, warehouse
 from .registry import fixed, query, rounded_sql as _r
@@ -110,3 +111,44 @@ def l13_frequency(spark, sf_dir):
 
 
 assert set(CTES) >= {MODELS[k][0] for k in EXPORTED.values()}
+
+
+_TOTALLED = ("approved_budget", "delivered_spend", "media_invoiced", "fee_invoiced")
+
+
+@query(f"""
+    with t as (select month_start, {', '.join(f'sum({c}) as {c}' for c in _TOTALLED)}, sum(budget_variance) as budget_variance, sum(approved_budget) filter (budget_variance is not null) as known from mart_marketing_budget_vs_actual group by 1),
+    f as (select month_start, sum(delivered_spend) as d, sum(media_invoiced) as m, sum(fee_invoiced) as e from fct_marketing_cost_monthly group by 1)
+    select month_start, {', '.join(f'{c}::double as {c}' for c in _TOTALLED)}, budget_variance::double as budget_variance, {_r('budget_variance::double / nullif(known::double, 0)')} as variance_pct,
+           delivered_spend is not distinct from d and media_invoiced is not distinct from m and fee_invoiced is not distinct from e as agrees from t left join f using (month_start)""")
+def m12_pack_totals(spark, sf_dir):
+    """Totals of the pack's months with the variance as a ratio of sums over channels where it is known, and whether they are those of the costs."""
+    w = warehouse(spark, sf_dir)
+    totals = reports.totals(reports.pack(w))
+    costs = w.fct_marketing_cost_monthly.groupBy("month_start").agg(*[F.sum(c).alias(f"c_{c}") for c in _TOTALLED[1:]])
+    agrees = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"c_{c}")) for c in _TOTALLED[1:]])
+    return totals.join(costs, "month_start", "left").select("month_start", *[F.col(c).cast("double").alias(c) for c in (*_TOTALLED, "budget_variance")], fixed("variance_pct").alias("variance_pct"), agrees.alias("agrees"))
+
+
+_NAME = lambda c: f"replace(upper({c}[1]) || {c}[2:], 'Tiktok', 'TikTok')"
+_WHOLE = lambda x: f"'GBP ' || format('{{:,}}', round(abs({x})::double)::bigint)"
+_SHARE = lambda x: f"(round(abs({x})::double * 1000)::bigint // 10) || '.' || (round(abs({x})::double * 1000)::bigint % 10) || '%'"
+
+
+@query(f"""
+    with m as (select b.*, r.recon_status, r.difference::double / nullif(b.delivered_spend::double, 0) as part from mart_marketing_budget_vs_actual b join (select month_start, channel, recon_status, difference from mart_marketing_invoice_recon) r using (month_start, channel)),
+    top as (select month_start, channel as tc, budget_variance as tv, budget_variance_pct as tp from m where budget_variance is not null qualify row_number() over (partition by month_start order by abs(budget_variance) desc, channel desc) = 1),
+    blind as (select month_start, channel as bc, approved_budget as bb from m where recon_status = 'no_cost_source' qualify row_number() over (partition by month_start order by channel) = 1),
+    off as (select month_start, channel as oc, part as op, data_status = 'source_gap' as gap from m where recon_status = 'exception' qualify row_number() over (partition by month_start order by channel) = 1),
+    g as (select month_start, count(*) filter (recon_status = 'unbilled') as u, coalesce(sum(estimated_unbilled_accrual), 0) as a, count(*) filter (recon_status = 'unallocated_cost') as l, coalesce(sum(recognised_expense) filter (recon_status = 'unallocated_cost'), 0) as lc from m group by 1)
+    select month_start, case when tc is null then 'No channel has both a budget and known spend.' else {_NAME('tc')} || ' has the largest variance: ' || {_WHOLE('tv')} || coalesce(' (' || {_SHARE('tp')} || ')', '') || case when tv > 0 then ' over budget.' else ' under budget.' end end as variance,
+      case when bc is not null then {_NAME('bc')} || coalesce(' has a budget of ' || {_WHOLE('bb')}, ' has no budget') || ' and no cost source; its spend is unknown, not zero.' end as unknown,
+      case when oc is not null then 'Risk: ' || {_NAME('oc')} || coalesce(' was invoiced ' || {_SHARE('op')} || ' away from delivered spend, over the tolerance of 2.0%.', ' was invoiced without delivered spend.') || case when gap then ' Days of spend are missing, which may be why.' else '' end
+           when u > 0 then 'Risk: ' || {_WHOLE('a')} || ' of delivered media is not invoiced and is accrued by estimate.' else 'Risk: none; every invoice is within the tolerance.' end as risk,
+      case when gap then 'Action: get the missing days of spend and reconcile again before asking about the invoice.' when oc is not null then 'Action: ask about the invoice of ' || {_NAME('oc')} || ' before it is paid.'
+           when u > 0 then 'Action: accrue ' || {_WHOLE('a')} || ' and replace it by the invoices.' else 'Action: none.' end || case when l > 0 then ' Allocate ' || {_WHOLE('lc')} || ' that has no channel.' else '' end as action
+    from g left join top using (month_start) left join blind using (month_start) left join off using (month_start)""")
+def m13_sentences(spark, sf_dir):
+    """Variance, unknown spend, risk and action of every month, in words."""
+    w = warehouse(spark, sf_dir)
+    return reports.sentences(reports.pack(w), w.cfg.recon_tolerance_pct)
