@@ -150,8 +150,8 @@ CLICKS = INPUTS | {
     with g as (select *, case when p_positive < 0.55 then 'MONITOR' when {WAITS} = 'WAIT' then 'WAIT' when sure < 0.5 then 'MONITOR' when sure >= 0.8 then 'AUTO-EXECUTE' else 'AUTO-EXECUTE (capped magnitude)' end as autonomy from told)
     select action_type, entity_id, {_r("case when action_type = 'REALLOCATE_SPEND' and autonomy like '%capped%' then least(magnitude, 0.1) else magnitude end")} as magnitude, autonomy, p10, median, p90, revenue_median, p_positive from g""", CLICKS)
 def k08_spend_recommendations(spark, sf_dir):
-    """Moves of spend and refreshes for clicks that got dearer or cheaper by any measure, before suppression."""
+    """Moves of spend and refreshes for clicks that got dearer or cheaper by any measure up to the last day of trading, before suppression."""
     w = warehouse(spark, sf_dir)
-    s = S.cpc_decomposition(w, S.Thresholds(cpc_pct=0.01)).withColumn("confidence", F.col("severity"))
+    s = S.cpc_decomposition(w, S.Thresholds(cpc_pct=0.01), traded=True).withColumn("confidence", F.col("severity"))
     acted = R.actions(s).crossJoin(F.broadcast(K.cohort_value(w.mart_ltv)))  # one row
     return R.gated(R.spend(w, acted)).select("action_type", "entity_id", fixed("magnitude").alias("magnitude"), "autonomy", *_tell())

@@ -194,11 +194,15 @@ def _two_windows(d: DataFrame, last: DataFrame, days: int, keys: list[str], sums
     return d.groupBy(*keys).agg(*[F.sum(F.when(now, F.col(c))).alias(f"{c}_now") for c in sums], *[F.sum(F.when(~now, F.col(c))).alias(f"{c}_then") for c in sums])
 
 
-def cpc_decomposition(w: Warehouse, t: Thresholds = Thresholds()) -> DataFrame:
-    """Which of auction price and click rate moved the cost of a click, 28 days up to the last with ads against the 28 before."""
+def cpc_decomposition(w: Warehouse, t: Thresholds = Thresholds(), traded: bool = False) -> DataFrame:
+    """Which of auction price and click rate moved the cost of a click, 28 days up to the last with ads against the 28 before.
+
+    With `traded` the windows are those of daily trading: they end on its last day, whether its ads have landed or not."""
     ads = w.fct_ad_spend_daily.select(F.col("platform").alias("channel"), F.col("ad_date").alias("date_day"), F.col("spend").alias("ad_spend"), "clicks", "impressions")
+    if traded:
+        ads = w.mart_daily_trading.where("ad_spend is not null").select("channel", "date_day", "ad_spend", "clicks", "impressions")
     sums = ("ad_spend", "clicks", "impressions")
-    g = _two_windows(ads, ads.agg(F.max("date_day").alias("last_day")), t.evidence_days, ["channel"], list(sums))
+    g = _two_windows(ads, w.last_day if traded else ads.agg(F.max("date_day").alias("last_day")), t.evidence_days, ["channel"], list(sums))
     g = g.where(" and ".join(f"{c}_{x} > 0" for c in sums for x in ("now", "then")))
     cpc = ratio(ratio("ad_spend_now", "clicks_now"), ratio("ad_spend_then", "clicks_then"))
     cpm = ratio(ratio("ad_spend_now", "impressions_now"), ratio("ad_spend_then", "impressions_then"))

@@ -1,3 +1,4 @@
+import json
 import math
 
 import pytest
@@ -139,3 +140,18 @@ def test_product_detectors_look_at_variants(spark):
     low = {str(r["variant_id"]) for r in w.mart_variant_daily.join(w.last_day, F.col("date_day") == F.col("last_day")).where("days_of_cover < 400").collect()}
     assert low and {r["entity_id"] for r in S.inventory_cover(w, t).collect()} == low
     assert w.mart_variant_daily.count() == w.dim_date.count() * w.dim_product.count()
+
+
+def test_windows_of_clicks_end_with_trading_if_asked(spark):
+    """57 days of trading, ads up to the last but one: the windows begin and end a day later than those of the ads."""
+    import datetime as dt
+    from types import SimpleNamespace
+
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    rows = [("meta", day(n), 100.0 if n else 9000.0, 10 if n < 28 else 5 if n > 28 else 1000, 1000) for n in range(56)]
+    ads = spark.createDataFrame(rows, "platform string, ad_date date, spend double, clicks long, impressions long")
+    daily = ads.select(F.col("platform").alias("channel"), F.col("ad_date").alias("date_day"), F.col("spend").alias("ad_spend"), "clicks", "impressions")
+    w = SimpleNamespace(fct_ad_spend_daily=ads, mart_daily_trading=daily, last_day=spark.createDataFrame([(day(56),)], "last_day date"), cfg=SimpleNamespace(as_of=day(57)))
+    change = lambda traded: json.loads(one(S.cpc_decomposition(w, traded=traded))["evidence"])["change_pct"]
+    ends = lambda first, mid: 100 * ((sum(r[2] for r in rows[mid:]) / sum(r[3] for r in rows[mid:])) / (sum(r[2] for r in rows[first:mid]) / sum(r[3] for r in rows[first:mid])) - 1)
+    assert abs(change(False) - ends(0, 28)) < 1e-6 and abs(change(True) - ends(1, 29)) < 1e-6
