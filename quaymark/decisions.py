@@ -102,9 +102,8 @@ SHORTEST = {
 def k03_reorder(spark, sf_dir):
     """Margin at risk over a reorder's lead time for the three variants with the fewest days of cover (a report of three)."""
     w = warehouse(spark, sf_dir)
-    now = w.mart_variant_daily.join(F.broadcast(w.last_day), F.col("date_day") == F.col("last_day")).where("days_of_cover is not null")
-    low = now.orderBy("days_of_cover", "variant_id").limit(3).select("variant_id")
-    cases = K.stock_cases(w.mart_variant_daily.join(F.broadcast(low), "variant_id"), w.last_day)
+    low = w.product_last("variant_id").where("days_of_cover is not null").orderBy("days_of_cover", "variant_id").limit(3).select("variant_id")
+    cases = K.stock_cases(w.spread(w.variant_runs.join(F.broadcast(low), "variant_id"), "variant_id"), w.last_day)
     s = K.summary(K.reorder(cases, R.LEAD_DAYS), "variant_id", directional=False)
     return s.select("variant_id", *[fixed(c, 4).alias(c) for c in ("p_stockout", "short_p90", "p10", "median", "p90")])
 

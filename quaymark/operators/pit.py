@@ -103,13 +103,19 @@ class AsOfWarehouse(Warehouse):
         cursor = self.w.dim_date.sparkSession.createDataFrame([(self.cfg.as_of,)], "cursor date")
         return self._upto(daily_trading_as_of(self.w.mart_daily_trading, cursor).drop("cursor"), "date_day")
 
+    def _runs(self, runs: DataFrame) -> DataFrame:
+        return runs.where(F.col("since") <= F.lit(self.end)).withColumn("until", F.least("until", F.lit(self.end)))
+
     @cached_property
-    def mart_variant_daily(self) -> DataFrame:
-        return self._upto(self.w.mart_variant_daily, "date_day")
+    def variant_runs(self) -> DataFrame:
+        return self._runs(self.w.variant_runs)
 
     @cached_property
-    def mart_product_daily(self) -> DataFrame:
-        return self._upto(self.w.mart_product_daily, "date_day")
+    def product_runs(self) -> DataFrame:
+        return self._runs(self.w.product_runs)
+
+    def catalogue(self, key: str) -> DataFrame:
+        return self._upto(self.w.catalogue(key), "date_day")
 
     @cached_property
     def mart_data_quality(self) -> DataFrame:

@@ -77,7 +77,8 @@ def spend(w: Warehouse, acted: DataFrame) -> DataFrame:
 
 def stock(w: Warehouse, acted: DataFrame) -> DataFrame:
     """Reorders of variants: units that nine draws of ten fall short by at most."""
-    variants = w.mart_variant_daily.withColumn("entity_id", F.col("variant_id").cast("string")).join(acted.select("entity_id").distinct(), "entity_id", "left_semi")
+    runs = w.variant_runs.withColumn("entity_id", F.col("variant_id").cast("string")).join(acted.select("entity_id").distinct(), "entity_id", "left_semi")
+    variants = w.spread(runs, "variant_id")
     cases = acted.withColumns({"magnitude": F.lit(0.0), "magnitude_unit": F.lit("units short at P90")}).join(K.stock_cases(variants, w.last_day).withColumn("entity_id", F.col("variant_id").cast("string")), "entity_id")
     return _settle(K.reorder(cases, LEAD_DAYS), directional=False).withColumn("magnitude", F.round("short_p90", 1)).select(*KEYS, "commercial", *RESULTS)
 

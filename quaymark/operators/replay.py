@@ -73,18 +73,38 @@ def data_completeness(w: Warehouse, times: DataFrame, t: Thresholds = Thresholds
     return _signal(r, "data_completeness", "source", F.col("source_name"), severity, "degrading", "A", ["first", "last", "consecutive_days"], fired="last", classification="DATA_QUALITY", window=("a", "b"))
 
 
-def product_velocity(w: Warehouse, times: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+def product_velocity(w: Warehouse, times: DataFrame, t: Thresholds = Thresholds(), sorted_all: bool = False) -> DataFrame:
     """A variant's share of the catalogue against its own past at each cursor.
 
-    The past grows by a day a cursor, and the median absolute deviation about a moving median is no sum that a window could carry
-    on: a variant's days (as many as the calendar has) go to one function, which keeps them sorted.
+    Where over half of a variant's past days have no share of sales, their median is zero and so is the deviation about it: the score is then of sums that a window
+    carries on, over the days with sales alone. Only variants with a cursor at which that isn't so (`sorted_all`: every one) go with all their days, as many as the
+    calendar has, to one function, which keeps them sorted: the median absolute deviation about a moving median is no sum.
     """
-    days = w.mart_variant_daily.select("variant_id", "date_day", "units", "velocity_7d")
-    first = w.dim_date.agg(F.date_add(F.min("date_day"), t.warmup_days).alias("start"))
-    total = days.groupBy("date_day").agg(F.sum("velocity_7d").alias("total"))
-    own = days.join(total, "date_day").crossJoin(first).where("date_day >= start").select("variant_id", "date_day", F.col("units").cast("double").alias("units"), ratio("velocity_7d", "total").alias("share"))
-    wanted = times.select(F.col("window_end").alias("date_day")).distinct().withColumn("asked", F.lit(True))
-    rows = own.join(wanted, "date_day", "left").select("variant_id", "date_day", "units", "share", F.coalesce("asked", F.lit(False)).alias("asked"))
+    start = w.dim_date.agg(F.date_add(F.min("date_day"), t.warmup_days).alias("first_day"))
+    asked = times.select(F.col("window_end").alias("date_day")).distinct().withColumn("asked", F.lit(True))
+    known = w.catalogue("variant_id").crossJoin(F.broadcast(start)).where("date_day >= first_day and total <> 0")
+    past = (F.row_number().over(W.orderBy("date_day")) - 1).cast("long")  # one row a day
+    calendar = settled(known.select("date_day", "total", past.alias("n")).join(asked, "date_day", "left").select("date_day", "total", "n", F.coalesce("asked", F.lit(False)).alias("asked")))
+    opening = calendar.agg(F.min(F.when(F.col("asked"), F.col("n"))).alias("opening"))
+    runs = w.variant_runs.where("units_7d <> 0 or units is not null").crossJoin(F.broadcast(start)).withColumn("to", F.when(F.col("units_7d") != 0, F.col("until")).otherwise(F.col("since")))
+    days = runs.where("`to` >= first_day").select("variant_id", "start", "since", "units", "units_7d", F.explode(F.sequence(F.greatest("since", "first_day"), "to")).alias("date_day"))
+    days = days.join(F.broadcast(calendar), "date_day").select(
+        "variant_id", "date_day", "n", "asked", F.coalesce(F.when(F.col("date_day") == F.col("since"), F.col("units")), F.lit(0)).alias("units"),
+        ratio(F.col("units_7d").cast("double") / F.least(F.datediff("date_day", "start") + 1, F.lit(7)), "total").alias("share"))
+    of = W.partitionBy("variant_id")
+    before, month = of.orderBy("date_day").rowsBetween(W.unboundedPreceding, -1), of.orderBy(F.unix_date("date_day")).rangeBetween(-27, 0)
+    x = F.col("share")
+    days = days.withColumns({
+        "n1": F.count_if(x != 0).over(before), "s1": F.coalesce(F.sum("share").over(before), F.lit(0.0)), "s2": F.coalesce(F.sum(x * x).over(before), F.lit(0.0)), "units_28d": F.sum("units").over(month).cast("double")})
+    # Of the days up to this one, or to the first that is asked for, over half without a share.
+    upto, having = F.greatest(F.col("n") + 1, "opening"), F.col("n1") + (x != 0).cast("long")
+    days = days.crossJoin(F.broadcast(opening)).withColumn("dense", F.lit(sorted_all) | (upto - having < F.floor(upto / 2) + 1))
+    days = settled(days.withColumn("sorted", F.max("dense").over(of)).where("sorted or (asked and share <> 0)"))
+    sd = F.sqrt(F.col("s2") / F.col("n") - F.pow(F.col("s1") / F.col("n"), 2))
+    sparse = days.where((~F.col("sorted")) & (F.col("n") >= t.history) & (F.col("units_28d") >= t.velocity_units) & (F.col("s2") > 0)).withColumn("mad_z", x / sd).where(F.abs("mad_z") >= t.velocity_z)
+    sparse = sparse.select("variant_id", "date_day", x.alias("catalogue_share"), F.lit(0.0).alias("median_share"), "mad_z", "units_28d")
+    own = days.where("sorted").select("variant_id").distinct().crossJoin(F.broadcast(calendar)).join(days.select("variant_id", "date_day", "share", "units"), ["variant_id", "date_day"], "left")
+    rows = own.select("variant_id", "date_day", F.coalesce("units", F.lit(0)).cast("double").alias("units"), F.coalesce("share", F.lit(0.0)).alias("share"), "asked")
     history, units, least_z = t.history, t.velocity_units, t.velocity_z
 
     def scores(key, f):
@@ -115,14 +135,14 @@ def product_velocity(w: Warehouse, times: DataFrame, t: Thresholds = Thresholds(
         return pd.DataFrame(out, columns=["variant_id", "date_day", "catalogue_share", "median_share", "mad_z", "units_28d"])
 
     schema = "variant_id long, date_day date, catalogue_share double, median_share double, mad_z double, units_28d double"
-    hits = rows.groupBy("variant_id").applyInPandas(scores, schema)
+    hits = rows.groupBy("variant_id").applyInPandas(scores, schema).unionByName(sparse)
     hits = hits.join(times.withColumnRenamed("window_end", "date_day"), "date_day").withColumnRenamed("date_day", "window_end")
     return _signal(hits, "product_velocity", "variant", F.col("variant_id"), severity_from_z(F.col("mad_z")), F.when(F.col("mad_z") > 0, "improving").otherwise("degrading"), "A", ["catalogue_share", "median_share", "mad_z", "units_28d"])
 
 
 def inventory_cover(w: Warehouse, times: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """Stock has no history: only the cursors that see the last day have rows."""
-    now = w.mart_variant_daily.join(w.last_day, F.col("date_day") == F.col("last_day")).where(F.col("days_of_cover") < t.cover_warning)
+    now = w.product_last("variant_id").withColumnRenamed("date_day", "last_day").where(F.col("days_of_cover") < t.cover_warning)
     rows = now.select("variant_id", "days_of_cover", "inventory_quantity", "velocity_28d", "last_day").join(times.where("is_latest"), F.col("last_day") == F.col("window_end"))
     severity = F.when(F.col("days_of_cover") < t.cover_critical, 1.0).otherwise(0.55)
     return _signal(rows, "inventory_cover", "variant", F.col("variant_id"), severity, "degrading", "A", ["days_of_cover", "inventory_quantity", "velocity_28d"])
@@ -270,7 +290,7 @@ REPLAYED = {f.__name__: f for f in (
     cac_ltv_breach, cac_trend, cpc_decomposition, channel_cvr_shift, email_engagement_decay, cohort_retention_shift, product_velocity, inventory_cover, aov_decomposition, data_completeness,
 )}
 #: What several detectors read: computed once.
-SHARED = ("mart_daily_trading", "mart_variant_daily", "mart_data_quality", "mart_cohort_retention", "mart_ltv", "mart_email_flow_weekly", "fct_ad_spend_daily", "dim_date", "last_day")
+SHARED = ("mart_daily_trading", "variant_runs", "mart_data_quality", "mart_cohort_retention", "mart_ltv", "mart_email_flow_weekly", "fct_ad_spend_daily", "dim_date", "last_day")
 
 
 def raise_all(w: Warehouse, times: DataFrame, t: Thresholds = Thresholds(), only: tuple[str, ...] | None = None) -> DataFrame:

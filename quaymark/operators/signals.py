@@ -99,28 +99,52 @@ def data_completeness(w: Warehouse, t: Thresholds = Thresholds()) -> DataFrame:
     return signal(runs, w, "data_completeness", "source", F.col("source_name"), F.least(F.col("consecutive_days") / 3.0, F.lit(1.0)), "degrading", "A", ["first", "last", "consecutive_days"], fired=F.col("last"), classification="DATA_QUALITY", window=window)
 
 
-def _product_mart(w: Warehouse, key: str) -> DataFrame:
-    return w.mart_variant_daily if key == "variant_id" else w.mart_product_daily
+def shares(w: Warehouse, t: Thresholds, key: str, busy: DataFrame) -> DataFrame:
+    """key, date_day, share, days: a product's share of the catalogue's velocity on the days from the warm-up on, for products of busy(key).
+
+    A day on which it sold within the week is a row (days 1); days on which its share is zero are one row a run, that counts them up to the day before the last
+    (the last day is a row of its own). Days on which the whole catalogue sold nothing have no share.
+    """
+    runs = (w.variant_runs if key == "variant_id" else w.product_runs).select(key, "start", "since", "until", "units_7d").join(busy, key)
+    runs = runs.crossJoin(F.broadcast(w.last_day)).withColumn("since", F.greatest("since", F.date_add("start", t.warmup_days))).where("since <= until")
+    total = w.catalogue(key).withColumn("seen", F.sum((F.col("total") != 0).cast("long")).over(W.orderBy("date_day")))  # one row a day
+    sold = runs.where((F.col("units_7d") != 0) | (F.col("until") == F.col("last_day"))).withColumn("from", F.when(F.col("units_7d") != 0, F.col("since")).otherwise(F.col("last_day")))
+    each = sold.select(key, "last_day", "start", "units_7d", F.explode(F.sequence("from", "until")).alias("date_day")).join(F.broadcast(total.where("total <> 0").select("date_day", "total")), "date_day")
+    each = each.select(key, "last_day", "date_day", ratio(F.col("units_7d").cast("double") / F.least(F.datediff("date_day", "start") + 1, F.lit(7)), "total").alias("share"), F.lit(1).cast("long").alias("days"))
+    none = runs.where("units_7d = 0").withColumn("to", F.least("until", F.date_sub("last_day", 1))).where("since <= to")
+    count = lambda day, name: F.broadcast(total.select(F.col("date_day").alias(day), F.col("seen").alias(name)))
+    none = none.withColumn("before", F.date_sub("since", 1)).join(count("before", "n0"), "before", "left").join(count("to", "n1"), "to")
+    none = none.select(key, "last_day", F.col("to").alias("date_day"), F.lit(0.0).alias("share"), (F.col("n1") - F.coalesce("n0", F.lit(0))).alias("days")).where("days > 0")
+    return each.unionByName(none)
 
 
 def product_velocity(w: Warehouse, t: Thresholds = Thresholds(), key: str = "variant_id") -> DataFrame:
-    """Variants (or brands, with key "sku") whose share of the catalogue's velocity leaves its own history by a robust z-score."""
-    days = _product_mart(w, key).crossJoin(F.broadcast(w.dim_date.agg(F.min("date_day").alias("first_day"), F.max("date_day").alias("last_day"))))
-    days = days.where(F.col("date_day") >= F.date_add("first_day", t.warmup_days)).withColumn("share", ratio("velocity_7d", F.sum("velocity_7d").over(W.partitionBy("date_day"))))
+    """Variants (or brands, with key "sku") whose share of the catalogue's velocity leaves its own history by a robust z-score.
+
+    Only those that sold enough of late are looked at; days without a sale within the week are counted, not made one by one.
+    """
+    recent = (w.variant_runs if key == "variant_id" else w.product_runs).where("units is not null").crossJoin(F.broadcast(w.last_day))
+    recent = recent.where((F.col("since") > F.date_sub("last_day", 28)) & (F.col("since") >= F.date_add("start", t.warmup_days)))
+    busy = recent.groupBy(key).agg(F.sum("units").alias("units_28d")).where(F.col("units_28d") >= t.velocity_units)
+    days = shares(w, t, key, busy.select(key))
     now, past = F.col("date_day") == F.col("last_day"), F.col("date_day") < F.col("last_day")
+    some = past & (F.col("share") != 0)
     g = days.groupBy(key).agg(
-        F.max(F.when(now, F.col("share"))).alias("catalogue_share"), F.percentile(F.when(past, F.col("share")), 0.5).alias("median_share"), F.count(F.when(past, F.col("share"))).alias("history"),
-        F.stddev_pop(F.when(past, F.col("share"))).alias("sd"), F.sum(F.when(F.col("date_day") > F.date_sub("last_day", 28), F.col("units"))).alias("units_28d"))
-    mad = days.where(past).join(g.select(key, "median_share"), key).groupBy(key).agg(F.percentile(F.abs(F.col("share") - F.col("median_share")), 0.5).alias("mad"))
+        F.max(F.when(now, F.col("share"))).alias("catalogue_share"), F.percentile(F.when(past, F.col("share")), 0.5, F.col("days")).alias("median_share"), F.coalesce(F.sum(F.when(past, F.col("days"))), F.lit(0)).alias("history"),
+        F.coalesce(F.sum(F.when(past & (F.col("share") == 0), F.col("days"))), F.lit(0)).alias("_n0"), F.count_if(some).alias("_n1"), F.coalesce(F.avg(F.when(some, F.col("share"))), F.lit(0.0)).alias("_mean"), F.coalesce(F.var_pop(F.when(some, F.col("share"))), F.lit(0.0)).alias("_var"))
+    # The deviation of both kinds of days together, from that of the days with a share and their number.
+    spread = F.col("_var") * F.col("_n1") + F.col("_mean") * F.col("_mean") * F.col("_n0") * F.col("_n1") / F.nullif(F.col("_n0") + F.col("_n1"), F.lit(0))
+    g = g.withColumn("sd", F.sqrt(spread / F.nullif(F.col("history"), F.lit(0))))
+    mad = days.where(past).join(g.select(key, "median_share"), key).groupBy(key).agg(F.percentile(F.abs(F.col("share") - F.col("median_share")), 0.5, F.col("days")).alias("mad"))
     off = F.col("catalogue_share") - F.col("median_share")
     z = F.when(F.col("mad") > 0, 0.6745 * off / F.col("mad")).when(F.col("sd") > 0, off / F.col("sd")).otherwise(0.0)
-    hits = g.join(mad, key).where((F.col("history") >= t.history) & (F.col("units_28d") >= t.velocity_units)).withColumn("mad_z", z).where(F.abs("mad_z") >= t.velocity_z)
+    hits = g.join(mad, key).join(busy, key).where(F.col("history") >= t.history).withColumn("mad_z", z).where(F.abs("mad_z") >= t.velocity_z)
     return signal(hits, w, "product_velocity", "variant", F.col(key).cast("string"), severity_from_z(F.col("mad_z")), F.when(F.col("mad_z") > 0, "improving").otherwise("degrading"), "A", ["catalogue_share", "median_share", "mad_z", "units_28d"])
 
 
 def inventory_cover(w: Warehouse, t: Thresholds = Thresholds(), latest: bool = True, key: str = "variant_id") -> DataFrame:
     """Variants (or brands, with key "sku") about to sell out, on the last day only: stock has no history, so earlier cursors get no rows."""
-    now = _product_mart(w, key).join(F.broadcast(w.last_day), F.col("date_day") == F.col("last_day")).drop("last_day").where((F.col("days_of_cover") < t.cover_warning) & F.lit(latest and w.is_latest))
+    now = w.product_last(key).where((F.col("days_of_cover") < t.cover_warning) & F.lit(latest and w.is_latest))
     return signal(now, w, "inventory_cover", "variant", F.col(key).cast("string"), F.when(F.col("days_of_cover") < t.cover_critical, 1.0).otherwise(0.55), "degrading", "A", ["days_of_cover", "inventory_quantity", "velocity_28d"])
 
 
@@ -290,6 +314,6 @@ def ordered(signals: DataFrame) -> DataFrame:
 
 
 def detect(w: Warehouse, t: Thresholds = Thresholds(), only: list[str] | None = None) -> DataFrame:
-    w.persist("mart_daily_trading", "mart_variant_daily", "mart_data_quality", "mart_cohort_retention", "mart_ltv", "mart_email_flow_weekly", "last_day")
+    w.persist("mart_daily_trading", "variant_runs", "mart_data_quality", "mart_cohort_retention", "mart_ltv", "mart_email_flow_weekly", "last_day")
     parts = [f(w, t) for name, f in DETECTORS.items() if enabled(name, t) and (only is None or name in only)]
     return adjudicate(settled(reduce(DataFrame.unionByName, parts)), w.cfg.fdr_alpha, t.evidence_days)

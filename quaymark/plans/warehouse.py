@@ -12,6 +12,10 @@ from ..session import settled
 from ..functions.columns import channel, decimal, funnel_stage, iso_dow, month_start, months_apart, planned_share, ratio, visible, week_start
 
 
+#: What a variant's rows carry of its product.
+VARIANT = ("product_title", "sku", "product_type")
+
+
 def _zero(c: str):
     return F.coalesce(F.col(c), F.lit(0)).alias(c)
 
@@ -244,28 +248,81 @@ class Warehouse:
             F.when(F.col("ad_spend_is_complete"), decimal(ratio("day_spend", "day_new"))).alias("blended_cac"), "is_peak_season", "iso_dow", "week_start",
         )
 
-    def _product_days(self, key: str, *carried: str) -> DataFrame:
-        """Days x products (or another product attribute), dense, with trailing means over 7 and 28 days."""
+    def _sold(self, key: str) -> DataFrame:
+        """Units, revenue and margin by day and product (or another product attribute)."""
         sold = self.fct_order_line.where("not is_cancelled")
-        stock = self.dim_product.groupBy(key).agg(F.sum("inventory_quantity").alias("inventory_quantity"), *[F.first(c).alias(c) for c in carried])
         if key != "variant_id":
             sold = sold.join(self.dim_product.select("variant_id", key), "variant_id")
-        sold = sold.groupBy(F.col("order_date").alias("date_day"), key).agg(F.sum("quantity").alias("units"), F.sum("net_revenue").alias("net_revenue"), F.sum("contribution_margin").alias("contribution_margin"))
-        dense = self.dim_date.select("date_day").crossJoin(stock).join(sold, ["date_day", key], "left").select("date_day", key, *carried, "inventory_quantity", *map(_zero, ("units", "net_revenue", "contribution_margin")))
-        over = lambda days: W.partitionBy(key).orderBy("date_day").rowsBetween(1 - days, 0)
-        mean = lambda days: F.sum("units").over(over(days)).cast("double") / F.count("*").over(over(days))
-        d = dense.withColumns({"velocity_7d": mean(7), "velocity_28d": mean(28)})
+        sold = sold.where(F.col(key).isNotNull()).groupBy(F.col("order_date").alias("date_day"), key)
+        return sold.agg(F.sum("quantity").alias("units"), F.sum("net_revenue").alias("net_revenue"), F.sum("contribution_margin").alias("contribution_margin"))
+
+    def _product_runs(self, key: str, *carried: str) -> DataFrame:
+        """A product's days as runs from `since` to `until`, in which the sums of the last 7 and 28 days (units_7d, units_28d) do not change: a sale
+        begins one, and its leaving either sum does. Units and money are those of the run's first day; on its others nothing was sold.
+
+        Runs are as many as sales, not days times products; all of a product's are in one partition, so whatever is grouped by it needs no exchange.
+        """
+        stock = self.dim_product.groupBy(key).agg(F.sum("inventory_quantity").alias("inventory_quantity"), *[F.first(c).alias(c) for c in carried])
+        sold = self._sold(key)
+        about = F.struct("inventory_quantity", *carried)
+        money = ("units", "net_revenue", "contribution_margin")
+        kinds = dict(sold.dtypes)
+        none = [F.lit(None).cast(kinds[c]).alias(c) for c in money]
+        rows = sold.select(key, "date_day", *money, F.lit(None).cast(stock.select(about.alias("x")).schema["x"].dataType).alias("about"))
+        rows = rows.unionByName(stock.select(key, F.lit(None).cast("date").alias("date_day"), *none, about.alias("about"))).repartition(key)
+        bounds = self.dim_date.agg(F.min("date_day").alias("start"), F.max("date_day").alias("end"))
+        day, units = F.col("date_day"), F.col("units")
+        at = lambda since, d7, d28, own: F.struct(since.alias("since"), d7.cast("long").alias("d7"), d28.cast("long").alias("d28"), *[(F.col(c) if own else F.lit(None).cast(kinds[c])).alias(c) for c in money])
+        turns = F.when(day.isNull(), F.array(at(F.col("start"), F.lit(0), F.lit(0), False))).otherwise(
+            F.array(at(day, units, units, True), at(F.date_add(day, 7), -units, F.lit(0), False), at(F.date_add(day, 28), F.lit(0), -units, False)))
+        turned = rows.crossJoin(F.broadcast(bounds)).select(key, "start", "end", "about", F.explode(turns).alias("t")).select(key, "start", "end", "about", "t.*").where("since between start and `end`")
+        days = turned.groupBy(key, "since").agg(
+            F.first("start").alias("start"), F.first("end").alias("end"), F.first("about", ignorenulls=True).alias("about"), F.sum("d7").alias("d7"), F.sum("d28").alias("d28"), *[F.max(c).alias(c) for c in money])
+        of = W.partitionBy(key).orderBy("since")
+        run = of.rowsBetween(W.unboundedPreceding, 0)
+        runs = days.select(
+            key, "start", "since", F.coalesce(F.date_sub(F.lead("since").over(of), 1), "end").alias("until"), F.first("about").over(run).alias("about"),
+            F.sum("d7").over(run).alias("units_7d"), F.sum("d28").over(run).alias("units_28d"), *money)
+        return runs.select(key, "start", "since", "until", "about.*", "units_7d", "units_28d", *money)
+
+    @staticmethod
+    def spread(runs: DataFrame, key: str, *carried: str) -> DataFrame:
+        """Days x products, dense, of runs, with trailing means over 7 and 28 days: made where the runs are, without an exchange."""
+        d = runs.withColumn("date_day", F.explode(F.sequence(F.coalesce("shown", "since") if "shown" in runs.columns else F.col("since"), F.col("until"))))
+        own = lambda c: F.when(F.col("date_day") == F.col("since"), F.coalesce(c, F.lit(0).cast(runs.schema[c].dataType))).otherwise(F.lit(0).cast(runs.schema[c].dataType)).alias(c)
+        mean = lambda n: F.col(f"units_{n}d").cast("double") / F.least(F.datediff("date_day", "start") + 1, F.lit(n))
+        d = d.select("date_day", key, *carried, "inventory_quantity", *map(own, ("units", "net_revenue", "contribution_margin")), mean(7).alias("velocity_7d"), mean(28).alias("velocity_28d"))
         return d.withColumns({"velocity_ratio": ratio("velocity_7d", "velocity_28d"), "days_of_cover": ratio("inventory_quantity", "velocity_28d")})
 
+    def product_last(self, key: str, days: int = 1) -> DataFrame:
+        """The rows of a product mart on the last so many days."""
+        runs, carried = (self.variant_runs, VARIANT) if key == "variant_id" else (self.product_runs, ())
+        runs = runs.crossJoin(F.broadcast(self.last_day)).where(F.col("until") > F.date_sub("last_day", days))
+        return self.spread(runs.withColumn("shown", F.greatest("since", F.date_sub("last_day", days - 1))), key, *carried)
+
+    def catalogue(self, key: str) -> DataFrame:
+        """date_day, total: the sum over the catalogue of velocity_7d, from the units of all products together."""
+        daily = self.dim_date.select("date_day").join(self._sold(key).groupBy("date_day").agg(F.sum("units").alias("units")), "date_day", "left")
+        week = W.orderBy("date_day").rowsBetween(-6, 0)  # one row a day
+        return daily.select("date_day", (F.coalesce(F.sum("units").over(week), F.lit(0)).cast("double") / F.count(F.lit(1)).over(week)).alias("total"))
+
+    @cached_property
+    def product_runs(self) -> DataFrame:
+        return self._product_runs("sku")
+
+    @cached_property
+    def variant_runs(self) -> DataFrame:
+        return self._product_runs("variant_id", *VARIANT)
+
     @cached_property
     def mart_product_daily(self) -> DataFrame:
         """The roll-up per brand, which stands in for a stock keeping unit here."""
-        return self._product_days("sku")
+        return self.spread(self.product_runs, "sku")
 
     @cached_property
     def mart_variant_daily(self) -> DataFrame:
         """Per variant, the reference's grain."""
-        return self._product_days("variant_id", "product_title", "sku", "product_type")
+        return self.spread(self.variant_runs, "variant_id", *VARIANT)
 
     @cached_property
     def _cohorts(self) -> DataFrame:

@@ -78,8 +78,8 @@ def m04_email_halves(spark, sf_dir):
 def m05_velocity_and_share(spark, sf_dir):
     """Speed of sale of each variant and its share of the catalogue's, over the last five weeks."""
     w = warehouse(spark, sf_dir)
-    d = w.mart_variant_daily.crossJoin(F.broadcast(w.last_day)).where(F.col("date_day") > F.date_sub("last_day", 35))
-    whole = d.groupBy("date_day").agg(F.sum("velocity_7d").alias("whole"))
+    d = w.product_last("variant_id", 35)
+    whole = w.catalogue("variant_id").withColumnRenamed("total", "whole")
     return d.join(F.broadcast(whole), "date_day").select("date_day", "variant_id", fixed("velocity_7d").alias("velocity_7d"), fixed(ratio("velocity_7d", "whole")).alias("catalogue_share"))
 
 

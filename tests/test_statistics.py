@@ -155,3 +155,20 @@ def test_windows_of_clicks_end_with_trading_if_asked(spark):
     change = lambda traded: json.loads(one(S.cpc_decomposition(w, traded=traded))["evidence"])["change_pct"]
     ends = lambda first, mid: 100 * ((sum(r[2] for r in rows[mid:]) / sum(r[3] for r in rows[mid:])) / (sum(r[2] for r in rows[first:mid]) / sum(r[3] for r in rows[first:mid])) - 1)
     assert abs(change(False) - ends(0, 28)) < 1e-6 and abs(change(True) - ends(1, 29)) < 1e-6
+
+
+def test_variants_are_runs_of_sales_until_they_are_shown(spark):
+    """Runs are as many as sales and their leaving, not days times variants, and what is dense is made of them without an exchange of its own."""
+    w = warehouse(spark, SMALL)
+    sales, variants, days = w._sold("variant_id").count(), w.dim_product.count(), w.dim_date.count()
+    runs = w.variant_runs
+    assert runs.count() <= 3 * sales + variants < days * variants / 10
+    assert runs.agg(F.sum(F.datediff("until", "since") + 1)).first()[0] == days * variants
+    exchanges = lambda df: df._jdf.queryExecution().sparkPlan().toString().count("REPARTITION_BY_COL") + df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(variant_id")
+    assert exchanges(w.mart_variant_daily.groupBy("variant_id").count()) == exchanges(runs.groupBy("variant_id").count())
+    # By hand for one variant: the sum of a week at each of its days.
+    one_of = w._sold("variant_id").groupBy("variant_id").agg(F.max(F.struct("date_day", "units")).alias("m")).orderBy("variant_id").first()
+    at = {r["date_day"]: r for r in w.mart_variant_daily.where(F.col("variant_id") == one_of["variant_id"]).collect()}
+    units = {d: r["units"] for d, r in at.items()}
+    for d, r in list(at.items())[100::97] + [(one_of["m"]["date_day"], at[one_of["m"]["date_day"]])]:
+        assert r["velocity_7d"] == sum(u for e, u in units.items() if 0 <= (d - e).days < 7) / 7
