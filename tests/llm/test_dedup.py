@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from conftest import SMALL
-from quaymark.llm.components import components
+from quaymark.llm.components import bucket_links, components
 from quaymark.llm.exact import exact_dedup
 from quaymark.llm.lines import BLANK, MINIMA, MIX, _int, band_keys, dedup_lines, signatures
 from quaymark.llm.mixing import GOLDEN, MIX_SQL, mix, mix_documents, plan_targets
@@ -261,3 +261,13 @@ def test_mixing_is_its_sql(spark, duck):
     cols = ["doc_id", "source", "size", "source_size", "target", "taken", "first_slot", "n_slots"]
     want = duck.execute(f"select {', '.join(cols)} from ({MIX_SQL})").fetchall()
     assert sorted(map(tuple, mix_documents(table(spark, SMALL, "documents")).select(cols).collect()), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("size, reps", [(3, 2), (4, 3)])
+def test_small_buckets_lose_no_link(spark, size, reps):
+    """One link in each of 120 small buckets, whichever members the hashes choose."""
+    rows = [(k, 10 * k + i) for k in range(120) for i in range(size)]
+    chosen = {k: tuple(sorted(random.Random(k).sample([10 * k + i for i in range(size)], 2))) for k in range(120)}
+    links = spark.createDataFrame(list(chosen.values()), "a long, b long")
+    found = bucket_links(spark.createDataFrame(rows, "k long, id long"), ["k"], lambda pairs: pairs.join(links, ["a", "b"], "left_semi"), reps=reps)
+    assert {(r["component"], r["id"]) for r in found.where("id <> component").collect()} == set(chosen.values())
