@@ -138,3 +138,13 @@ def test_an_event_is_not_answered_after_its_end(spark):
     s = spark.createDataFrame([("a", "d", "e", "COMMERCIAL", True, D(2024, 2, 1)), ("b", "d", "e", "COMMERCIAL", True, D(2024, 4, 1))], "signal_id string, detector string, entity_id string, classification string, passed_fdr boolean, cursor date")
     e = spark.createDataFrame([("x", "d", "e", None, D(2024, 1, 20), D(2024, 3, 1), "COMMERCIAL")], "event_id string, detector string, entity_id string, entity_contains string, onset date, until date, must_classify string")
     assert [r["signal_id"] for r in B.matches(s, e).collect()] == ["a"]
+
+
+def test_what_is_settled_is_kept_by_columns(spark):
+    """A mart that several read is a compressed table, from which each reads its columns; rows, types and nulls are the same."""
+    from quaymark.session import settled
+
+    df = spark.sql("select cast(1.5 as decimal(12,2)) as d, timestamp_ntz'2001-01-01 10:00:00' as t, cast(null as array<string>) as a union all select null, null, array('x')")
+    kept = settled(df)
+    assert kept.schema == df.schema and sorted(map(str, kept.collect())) == sorted(map(str, df.collect()))
+    assert all(f.endswith(".parquet") for f in kept.inputFiles()) and kept.inputFiles()
