@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from conftest import SMALL
+from quaymark.llm import components as module
 from quaymark.llm.components import bucket_links, components
 from quaymark.llm.exact import exact_dedup
 from quaymark.llm.lines import BLANK, MINIMA, MIX, _int, band_keys, dedup_lines, signatures
@@ -288,3 +289,17 @@ def test_the_last_join_of_buckets_lets_out_little_but_links(spark):
     assert {(r["id"], r["component"]) for r in found.collect()} == {(i, i % 7) for i in range(60)}
     plan = seen[-1]._jdf.queryExecution().optimizedPlan().toString().split("\n")
     assert len(seen) == 2 and any("Join Inner" in x and "exists(" in x for x in plan) and not any("Filter" in x and "exists(" in x for x in plan)
+
+
+@pytest.mark.parametrize("every, most", [(2, 150), (40, 150), (10**9, 0)])
+def test_an_exact_finish_grows_with_members_not_their_pairs(spark, monkeypatch, every, most):
+    """Dense and sparse links in two buckets that share members: the components of all pairs, and no more rows from the last step than members."""
+    made, write = [], module.written
+    monkeypatch.setattr(module, "written", lambda df: made.append(write(df)) or made[-1])
+    link = F.pmod(F.xxhash64(F.least("a", "b"), F.greatest("a", "b")), F.lit(every)) == 0
+    rows = [(k, i) for k in (1, 2) for i in range(90) if i % 3 != k]
+    found = bucket_links(spark.createDataFrame(rows, "k long, id long"), ["k"], lambda p: p.where(link), reps=2, within=link, exact=True)
+    pairs = spark.createDataFrame([(a, b) for a, b in itertools.combinations(range(90), 2) if any(a % 3 != k != b % 3 for k in (1, 2))], "a long, b long").where(link).collect()
+    pairs = [tuple(p) for p in pairs]
+    assert {r["id"]: r["component"] for r in found.collect()} == {i: c for i, c in roots(range(90), pairs).items() if any(i in p for p in pairs)}
+    assert (len(pairs) > 1000) == (every == 2) and all(df.count() <= most for df in made if df.columns == ["a", "b"])
