@@ -13,7 +13,7 @@ from quaymark.operators import measures as M
 from quaymark.operators.recommend import ACTIONS
 from quaymark.queries import warehouse
 from quaymark.sources import files
-from quaymark.sources.expectations import Rule, compiled
+from quaymark.sources.expectations import RULES, Rule, compiled, expectations
 
 D = dt.date
 
@@ -64,6 +64,13 @@ def test_expectations_find_what_is_broken(spark):
     assert len(parts) == 4 and sorted(got) == sorted([("unique: k", 1), ("unique: k, s", 0), ("not_null: s", 1), ("accepted: s", 1), ("range: n", 2), ("range: n", 1), ("range: n", 1), ("reference: r", 1)])
 
 
+def test_expectations_build_each_model_once(spark):
+    """Rules on rows, keys and references read what is settled, not the given tables anew; each rule did before."""
+    rules = tuple(r for r in RULES if r.model in ("dim_date", "mart_variant_daily"))
+    found = expectations(warehouse(spark, SMALL), rules)
+    assert not any(f"{SMALL}/" in f for f in found.inputFiles()) and {r["violations"] for r in found.collect()} == {0}
+
+
 def test_a_digest_is_of_the_content(spark, duck):
     rows = [(1, "a", 1.25, D(2001, 1, 1), True), (2, None, None, None, None), (2, None, None, None, None), (3, "ü|", -0.00005, D(2001, 1, 2), False)]
     schema = "i long, s string, x double, d date, b boolean"
