@@ -55,6 +55,15 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_stars_are_done_without_a_step(spark):
+    stars = spark.createDataFrame([(0, i) for i in range(1, 30)] + [(40, i) for i in range(41, 60)], "a long, b long")
+    got = {r["id"]: r["component"] for r in components(stars, rounds=0).collect()}
+    assert got == {i: 0 for i in range(30)} | {i: 40 for i in range(40, 60)}
+    for open_ in ([(0, 1), (1, 2)], [(0, 2), (1, 2)]):  # a node that hangs on one that hangs, and one that hangs on two
+        with pytest.raises(RuntimeError):
+            components(spark.createDataFrame(open_, "a long, b long"), rounds=0)
+
+
 def test_exact_dedup(spark):
     got = {(r["doc_id"], r["text_sha256"]): r for r in exact_dedup(docs(spark, EDGE), salts=4).collect()}
     sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
