@@ -84,6 +84,25 @@ def test_an_export_is_read_back(spark, tmp_path):
         files.export(df.limit(0), str(tmp_path), "none")
 
 
+def test_halves_of_a_digest_go_away_from_zero(spark):
+    """A value is rounded without a decimal for each, to the same whole number."""
+    xs = [0.5, 1.5, 2.5, -0.5, -2.5, 0.49999999999999994, 1e15 + 0.5, -3.2, 0.0, -0.0, 2.0**52 + 1, 7.5e-9, None]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").select("i", files._whole(F.col("x")).alias("n"), F.round("x", 0).cast("long").alias("want"))
+    assert "round(" not in plan(got.select("n")).split("== Physical Plan ==")[1] and all(r["n"] == r["want"] for r in got.collect())
+
+
+def test_days_in_order_are_the_mart_sorted(spark, tmp_path):
+    """Stretches of days are sorted where they are made: files follow one another in the order of day and variant, and no row's day is exchanged."""
+    w = warehouse(spark, SMALL)
+    w.persist("variant_runs")
+    w.variant_days_in_order(9000).write.parquet(str(tmp_path / "m"))
+    parts = sorted((tmp_path / "m").glob("part-*.parquet"))
+    rows = [tuple(r) for p in parts for r in spark.read.parquet(str(p)).coalesce(1).collect()]
+    want = [tuple(r) for r in w.variant_days.orderBy("date_day", "variant_id").collect()]
+    assert len(parts) > 5 and rows == want and len(rows) == w.mart_variant_daily.count()
+    assert "rangepartitioning" not in plan(w.variant_days_in_order(9000)).split("== Physical Plan ==")[1]
+
+
 def plan(df):
     return df._jdf.queryExecution().toString()
 
