@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.columns import month_start, ratio
 from ..plans.warehouse import Warehouse
+from ..session import settled
 from .stats import mann_kendall, theil_sen
 
 
@@ -45,6 +46,10 @@ def _outages(w: Warehouse) -> DataFrame:
     return bad.withColumn("run", run).groupBy("source_name", "run").agg(F.min("date_day").alias("first"), F.max("date_day").alias("last"))
 
 
+#: Detectors that derived events name.
+DERIVED = ("data_completeness", "cpc_decomposition", "aov_decomposition")
+
+
 def derived_events(w: Warehouse, times: DataFrame, pct: float = 10.0, evidence_days: int = 28) -> DataFrame:
     """What the tables themselves say a replay should find, as EVENT rows: runs of missing or partial days of a source, months in which
     a click's price or the average order moved by `pct` per cent or more against the month before.
@@ -86,25 +91,27 @@ def score_events(signals: DataFrame, events: DataFrame, grace_days: int = 14) ->
         "event_id", F.col("first_fire").isNotNull().alias("detected"), "first_fire", F.datediff("first_fire", "onset").alias("lead_days"), F.coalesce("cursors_fired", F.lit(0)).alias("cursors_fired"))
 
 
-def score_traps(signals: DataFrame, events: DataFrame, traps: DataFrame, grace_days: int = 14) -> DataFrame:
+def score_traps(signals: DataFrame, events: DataFrame, traps: DataFrame, grace_days: int = 14, answering: DataFrame | None = None) -> DataFrame:
     """trap_id, violations, cursors_violated, clean. A trap forbids a class for a detector (null: any) between two cursors;
-    it may leave out signals of labelled events, and allow a number a cursor before any counts."""
+    it may leave out signals of labelled events, and allow a number a cursor before any counts. Signals are counted a trap and cursor where they are.
+    `answering`: the signals of the events' detectors, where the caller has them apart."""
     s, t = signals.alias("s"), traps.alias("t")
     bad = (
         (F.col("s.classification") == F.col("t.must_not_classify")) & F.col("s.passed_fdr") & (F.col("t.detector").isNull() | (F.col("s.detector") == F.col("t.detector")))
         & (F.col("t.from_day").isNull() | (F.col("s.cursor") >= F.col("t.from_day"))) & (F.col("t.to_day").isNull() | (F.col("s.cursor") <= F.col("t.to_day")))
     )
-    labelled = matches(signals, events, grace_days).select("signal_id").distinct().withColumn("labelled", F.lit(True))
+    labelled = settled(matches(signals if answering is None else answering, events, grace_days).select("signal_id").distinct().withColumn("labelled", F.lit(True)))
     hit = s.join(t, bad).select("t.trap_id", "t.exclude_labelled", "t.per_cursor", "s.signal_id", "s.cursor").join(labelled, "signal_id", "left")
-    hit = hit.where(~(F.col("exclude_labelled") & F.coalesce("labelled", F.lit(False)))).withColumn("here", F.count("*").over(W.partitionBy("trap_id", "cursor")))
+    hit = hit.where(~(F.col("exclude_labelled") & F.coalesce("labelled", F.lit(False)))).groupBy("trap_id", "per_cursor", "cursor").agg(F.count("*").alias("here"))
     hit = hit.where(F.col("per_cursor").isNull() | (F.col("here") > F.col("per_cursor")))
-    g = hit.groupBy("trap_id").agg(F.count("*").alias("violations"), F.count_distinct("cursor").alias("cursors_violated"))
+    g = hit.groupBy("trap_id").agg(F.sum("here").alias("violations"), F.count_distinct("cursor").alias("cursors_violated"))
     return traps.select("trap_id").join(g, "trap_id", "left").select("trap_id", F.coalesce("violations", F.lit(0)).alias("violations"), F.coalesce("cursors_violated", F.lit(0)).alias("cursors_violated"), F.col("violations").isNull().alias("clean"))
 
 
-def summary(signals: DataFrame, events: DataFrame, grace_days: int = 14) -> DataFrame:
-    """recall over events, precision over the ids of commercial signals that passed."""
-    recall = score_events(signals, events, grace_days).agg(F.avg(F.col("detected").cast("double")).alias("recall"))
-    good = matches(signals, events, grace_days).agg(F.count_distinct("signal_id").alias("matched"))
+def summary(signals: DataFrame, events: DataFrame, grace_days: int = 14, answering: DataFrame | None = None) -> DataFrame:
+    """recall over events, precision over the ids of commercial signals that passed. `answering` as in `score_traps`."""
+    answering = signals if answering is None else answering
+    recall = score_events(answering, events, grace_days).agg(F.avg(F.col("detected").cast("double")).alias("recall"))
+    good = matches(answering, events, grace_days).agg(F.count_distinct("signal_id").alias("matched"))
     fired = signals.where("classification = 'COMMERCIAL' and passed_fdr").agg(F.count_distinct("signal_id").alias("fired"))
     return recall.crossJoin(good).crossJoin(fired).select("recall", (F.col("matched") / F.nullif(F.col("fired"), F.lit(0))).alias("precision"), "matched", "fired")

@@ -23,6 +23,10 @@ SIGNAL_COLUMNS = (
     "signal_id", "detector", "entity_type", "entity_id", "as_of_date", "fired_date", "severity", "direction", "classification", "attribution_tier",
     "data_quality_score", "p_value", "evidence", "window_from", "window_to",
 )
+SIGNAL_SCHEMA = (
+    "signal_id string, detector string, entity_type string, entity_id string, as_of_date date, fired_date date, severity double, direction string, classification string, "
+    "attribution_tier string, data_quality_score double, p_value double, evidence string, window_from date, window_to date"
+)
 
 
 @dataclass(frozen=True)
@@ -281,33 +285,43 @@ def _buckets(first: Column, last: Column) -> Column:
     return F.explode(F.sequence(at(first), at(last)))
 
 
+def suppressed(other: DataFrame, signals: DataFrame, days: DataFrame, evidence_days: int = 28) -> DataFrame:
+    """`other`, which holds no outages, with suppressed_by: the sources of outages among `signals` that its evidence windows meet. days(as_of_date, fired_date) are the pairs that
+    `other` may hold, few rows, so nothing of `other` is exchanged."""
+    outages = signals.where("detector = 'data_completeness'").select("as_of_date", "window_from", "window_to", F.col("entity_id").alias("_s"))
+    outages = outages.select("*", _buckets(F.col("window_from"), F.col("window_to")).alias("_k"))
+    days = days.distinct().select("*", _buckets(F.date_sub("fired_date", evidence_days), F.col("fired_date")).alias("_k"))
+    meet = (F.date_sub("fired_date", evidence_days) <= F.col("window_to")) & (F.col("fired_date") >= F.col("window_from"))
+    by = settled(days.join(outages, ["as_of_date", "_k"]).where(meet).groupBy("as_of_date", "fired_date").agg(F.array_sort(F.collect_set("_s")).alias("suppressed_by")))
+    hit = F.col("suppressed_by").isNotNull()
+    return other.join(F.broadcast(by), ["as_of_date", "fired_date"], "left").select(*other.columns, "suppressed_by").withColumns({
+        "classification": F.when(hit, "DATA_QUALITY").otherwise(F.col("classification")), "data_quality_score": F.when(hit, 0.3).otherwise(F.col("data_quality_score"))})
+
+
 def suppress_over_outages(signals: DataFrame, evidence_days: int = 28) -> DataFrame:
     """Signals whose evidence window meets an outage of the same cursor become data-quality ones, with a score of 0.3.
 
     Windows and outages are dealt to buckets of days and meet within a cursor and bucket; of signals with one cursor and day, which
     share a window, one row takes part.
     """
-    outages = signals.where("detector = 'data_completeness'").select("as_of_date", "window_from", "window_to", F.col("entity_id").alias("_s"))
-    outages = outages.select("*", _buckets(F.col("window_from"), F.col("window_to")).alias("_k"))
     other = signals.where("detector <> 'data_completeness'")
-    days = other.select("as_of_date", "fired_date").distinct().select("*", _buckets(F.date_sub("fired_date", evidence_days), F.col("fired_date")).alias("_k"))
-    meet = (F.date_sub("fired_date", evidence_days) <= F.col("window_to")) & (F.col("fired_date") >= F.col("window_from"))
-    by = days.join(outages, ["as_of_date", "_k"]).where(meet).groupBy("as_of_date", "fired_date").agg(F.array_sort(F.collect_set("_s")).alias("suppressed_by"))
-    hit = F.col("suppressed_by").isNotNull()
-    out = other.join(by, ["as_of_date", "fired_date"], "left").select(*signals.columns, "suppressed_by").withColumns({
-        "classification": F.when(hit, "DATA_QUALITY").otherwise(F.col("classification")), "data_quality_score": F.when(hit, 0.3).otherwise(F.col("data_quality_score"))})
+    out = suppressed(other, signals, other.select("as_of_date", "fired_date"), evidence_days)
     return out.unionByName(signals.where("detector = 'data_completeness'").withColumn("suppressed_by", F.lit(None).cast("array<string>")))
 
 
-def adjudicate(signals: DataFrame, alpha: float = 0.10, evidence_days: int = 28) -> DataFrame:
-    """Suppression, false-discovery control over a cursor's tested signals, confidence and whether to act."""
-    s = benjamini_hochberg(suppress_over_outages(signals, evidence_days), "p_value", alpha, ["as_of_date"])
+def judged(s: DataFrame) -> DataFrame:
+    """Signals with suppressed_by and `kept`: whether they pass, how far they are trusted and whether to act."""
     tested = F.col("p_value").isNotNull() & ~F.isnan("p_value")
     tier = reduce(lambda c, kv: F.when(F.col("attribution_tier") == kv[0], kv[1]).otherwise(c), TIERS.items(), F.lit(None).cast("double"))
     s = s.withColumns({"passed_fdr": F.when(tested, F.col("kept")).otherwise(True), "confidence": F.round(F.col("severity") * tier * F.col("data_quality_score"), 4)}).drop("kept")
     return s.withColumn("is_actionable", (F.col("classification") == "COMMERCIAL") & F.col("passed_fdr"))
 
 
+def adjudicate(signals: DataFrame, alpha: float = 0.10, evidence_days: int = 28) -> DataFrame:
+    """Suppression, false-discovery control over a cursor's tested signals, confidence and whether to act."""
+    return judged(benjamini_hochberg(suppress_over_outages(signals, evidence_days), "p_value", alpha, ["as_of_date"]))
+
+
 def ordered(signals: DataFrame) -> DataFrame:
     """Adjudicated signals as they are reported: what can be acted on first, then by confidence; ties by id."""
     return signals.orderBy(F.desc("is_actionable"), F.desc("confidence"), "as_of_date", "signal_id")

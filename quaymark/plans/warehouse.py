@@ -136,6 +136,11 @@ class Warehouse:
         )
         return out.withColumn("contribution_margin", (F.col("net_revenue") - F.col("cogs")).cast("decimal(12,2)"))
 
+    @cached_property
+    def sold_lines(self) -> DataFrame:
+        """What the marts read of the lines that weren't cancelled."""
+        return self.fct_order_line.where("not is_cancelled").select("order_date", "channel", "customer_id", "variant_id", "quantity", "line_discount", "net_revenue", "contribution_margin")
+
     @cached_property
     def fct_ad_spend_daily(self) -> DataFrame:
         key = F.concat_ws(":", "platform", F.col("campaign_id").cast("string"))
@@ -227,7 +232,7 @@ class Warehouse:
         first = F.col("is_first_order")
         orders = kept.groupBy(F.col("order_date").alias("date_day"), "channel").agg(
             F.count("*").alias("orders"), F.count_distinct(F.when(first, F.col("customer_id"))).alias("new_customers"), F.count_distinct(F.when(~first, F.col("customer_id"))).alias("returning_customers"))
-        lines = self.fct_order_line.where("not is_cancelled").groupBy(F.col("order_date").alias("date_day"), "channel").agg(
+        lines = self.sold_lines.groupBy(F.col("order_date").alias("date_day"), "channel").agg(
             F.sum("net_revenue").alias("net_revenue"), F.sum("contribution_margin").alias("contribution_margin"), F.sum("quantity").alias("units"), F.sum("line_discount").alias("discounts"))
         spend = self.fct_ad_spend_daily.groupBy(F.col("ad_date").alias("date_day"), F.col("platform").alias("channel")).agg(
             F.sum("spend").alias("ad_spend"), F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"), F.max("available_on").alias("spend_available_on"))
@@ -250,7 +255,7 @@ class Warehouse:
 
     def _sold(self, key: str) -> DataFrame:
         """Units, revenue and margin by day and product (or another product attribute)."""
-        sold = self.fct_order_line.where("not is_cancelled")
+        sold = self.sold_lines
         if key != "variant_id":
             sold = sold.join(self.dim_product.select("variant_id", key), "variant_id")
         sold = sold.where(F.col(key).isNotNull()).groupBy(F.col("order_date").alias("date_day"), key)
@@ -380,7 +385,7 @@ class Warehouse:
         """Revenue and margin of a cohort within 30, 60 and 90 days of each customer's first order; null per head until all had the time."""
         at = ["cohort_month", "acquisition_channel"]
         hs = F.array(*map(F.lit, self.cfg.horizons))
-        bought = self._cohorts.join(self.fct_order_line.where("not is_cancelled").select("customer_id", "order_date", "net_revenue", "contribution_margin"), "customer_id")
+        bought = self._cohorts.join(self.sold_lines.select("customer_id", "order_date", "net_revenue", "contribution_margin"), "customer_id")
         # The join on the customer comes first; horizons multiply only what lies within the longest.
         age = F.datediff("order_date", "first_order_date")
         within = bought.where((age >= 0) & (age < max(self.cfg.horizons))).withColumn("horizon_days", F.explode(F.filter(hs, lambda h: h > age)))

@@ -37,12 +37,12 @@ def m07_signals_per_cursor(spark, sf_dir):
     return R.signals_per_cursor(replayed(spark, sf_dir))
 
 
-def scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Replayed signals, events and traps, each computed once."""
+def scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Replayed signals, those of them that may answer a derived event, events and traps. Signals of variants, the bulk, are made where they are read and not kept; no event is theirs."""
     w = long_warehouse(spark, sf_dir)
-    signals = settled(R.replay(w).select("signal_id", "detector", "entity_id", "classification", "passed_fdr", F.col("as_of_date").alias("cursor")))
+    signals = R.replay(w).select("signal_id", "detector", "entity_id", "classification", "passed_fdr", F.col("as_of_date").alias("cursor"))
     times = pit.clock(w)
-    return signals, settled(B.derived_events(w, times)), settled(B.derived_traps(w, times))
+    return signals, settled(signals.where(F.col("detector").isin(*B.DERIVED))), settled(B.derived_events(w, times)), settled(B.derived_traps(w, times))
 
 
 @query("""
@@ -50,15 +50,15 @@ def scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     from happened left join (select event_id, cursor from answers) a using (event_id) group by event_id, detector, onset""", REPLAY)
 def j20_events(spark, sf_dir):
     """Every event that the tables hold: whether it was found, when first, with what lead."""
-    signals, events, _ = scored(spark, sf_dir)
-    s = B.score_events(signals, events).join(events.select("event_id", "detector", "onset"), "event_id")
+    _, answering, events, _ = scored(spark, sf_dir)
+    s = B.score_events(answering, events).join(events.select("event_id", "detector", "onset"), "event_id")
     return s.select("event_id", "detector", "onset", "detected", "first_fire", F.col("lead_days").cast("long").alias("lead_days"), F.col("cursors_fired").cast("long").alias("cursors_fired"))
 
 
 @query("select trap_id, count(cursor) as violations, count(distinct cursor) as cursors_violated, count(cursor) = 0 as clean from forbidden left join broken using (trap_id) group by trap_id", REPLAY)
 def j20_traps(spark, sf_dir):
-    signals, events, traps = scored(spark, sf_dir)
-    return B.score_traps(signals, events, traps)
+    signals, answering, events, traps = scored(spark, sf_dir)
+    return B.score_traps(signals, events, traps, answering=answering)
 
 
 @query(f"""
@@ -66,8 +66,8 @@ def j20_traps(spark, sf_dir):
            (select count(distinct signal_id) from answers) as matched, fired
     from (select count(distinct signal_id) as fired from adjudicated where classification = 'COMMERCIAL' and passed_fdr)""", REPLAY)
 def j20_summary(spark, sf_dir):
-    signals, events, _ = scored(spark, sf_dir)
-    return B.summary(signals, events).select(fixed("recall").alias("recall"), fixed("precision").alias("precision"), "matched", "fired")
+    signals, answering, events, _ = scored(spark, sf_dir)
+    return B.summary(signals, events, answering=answering).select(fixed("recall").alias("recall"), fixed("precision").alias("precision"), "matched", "fired")
 
 
 # Earlier cursors: the first day of every month of the last year.

@@ -40,6 +40,23 @@ def test_replay_is_detection_at_each_cursor(spark, long):
     assert seen >= {"data_completeness", "product_velocity", "aov_decomposition", "cohort_retention_shift", "email_engagement_decay"} and len(seen) >= 6
 
 
+def test_signals_of_variants_are_kept_nowhere(spark, long):
+    """They are judged as they are made: runs are exchanged once by variant, no day and no signal is, and a reader of other detectors doesn't make them."""
+    replayed = R.replay(long, step=400)
+    physical = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    velocity = physical(replayed.where("detector = 'product_velocity'"))
+    assert "MapInPandas" in velocity and "hashpartitioning(date_day" not in velocity and "Generate explode" in velocity.split("Exchange hashpartitioning(variant_id")[0]
+    assert "MapInPandas" not in physical(replayed.where(F.col("detector").isin(*B.DERIVED)))
+
+
+def test_both_ways_of_velocity_say_the_same(spark, long):
+    """All variants with their lists of days, or the sparse ones by running sums."""
+    t = S.Thresholds(velocity_units=1, velocity_z=2.0)
+    times = pit.clock(long, step=29)
+    a, b = ({(r["as_of_date"], r["entity_id"], r["direction"], round(r["severity"], 9)) for r in R.product_velocity(long, times, t, sorted_all=x).collect()} for x in (False, True))
+    assert a == b and a
+
+
 def test_a_disabled_detector_says_nothing(spark, long):
     t = S.Thresholds(disabled=("data_completeness", "product_velocity"))
     got = {r[0] for r in R.replay(long, step=400, t=t, only=("data_completeness", "product_velocity", "cpc_decomposition")).select("detector").distinct().collect()}
