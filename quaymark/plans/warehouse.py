@@ -326,6 +326,15 @@ class Warehouse:
         cut = cut.withColumns({"shown": F.greatest("since", begun), "until": F.least("until", F.date_add(begun, width - 1))}).repartitionById(-(-days // width), F.col("stretch"))
         return self.spread(cut, "variant_id", *VARIANT).sortWithinPartitions("date_day", "variant_id")
 
+    @staticmethod
+    def overlaps(runs: DataFrame, key: str) -> DataFrame:
+        """key, days: how many days of a product stand in more than one of its runs, for products that have such days. Counted where runs begin and end, so the days aren't made."""
+        ends = F.array(F.struct(F.least("since", "until").alias("day"), F.lit(1).alias("by")), F.struct(F.date_add(F.greatest("since", "until"), 1).alias("day"), F.lit(-1).alias("by")))
+        turns = runs.select(key, F.explode(ends).alias("t")).groupBy(key, "t.day").agg(F.sum("t.by").alias("by"))
+        of = W.partitionBy(key).orderBy("day")
+        held = turns.select(key, F.datediff(F.lead("day").over(of), "day").alias("days"), F.sum("by").over(of.rowsBetween(W.unboundedPreceding, 0)).alias("deep"))
+        return held.where("deep > 1").groupBy(key).agg(F.sum("days").alias("days"))
+
     def product_last(self, key: str, days: int = 1) -> DataFrame:
         """The rows of a product mart on the last so many days."""
         runs, carried = (self.variant_runs, VARIANT) if key == "variant_id" else (self.product_runs, ())

@@ -80,6 +80,10 @@ RULES: tuple[Rule, ...] = (
 )
 
 
+#: Marts of days: the runs that they are made of, and their product's key.
+RUNS = {"mart_variant_daily": ("variant_runs", "variant_id"), "mart_product_daily": ("product_runs", "sku")}
+
+
 def _row_rule(r: Rule):
     c = F.col(r.columns[0])
     if r.kind == "not_null":
@@ -93,9 +97,13 @@ def _row_rule(r: Rule):
 
 def compiled(models, rules: tuple[Rule, ...] = RULES) -> list[DataFrame]:
     """(model, rule, violations) in parts: for each model one aggregate over a scan for all rules on rows, for each key a grouping, for each
-    reference an anti join of its distinct values. `models` has a frame by each model's name as an attribute."""
+    reference an anti join of its distinct values. `models` has a frame by each model's name as an attribute.
+
+    Of a mart of days that is made of runs (RUNS), what days have of their run is looked up in the runs, as many as sales: whether a product's days repeat, and which
+    products there are. What a day has of its own is read day by day."""
     parts = []
     for model in dict.fromkeys(r.model for r in rules):
+        runs = RUNS.get(model) if hasattr(models, RUNS.get(model, ("",))[0]) else None
         df, own = getattr(models, model), [r for r in rules if r.model == model]
         rows = [r for r in own if r.kind in ("not_null", "accepted", "range")]
         if rows:
@@ -103,11 +111,16 @@ def compiled(models, rules: tuple[Rule, ...] = RULES) -> list[DataFrame]:
             each = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.col(f"r{i}").alias("violations")) for i, r in enumerate(rows)])
             parts.append(counts.select(F.lit(model).alias("model"), F.explode(each).alias("r")).select("model", "r.rule", "r.violations"))
         for r in own:
+            if runs and r.kind == "unique" and set(r.columns) == {"date_day", runs[1]}:
+                days = Warehouse.overlaps(getattr(models, runs[0]), runs[1])
+                parts.append(days.agg(F.coalesce(F.sum("days"), F.lit(0)).cast("long").alias("violations")).select(F.lit(model).alias("model"), F.lit(r.name).alias("rule"), "violations"))
+                continue
             if r.kind == "unique":
                 bad = df.groupBy(*r.columns).agg(F.count("*").alias("n")).where("n > 1")
             elif r.kind == "reference":
                 there = getattr(models, r.values[0]).select(F.col(r.values[1]).alias(r.columns[0]))
-                bad = df.select(*r.columns).where(F.col(r.columns[0]).isNotNull()).distinct().join(there, list(r.columns), "left_anti")
+                of = getattr(models, runs[0]) if runs and r.columns == (runs[1],) else df
+                bad = of.select(*r.columns).where(F.col(r.columns[0]).isNotNull()).distinct().join(there, list(r.columns), "left_anti")
             else:
                 continue
             parts.append(bad.agg(F.count("*").alias("violations")).select(F.lit(model).alias("model"), F.lit(r.name).alias("rule"), "violations"))
@@ -115,7 +128,8 @@ def compiled(models, rules: tuple[Rule, ...] = RULES) -> list[DataFrame]:
 
 
 def expectations(w: Warehouse, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """model, rule, violations (rows, or keys and values for unique and reference) for every rule; zeros on sound data."""
+    """model, rule, violations (rows, or keys and values for unique and reference) for every rule; zeros on sound data. Runs of products are made once."""
+    w.persist("variant_runs")
     return reduce(DataFrame.unionByName, compiled(w, rules))
 
 

@@ -64,6 +64,18 @@ def test_expectations_find_what_is_broken(spark):
     assert len(parts) == 4 and sorted(got) == sorted([("unique: k", 1), ("unique: k, s", 0), ("not_null: s", 1), ("accepted: s", 1), ("range: n", 2), ("range: n", 1), ("range: n", 1), ("reference: r", 1)])
 
 
+def test_rules_on_days_are_looked_up_in_runs(spark):
+    """A day that stands in several runs of a product is a key found twice, however many hold it; no day is made for that, nor for a reference."""
+    rows = [(1, D(2001, 1, 1), D(2001, 1, 10)), (1, D(2001, 1, 8), D(2001, 1, 12)), (1, D(2001, 1, 9), D(2001, 1, 9)), (2, D(2001, 1, 1), D(2001, 1, 3)), (2, D(2001, 1, 4), D(2001, 1, 9)), (2, D(2001, 1, 4), D(2001, 1, 5)), (None, D(2001, 1, 2), D(2001, 1, 2)), (None, D(2001, 1, 2), D(2001, 1, 3))]
+    runs = spark.createDataFrame(rows, "variant_id long, since date, until date")
+    days = runs.select("variant_id", F.explode(F.sequence("since", "until")).alias("date_day"))
+    rules = (Rule("mart_variant_daily", "unique", ("date_day", "variant_id")), Rule("mart_variant_daily", "reference", ("variant_id",), ("dim_product", "variant_id")))
+    known = spark.createDataFrame([(2,)], "variant_id long")
+    by_runs, by_days = (compiled(SimpleNamespace(mart_variant_daily=days, dim_product=known, **more), rules) for more in ({"variant_runs": runs}, {}))
+    assert [[tuple(r) for r in p.collect()] for p in by_runs] == [[tuple(r) for r in p.collect()] for p in by_days] and by_runs[0].first()["violations"] == 6
+    assert not any("sequence(" in plan(p) for p in by_runs)
+
+
 def test_a_digest_is_of_the_content(spark, duck):
     rows = [(1, "a", 1.25, D(2001, 1, 1), True), (2, None, None, None, None), (2, None, None, None, None), (3, "ü|", -0.00005, D(2001, 1, 2), False)]
     schema = "i long, s string, x double, d date, b boolean"
