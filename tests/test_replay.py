@@ -103,6 +103,21 @@ def test_proof_of_small_marts(spark, long):
     assert len(rows) == sum(len(v) for _, v, _ in marts.values()) and all(r["rows"] > 0 and not any((r["only_left"], r["only_right"], r["null_mismatches"], r["differences"])) for r in rows)
 
 
+def test_days_are_compared_by_their_runs(spark, long):
+    """Runs that both sides hold are counted; a product with any other run is compared day by day: the same counts as of all days, with less made."""
+    runs = long.variant_runs
+    keys, values = pit.PROVEN["mart_variant_daily"][:2]
+    off = runs.withColumns({
+        "units": F.when((F.col("variant_id") == 3) & F.col("units").isNotNull(), F.col("units") + 1).otherwise(F.col("units")), "units_7d": F.when(F.col("variant_id") == 5, F.col("units_7d") + 70).otherwise(F.col("units_7d")),
+        "inventory_quantity": F.when(F.col("variant_id") == 7, F.lit(None)).otherwise(F.col("inventory_quantity"))}).where("variant_id <> 9 and not (variant_id = 11 and since > date'1998-01-01')")
+    twice = off.unionByName(runs.where("variant_id = 13"))
+    days = lambda r: Warehouse.spread(r, "variant_id", "product_title", "sku", "product_type")
+    for right in (runs, twice):
+        got = {tuple(r) for r in pit.equivalence_of_runs(runs, right, "variant_id", values).collect()}
+        assert got == {tuple(r) for r in pit.equivalence(days(runs), days(right), keys, values).collect()} and len(got) == len(values)
+    assert any(r[2] and r[5] for r in got) and any(r[4] for r in got)
+
+
 def kept_by_hand(ps, alpha):
     tested = sorted(p for p in ps if p is not None and p == p)
     passed = [p for r, p in enumerate(tested, 1) if p <= alpha * r / len(tested)]
