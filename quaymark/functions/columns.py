@@ -32,6 +32,16 @@ def micros_to_money(c: Column | str) -> Column:
     return (col(c) / 1000000.0).cast("decimal(12,2)")
 
 
+def cents(c: Column | str) -> Column:
+    """Money of two decimals as a bigint of cents: 8 bytes in sums and exchanges, where the sum of a decimal(12,2) takes 24."""
+    return (col(c) * 100).cast("long")
+
+
+def of_cents(c: Column | str) -> Column:
+    """Sums of cents as the sum of decimal(12,2) is typed."""
+    return (col(c).cast("decimal(19,0)") / 100).cast("decimal(22,2)")
+
+
 def visible(available: Column | str, event: Column | str, as_of) -> Column:
     """Availability filter: the sync day, or the event day where there is none, is not after the cursor."""
     return F.coalesce(col(available).try_cast("timestamp_ntz"), col(event).cast("timestamp_ntz")).cast("date") <= F.lit(as_of)

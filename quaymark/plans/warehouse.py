@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..config import EngineConfig
 from ..session import settled
-from ..functions.columns import channel, decimal, funnel_stage, iso_dow, month_start, months_apart, planned_share, ratio, visible, week_start
+from ..functions.columns import cents, channel, decimal, funnel_stage, iso_dow, month_start, months_apart, of_cents, planned_share, ratio, visible, week_start
 
 
 #: What a variant's rows carry of its product.
 VARIANT = ("product_title", "sku", "product_type")
+#: What a product's days are worth.
+MONEY = ("net_revenue", "contribution_margin")
 
 
 def _zero(c: str):
@@ -125,10 +127,14 @@ class Warehouse:
 
     @cached_property
     def fct_order_line(self) -> DataFrame:
-        """Revenue without tax is rounded once, on the line; cost is exact. Lines meet the visible orders once, in their fact."""
-        lines = self.raw.order_lines().join(self.fct_order.select("order_id", "customer_id", "order_date", "channel", "is_cancelled"), "order_id")
+        """Revenue without tax is rounded once, on the line; cost is exact. Lines meet the visible orders once, in their fact.
+
+        What is paid is made before the joins, so that whoever reads only revenue has one amount exchanged and not the two that it is made of.
+        """
+        lines = self.raw.order_lines().withColumn("paid", F.col("gross") - F.col("discount"))
+        lines = lines.join(self.fct_order.select("order_id", "customer_id", "order_date", "channel", "is_cancelled"), "order_id")
         lines = lines.join(self.dim_product.select("variant_id", "unit_cost"), "variant_id")
-        paid = F.col("gross") - F.col("discount")
+        paid = F.col("paid")
         out = lines.select(
             "order_id", "customer_id", "variant_id", "order_date", "channel", "is_cancelled", "quantity", F.col("gross").alias("gross_revenue_incl_vat"),
             F.col("discount").alias("line_discount"), paid.cast("decimal(12,2)").alias("net_revenue_incl_vat"),
@@ -254,23 +260,24 @@ class Warehouse:
         )
 
     def _sold(self, key: str) -> DataFrame:
-        """Units, revenue and margin by day and product (or another product attribute)."""
+        """Units, and revenue and margin in cents, by day and product (or another product attribute)."""
         sold = self.sold_lines
         if key != "variant_id":
             sold = sold.join(self.dim_product.select("variant_id", key), "variant_id")
         sold = sold.where(F.col(key).isNotNull()).groupBy(F.col("order_date").alias("date_day"), key)
-        return sold.agg(F.sum("quantity").alias("units"), F.sum("net_revenue").alias("net_revenue"), F.sum("contribution_margin").alias("contribution_margin"))
+        return sold.agg(F.sum("quantity").alias("units"), *[F.sum(cents(c)).alias(c) for c in MONEY])
 
     def _product_runs(self, key: str, *carried: str) -> DataFrame:
         """A product's days as runs from `since` to `until`, in which the sums of the last 7 and 28 days (units_7d, units_28d) do not change: a sale
         begins one, and its leaving either sum does. Units and money are those of the run's first day; on its others nothing was sold.
 
         Runs are as many as sales, not days times products; all of a product's are in one partition, so whatever is grouped by it needs no exchange.
+        Money is summed and exchanged as cents.
         """
         stock = self.dim_product.groupBy(key).agg(F.sum("inventory_quantity").alias("inventory_quantity"), *[F.first(c).alias(c) for c in carried])
         sold = self._sold(key)
         about = F.struct("inventory_quantity", *carried)
-        money = ("units", "net_revenue", "contribution_margin")
+        money = ("units", *MONEY)
         kinds = dict(sold.dtypes)
         none = [F.lit(None).cast(kinds[c]).alias(c) for c in money]
         rows = sold.select(key, "date_day", *money, F.lit(None).cast(stock.select(about.alias("x")).schema["x"].dataType).alias("about"))
@@ -288,7 +295,7 @@ class Warehouse:
         runs = days.select(
             key, "start", "since", F.coalesce(F.date_sub(F.lead("since").over(of), 1), "end").alias("until"), F.first("about").over(run).alias("about"),
             F.sum("d7").over(run).alias("units_7d"), F.sum("d28").over(run).alias("units_28d"), *money)
-        return runs.select(key, "start", "since", "until", "about.*", "units_7d", "units_28d", *money)
+        return runs.select(key, "start", "since", "until", "about.*", "units_7d", "units_28d", "units", *[of_cents(c).alias(c) for c in MONEY])
 
     @staticmethod
     def spread(runs: DataFrame, key: str, *carried: str) -> DataFrame:
